@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from effectflow.llm import chat, fingerprint, media, pii, urlfilter
+from effectflow.llm import chat, fingerprint, media, packing, pii, quality, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_importance_resampling": quality.op1_importance_resampling,
         "op3_fingerprints": fingerprint.op3_fingerprints,
         "op5_url_filter": urlfilter.op5_url_filter,
+        "op7_packing": packing.op7_packing,
         "op8_prefix_targets": chat.op8_prefix_targets,
         "op9_personal_data": pii.op9_personal_data,
         "op10_media_columns": media.op10_media_columns,
