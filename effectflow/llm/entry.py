@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from effectflow.llm import chat, fingerprint, media, packing, pii, quality, urlfilter
+from effectflow.llm import chat, fingerprint, media, mixing, packing, pii, quality, tokencount, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_importance_resampling": quality.op1_importance_resampling,
+        "op2_source_mix": mixing.op2_source_mix,
         "op3_fingerprints": fingerprint.op3_fingerprints,
+        "op4_separator_scan": tokencount.op4_separator_scan,
         "op5_url_filter": urlfilter.op5_url_filter,
         "op7_packing": packing.op7_packing,
         "op8_prefix_targets": chat.op8_prefix_targets,
