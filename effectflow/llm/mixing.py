@@ -5,9 +5,7 @@ Each source has a target share of all words. A document is taken ``floor(rate)``
 decides these: probabilities move along vectors of the null space of the balancing constraints (documents and
 words of the source) until all but two are 0 or 1, so both totals stay what they were. Blocks of a source are moved
 independently; the few undecided units of all blocks meet again in the next level, until a source is one block.
-There the landing drops the document constraint, then flips the last unit by its probability.
-
-Units are ordered by falling size, so what remains for the landing is small.
+There a landing problem of at most 14 units is left, decided by enumeration.
 """
 
 from __future__ import annotations
@@ -23,7 +21,7 @@ from pyspark.sql import functions as F
 from effectflow.llm.common import n_words, read, written
 
 BLOCK = 4096
-LANDING = 64
+LANDING = 12  # units beside those that the flight leaves: 2 ** 14 outcomes at most
 MOST_TIMES = 3
 _EPS = 1e-9
 
@@ -86,14 +84,21 @@ def flight(p: np.ndarray, constraints: np.ndarray, rng: np.random.Generator) ->
 
 
 def land(p: np.ndarray, constraints: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decides all units of a source, in order of falling size: the smallest are kept out of the flight and moved
-    with what it leaves by words alone, so that they make up for large undecided units; the last goes by its probability."""
-    first = len(p) - min(len(p) // 2, LANDING)
-    p = np.concatenate((flight(p[:first], constraints[:, :first], rng), p[first:]))
-    p = flight(p, constraints[1:], rng)
-    rest = (p > 0) & (p < 1)
-    p[rest] = rng.random(rest.sum()) < p[rest]
-    return p
+    """Decides all units of a source. A few units of middle size sit out the flight; they and the two that it leaves
+    are the landing problem: one of the outcomes whose words come closest to their expectation (then documents) is drawn."""
+    spare = min(len(p) // 2, LANDING)
+    first = (len(p) - spare) // 2
+    held = np.arange(first, first + spare)
+    free = np.setdiff1d(np.arange(len(p)), held)
+    p = p.copy()
+    p[free] = flight(p[free], constraints[:, free], rng)
+    rest = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
+    if len(rest):
+        bits = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1
+        off = np.abs((bits - p[rest]) @ constraints[:, rest].T)
+        best = np.lexsort((off[:, 0], off[:, 1]))[: min(8, 1 << max(0, len(rest) - 3))]
+        p[rest] = bits[rng.choice(best)]
+    return np.rint(p)
 
 
 def _moved(units: DataFrame, blocks: DataFrame, level: int, seed: int) -> DataFrame:
