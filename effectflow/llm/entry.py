@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from effectflow.llm import chat, fingerprint, media, mixing, packing, pii, quality, tokencount, urlfilter
+from effectflow.llm import chat, fingerprint, media, mixing, packing, pii, quality, simjoin, tokencount, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_fingerprints": fingerprint.op3_fingerprints,
         "op4_separator_scan": tokencount.op4_separator_scan,
         "op5_url_filter": urlfilter.op5_url_filter,
+        "op6_jaccard_join": simjoin.op6_jaccard_join,
         "op7_packing": packing.op7_packing,
         "op8_prefix_targets": chat.op8_prefix_targets,
         "op9_personal_data": pii.op9_personal_data,
