@@ -22,7 +22,8 @@ from effectflow.llm.common import arrow_pass, plain_text, read, written
 
 CAPACITY = 2048
 END_ID = 1
-BLOCK = 200_000  # pieces ranked in one task
+BLOCK = 1000  # pieces ranked in one block, or more, for at most MOST_BLOCKS beside one a length
+MOST_BLOCKS = 100_000
 _CACHE_MOST = 300_000
 _ODD_SPACE = regex.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
 _ASCII_SPACE = regex.compile(r"[^ \n\t\r]+")
@@ -137,12 +138,13 @@ def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) ->
 def ranked(pieces: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     """Pieces with their rank among those of their length, and the histogram.
 
-    A length with many pieces is ranked in salted blocks; the blocks' counts (a row a length and BLOCK pieces) give
-    each block its first rank.
+    A length with many pieces is ranked in salted blocks; the blocks' counts (a bounded number) give each block its
+    first rank.
     """
     spark = pieces.sparkSession
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    salts = spark.createDataFrame([(k, n // BLOCK + 1) for k, n in histogram.items()] or [(0, 1)], "length long, salts long")
+    block = max(BLOCK, -(-sum(histogram.values()) // MOST_BLOCKS))
+    salts = spark.createDataFrame([(k, n // block + 1) for k, n in histogram.items()] or [(0, 1)], "length long, salts long")
     dealt = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts"))).drop("salts")
     firsts, at = [], dict.fromkeys(histogram, 0)
     for r in sorted(dealt.groupBy("length", "salt").count().collect()):
