@@ -46,14 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def _tables_dir(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+def _tables_dir(spark: SparkSession, kept: bool = False) -> str:
+    return f"{shared_dir(spark)}/{'kept' if kept else 'tables'}-{spark.sparkContext.applicationId}"
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """``df`` as a written table: computed once, then read from the shared folder."""
+def written(df: DataFrame, name: str, codec: str = "zstd", kept: bool = False) -> DataFrame:
+    """``df`` as a written table: computed once, then read from the shared folder. ``kept``: not for ``purge``."""
     spark = df.sparkSession
-    path = f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark, kept)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
