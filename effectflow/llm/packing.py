@@ -10,11 +10,12 @@ the placements by it. Work on the driver is bounded by the number of lengths and
 from __future__ import annotations
 
 import heapq
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,9 +26,11 @@ END_ID = 1
 BLOCK = 1000  # pieces ranked in one block, or more, for at most MOST_BLOCKS beside one a length
 MOST_BLOCKS = 100_000
 _CACHE_MOST = 300_000
-_ODD_SPACE = regex.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
-_ASCII_SPACE = regex.compile(r"[^ \n\t\r]+")
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Texts of these characters alone are cut by the tokenizer's published word pattern; in others, each chunk that has
+#: one of them is left to the tokenizer. (Beyond Latin letters, lower-casing and composing may differ.)
+_SPECIAL = re.compile("[^\x00-ſ]|[İ\xb2\xb3\xb9\xbc-\xbe\x0b\x0c\x1c-\x1f\x85\xa0]")
+_CHUNK = re.compile(r"[^ \n\t\r]+")
+_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 def tokenizer_path() -> str:
@@ -36,52 +39,55 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-class WordIds(dict):
-    """Chunk without white space -> its ids as little-endian 32-bit bytes, filled on demand.
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones for themselves, then from U+0100 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its chunks. Chunks of
-    Latin letters are cut further, by the tokenizer's own published word pattern after lower-casing, so that a word
-    with and without punctuation is tokenized once. Both caches are bounded.
+
+class WordIds:
+    """Texts to ids as little-endian 32-bit bytes, a batch at a time.
+
+    The tokenizer drops white space and never joins across it or across its words, so a text's ids are those of its
+    chunks, and a chunk's those of its words. Each chunk and word is looked up once a batch; the first
+    ``_CACHE_MOST`` of each stay for later batches.
     """
 
     def __init__(self, path: str):
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
-    def _encode(self, text: str) -> bytes:
-        import struct
-
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def __missing__(self, chunk: str) -> bytes:
-        if max(chunk) < "\u0180" and "\u0130" not in chunk:
-            parts = []
-            for word in _PIECE.findall(chunk.lower()):
-                ids = self.words.get(word)
-                if ids is None:
-                    ids = self._encode(word)
-                    if len(self.words) < _CACHE_MOST and len(word) < 64:
-                        self.words[word] = ids
-                parts.append(ids)
-            out = b"".join(parts)
-        else:
-            out = self._encode(chunk)
-        if len(chunk) < 64:
-            if len(self) >= _CACHE_MOST:
-                self.clear()
-            self[chunk] = out
-        return out
-
-    def ids(self, text: str) -> bytes:
-        chunks = _ASCII_SPACE.findall(text) if _ODD_SPACE.search(text) else text.split()
-        return b"".join(map(self.__getitem__, chunks))
+    def _word(self, word: str) -> bytes:
+        found = self.words.get(word)
+        if found is None:
+            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            if len(self.words) < _CACHE_MOST:
+                self.words[word] = found
+        return found
+
+    def _chunk(self, chunk: str) -> bytes:
+        if _SPECIAL.search(chunk):
+            return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self._word, _WORD.findall(chunk.lower())))
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        known = self.chunks
+        cut = [_CHUNK.findall(t) if _SPECIAL.search(t) else t.split() for t in texts]
+        new = set().union(*cut).difference(known) if cut else ()
+        for chunk in new:
+            known[chunk] = self._chunk(chunk)
+        for chunks in cut:
+            yield b"".join(map(known.__getitem__, chunks))
+        if len(known) > _CACHE_MOST:
+            for chunk in new:
+                del known[chunk]
 
 
 _loaded: dict[str, WordIds] = {}
@@ -102,8 +108,8 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
-            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
-                ids = encoder.ids(text) + end
+            for key, ids in zip(batch.column(0).to_pylist(), encoder.ids(batch.column(1).to_pylist())):
+                ids += end
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     stop = min(n, start + capacity)
