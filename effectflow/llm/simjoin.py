@@ -4,22 +4,26 @@ A text is a set of distinct word shingles; texts link when intersection / union
 
 1. Texts with one set are one class; the least id stands for it.
 2. Classes meet where they can link at all: of the shingles in one global order (rare ones before frequent ones, then
-   by hash), two sets over the threshold share one among their first ``n - ceil(t * n) + 1``. All classes that share
-   such a shingle go to the group of the least id among them, so a pair is sure to meet in a group.
+   those with fewer frequent words, then by hash), two sets over the threshold share one among their first
+   ``n - ceil(t * n) + 1``. All classes that share such a shingle go to the group of the least id among them, so a pair
+   is sure to meet in a group.
 3. A group is a count-vector R-tree: shingles are hashed into 64 groups, the counts are a point, and a node's
-   coordinate maxima bound the overlap with any point below by the sum of coordinate minima. What survives the bound at
-   the leaves is verified on the sets themselves. Pairs that are linked already, directly or not, are skipped, so a
-   group of n near copies costs about n verifications and gives at most n - 1 links.
-4. Large groups are dealt in blocks of bounded shingles, each with the group's first member; whoever isn't linked to
+   coordinate maxima bound the overlap with any point below by the sum of coordinate minima. A first search sees only
+   points and names the members that have any partner within the bound; most members of most groups have none.
+4. The sets of those are made again from their texts and the trees searched again; what survives the bound at the
+   leaves is verified on the sets. Pairs that are linked already, directly or not, are skipped, so a group of n near
+   copies costs about n verifications and gives at most n - 1 links.
+5. Large groups are dealt in blocks of bounded shingles, each with the group's first member; whoever isn't linked to
    that one afterwards is joined against every block. Then components of all links.
 
-"Frequent" shingles only steer the order, any order is right: they are those of more than a thousandth of the rows,
-found in one pass, at most a thousand times the shingles of a mean text.
+"Frequent" words and shingles only steer the order, any order is right: they are those of more than a thousandth of
+the rows, found in one pass over all texts, at most a thousand times those of a mean text.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,7 @@ LEAF = 16
 COUNT_BLOCK = 1 << 21  # shingles counted at once
 FREQUENT = 1000  # a shingle of more than 1 / FREQUENT of the rows is frequent
 GROUP_SHINGLES = 2_000_000  # of one block of a group
+GROUP_POINTS = 50_000  # of a group that is searched by points alone first
 BROADCAST_IDS = 1_000_000
 _LONG = "array<long>"
 
@@ -60,78 +65,108 @@ def word_hashes(text: str) -> np.ndarray:
     return _mix((sums[ends] - sums[starts]) * down[starts])
 
 
-def shingles(text: str, words: int) -> np.ndarray:
-    """The sorted 64-bit hashes of a text's distinct shingles; fewer words than a shingle are one shingle."""
-    w = word_hashes(text)
-    if not len(w):
-        return w
+def _shingled(w: np.ndarray, words: int) -> np.ndarray:
     size = min(words, len(w))
     h = np.full(len(w) - size + 1, size, np.uint64)
     for k in range(size):
         h = _mix(h * np.uint64(0x9E3779B97F4A7C15) + w[k : len(w) - size + 1 + k])
-    return np.unique(h)
+    return h
+
+
+def shingles(text: str, words: int) -> np.ndarray:
+    """The sorted 64-bit hashes of a text's distinct shingles; fewer words than a shingle are one shingle."""
+    w = word_hashes(text)
+    return np.unique(_shingled(w, words)) if len(w) else w
+
+
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted table."""
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
 
 
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-def ordered_prefix(found: np.ndarray, frequent: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first shingles in the global order, as many as two linked sets must share one of."""
-    p = prefix_length(len(found), num, den)
-    if not len(frequent):
-        return found[:p]
-    often = frequent[np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)] == found
-    rare = found[~often]
-    return rare[:p] if len(rare) >= p else np.concatenate((rare, found[often][: p - len(rare)]))
+@dataclass(frozen=True)
+class Frequent:
+    """Sorted hashes of the frequent words and shingles."""
 
+    words: np.ndarray
+    shingles: np.ndarray
 
-def frequent_shingles(docs: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of the shingles of more than one in FREQUENT rows (and two rows at least)."""
+
+def profile(text: str, words: int, num: int, den: int, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
+    """The set of a text, and its first shingles in the global order, as many as two linked sets must share one of."""
+    w = word_hashes(text)
+    if not len(w):
+        return w, w
+    h = _shingled(w, words)
+    found, first = np.unique(h, return_index=True)
+    often = np.concatenate((np.zeros(1, np.int64), np.cumsum(_among(w, frequent.words))))
+    size = min(words, len(w))
+    rank = (often[size:] - often[:-size])[first] + _among(found, frequent.shingles) * (words + 1)
+    order = np.argsort(rank, kind="stable")
+    return found, found[order[: prefix_length(len(found), num, den)]]
+
+
+def frequent_parts(docs: DataFrame, words: int) -> Frequent:
+    """Words and shingles of more than one in FREQUENT rows (and two rows at least)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held, size = [], 0
+        held, size, rows = ([], []), 0, 0
 
-        def counted() -> dict:
-            h, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n > max(2, len(held) // FREQUENT)
-            return {"h": h[often].view(np.int64), "n": n[often]}
+        def counted() -> Iterator[dict]:
+            for kind in (0, 1):
+                h, n = np.unique(np.concatenate(held[kind]), return_counts=True)
+                often = n > max(2, len(held[0]) // FREQUENT)
+                yield {"kind": np.full(often.sum(), kind), "h": h[often].view(np.int64), "n": n[often]}
 
-        rows = 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                held.append(shingles(text, words))
-                size += len(held[-1])
+                w = word_hashes(text)
                 rows += 1
+                if len(w):
+                    held[0].append(np.unique(w))
+                    held[1].append(np.unique(_shingled(w, words)))
+                    size += len(held[1][-1])
                 if size >= COUNT_BLOCK:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
+                    yield from counted()
+                    held, size = ([], []), 0
+        if held[0]:
+            yield from counted()
         if rows:
-            yield {"h": [0], "n": [rows]}
+            yield {"kind": [2], "h": [0], "n": [rows]}
 
-    counts = arrow_pass(docs.select(plain_text().alias("text")), make, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counts = arrow_pass(docs.select(plain_text().alias("text")), make, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
     counts = written(counts, "frequent")
-    rows = (counts.where("h = 0").first() or {"n": 0})["n"]
-    found = counts.where((F.col("n") > max(2, rows / FREQUENT)) & (F.col("h") != 0)).select("h").toPandas()["h"]
-    return np.sort(found.to_numpy(np.int64).view(np.uint64))
+    rows = (counts.where("kind = 2").first() or {"n": 0})["n"]
+    found = counts.where((F.col("n") > max(2, rows / FREQUENT)) & (F.col("kind") < 2)).select("kind", "h").toPandas()
+    return Frequent(*(np.sort(found["h"][found["kind"] == kind].to_numpy(np.int64).view(np.uint64)) for kind in (0, 1)))
 
 
-def profiles(docs: DataFrame, words: int, num: int, den: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n, set_id (128 bits of the whole set; null if empty), prefix."""
+def profiles(docs: DataFrame, words: int, num: int, den: int, frequent: Frequent) -> DataFrame:
+    """doc_id, n, set_id (128 bits of the whole set; null if empty), prefix, point (its 64 counts)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            n, ids, prefix = [], [], []
+            n, ids, prefix, points = [], [], [], []
             for text in batch.column(1).to_pylist():
-                found = shingles(text, words)
+                found, first = profile(text, words, num, den, frequent)
                 n.append(len(found))
                 ids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                prefix.append(ordered_prefix(found, frequent, num, den).view(np.int64) if len(found) else [])
-            yield {"doc_id": batch.column(0), "n": n, "set_id": ids, "prefix": prefix}
+                prefix.append(first.view(np.int64))
+                points.append(point(found).astype(np.int32).tobytes())
+            yield {"doc_id": batch.column(0), "n": n, "set_id": ids, "prefix": prefix, "point": points}
+
+    return arrow_pass(docs.select("doc_id", plain_text().alias("text")), make, f"doc_id long, n long, set_id binary, prefix {_LONG}, point binary")
 
-    return arrow_pass(docs.select("doc_id", plain_text().alias("text")), make, f"doc_id long, n long, set_id binary, prefix {_LONG}")
+
+def point(found: np.ndarray) -> np.ndarray:
+    """A set as counts of its shingles by hash group."""
+    return np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
 
 
 class CountTree:
@@ -196,7 +231,7 @@ def join_group(ids: list[int], sets: list[np.ndarray], num: int, den: int, label
     sizes = np.array([len(s) for s in sets])
     part = np.unique(np.array(ids if label is None else label), return_inverse=True)[1].astype(np.int64)
     asks = np.ones(g, bool) if probe is None else np.array(probe, bool)
-    counts = np.stack([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets]).astype(np.int32)
+    counts = np.stack([point(s) for s in sets]).astype(np.int32)
     tree = CountTree(counts, sizes)
     middle = counts.mean(axis=0)
     turn = np.argsort(np.abs(counts - middle).sum(axis=1) if g > LEAF else np.arange(g), kind="stable")
@@ -215,34 +250,67 @@ def join_group(ids: list[int], sets: list[np.ndarray], num: int, den: int, label
     return links
 
 
-def _group_links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) within (group, block) of rows (group, block, doc_id, label, probe, shingles)."""
-    dealt = rows.repartition("group", "block").sortWithinPartitions("group", "block", "doc_id")
+def partnered(ids: list[int], sizes: np.ndarray, counts: np.ndarray, num: int, den: int) -> list[int]:
+    """The ids of a group that have another id within the bound."""
+    tree, key, named = CountTree(counts, sizes), np.array(ids), np.zeros(len(ids), bool)
+    for i in range(len(ids)):
+        if not named[i]:
+            found = tree.reach(counts[i], int(sizes[i]), num, den)
+            found = found[key[found] != key[i]]
+            named[found] = True
+            named[i] = len(found) > 0
+    return sorted(set(key[named].tolist()))
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        key, ids, labels, probes, sets = None, [], [], [], []
 
-        def closed() -> Iterator[dict]:
-            if links := join_group(ids, sets, num, den, labels, probes):
-                yield {"a": [a for a, _ in links], "b": [b for _, b in links]}
+def _by_group(rows: DataFrame, value: str, work: Callable[[tuple, dict[str, list]], dict | None], schema: str) -> DataFrame:
+    """``work(key, columns)`` for each (group, block) of rows dealt and sorted by it; one group is in memory at a time.
 
+    The last column, ``value``, comes as numpy: arrays of hashes, or counts from binary.
+    """
+    names = ["group", "block", *[c for c in rows.columns if c not in ("group", "block", value)], value]
+    dealt = rows.select(*names).repartition("group", "block").sortWithinPartitions("group", "block", "doc_id")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        key, held = None, {}
         for batch in batches:
-            group, block, doc, label, probe = (batch.column(k).to_pylist() for k in range(5))
-            column = batch.column(5)
-            flat, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-            for k in range(batch.num_rows):
-                if (group[k], block[k]) != key:
-                    if len(ids) > 1:
-                        yield from closed()
-                    key, ids, labels, probes, sets = (group[k], block[k]), [], [], [], []
-                ids.append(doc[k])
-                labels.append(label[k])
-                probes.append(probe[k])
-                sets.append(flat[at[k] : at[k + 1]].copy())
-        if len(ids) > 1:
-            yield from closed()
-
-    return arrow_pass(dealt.select("group", "block", "doc_id", "label", "probe", "shingles"), make, "a long, b long")
+            columns = [c.to_pylist() for c in batch.columns[:-1]]
+            last = batch.column(len(names) - 1)
+            if pa.types.is_list(last.type):
+                flat, at = last.values.to_numpy().view(np.uint64), last.offsets.to_numpy()
+                values = [flat[a:b].copy() for a, b in zip(at[:-1], at[1:])]
+            else:
+                values = [np.frombuffer(v, np.int32) for v in last.to_pylist()]
+            for row in zip(*columns, values):
+                if row[:2] != key:
+                    if key and len(held["doc_id"]) > 1 and (out := work(key, held)):
+                        yield out
+                    key, held = row[:2], {n: [] for n in names[2:]}
+                for n, x in zip(names[2:], row[2:]):
+                    held[n].append(x)
+        if key and len(held["doc_id"]) > 1 and (out := work(key, held)):
+            yield out
+
+    return arrow_pass(dealt, make, schema)
+
+
+def _partners(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(group, doc_id) with a partner within the bound, of rows (group, block, doc_id, n, point)."""
+
+    def work(key: tuple, held: dict[str, list]) -> dict | None:
+        named = partnered(held["doc_id"], np.array(held["n"]), np.stack(held["point"]), num, den)
+        return {"group": [key[0]] * len(named), "doc_id": named} if named else None
+
+    return _by_group(rows, "point", work, "group long, doc_id long")
+
+
+def _group_links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links (a, b) within (group, block) of rows (group, block, doc_id, label, probe, shingles)."""
+
+    def work(key: tuple, held: dict[str, list]) -> dict | None:
+        links = join_group(held["doc_id"], held["shingles"], num, den, held["label"], held["probe"])
+        return {"a": [a for a, _ in links], "b": [b for _, b in links]} if links else None
+
+    return _by_group(rows, "shingles", work, "a long, b long")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -258,28 +326,31 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return arrow_pass(wanted, make, f"doc_id long, n long, shingles {_LONG}")
 
 
-def _links(docs: DataFrame, tokens: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """Links that connect all that is linked among the classes of ``tokens`` (doc_id, token)."""
+def _links(docs: DataFrame, tokens: DataFrame, points: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Links that connect all that is linked among the classes of ``tokens`` (doc_id, token); ``points``: doc_id, n, point."""
     buckets = tokens.groupBy("token").agg(F.min("doc_id").alias("group"), F.max("doc_id").alias("most")).where("group < most").drop("most")
-    members = written(tokens.join(buckets, "token").where("doc_id <> group").select("group", "doc_id").distinct(), "members")
-    members = members.unionByName(members.select("group", F.col("group").alias("doc_id")).distinct())
+    met = written(tokens.join(buckets, "token").where("doc_id <> group").select("group", "doc_id").distinct(), "met")
+    met = met.unionByName(met.select("group", F.col("group").alias("doc_id")).distinct())
+    sizes = met.groupBy("group").count()
+    huge = written(sizes.where(F.col("count") > GROUP_POINTS).select("group"), "huge")
+    placed = met.join(points, "doc_id").select("group", F.lit(0).alias("block"), "doc_id", "n", "point")
+    members = written(_partners(placed.join(huge, "group", "left_anti"), num, den).unionByName(met.join(huge, "group", "left_semi").select("group", "doc_id")), "members")
     sets = written(_sets(docs, members.select("doc_id").distinct(), words), "sets").where("n > 0")
-    weights = members.join(sets.select("doc_id", "n"), "doc_id").groupBy("group").agg(F.sum("n").alias("weight"))
-    large = written(weights.where(F.col("weight") > GROUP_SHINGLES).select("group", F.ceil(F.col("weight") / GROUP_SHINGLES).cast("int").alias("blocks")), "large")
+    weights = members.join(sets.select("doc_id", "n"), "doc_id").groupBy("group").agg(F.sum("n").alias("weight"), F.min("doc_id").alias("pivot"))
+    large = written(weights.where(F.col("weight") > GROUP_SHINGLES).select("group", "pivot", F.ceil(F.col("weight") / GROUP_SHINGLES).cast("int").alias("blocks")), "large")
     any_large = large.limit(1).count() > 0
     rows = members.join(sets, "doc_id")
     shaped = lambda df, block, label="doc_id", probe=F.lit(True): df.select("group", block.cast("int").alias("block"), "doc_id", F.col(label).alias("label"), probe.alias("probe"), "shingles")
     if not any_large:
         return written(_group_links(shaped(rows, F.lit(0)), num, den), "links")
     rows = rows.join(large, "group", "left")
-    own = F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1)))
-    first = F.col("doc_id") == F.col("group")
-    everywhere = F.when(first, F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).otherwise(F.array(own.cast("int")))
+    own = F.array(F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
+    everywhere = F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
     links = written(_group_links(shaped(rows.withColumn("at", F.explode(everywhere)), F.col("at")), num, den), "links")
     # who isn't connected to the first member of a large group is joined against all of it
     root = roots(links)
-    placed = rows.where("blocks IS NOT NULL").join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").join(root.select(F.col("node").alias("group"), F.col("root").alias("first_root")), "group", "left")
-    placed = placed.withColumn("label", F.coalesce("root", "doc_id")).withColumn("apart", F.col("label") != F.coalesce("first_root", "group"))
+    placed = rows.where("blocks IS NOT NULL").join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").join(root.select(F.col("node").alias("pivot"), F.col("root").alias("first_root")), "pivot", "left")
+    placed = placed.withColumn("label", F.coalesce("root", "doc_id")).withColumn("apart", F.col("label") != F.coalesce("first_root", "pivot"))
     parts = written(placed.where("apart").groupBy("group").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("parts")), "parts")
     placed = placed.join(parts, "group").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), "parts").cast("int"))
     across = lambda df, i, j: F.col(i) * F.col("parts") + F.col(j)
@@ -296,12 +367,12 @@ def similarity_components(docs: DataFrame, words: int, num: int, den: int) -> Da
     share an id are one document with several texts: it is linked with whatever one of them is. Very long texts are one
     set like any other. A null doc_id is left alone. Extra columns fall away; an empty table gives an empty result.
     """
-    frequent = frequent_shingles(docs, words)
-    profile = written(profiles(docs, words, num, den, frequent), "profiles")
-    classes = written(profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
-    tokens = profile.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("token"))
-    named = profile.select("doc_id", "n", "set_id").join(classes, "set_id", "left")
-    links = _links(docs, tokens, words, num, den)
+    table = written(profiles(docs, words, num, den, frequent_parts(docs, words)), "profiles")
+    classes = written(table.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
+    tokens = table.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("token"))
+    named = table.select("doc_id", "n", "set_id").join(classes, "set_id", "left")
+    points = table.where("n > 0").select("doc_id", "n", "point")
+    links = _links(docs, tokens, points, words, num, den)
     same = named.where("rep IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
     root = roots(links.unionByName(same))
     out = named.join(root, named.rep == root.node, "left")
