@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,19 @@ def reachability(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 100
     return propagate(step, step, rounds)
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 1000) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 1000, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Least fixpoint of (a, b): ``seeds``, and (x, b) wherever edge (x, a) and (a, b) hold.
 
-    ``edges`` (a, b) says that a takes over what b has; ``seeds`` (a, b) what a has of its own.
+    ``edges`` (a, b, ...) says that a takes over what b has; ``seeds`` (a, b) what a has of its own. ``keep`` filters what
+    an edge hands over: it sees (a, b) with the edge's further columns. Only new pairs go on, each round is checkpointed.
     """
-    moves = edges.select(F.col("a").alias("__to"), F.col("b").alias("__from"))
+    more = [c for c in edges.columns if c not in ("a", "b")]
+    moves = edges.select(F.col("a").alias("__to"), F.col("b").alias("__from"), *more)
     total = cut(seeds.select("a", "b").distinct())
     delta = total
     for _ in range(rounds):
-        grown = delta.join(moves, delta.a == moves["__from"]).select(F.col("__to").alias("a"), delta.b).distinct()
+        grown = delta.join(moves, delta.a == moves["__from"]).select(F.col("__to").alias("a"), delta.b, *more)
+        grown = (keep(grown) if keep else grown).select("a", "b").distinct()
         delta = cut(grown.join(total, ["a", "b"], "left_anti"))
         if delta.isEmpty():
             return total
