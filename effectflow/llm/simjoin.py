@@ -28,7 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from effectflow.llm.common import arrow_pass, plain_text, read, written
@@ -41,7 +41,7 @@ COUNT_BLOCK = 1 << 21  # shingles counted at once
 FREQUENT = 1000  # a shingle of more than 1 / FREQUENT of the rows is frequent
 GROUP_SHINGLES = 2_000_000  # of one block of a group
 GROUP_POINTS = 50_000  # of a group that is searched by points alone first
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 1_000_000  # of 8 or 16 bytes
 _LONG = "array<long>"
 
 
@@ -313,10 +313,14 @@ def _group_links(rows: DataFrame, num: int, den: int) -> DataFrame:
     return _by_group(rows, "shingles", work, "a long, b long")
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """Rows of one or two ids, to be broadcast if they are at most BROADCAST_IDS, else joined by a shuffle."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """doc_id, n, shingles of the documents with these (distinct) ids, from their texts again."""
-    few = ids.count() <= BROADCAST_IDS  # 8 bytes each; else a shuffled semi-join
-    wanted = docs.select("doc_id", plain_text().alias("text")).join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    wanted = docs.select("doc_id", plain_text().alias("text")).join(_few(ids), "doc_id", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -328,8 +332,9 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 def _links(docs: DataFrame, tokens: DataFrame, points: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Links that connect all that is linked among the classes of ``tokens`` (doc_id, token); ``points``: doc_id, n, point."""
-    buckets = tokens.groupBy("token").agg(F.min("doc_id").alias("group"), F.max("doc_id").alias("most")).where("group < most").drop("most")
-    met = written(tokens.join(buckets, "token").where("doc_id <> group").select("group", "doc_id").distinct(), "met")
+    of_token = Window.partitionBy("token")
+    met = tokens.select("doc_id", F.min("doc_id").over(of_token).alias("group")).where("doc_id <> group")
+    met = written(met.select("group", "doc_id").distinct(), "met")
     met = met.unionByName(met.select("group", F.col("group").alias("doc_id")).distinct())
     sizes = met.groupBy("group").count()
     huge = written(sizes.where(F.col("count") > GROUP_POINTS).select("group"), "huge")
@@ -339,7 +344,7 @@ def _links(docs: DataFrame, tokens: DataFrame, points: DataFrame, words: int, nu
     weights = members.join(sets.select("doc_id", "n"), "doc_id").groupBy("group").agg(F.sum("n").alias("weight"), F.min("doc_id").alias("pivot"))
     large = written(weights.where(F.col("weight") > GROUP_SHINGLES).select("group", "pivot", F.ceil(F.col("weight") / GROUP_SHINGLES).cast("int").alias("blocks")), "large")
     any_large = large.limit(1).count() > 0
-    rows = members.join(sets, "doc_id")
+    rows = _few(members).join(sets, "doc_id")
     shaped = lambda df, block, label="doc_id", probe=F.lit(True): df.select("group", block.cast("int").alias("block"), "doc_id", F.col(label).alias("label"), probe.alias("probe"), "shingles")
     if not any_large:
         return written(_group_links(shaped(rows, F.lit(0)), num, den), "links")
@@ -369,8 +374,10 @@ def similarity_components(docs: DataFrame, words: int, num: int, den: int) -> Da
     """
     table = written(profiles(docs, words, num, den, frequent_parts(docs, words)), "profiles")
     classes = written(table.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
-    tokens = table.where("n > 0").join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", F.explode("prefix").alias("token"))
     named = table.select("doc_id", "n", "set_id").join(classes, "set_id", "left")
+    reps = classes.select(F.col("rep").alias("doc_id")).distinct()
+    copies = written(named.where("doc_id <> rep").select("doc_id").distinct().join(reps, "doc_id", "left_anti"), "copies")
+    tokens = table.where("n > 0 AND doc_id IS NOT NULL").join(_few(copies), "doc_id", "left_anti").select("doc_id", F.explode("prefix").alias("token"))
     points = table.where("n > 0").select("doc_id", "n", "point")
     links = _links(docs, tokens, points, words, num, den)
     same = named.where("rep IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
