@@ -23,7 +23,7 @@ from effectflow.llm.common import arrow_pass, plain_text, read, written
 
 CAPACITY = 2048
 END_ID = 1
-BLOCK = 1000  # pieces ranked in one block, or more, for at most MOST_BLOCKS beside one a length
+BLOCK = 250  # pieces ranked in one block, or more, for at most MOST_BLOCKS beside one a length
 MOST_BLOCKS = 100_000
 _CACHE_MOST = 300_000
 #: Texts of these characters alone are cut by the tokenizer's published word pattern; in others, each chunk that has
