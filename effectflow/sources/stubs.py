@@ -63,8 +63,8 @@ def with_bounds(stubs: DataFrame, spec: str = "version_spec") -> DataFrame:
     """
     clause = F.filter(F.transform(F.split(F.coalesce(F.col(spec), F.lit("")), ","), F.trim), lambda c: c != "")
     op = lambda c: F.regexp_extract(c, "^(==|~=|>=|<=|>|<)", 1)
-    at = lambda c: version_number(F.regexp_extract(c, r"([0-9][0-9.]*)", 1))
-    parts = lambda c: F.size(F.split(F.regexp_extract(c, r"([0-9][0-9.]*)", 1), "[.]"))
+    at = lambda c: version_number(F.regexp_extract(c, r"([0-9]+(?:[.][0-9]+)*)", 1))
+    parts = lambda c: F.size(F.split(F.regexp_extract(c, r"([0-9]+(?:[.][0-9]+)*)", 1), "[.]"))
     step = lambda c: F.when(parts(c) <= 1, 1_000_000).when(parts(c) == 2, 1000).otherwise(1)
     wild = lambda c: F.when(c.endswith("*"), step(c)).otherwise(1)
     near = lambda c: F.when(parts(c) <= 2, F.floor(at(c) / 1_000_000) * 1_000_000 + 1_000_000).otherwise(F.floor(at(c) / 1000) * 1000 + 1000)
