@@ -8,8 +8,10 @@ A text is a set of distinct word shingles; texts link when intersection / union
    ``n - ceil(t * n) + 1``. All classes that share such a shingle go to the group of the least id among them, so a pair
    is sure to meet in a group.
 3. A group is a count-vector R-tree: shingles are hashed into 64 groups, the counts are a point, and a node's
-   coordinate maxima bound the overlap with any point below by the sum of coordinate minima. A first search sees only
-   points and names the members that have any partner within the bound; most members of most groups have none.
+   coordinate maxima bound the overlap with any point below by the sum of coordinate minima. Larger sets count in more
+   groups, each halving one of the coarser; at the leaves the bound is taken again in the finest that both points have,
+   as 64 counts of thousands tell little. A first search sees only points and names the members that have any partner
+   within the bound; most members of most groups have none.
 4. The sets of those are made again from their texts and the trees searched again; what survives the bound at the
    leaves is verified on the sets. Pairs that are linked already, directly or not, are skipped, so a group of n near
    copies costs about n verifications and gives at most n - 1 links.
@@ -35,7 +37,8 @@ from effectflow.llm.common import arrow_pass, plain_text, read, written
 from effectflow.llm.components import roots
 from effectflow.llm.fingerprint import _tables
 
-GROUPS = 64
+GROUPS = 64  # of the tree
+FILL = 8  # points have as many groups as leave FILL shingles for one
 LEAF = 16
 COUNT_BLOCK = 1 << 21  # shingles counted at once
 FREQUENT = 1000  # a shingle of more than 1 / FREQUENT of the rows is frequent
@@ -148,7 +151,7 @@ def frequent_parts(docs: DataFrame, words: int) -> Frequent:
 
 
 def profiles(docs: DataFrame, words: int, num: int, den: int, frequent: Frequent) -> DataFrame:
-    """doc_id, n, set_id (128 bits of the whole set; null if empty), prefix, point (its 64 counts)."""
+    """doc_id, n, set_id (128 bits of the whole set; null if empty), prefix, point (its counts by hash group)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -158,7 +161,7 @@ def profiles(docs: DataFrame, words: int, num: int, den: int, frequent: Frequent
                 n.append(len(found))
                 ids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 prefix.append(first.view(np.int64))
-                points.append(point(found).astype(np.int32).tobytes())
+                points.append(point(found).astype(np.uint16).tobytes())  # a few a group, however long the text
             yield {"doc_id": batch.column(0), "n": n, "set_id": ids, "prefix": prefix, "point": points}
 
     return arrow_pass(docs.select("doc_id", plain_text().alias("text")), make, f"doc_id long, n long, set_id binary, prefix {_LONG}, point binary")
@@ -166,19 +169,35 @@ def profiles(docs: DataFrame, words: int, num: int, den: int, frequent: Frequent
 
 def point(found: np.ndarray) -> np.ndarray:
     """A set as counts of its shingles by hash group."""
-    return np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
+    groups = GROUPS
+    while len(found) > FILL * groups:
+        groups *= 2
+    return np.bincount((found >> np.uint64(64 - groups.bit_length() + 1)).astype(np.int64), minlength=groups).astype(np.int32)
+
+
+def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
+    """Counts (of the last axis) in fewer groups."""
+    return counts.reshape(*counts.shape[:-1], groups, -1).sum(axis=-1)
 
 
 class CountTree:
     """An R-tree over count vectors: ``reach`` gives the points that a query's bound doesn't exclude."""
 
-    def __init__(self, counts: np.ndarray, sizes: np.ndarray):
-        self.counts, self.sizes = counts, sizes
-        order, cuts = self._packed(np.arange(len(sizes)))
-        self.order = order
-        bounds = np.concatenate((cuts, [len(order)]))
+    def __init__(self, points: list[np.ndarray], num: int, den: int):
+        self.num, self.den, self.points = num, den, points
+        self.counts = np.stack([_folded(p, GROUPS) for p in points])
+        self.sizes = self.counts.sum(axis=1)
+        self.groups = np.array([len(p) for p in points])
+        self.row = np.zeros(len(points), np.int64)
+        self.fine = {}
+        for g in np.unique(self.groups):
+            at = np.flatnonzero(self.groups == g)
+            self.row[at] = np.arange(len(at))
+            self.fine[int(g)] = np.stack([points[k] for k in at])
+        self.order, cuts = self._packed(np.arange(len(points)))
+        bounds = np.concatenate((cuts, [len(points)]))
         self.levels = []  # from the leaves up: first child, end child, maxima, least size, most size
-        top, least, most = (f.reduceat(x[order], cuts) for f, x in ((np.maximum, counts), (np.minimum, sizes), (np.maximum, sizes)))
+        top, least, most = (f.reduceat(x[self.order], cuts) for f, x in ((np.maximum, self.counts), (np.minimum, self.sizes), (np.maximum, self.sizes)))
         self.levels.append((bounds[:-1], bounds[1:], top, least, most))
         while len(top) > LEAF:
             cuts = np.arange(0, len(top), LEAF)
@@ -201,19 +220,30 @@ class CountTree:
             stack += [part[len(part) // 2 :], part[: len(part) // 2]]
         return np.concatenate(out), np.array(cuts)
 
-    def reach(self, query: np.ndarray, size: int, num: int, den: int) -> np.ndarray:
-        """Points whose bound allows ``overlap / (sizes - overlap) >= num / den``."""
+    def _fits(self, overlap: np.ndarray, size: int, sizes: np.ndarray) -> np.ndarray:
+        """Whether ``overlap / (size + sizes - overlap) >= num / den``."""
+        return (self.num + self.den) * overlap >= self.num * (size + sizes)
+
+    def reach(self, i: int) -> np.ndarray:
+        """Points, the i-th among them, whose bound with the i-th allows a link."""
+        num, den, query, size = self.num, self.den, self.counts[i], int(self.sizes[i])
         nodes = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             first, end, top, least, most = (x[nodes] for x in self.levels[depth])
-            overlap = np.minimum(top, query).sum(axis=1, dtype=np.int64)
-            fits = ((num + den) * overlap >= num * (size + least)) & (num * least <= den * size) & (most * den >= num * size)
+            overlap = np.minimum(top, query).sum(axis=1)
+            fits = self._fits(overlap, size, least) & (num * least <= den * size) & (most * den >= num * size)
             first, end = first[fits], end[fits]
             n = end - first
             nodes = np.repeat(first - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, np.int64)
-        points = self.order[nodes]
-        overlap = np.minimum(self.counts[points], query).sum(axis=1, dtype=np.int64)
-        return points[(num + den) * overlap >= num * (size + self.sizes[points])]
+        found = self.order[nodes]
+        found = found[self._fits(np.minimum(self.counts[found], query).sum(axis=1), size, self.sizes[found])]
+        kept = []
+        for g in np.unique(self.groups[found]):
+            part = found[self.groups[found] == g]
+            both = min(int(g), int(self.groups[i]))
+            overlap = np.minimum(_folded(self.fine[int(g)][self.row[part]], both), _folded(self.points[i], both)).sum(axis=1)
+            kept.append(part[self._fits(overlap, size, self.sizes[part])])
+        return np.concatenate(kept) if kept else found
 
 
 def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
@@ -228,20 +258,18 @@ def join_group(ids: list[int], sets: list[np.ndarray], num: int, den: int, label
     g = len(ids)
     if g < 2:
         return []
-    sizes = np.array([len(s) for s in sets])
     part = np.unique(np.array(ids if label is None else label), return_inverse=True)[1].astype(np.int64)
     asks = np.ones(g, bool) if probe is None else np.array(probe, bool)
-    counts = np.stack([point(s) for s in sets]).astype(np.int32)
-    tree = CountTree(counts, sizes)
-    middle = counts.mean(axis=0)
-    turn = np.argsort(np.abs(counts - middle).sum(axis=1) if g > LEAF else np.arange(g), kind="stable")
+    tree = CountTree([point(s) for s in sets], num, den)
+    counts = tree.counts
+    turn = np.argsort(np.abs(counts - counts.mean(axis=0)).sum(axis=1) if g > LEAF else np.arange(g), kind="stable")
     done = np.zeros(g, bool)
     links = []
     for i in turn:
         done[i] = True
-        if not asks[i] and probe is not None and not asks.any():
-            continue
-        found = tree.reach(counts[i], int(sizes[i]), num, den)
+        if (part == part[i]).all():
+            break
+        found = tree.reach(i)
         found = found[~done[found] & (part[found] != part[i]) & (asks[found] | asks[i])]
         for j in found[np.argsort(-np.minimum(counts[found], counts[i]).sum(axis=1), kind="stable")]:
             if part[j] != part[i] and _linked(sets[i], sets[j], num, den):
@@ -250,12 +278,12 @@ def join_group(ids: list[int], sets: list[np.ndarray], num: int, den: int, label
     return links
 
 
-def partnered(ids: list[int], sizes: np.ndarray, counts: np.ndarray, num: int, den: int) -> list[int]:
+def partnered(ids: list[int], points: list[np.ndarray], num: int, den: int) -> list[int]:
     """The ids of a group that have another id within the bound."""
-    tree, key, named = CountTree(counts, sizes), np.array(ids), np.zeros(len(ids), bool)
+    tree, key, named = CountTree(points, num, den), np.array(ids), np.zeros(len(ids), bool)
     for i in range(len(ids)):
         if not named[i]:
-            found = tree.reach(counts[i], int(sizes[i]), num, den)
+            found = tree.reach(i)
             found = found[key[found] != key[i]]
             named[found] = True
             named[i] = len(found) > 0
@@ -279,7 +307,7 @@ def _by_group(rows: DataFrame, value: str, work: Callable[[tuple, dict[str, list
                 flat, at = last.values.to_numpy().view(np.uint64), last.offsets.to_numpy()
                 values = [flat[a:b].copy() for a, b in zip(at[:-1], at[1:])]
             else:
-                values = [np.frombuffer(v, np.int32) for v in last.to_pylist()]
+                values = [np.frombuffer(v, np.uint16).astype(np.int32) for v in last.to_pylist()]
             for row in zip(*columns, values):
                 if row[:2] != key:
                     if key and len(held["doc_id"]) > 1 and (out := work(key, held)):
@@ -297,7 +325,7 @@ def _partners(rows: DataFrame, num: int, den: int) -> DataFrame:
     """(group, doc_id) with a partner within the bound, of rows (group, block, doc_id, n, point)."""
 
     def work(key: tuple, held: dict[str, list]) -> dict | None:
-        named = partnered(held["doc_id"], np.array(held["n"]), np.stack(held["point"]), num, den)
+        named = partnered(held["doc_id"], held["point"], num, den)
         return {"group": [key[0]] * len(named), "doc_id": named} if named else None
 
     return _by_group(rows, "point", work, "group long, doc_id long")
