@@ -66,7 +66,7 @@ class WordIds:
     def _word(self, word: str) -> bytes:
         found = self.words.get(word)
         if found is None:
-            letters = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            letters = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.letters)
             found = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
             if len(self.words) < _CACHE_MOST:
                 self.words[word] = found
@@ -121,23 +121,35 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Placements (length, lo, hi, sequence, offset) of all pieces of a length histogram."""
+    """Placements (length, lo, hi, sequence, offset) of all pieces of a length histogram.
+
+    Pieces that no open pack takes fill new ones with as many as fit, one after the other.
+    """
     out, open_packs, next_sequence, made = [], [], 0, 0
+
+    def keep(total: int, sequence: int, count: int) -> None:
+        nonlocal made
+        if count and total < capacity:
+            made += 1
+            heapq.heappush(open_packs, (total, made, sequence, count))
+
     for length in sorted(histogram, reverse=True):
         rank, left = 0, histogram[length]
-        while left:
-            if open_packs and open_packs[0][0] + length <= capacity:
-                total, _, sequence, count = heapq.heappop(open_packs)
-            else:
-                total, sequence, count = 0, next_sequence, left
-                next_sequence += left
+        while left and open_packs and open_packs[0][0] + length <= capacity:
+            total, _, sequence, count = heapq.heappop(open_packs)
             used = min(count, left)
             out.append((length, rank, rank + used, sequence, total))
-            for size, first, n in ((total + length, sequence, used), (total, sequence + used, count - used)):
-                if n and size < capacity:
-                    made += 1
-                    heapq.heappush(open_packs, (size, made, first, n))
+            keep(total + length, sequence, used)
+            keep(total, sequence + used, count - used)
             rank, left = rank + used, left - used
+        each = capacity // length
+        for packs, pieces in ((left // each, each), (1, left % each)):
+            if packs and pieces:
+                for level in range(pieces):
+                    out.append((length, rank, rank + packs, next_sequence, level * length))
+                    rank += packs
+                keep(pieces * length, next_sequence, packs)
+                next_sequence += packs
     return out
 
 
