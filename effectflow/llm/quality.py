@@ -3,7 +3,8 @@
 Texts become bags of hashed word n-grams (lower-cased words, punctuation runs, their pairs; a pair of equal tokens
 has one bucket of its own). Two generative models are bucket counts: the raw one over every text of the corpus, the
 target one over texts labelled good. A text's log importance weight is the sum over its n-grams of the log ratio of
-the two. A sample without replacement in proportion to the weights is the ``k`` highest of weight + Gumbel noise.
+the two, each without the text itself, so that neither its own words nor its label speak for it; taken to a common length, as
+else long texts would win or lose by length alone. A sample without replacement in proportion to the weights is the ``k`` highest of weight + Gumbel noise.
 
 ``k`` follows the corpus: the number of texts whose weight reaches a cut, and the cut is where the labelled rows
 part best (highest mean of both classes' accuracy). Labelled rows are the ``label_bound`` of least hashed id, a
@@ -29,6 +30,8 @@ from effectflow.llm.common import arrow_pass, plain_text, read, tuned, written
 BUCKETS = 1 << 16
 LABEL_BOUND = 20_000
 SMOOTHING = 2.0
+#: A weight is that of LENGTH n-grams like the text's; FEW more count as neutral, so that a few words say little.
+LENGTH, FEW = 100, 20
 _SAME = 1  # the bucket of a pair of equal tokens
 _CACHE_MOST = 300_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
@@ -61,11 +64,24 @@ def grams(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Model:
-    """Log ratio of each bucket (a fixed number of them), and the cut on the summed weight."""
+    """Counts of each bucket (a fixed number of them) over all texts and over the target, and the cut on the weight."""
 
-    ratio: np.ndarray
+    raw: np.ndarray
+    target: np.ndarray
+    smoothing: float = SMOOTHING
     cut: float = 0.0
 
+    def weight(self, text: str, in_target: bool) -> float:
+        """The log ratio of a text at the common length, its own counts taken out of both models."""
+        found, own = np.unique(grams(text), return_counts=True)
+        n = own.sum()
+        raw, target = self.raw.sum() - n, self.target.sum() - n * in_target
+        if not n or raw <= 0 or target <= 0:
+            return 0.0
+        expected = (self.raw[found] - own) * (target / raw)
+        ratio = np.log((self.target[found] - own * in_target + self.smoothing) / (expected + self.smoothing))
+        return float((own * ratio).sum() * LENGTH / (n + FEW))
+
 
 def _labelled(labels: DataFrame, bound: int) -> DataFrame:
     """doc_id, quality of at most ``bound`` labelled documents, those of least hashed id; the worst label counts."""
@@ -107,31 +123,32 @@ def _counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
-def weight(model: Model) -> "Column":
-    """A column function: the log importance weight of a text."""
+def weight(model: Model) -> Column:
+    """A column function of text and whether it is in the target: the log importance weight."""
 
     @F.arrow_udf("double")
-    def weigh(texts: pa.Array) -> pa.Array:
-        return pa.array([float(model.ratio[grams(t)].sum()) for t in texts.to_pylist()], pa.float64())
+    def weigh(texts: pa.Array, targets: pa.Array) -> pa.Array:
+        return pa.array([model.weight(t, bool(g)) for t, g in zip(texts.to_pylist(), targets.to_pylist())], pa.float64())
 
     return weigh
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_bound: int = LABEL_BOUND, smoothing: float = SMOOTHING) -> Model:
-    """Both models over ``docs``, and the cut. Without usable labels every weight and the cut are 0."""
+def _marked(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """``docs`` with ``__target`` and ``__quality``; the labelled rows, at most the bound, are broadcast."""
+    marks = known.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality"))
+    return docs.join(F.broadcast(marks), docs["doc_id"] == F.col("__id"), "left").drop("__id").withColumn("__target", F.coalesce(F.col("__quality") == 1, F.lit(False)))
+
+
+def fit(docs: DataFrame, known: DataFrame, smoothing: float = SMOOTHING) -> Model:
+    """Both models over ``docs``, and the cut on ``known`` (doc_id, quality). Without any of the target, weights and cut are 0."""
     tuned(docs.sparkSession)
-    known = _labelled(labels, label_bound).cache()
-    texts = docs.select("doc_id", plain_text().alias("text")).join(F.broadcast(known), "doc_id", "left")
-    raw, target = _counts(texts.select("text", F.coalesce(F.col("quality") == 1, F.lit(False)).alias("target")))
-    if not target.sum() or not raw.sum():
-        known.unpersist()
-        return Model(np.zeros(BUCKETS))
-    expected = raw * (target.sum() / raw.sum())
-    ratio = np.log((target + smoothing) / (expected + smoothing))
-    model = Model(ratio)
-    pairs = texts.where(F.col("quality").isNotNull()).select(weight(model)("text").alias("w"), "quality").collect()  # label_bound rows
-    known.unpersist()
-    return Model(ratio, _best_cut(np.array([p["w"] for p in pairs]), np.array([p["quality"] for p in pairs]) == 1))
+    texts = _marked(docs, known).select(plain_text().alias("text"), "__target", "__quality")
+    raw, target = _counts(texts.select("text", "__target"))
+    model = Model(raw, target, smoothing)
+    if not target.any():
+        return model
+    pairs = texts.where(F.col("__quality").isNotNull()).select(weight(model)("text", "__target").alias("w"), "__quality").collect()  # the bound
+    return Model(raw, target, smoothing, _best_cut(np.array([p["w"] for p in pairs]), np.array([p["__quality"] for p in pairs]) == 1))
 
 
 def _best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -175,31 +192,32 @@ def kth_highest(scores: DataFrame, column: str, k: int, rows: int = 4096) -> flo
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 17, label_bound: int = LABEL_BOUND) -> tuple[DataFrame, Model, float]:
-    """doc_id, n_grams-free scores of all rows: doc_id, log_weight, score; with the model and the k-th highest score.
+def scored(docs: DataFrame, known: DataFrame, model: Model, seed: int) -> DataFrame:
+    """``docs`` with ``__weight`` and ``__score``, the weight with Gumbel noise."""
+    weighed = _marked(docs, known).withColumn("__weight", weight(model)(plain_text(), F.col("__target"))).drop("__target", "__quality")
+    return weighed.withColumn("__score", F.col("__weight") + gumbel(seed, "doc_id"))
+
+
+def resample(docs: DataFrame, labels: DataFrame, seed: int = 17, label_bound: int = LABEL_BOUND) -> tuple[DataFrame, DataFrame, Model, float]:
+    """Scores of all rows (doc_id, log_weight, score), the labelled rows used, the model and the k-th highest score.
 
     Null and empty texts weigh 0. Rows with one id and text tie, and ties at the k-th score all stay. Empty tables
     and missing labels keep everything.
     """
-    model = fit(docs, labels, label_bound)
-    scored = written(scores(docs, model, seed), "scores")
-    k = scored.where(F.col("log_weight") >= model.cut).count()
-    return scored, model, kth_highest(scored, "score", k)
-
-
-def scores(docs: DataFrame, model: Model, seed: int) -> DataFrame:
-    weighed = docs.select("doc_id", weight(model)(plain_text()).alias("log_weight"))
-    return weighed.withColumn("score", F.col("log_weight") + gumbel(seed, "doc_id"))
+    known = written(_labelled(labels, label_bound), "labelled")
+    model = fit(docs, known)
+    table = written(scored(docs, known, model, seed).select("doc_id", F.col("__weight").alias("log_weight"), F.col("__score").alias("score")), "scores")
+    k = table.where(F.col("log_weight") >= model.cut).count()
+    return table, known, model, kth_highest(table, "score", k)
 
 
 def kept(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFrame:
     """The rows of ``docs`` that the sample takes, with their columns; texts aren't shuffled, they are weighed again."""
-    _, model, least = resample(docs, labels, seed)
-    score = weight(model)(plain_text()) + gumbel(seed, "doc_id")
-    return docs.withColumn("__score", score).where(F.col("__score") >= least).drop("__score")
+    _, known, model, least = resample(docs, labels, seed)
+    return scored(docs, known, model, seed).where(F.col("__score") >= least).select(*docs.columns)
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight and score, and whether the sample keeps it."""
-    scored, _, least = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return scored.withColumn("kept", F.col("score") >= least)
+    table, _, _, least = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return table.withColumn("kept", F.col("score") >= least)
