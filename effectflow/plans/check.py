@@ -75,10 +75,11 @@ def standard_modules(spark: SparkSession) -> DataFrame:
 class Check:
     """All tables of one check; each is a plan, and those that others share are cut once."""
 
-    def __init__(self, files: DataFrame, stubs: DataFrame | None = None, modules: DataFrame | None = None, options: Options = Options()):
+    def __init__(self, files: DataFrame, stubs: DataFrame | None = None, modules: DataFrame | None = None, options: Options = Options(), library=None, cache=None):
         self.spark, self.files, self.options = files.sparkSession, files.select("path", "text"), options
         self.stubs, self.modules = stubs, modules if modules is not None else standard_modules(self.spark)
-        self.facts = cut(facts.extract(self.files))
+        self.library = library  # effectflow.plans.library.Library: sources behind names that no stub has
+        self.facts = cut(facts.extract(self.files) if cache is None else cache.facts(self.files))
 
     def _module(self, path: str):
         if self.options.root is None:
@@ -153,7 +154,9 @@ class Check:
     @cached_property
     def external(self) -> DataFrame:
         """(file_id, name, effect) of names that no source file defines."""
-        if self.options.local_only or self.stubs is None:
+        if self.stubs is None:
+            self.stubs = self.spark.createDataFrame([], "source string, priority int, version_spec string, module string, cls string, member string, ord bigint, exc string, confidence string")
+        if self.options.local_only:
             return self.names.select("file_id", "name", F.lit("").alias("effect")).limit(0)
         open_ = self.targets.where("fn_id IS NULL").select("file_id", "name")
         alias = facts.imports(self.facts).select("file_id", F.col("alias").alias("name"), "target")
@@ -170,15 +173,26 @@ class Check:
         always = F.col("name").isin(*self.options.builtin_always) if self.options.builtin_always else F.lit(False)
         wanted = candidates.join(interesting.withColumn("seen", F.lit(True)), ["module", "member"], "left").where(F.col("seen").isNotNull() | (always & (F.col("place") == 0)))
         by_builtin = resolve.first_by(wanted, ["file_id", "name"], ["place"]).select("file_id", "name", "module", "member")
-        modules = self.modules.unionByName(self.stubs.select("module", F.lit(False).alias("is_native"))).groupBy("module").agg(F.bool_or("is_native").alias("is_native"))
+        modules = self.modules.unionByName(self.stubs.select("module", F.lit(False).alias("is_native")))
+        if self.library is not None:
+            modules = modules.unionByName(self.library.files.select("module", F.lit(False).alias("is_native")))
+        modules = modules.groupBy("module").agg(F.bool_or("is_native").alias("is_native"))
         dotted = rest.where(F.col("name").contains("."))
         by_prefix = resolve.longest_prefix(dotted, "name", modules, "module", strict=True).select("file_id", "name", "module", F.expr("substr(name, length(module) + 2)").alias("member"))
         asked = cut(by_import.unionByName(by_builtin).unionByName(by_prefix))
         found = stub_source.lookup(asked, self.stubs)
         hit = asked.join(found, ["module", "member"]).select("file_id", "name", F.col("exc").alias("effect"))
+        left = asked.join(found, ["module", "member"], "left_anti")
+        native = left.join(resolve.small(modules.where("is_native")), "module", "left_semi")
         if self.options.warn_native:
-            missed = asked.join(found, ["module", "member"], "left_anti").join(resolve.small(modules.where("is_native")), "module").select("file_id", "name", F.lit(NATIVE).alias("effect"))
-            hit = hit.unionByName(missed)
+            hit = hit.unionByName(native.select("file_id", "name", F.lit(NATIVE).alias("effect")))
+        if self.library is not None:
+            left = cut(left.join(native, left.columns, "left_anti"))
+            sourced = self.library.lookup(left)
+            hit = hit.unionByName(left.join(sourced, ["module", "member"]).select("file_id", "name", "effect"))
+            if self.options.warn_native:
+                open_ = left.join(sourced, ["module", "member"], "left_anti")
+                hit = hit.unionByName(open_.join(self.library.documented(open_), ["module", "member"]).select("file_id", "name", F.lit(NATIVE).alias("effect")))
         return cut(self._not_ignored(hit.distinct(), "effect"))
 
     @cached_property
