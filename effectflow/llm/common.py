@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Rows of an Arrow batch: texts are long, so batches are kept small.
-BATCH_ROWS = 512
+BATCH_ROWS = 256
 
 #: The separators of words in the contracts of the text operators; everything else is part of a word.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
