@@ -1,4 +1,4 @@
-"""Command line: ``check`` a tree of sources, show effective ``config``, ``stubs`` counts, ``env`` detection.
+"""Command line: ``check`` a tree of sources, ``lsp`` serves editors, ``cache`` status, clear and prune, ``env`` detection, effective ``config``.
 
 Exit codes: 0 nothing found, 1 findings, 2 wrong use.
 """
@@ -22,8 +22,15 @@ def parser() -> argparse.ArgumentParser:
     check.add_argument("--json", action="store_true")
     check.add_argument("-o", "--output")
     check.add_argument("-v", "--verbose", action="store_true")
+    check.add_argument("--cache", help="folder of kept facts")
     for flag in ("local", "strict", "absolute", "full-module-path", "no-warn-native", "sound"):
         check.add_argument(f"--{flag}", action="store_true")
+    lsp = sub.add_parser("lsp", help="serve an editor over stdio or TCP")
+    lsp.add_argument("--tcp", action="store_true")
+    lsp.add_argument("--port", type=int, default=2087)
+    cache = sub.add_parser("cache", help="kept facts")
+    cache.add_argument("action", choices=("status", "clear", "prune"))
+    cache.add_argument("folder")
     env = sub.add_parser("env", help="virtual environments of a project")
     env.add_argument("root", nargs="?", default=".")
     env.add_argument("--tool")
@@ -44,6 +51,7 @@ def _check(args: argparse.Namespace) -> int:
 
     from effectflow.plans.check import Check, Options, report_json, report_text
     from effectflow.sources import files, stubs
+    from effectflow.sources.cache import FactCache
 
     spark, found = session(), None
     for path in map(Path, args.paths):
@@ -65,7 +73,8 @@ def _check(args: argparse.Namespace) -> int:
         part = stubs.for_version(stubs.read_json(spark, s, "stdlib"), args.python)
         table = part if table is None else table.unionByName(part)
     options = Options(local_only=args.local, strict=args.strict, full_module_path=args.full_module_path, warn_native=not args.no_warn_native, mode="sound" if args.sound else "reference")
-    run = Check(found, table, options=options)
+    kept = FactCache(spark, str(Path(args.cache).resolve())) if args.cache else None
+    run = Check(found, table, options=options, cache=kept)
     shown = run.diagnostics.cache()
     if args.json:
         text = report_json(run).first().value
@@ -99,6 +108,30 @@ def _env(args: argparse.Namespace) -> int:
     return 0 if out else 1
 
 
+def _lsp(args: argparse.Namespace) -> int:
+    from effectflow.streaming import server
+
+    try:
+        server.main(args.tcp, args.port)
+    except OSError as e:
+        print(e, file=sys.stderr)
+        return 2
+    return 0
+
+
+def _cache(args: argparse.Namespace) -> int:
+    from effectflow.sources.cache import FactCache
+
+    cache = FactCache(session(), str(Path(args.folder).resolve()))
+    if args.action == "clear":
+        cache.clear()
+    elif args.action == "prune":
+        cache.prune()
+    row = cache.stats().first()
+    print(f"{row.files} file(s), {row.rows} fact(s), {row.stale} stale")
+    return 0
+
+
 def _config(args: argparse.Namespace) -> int:
     from effectflow.sources import settings
 
@@ -114,7 +147,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     if args.command is None:
         parser().print_help()
         return 2
-    return {"check": _check, "env": _env, "config": _config}[args.command](args)
+    return {"check": _check, "lsp": _lsp, "cache": _cache, "env": _env, "config": _config}[args.command](args)
 
 
 if __name__ == "__main__":

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import io
 import tarfile
 from collections.abc import Iterator, Sequence
@@ -25,23 +26,67 @@ ROOT_MARKERS = (
 )
 
 
+class TreeSource(DataSource):
+    """``spark.read.format("tree").load(root)``: every file below a folder as (path, size, mtime, text), hidden ones too.
+
+    Spark's own file listing leaves out names that begin with ``_`` or ``.``, and with them ``__init__.py`` and ignore
+    files. Each entry of the root is a partition, walked and read on the executors through Arrow's file systems
+    (mounted folders, and the stores that Arrow knows by their scheme). Options: ``glob`` on file names, ``texts``.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "tree"
+
+    def schema(self) -> str:
+        return "path string, size bigint, mtime timestamp, text string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return TreeReader(self.options["path"], self.options.get("glob", "*"), self.options.get("texts", "true") == "true")
+
+
+def _opened(root: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+
+
+class TreeReader(DataSourceReader):
+    def __init__(self, root: str, glob: str, texts: bool):
+        self.root, self.glob, self.texts = root.removeprefix("file:") if root.startswith("file:/") and "://" not in root else root, glob, texts
+
+    def partitions(self) -> list[InputPartition]:
+        from pyarrow import fs
+
+        store, base = _opened(self.root)
+        entries = store.get_file_info(fs.FileSelector(base, recursive=False, allow_not_found=True))
+        return [InputPartition(e.path) for e in entries] or [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        from pyarrow import fs
+
+        if partition.value is None:
+            return
+        store, base = _opened(self.root)
+        first = store.get_file_info(partition.value)
+        found = [first] if first.type == fs.FileType.File else store.get_file_info(fs.FileSelector(first.path, recursive=True))
+        for f in found:
+            if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, self.glob):
+                text = None
+                if self.texts:
+                    with store.open_input_stream(f.path) as stream:
+                        text = stream.read().decode("utf-8", "replace")
+                yield f.path.removeprefix(base.rstrip("/") + "/"), f.size, f.mtime, text
+
+
 def scan(spark: SparkSession, root: str, glob: str = "*", texts: bool = True) -> DataFrame:
     """(path relative to root, size, mtime, text) of all files below a folder; a missing root is an empty table.
 
-    Only the columns asked for are read: without ``texts`` no file is opened.
+    Without ``texts`` no file is opened and there is no such column.
     """
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(root)
-    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    empty = "path string, size bigint, mtime timestamp" + (", text string" if texts else "")
-    if not system.exists(where):
-        return spark.createDataFrame([], empty)
-    base = system.makeQualified(where).toString().rstrip("/") + "/"
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
-    path = F.regexp_replace(F.col("path"), "^file:/+", "/")
-    flat = base.removeprefix("file:").replace("//", "/")
-    columns = [F.substr(path, F.lit(len(flat) + 1)).alias("path") if base.startswith("file:") else F.substr(F.col("path"), F.lit(len(base) + 1)).alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime")]
-    return found.select(*columns, *([F.decode("content", "UTF-8").alias("text")] if texts else []))
+    spark.dataSource.register(TreeSource)
+    found = spark.read.format("tree").option("glob", glob).option("texts", str(texts).lower()).load(root)
+    return found if texts else found.drop("text")
 
 
 def select_files(files: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = DEFAULT_EXCLUDE, ignore: DataFrame | None = None) -> DataFrame:
@@ -156,4 +201,4 @@ def library_modules(files: DataFrame, skip_folders: Sequence[str] = ("test", "te
     return files.where(keep).select("path", package_module(rel).alias("module"))
 
 
-__all__ = ["ArchiveSource", "ignore_rules", "library_modules", "members", "native_modules", "project_root", "python_files", "scan", "select_files"]
+__all__ = ["ArchiveSource", "TreeSource", "ignore_rules", "library_modules", "members", "native_modules", "project_root", "python_files", "scan", "select_files"]

@@ -33,8 +33,11 @@ def test_scan_and_root(spark, tmp_path):
     (tmp_path / "p/src").mkdir(parents=True)
     (tmp_path / "p/pyproject.toml").write_text("")
     (tmp_path / "p/src/a.py").write_text("x = 'ü'\n")
+    (tmp_path / "p/src/__init__.py").write_text("")
+    (tmp_path / ".gitignore").write_text("x")
     rows = files.python_files(spark, str(tmp_path)).collect()
-    assert [(r.path, r.text) for r in rows] == [("p/src/a.py", "x = 'ü'\n")]
+    assert [(r.path, r.text) for r in rows] == [("p/src/__init__.py", ""), ("p/src/a.py", "x = 'ü'\n")]
+    assert files.scan(spark, f"file://{tmp_path}", texts=False).where("path = '.gitignore' AND size = 1").count() == 1
     assert files.scan(spark, str(tmp_path / "none")).count() == 0
     known = paths(spark, "/w/p/pyproject.toml", "/w/p/q/.git", "/setup.py")
     starts = spark.createDataFrame([("/w/p/q/r",), ("/w/p/s",), ("/v",)], "start string")
