@@ -28,9 +28,10 @@ NATIVE = "PossibleNativeException"
 BORING = ("TypeError", "Exception", "MemoryError")
 #: Calls that invoke the callables passed to them: fixed names, as written in sources.
 HIGHER_ORDER = (
-    "map", "filter", "sorted", "min", "max", "reduce", "functools.reduce", "functools.partial", "itertools.filterfalse", "itertools.takewhile",
-    "itertools.dropwhile", "itertools.starmap", "itertools.groupby", "heapq.nlargest", "heapq.nsmallest", "asyncio.create_task", "asyncio.ensure_future",
-    "concurrent.futures.ThreadPoolExecutor.submit", "concurrent.futures.ProcessPoolExecutor.submit",
+    "map", "filter", "sorted", "min", "max", "reduce", "functools.reduce", "functools.partial",
+    "itertools.filterfalse", "itertools.takewhile", "itertools.dropwhile", "itertools.starmap", "itertools.groupby",
+    "concurrent.futures.ThreadPoolExecutor.submit", "concurrent.futures.ProcessPoolExecutor.submit", "asyncio.create_task", "asyncio.ensure_future",
+    "heapq.nlargest", "heapq.nsmallest",
 )
 
 

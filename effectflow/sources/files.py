@@ -20,9 +20,13 @@ DEFAULT_EXCLUDE = (".venv",)
 
 #: Files and folders that mark a project's root: fixed names.
 ROOT_MARKERS = (
-    ".git", ".hg", ".svn", ".bzr", ".jj", "pyproject.toml", "setup.py", "setup.cfg", "requirements.txt", "Pipfile", "poetry.lock", "pdm.lock", "uv.lock", "tox.ini", "noxfile.py",
-    "package.json", "yarn.lock", "pnpm-lock.yaml", "deno.json", "tsconfig.json", "Cargo.toml", "go.mod", "go.work", "pom.xml", "build.gradle", "build.gradle.kts", "build.sbt", "Gemfile",
-    "composer.json", "mix.exs", "rebar.config", "stack.yaml", "dune-project", "Makefile", "CMakeLists.txt", "meson.build", "WORKSPACE", "flake.nix", "Justfile", "justfile", ".editorconfig",
+    ".git", ".hg", ".svn",
+    "pyproject.toml", "poetry.lock", "Pipfile", "setup.py", "setup.cfg", "requirements.txt",
+    "Cargo.toml", "Cargo.lock",
+    "package.json", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "bun.lockb", "bun.lock", "deno.json", "deno.jsonc",
+    "go.mod", "go.sum", "pom.xml", "build.gradle", "build.gradle.kts", "composer.json", "composer.lock", "Gemfile", "Gemfile.lock",
+    "CMakeLists.txt", "Makefile", "build.zig", "Package.swift", "pubspec.yaml", "mix.exs", "stack.yaml", "package.yaml",
+    "Dockerfile", "docker-compose.yml", "README.md", "LICENSE", ".editorconfig",
 )
 
 
@@ -182,23 +186,32 @@ def members(archives: DataFrame) -> DataFrame:
     return archives.select("path", "content").mapInPandas(rows, "archive string, member string, content binary")
 
 
+#: Fixed names: native sources that are no modules, prefixes of test modules, folders of a library that are left out.
+NO_MODULES = ("config", "main", "getpath", "getbuildinfo")
+TEST_PREFIXES = ("_test", "xx", "_xx")
+SKIPPED_FOLDERS = ("test", "tests", "idlelib", "tkinter", "turtledemo", "lib2to3", "ensurepip", "venv", "site-packages", "__pycache__", "pydoc_data", "msilib")
+
+
 def native_modules(files: DataFrame) -> DataFrame:
-    """(path, module) of the native sources of an interpreter's tree (path relative to it): modules by their file, objects as
-    ``builtins``; test modules and templates left out."""
+    """(path, module) of the native sources of an interpreter's tree (path relative to it): a module's file, any file of a
+    module's folder under the folder's name, built-in objects as ``builtins``; test modules left out."""
     stem = F.regexp_extract("path", r"([^/]+)\.c$", 1)
     inside = F.regexp_extract("path", r"^Modules/(_[^/]+)/[^/]+\.c$", 1)
-    module = F.when(F.col("path").rlike(r"^Objects/[^/]*object\.c$") | (F.col("path") == "Python/bltinmodule.c"), "builtins").when(F.col("path").rlike(r"^Modules/[^/]+\.c$") | (inside != ""), F.regexp_replace(stem, "(?<=.)module$", ""))
-    found = files.select("path", module.alias("module"), stem.alias("stem")).where("module IS NOT NULL")
-    skipped = F.col("stem").startswith("_test") | F.col("stem").startswith("xx") | F.col("stem").startswith("_xx") | F.col("stem").isin("getbuildinfo", "getpath", "main", "config")
-    return found.where(~skipped).select("path", "module")
+    objects = F.col("path").rlike(r"^Objects/[^/]+object\.c$") | (F.col("path") == "Python/bltinmodule.c")
+    single = F.col("path").rlike(r"^Modules/[^/]+\.c$") & ~stem.isin(*NO_MODULES)
+    module = F.when(objects, "builtins").when(inside != "", inside).when(single, F.regexp_replace(stem, "module$", ""))
+    found = files.select("path", module.alias("module")).where("module IS NOT NULL AND module <> ''")
+    for p in TEST_PREFIXES:
+        found = found.where(~F.col("module").startswith(p))
+    return found
 
 
-def library_modules(files: DataFrame, skip_folders: Sequence[str] = ("test", "tests", "idlelib", "lib2to3", "turtledemo", "ensurepip", "__pycache__", "site-packages", "distutils", "pydoc_data", "tkinter", "msilib")) -> DataFrame:
+def library_modules(files: DataFrame, skip_folders: Sequence[str] = SKIPPED_FOLDERS) -> DataFrame:
     """(path, module) of a library's Python sources (path below ``Lib/``): test folders and files, and ``__main__``, left out."""
     rel = F.regexp_replace("path", "^Lib/", "")
     parts, name = F.split(rel, "/"), F.element_at(F.split(rel, "/"), -1)
     keep = F.col("path").startswith("Lib/") & name.endswith(".py") & ~F.arrays_overlap(parts, F.array(*[F.lit(s) for s in skip_folders])) & ~(name.startswith("test_") | name.startswith("_test")) & (name != "__main__.py")
-    return files.where(keep).select("path", package_module(rel).alias("module"))
+    return files.where(keep).select("path", package_module(rel).alias("module")).where("module <> ''")
 
 
 __all__ = ["ArchiveSource", "TreeSource", "ignore_rules", "library_modules", "members", "native_modules", "project_root", "python_files", "scan", "select_files"]
