@@ -198,7 +198,7 @@ def native_modules(files: DataFrame) -> DataFrame:
     stem = F.regexp_extract("path", r"([^/]+)\.c$", 1)
     inside = F.regexp_extract("path", r"^Modules/(_[^/]+)/[^/]+\.c$", 1)
     objects = F.col("path").rlike(r"^Objects/[^/]+object\.c$") | (F.col("path") == "Python/bltinmodule.c")
-    single = F.col("path").rlike(r"^Modules/[^/]+\.c$") & ~stem.isin(*NO_MODULES)
+    single = F.col("path").rlike(r"^Modules/[^/]+\.c$") & ~stem.isin(*NO_MODULES) & (stem.endswith("module") | stem.startswith("_"))
     module = F.when(objects, "builtins").when(inside != "", inside).when(single, F.regexp_replace(stem, "module$", ""))
     found = files.select("path", module.alias("module")).where("module IS NOT NULL AND module <> ''")
     for p in TEST_PREFIXES:
