@@ -44,7 +44,7 @@ def glob_include_exclude(spark, sf):
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents) WHERE regexp_matches(l, '#\s*\S')""")
 def directive_lines(spark, sf):
     """Lines of a text with a directive, and what follows its mark."""
-    lines = patterns.lines(table(spark, sf, "documents"), "doc_id", "text")
+    lines = patterns.lines(table(spark, sf, "documents").where(F.contains("text", F.lit("#"))), "doc_id", "text")
     return lines.where(F.col("content").rlike(r"#\s*\S")).select("doc_id", "line", F.regexp_extract("content", r"#\s*(\S+)", 1).alias("tag"))
 
 
@@ -309,7 +309,7 @@ def diagnostic_projection(spark, sf):
 @query("SELECT source, lang, count(*) AS n_docs, count(DISTINCT text) AS n_texts, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY ALL")
 def project_summary(spark, sf):
     """Totals and distinct counts by group."""
-    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.count_distinct("text").alias("n_texts"), F.sum("n_chars").alias("n_chars"))
+    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.count_distinct(F.sha2("text", 256)).alias("n_texts"), F.sum("n_chars").alias("n_chars"))
 
 
 @query("""SELECT event_id, coalesce(ts - p_ts <= INTERVAL 2 HOUR AND event_type = p_type AND sha256(props) = sha256(p_props), false) AS hit FROM (
