@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from effectflow.runtime import cut
 
+KEPT_APART = 8
+
 
 def hierarchy(edges: DataFrame, child: str = "child", parent: str = "parent", depth: int = 100) -> DataFrame:
     """(node, ancestor, depth) of an acyclic hierarchy, each node its own ancestor at depth 0. Levels beyond ``depth`` raise an error."""
@@ -35,19 +38,21 @@ def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 1000, keep: Call
     """Least fixpoint of (a, b): ``seeds``, and (x, b) wherever edge (x, a) and (a, b) hold.
 
     ``edges`` (a, b, ...) says that a takes over what b has; ``seeds`` (a, b) what a has of its own. ``keep`` filters what
-    an edge hands over: it sees (a, b) with the edge's further columns. Only new pairs go on, each round is checkpointed.
+    an edge hands over: it sees (a, b) with the edge's further columns. Only new pairs go on. Each round checkpoints what
+    it found; the finds of ``KEPT_APART`` rounds are one table again after that, so plans stay short.
     """
     more = [c for c in edges.columns if c not in ("a", "b")]
     moves = edges.select(F.col("a").alias("__to"), F.col("b").alias("__from"), *more)
-    total = cut(seeds.select("a", "b").distinct())
-    delta = total
+    delta = cut(seeds.select("a", "b").distinct())
+    parts = [delta]
     for _ in range(rounds):
         grown = delta.join(moves, delta.a == moves["__from"]).select(F.col("__to").alias("a"), delta.b, *more)
         grown = (keep(grown) if keep else grown).select("a", "b").distinct()
+        total = reduce(DataFrame.unionByName, parts)
         delta = cut(grown.join(total, ["a", "b"], "left_anti"))
         if delta.isEmpty():
             return total
-        total = cut(total.unionByName(delta))
+        parts = [*parts, delta] if len(parts) < KEPT_APART else [cut(total), delta]
     raise RuntimeError(f"no fixpoint after {rounds} rounds")
 
 

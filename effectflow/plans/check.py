@@ -52,11 +52,14 @@ class Options:
     most_per_file: int | None = None
 
 
-def builtin_hierarchy(spark: SparkSession) -> DataFrame:
-    """(child, parent) of the interpreter's own effects, aliases of other platforms, and the native sentinel."""
-    found = [(n, b.__name__) for n, x in vars(builtins).items() if isinstance(x, type) and issubclass(x, BaseException) for b in x.__bases__ if issubclass(b, BaseException)]
-    found = [(c, p) for c, p in found if c != p] + [(c, "OSError") for c in ("EnvironmentError", "IOError", "WindowsError", "VMSError")] + [(NATIVE, "Exception")]
-    return spark.createDataFrame(sorted(set(found)), "child string, parent string")
+#: Names of one error that other platforms have.
+OTHER_NAMES = ("EnvironmentError", "IOError", "VMSError", "WindowsError")
+
+
+def builtin_ancestors(spark: SparkSession) -> DataFrame:
+    """(effect, ancestor), reflexive, of the interpreter's own effects, names of other platforms, and the native sentinel."""
+    known = {n: x for n, x in vars(builtins).items() if isinstance(x, type) and issubclass(x, BaseException)} | dict.fromkeys(OTHER_NAMES, OSError) | {NATIVE: Exception}
+    return spark.createDataFrame(sorted({(n, b.__name__) for n, x in known.items() for b in x.__mro__[:-1]} | {(n, n) for n in known}), "effect string, ancestor string")
 
 
 def builtin_modules(spark: SparkSession) -> DataFrame:
@@ -115,16 +118,17 @@ class Check:
 
     @cached_property
     def ancestors(self) -> DataFrame:
-        """(effect, ancestor), reflexive."""
-        edges = builtin_hierarchy(self.spark)
-        if self.options.mode == "sound":
-            own = facts.classes(self.facts).select(F.explode("bases").alias("base"), "qualname", "file_id", F.element_at(F.split("qualname", "[.]"), -1).alias("name"))
-            module = self._module("file_id")
-            edges = edges.unionByName(own.select(names.qualify(F.col("name"), module).alias("child"), names.qualify(F.col("base"), module).alias("parent"))).where("child <> parent").distinct()
-            seeds = edges.select(F.col("child").alias("a"), F.col("parent").alias("b"))  # classes of bad code may form cycles
-            nodes = edges.select(F.col("child").alias("a")).union(edges.select("parent")).distinct().select("a", F.col("a").alias("b"))
-            return cut(closure.propagate(seeds, nodes).select(F.col("a").alias("effect"), F.col("b").alias("ancestor")))
-        return cut(closure.hierarchy(edges).select(F.col("node").alias("effect"), "ancestor").distinct())
+        """(effect, ancestor), reflexive; own classes with their bases' ancestors in sound mode."""
+        known = builtin_ancestors(self.spark)
+        if self.options.mode != "sound":
+            return known
+        own = facts.classes(self.facts).select(F.explode("bases").alias("base"), F.element_at(F.split("qualname", "[.]"), -1).alias("name"), "file_id")
+        module = self._module("file_id")
+        edges = cut(own.select(names.qualify(F.col("name"), module).alias("a"), names.qualify(F.col("base"), module).alias("b")).where("a <> b").distinct())
+        nodes = edges.select("a", F.col("a").alias("b")).unionByName(edges.select(F.col("b").alias("a"), "b"))
+        seeds = known.select(F.col("effect").alias("a"), F.col("ancestor").alias("b")).unionByName(nodes)
+        # a fixpoint, as classes of broken code may form cycles
+        return closure.propagate(edges, seeds).select(F.col("a").alias("effect"), F.col("b").alias("ancestor"))
 
     def _handlers(self, kind: str) -> DataFrame:
         """(site, handler) of each call (or raise); null catches all. Tuples of types are split."""
