@@ -1,4 +1,4 @@
-"""Recursion: hierarchies by recursive CTE, cyclic graphs by semi-naive fixpoints."""
+"""Recursion: hierarchies by doubling, cyclic graphs by semi-naive fixpoints."""
 
 from __future__ import annotations
 
@@ -13,22 +13,30 @@ from effectflow.runtime import cut
 KEPT_APART = 8
 
 
-def hierarchy(edges: DataFrame, child: str = "child", parent: str = "parent", depth: int = 100) -> DataFrame:
-    """(node, ancestor, depth) of an acyclic hierarchy, each node its own ancestor at depth 0. Levels beyond ``depth`` raise an error."""
-    spark = edges.sparkSession
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).createOrReplaceTempView("__edges")
-    return spark.sql(f"""
-        WITH RECURSIVE up(node, ancestor, depth) MAX RECURSION LEVEL {depth} AS (
-          SELECT node, node, 0 FROM (SELECT c AS node FROM __edges UNION SELECT p FROM __edges)
-          UNION ALL
-          SELECT u.node, e.p, u.depth + 1 FROM up u JOIN __edges e ON e.c = u.ancestor)
-        SELECT * FROM up""")
+def hierarchy(edges: DataFrame, child: str = "child", parent: str = "parent", depth: int = 1000) -> DataFrame:
+    """(node, ancestor, depth) of an acyclic hierarchy, one row a path, each node its own ancestor at depth 0.
+
+    Distances double each round, so a hierarchy of depth n takes log n rounds of two joins and no table has a bound on
+    its rows (as recursive CTEs have). Deeper ones than ``depth``, cycles among them, raise an error.
+    """
+    jump = cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")))
+    nodes = jump.select("node").union(jump.select("ancestor")).distinct()
+    total, far = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")), 1
+    while not jump.isEmpty():
+        if far > depth:
+            raise RuntimeError(f"a hierarchy deeper than {depth}, or a cycle")
+        step = jump.select(F.col("node").alias("low"), F.col("ancestor").alias("node"))
+        further = total.join(step, "node").select(F.col("low").alias("node"), "ancestor", (F.col("depth") + far).alias("depth"))
+        total = cut(total.unionByName(further))
+        jump = cut(jump.join(step, "node").select(F.col("low").alias("node"), "ancestor"))
+        far *= 2
+    return total
 
 
 def reachability(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1000) -> DataFrame:
     """(a, b): all pairs with a path of at least one edge; cycles are fine.
 
-    Paths double each round: known pairs join the newest ones, only unseen pairs go on. Every round is checkpointed.
+    A round adds the pairs one edge longer; only unseen pairs go on. Every round is checkpointed.
     """
     step = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
     return propagate(step, step, rounds)

@@ -51,6 +51,15 @@ def test_closure_of_random_graphs(spark, seed):
         assert {tuple(r) for r in closure.reachability(table).collect()} == want
 
 
+def test_hierarchy(spark):
+    chain = spark.createDataFrame([(k, k - 1) for k in range(1, 21)] + [(100, 7), (100, 3)], "child long, parent long")
+    got = sorted((r.node, r.ancestor, r.depth) for r in closure.hierarchy(chain).collect())
+    want = [(a, b, a - b) for a in range(21) for b in range(a + 1)] + [(100, 100, 0)] + [(100, b, 1 + top - b) for top in (7, 3) for b in range(top + 1)]
+    assert got == sorted(want)
+    with pytest.raises(RuntimeError):
+        closure.hierarchy(chain.unionByName(spark.createDataFrame([(0, 20)], "child long, parent long")), depth=30)
+
+
 def test_asof_ties_and_gaps(spark):
     left = spark.createDataFrame([(1, "a", 5), (2, "a", 1), (3, "b", 9), (4, None, 3)], "id int, k string, t int")
     right = spark.createDataFrame([("a", 5, "x"), ("a", 5, "y"), ("a", 2, "w"), (None, 3, "n")], "k string, u int, v string")
