@@ -25,7 +25,7 @@ CAPACITY = 2048
 END_ID = 1
 BLOCK = 250  # pieces ranked in one block, or more, for at most MOST_BLOCKS beside one a length
 MOST_BLOCKS = 100_000
-_CACHE_MOST = 180_000
+_CACHE_MOST = 100_000
 #: Texts of these characters alone are cut by the tokenizer's published word pattern; in others, each chunk that has
 #: one of them is left to the tokenizer. (Beyond Latin letters, lower-casing and composing may differ.)
 _SPECIAL = re.compile("[^\x00-ſ]|[İ\xb2\xb3\xb9\xbc-\xbe\x0b\x0c\x1c-\x1f\x85\xa0]")

@@ -33,7 +33,7 @@ SMOOTHING = 2.0
 #: A weight is that of LENGTH n-grams like the text's; FEW more count as neutral, so that a few words say little.
 LENGTH, FEW = 100, 20
 _SAME = 1  # the bucket of a pair of equal tokens
-_CACHE_MOST = 120_000
+_CACHE_MOST = 80_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 
 
