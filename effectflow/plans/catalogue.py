@@ -80,6 +80,17 @@ def suffix_match_first(spark, sf):
     return resolve.suffix_first(calls, "tail", definitions, "first_host", "first_page").select("page_id", "tail", "first_host", "first_page")
 
 
+@query(f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), c AS (SELECT page_id, regexp_replace(host, '^[^.]*[.]', '') AS tail FROM h), d AS (SELECT host, min(page_id) AS page FROM h GROUP BY host),
+  f AS (SELECT tail, arg_min(host, page) AS first_host, CAST(min(page) AS BIGINT) AS first_page FROM (SELECT DISTINCT tail FROM c) JOIN d ON host = tail OR ends_with(host, '.' || tail) GROUP BY tail)
+  SELECT page_id, tail, first_host, first_page FROM c JOIN f USING (tail)""")
+def suffix_match_every(spark, sf):
+    """``suffix_match_first`` with every page as a call."""
+    hosts = _hosts(spark, sf)
+    calls = hosts.select("page_id", F.regexp_replace("host", "^[^.]*[.]", "").alias("tail"))
+    definitions = hosts.select(F.col("host").alias("first_host"), F.col("page_id").alias("first_page"))
+    return resolve.suffix_first(calls, "tail", definitions, "first_host", "first_page").select("page_id", "tail", "first_host", "first_page")
+
+
 @query("""SELECT c.c_custkey, CASE WHEN s.s_suppkey IS NOT NULL THEN 'supplier' WHEN c.c_mktsegment = 'BUILDING' THEN 'segment' WHEN n.n_nationkey IS NOT NULL THEN n.n_name END AS target,
   CASE WHEN s.s_suppkey IS NOT NULL THEN 0 WHEN c.c_mktsegment = 'BUILDING' THEN 1 WHEN n.n_nationkey IS NOT NULL THEN 2 END AS strategy
   FROM customer c LEFT JOIN supplier s ON s.s_suppkey = c.c_custkey AND s.s_acctbal > 0 LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey AND n.n_regionkey < 4""")

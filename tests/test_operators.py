@@ -139,3 +139,14 @@ def test_library_signatures(spark):
     for r in native.library_signatures(fn, raised, call, native.syscalls(spark)).collect():
         got.setdefault(r.qualname, set()).add(r.effect)
     assert got["m.f"] == {"ValueError"} and got["m.C.go"] == {"ValueError", "KeyError"} and got["m.opens"] == {"OSError"}
+
+
+def test_every_page_is_a_call(spark, tmp_path):
+    hosts = ["a.b.c", "x.b.c", "b.c", "q.c", "lone", "z.lone", "y.xb.c"]
+    spark.createDataFrame([(k, f"http://{h}/p") for k, h in enumerate(hosts)], "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    want = set()
+    for k, h in enumerate(hosts):
+        tail = h.split(".", 1)[-1]
+        first = min(j for j, d in enumerate(hosts) if d == tail or d.endswith("." + tail))
+        want.add((k, tail, hosts[first], first))
+    assert {tuple(r) for r in catalogue.QUERIES["suffix_match_every"](spark, str(tmp_path)).collect()} == want
