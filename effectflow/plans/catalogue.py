@@ -146,6 +146,14 @@ def propagate_effects(spark, sf):
     return closure.propagate(_edges(spark, sf), own).groupBy(F.col("a").alias("s_suppkey")).agg(merge.as_set("b").alias("effects"))
 
 
+@query(f"""WITH RECURSIVE {_EDGE_SQL}, r(a, effect) AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey
+  UNION SELECT e.a, r.effect FROM r JOIN edges e ON e.b = r.a) SELECT a AS s_suppkey, string_agg(DISTINCT effect, ',' ORDER BY effect) AS effects FROM r GROUP BY a""")
+def propagate_every_effect(spark, sf):
+    """``propagate_effects`` with every supplier's own effect."""
+    own = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("a"), F.col("n_name").alias("b"))
+    return closure.propagate(_edges(spark, sf), own).groupBy(F.col("a").alias("s_suppkey")).agg(merge.as_set("b").alias("effects"))
+
+
 @query(f"""WITH RECURSIVE {_EDGE_SQL}, r(a, cause) AS (SELECT s_suppkey, s_suppkey FROM supplier WHERE s_suppkey % 20 = 7
   UNION SELECT e.a, r.cause FROM r JOIN edges e ON e.b = r.a) SELECT a AS node, count(*) AS n_causes FROM r GROUP BY a""")
 def affected_closure(spark, sf):

@@ -150,3 +150,14 @@ def test_every_page_is_a_call(spark, tmp_path):
         first = min(j for j, d in enumerate(hosts) if d == tail or d.endswith("." + tail))
         want.add((k, tail, hosts[first], first))
     assert {tuple(r) for r in catalogue.QUERIES["suffix_match_every"](spark, str(tmp_path)).collect()} == want
+
+
+def test_every_supplier_has_its_effect(spark):
+    s = {r.s_suppkey: r for r in spark.read.parquet(f"{SF}/supplier.parquet").collect()}
+    nation = {r.n_nationkey: r.n_name for r in spark.read.parquet(f"{SF}/nation.parquet").collect()}
+    has = {k: {nation[r.s_nationkey]} for k, r in s.items()}
+    edges = [(k, (7 * k + 3) % len(s)) for k, r in s.items() if r.s_acctbal > 0]
+    for _ in s:
+        for a, b in edges:
+            has[a] |= has.get(b, set())
+    assert {r.s_suppkey: set(r.effects.split(",")) for r in entry.entry(spark).collect()} == has
