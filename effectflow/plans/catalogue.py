@@ -162,6 +162,14 @@ def affected_closure(spark, sf):
     return closure.affected(_edges(spark, sf), changed).groupBy("node").agg(F.count("*").alias("n_causes"))
 
 
+@query(f"""WITH RECURSIVE {_EDGE_SQL}, r(a, cause) AS (SELECT s_suppkey, s_suppkey FROM supplier WHERE s_acctbal < 0
+  UNION SELECT e.a, r.cause FROM r JOIN edges e ON e.b = r.a) SELECT a AS node, count(*) AS n_causes FROM r GROUP BY a""")
+def affected_by_debt(spark, sf):
+    """``affected_closure`` with all suppliers of a negative balance as the change."""
+    changed = table(spark, sf, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("node"))
+    return closure.affected(_edges(spark, sf), changed).groupBy("node").agg(F.count("*").alias("n_causes"))
+
+
 _ANCESTORS = [("R", "R"), ("N", "N"), ("A", "A"), ("R", "X"), ("A", "X")]
 _HANDLER_SQL = "SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 'R' WHEN '2' THEN 'X' WHEN '3' THEN NULL END AS handler FROM orders WHERE left(o_orderpriority, 1) < '4'"
 
@@ -281,6 +289,17 @@ def merge_sources(spark, sf):
     return merge.merge_two(a, b, ["k"], "e", "c")
 
 
+@query("""WITH a AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS e, CASE WHEN c_nationkey % 3 = 0 THEN 'exact' ELSE 'likely' END AS c FROM customer),
+  b AS (SELECT DISTINCT s_nationkey AS k, CASE WHEN s_acctbal > 0 THEN 'PAID' ELSE 'OWED' END AS e, CASE WHEN s_nationkey % 5 = 0 THEN 'exact' ELSE 'conservative' END AS c FROM supplier),
+  u AS (SELECT *, 0 AS side FROM a UNION ALL SELECT *, 1 AS side FROM b)
+  SELECT k, string_agg(DISTINCT e, ',' ORDER BY e) AS e, CASE WHEN bool_or(c = 'exact') THEN 'exact' ELSE arg_max(c, side) END AS c FROM u GROUP BY k""")
+def merge_whole_sources(spark, sf):
+    """``merge_sources`` over all nations of both tables."""
+    a = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("e"), F.when(F.col("c_nationkey") % 3 == 0, "exact").otherwise("likely").alias("c")).distinct()
+    b = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.when(F.col("s_acctbal") > 0, "PAID").otherwise("OWED").alias("e"), F.when(F.col("s_nationkey") % 5 == 0, "exact").otherwise("conservative").alias("c")).distinct()
+    return merge.merge_two(a, b, ["k"], "e", "c")
+
+
 @query("SELECT o_custkey, arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS o_orderpriority FROM orders GROUP BY o_custkey")
 def dedupe_last_wins(spark, sf):
     """The last writer of each key."""

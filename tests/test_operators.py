@@ -161,3 +161,21 @@ def test_every_supplier_has_its_effect(spark):
         for a, b in edges:
             has[a] |= has.get(b, set())
     assert {r.s_suppkey: set(r.effects.split(",")) for r in entry.entry(spark).collect()} == has
+
+
+def test_changes_and_merges_over_whole_tables(spark):
+    sf = "/root/testdata/sf0.01"  # no supplier owes at sf0.001
+    s = spark.read.parquet(f"{sf}/supplier.parquet").collect()
+    owing = {r.s_suppkey for r in s if r.s_acctbal < 0}
+    causes = {k: {k} for k in owing}
+    for _ in s:
+        for r in s:
+            if r.s_acctbal > 0 and (got := causes.get((7 * r.s_suppkey + 3) % len(s))):
+                causes[r.s_suppkey] = causes.get(r.s_suppkey, set()) | got
+    assert owing and {r.node: r.n_causes for r in catalogue.QUERIES["affected_by_debt"](spark, sf).collect()} == {k: len(v) for k, v in causes.items()}
+    sets = {}
+    for r in spark.read.parquet(f"{sf}/customer.parquet").collect():
+        sets.setdefault(r.c_nationkey, set()).add(r.c_mktsegment)
+    for r in s:
+        sets.setdefault(r.s_nationkey, set()).add("PAID" if r.s_acctbal > 0 else "OWED")
+    assert {r.k: set(r.e.split(",")) for r in catalogue.QUERIES["merge_whole_sources"](spark, sf).collect()} == sets
