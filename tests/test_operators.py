@@ -179,3 +179,15 @@ def test_changes_and_merges_over_whole_tables(spark):
     for r in s:
         sets.setdefault(r.s_nationkey, set()).add("PAID" if r.s_acctbal > 0 else "OWED")
     assert {r.k: set(r.e.split(",")) for r in catalogue.QUERIES["merge_whole_sources"](spark, sf).collect()} == sets
+
+
+def test_native_vague_effects(spark):
+    fn = spark.createDataFrame([("_m", "f", 10, False), ("_m", "f_impl", 20, True), ("_m", "g", 30, True), ("_m", "g_impl", 40, False), ("_m", "r", 50, False), ("_m", "s", 60, False), ("_m", "t", 70, False)], "module string, name string, line int, returns_pointer boolean")
+    kept = ("PyErr_Restore", "PyErr_SetRaisedException", "_PyErr_SetRaisedException")
+    call = spark.createDataFrame([("_m", "g_impl", "PyErr_SetString", 41, "PyExc_ValueError"), *[("_m", c, k, 51, "x") for c, k in zip("rst", kept)]], "module string, caller string, callee string, line int, first_arg string")
+    site = spark.createDataFrame([("_m", "f", "f_impl", 11, "plain"), ("_m", "g", "g_impl", 31, "plain")], "module string, caller string, callee string, line int, kind string")
+    none = spark.createDataFrame([], "module string, caller string, line int, label string")
+    export = spark.createDataFrame([("_m", n, n) for n in "fgrst"], "module string, py_name string, c_name string")
+    marks = native.marked(fn, spark.createDataFrame([], "module string, line int"))
+    got = {r.py_name: r.effects for r in native.native_signatures(fn, call, native.propagating(site, none, none), export, marks).collect()}
+    assert got == {"f": ["Exception"], "g": ["Exception", "ValueError"], "r": ["Exception"], "s": ["Exception"], "t": ["Exception"]}
