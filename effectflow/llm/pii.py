@@ -11,7 +11,8 @@ Base kinds, leftmost and non-overlapping within a kind (a match that fails valid
 * ``phone``: a plus sign, a digit, then digits and ``space ( ) . -``, ending in a digit; 9 to 15 digits.
 
 Added kinds: ``url_auth`` (``user:password@`` behind a scheme), ``secret`` (the value behind a cue such as
-``token =``, at least 16 characters with a digit), ``iban`` (behind its cue, checked modulo 97).
+``token =``, at least 16 characters with a digit), ``iban`` (behind its cue, as long as its country says, checked
+modulo 97).
 """
 
 from __future__ import annotations
@@ -31,6 +32,15 @@ _RANK = {k: n for n, k in enumerate(KINDS)}
 #: Cues that a secret or an account number follows (lower case; capitalised and upper-case forms count too).
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey")
 IBAN_CUES = ("iban",)
+#: Characters of an account number by country: fixed values.
+IBAN_LENGTHS = {
+    code: size
+    for size, codes in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "LY PT ST", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for code in codes.split()
+}
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -80,6 +90,18 @@ def _iban_ok(value: str) -> bool:
     return 15 <= len(flat) <= 34 and int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 == 1
 
 
+def _iban_end(value: str) -> int | None:
+    """Where the account number at the start of ``value`` ends: after its country's length, or with all of ``value``, or,
+    for countries without a known length, before a space."""
+    known = IBAN_LENGTHS.get(value[:2])
+    places = [k for k, c in enumerate(value) if c != " "]
+    ends = [places[known - 1] + 1] if known and known <= len(places) else []
+    ends.append(len(value))
+    if not known:
+        ends += [k for k in range(len(value) - 1, 0, -1) if value[k] == " "]
+    return next((end for end in ends if _iban_ok(value[:end])), None)
+
+
 def find_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then kind."""
     global _ANCHORS
@@ -125,8 +147,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         elif kind == 4:
             if (m := _VALUE.match(text, end + 1)) and any(c.isdigit() for c in m[1]):
                 spans.append(("secret", m.start(1), m.end(1)))
-        elif (m := _IBAN.match(text, end + 1)) and _iban_ok(m[1]):
-            spans.append(("iban", m.start(1), m.end(1)))
+        elif (m := _IBAN.match(text, end + 1)) and (size := _iban_end(m[1])):
+            spans.append(("iban", m.start(1), m.start(1) + size))
     return sorted(set(spans), key=lambda s: (s[1], _RANK[s[0]], s[2]))
 
 

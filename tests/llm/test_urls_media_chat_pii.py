@@ -166,6 +166,19 @@ def test_added_spans_and_redaction():
     assert pii.redact("plain", []) == "plain"
 
 
+def test_account_number_before_other_words():
+    numbers = ["AT61 1904 3002 3457 3201", "ES91 2100 0418 4502 0005 1332", "PL61 1090 1014 0000 0712 1981 2874", "AT611904300234573201", "DE89 3704 0044 0532 0130 00", "NO93 8601 1117 947", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    for number in numbers:
+        for after in ("", " BIC", " BKAUATWW", " 1234", " 12 34", " B", " Bic", " BIC BKAU ATWW XXX", ".", "\nBIC"):
+            text = f"IBAN: {number}{after}"
+            assert [text[a:b] for k, a, b in pii.find_spans(text) if k == "iban"] == [number], text
+            assert "<IBAN>" + after == pii.redact(text, [s for s in pii.find_spans(text) if s[0] == "iban"])[6:]
+    flat = "1904300234573201"
+    check = next(f"{k:02}" for k in range(2, 99) if pii._iban_ok(f"ZZ{k:02}{flat}"))  # no known length
+    text = f"iban ZZ{check} 1904 3002 3457 3201 BIC"
+    assert [text[a:b] for k, a, b in pii.find_spans(text) if k == "iban"] == [text[5:-4]]
+
+
 def test_personal_data_rows(spark):
     docs = odd_docs(spark)
     got = pii.personal_data(docs).collect()
