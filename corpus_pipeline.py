@@ -31,21 +31,37 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component: its least doc_id. Rows that repeat a doc_id become one.
+    """One document of each near-duplicate component: its least doc_id.
 
-    Texts without words are linked with nothing and stay.
+    Texts without words are linked with nothing and stay. Rows that share a doc_id are documents of their own unless
+    their texts are equal (then the least row stays) or linked. Rows without a doc_id stay.
     """
     common.purge(spark)
     docs = common.columns_of(docs, COLUMNS)
+    repeated = common.written(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
+    if repeated.limit(1).count():
+        return _join_of_rows(docs, repeated)
     found = simjoin.similarity_components(docs, 5, 80, 100)
-    dropped = common.written(found.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
+    return _without(docs, found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id")
+
+
+def _without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
+    dropped = common.written(dropped, "dropped")
     few = dropped.count() <= simjoin.BROADCAST_IDS
-    left = docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti")
-    repeated = common.written(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
-    if repeated.limit(1).count() == 0:
-        return left
-    once = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*[c for c in COLUMNS if c != "doc_id"])).alias("row"))
-    return left.join(repeated, "doc_id", "left_anti").unionByName(once.select("doc_id", "row.*"))
+    return docs.join(F.broadcast(dropped) if few else dropped, key, "left_anti")
+
+
+def _join_of_rows(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The stage where doc_ids repeat: every different text under an id is numbered, and the numbers are joined."""
+    again = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row")).select("doc_id", "text", "row.*")
+    once = docs.where("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti").unionByName(again)
+    rows = common.written(once.withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so the numbers stay
+    found = simjoin.similarity_components(rows.select(F.col("row").alias("doc_id"), "text"), 5, 80, 100)
+    place = rows.select("row", F.struct("doc_id", F.xxhash64("text"), "row").alias("place"))
+    members = common.written(found.select(F.col("doc_id").alias("row"), "component_id").join(place, "row"), "members")
+    first = members.groupBy("component_id").agg(F.min_by("row", "place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    left = _without(rows, members.join(first, "component_id").where("row <> first").select("row"), "row").drop("row")
+    return left.unionByName(docs.where("doc_id IS NULL"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

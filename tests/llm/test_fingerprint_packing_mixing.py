@@ -360,3 +360,21 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             table = common.written(stage(spark, table, str(tmp_path)), name, kept=True)
         table.count()
+
+
+def test_join_keeps_every_text_of_a_shared_id(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = lambda name, n=40: " ".join(f"{name}{k}" for k in range(n))
+    rows = [
+        (5, words("a")), (5, words("b")), (5, words("c")),  # one id, three documents
+        (7, words("b") + " tail"), (2, words("c") + " tail"),  # near copies of two of them
+        (9, words("d")), (9, words("d")), (9, words("d") + " tail"),  # equal and linked texts
+        (11, ""), (11, " "), (11, ""), (12, None), (12, None), (None, words("a")), (13, words("e")),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", n) for n, (d, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    want = [(5, "a"), (5, "b"), (2, "c"), (9, "d"), (11, ""), (11, " "), (12, None), (None, "a"), (13, "e")]
+    for parts in (1, 4):
+        left = corpus_pipeline.jaccard_join(spark, docs.repartition(parts), "")
+        assert tuple(left.columns) == corpus_pipeline.COLUMNS
+        got = [(r.doc_id, r.text and (r.text.strip() and r.text[0] or r.text)) for r in left.collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
