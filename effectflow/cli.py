@@ -46,6 +46,21 @@ def session():
     return SparkSession.builder.appName("effectflow").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
 
+def _layers(spark, root: Path):
+    from effectflow.sources import settings
+
+    read = lambda name: (root / name).read_text() if (root / name).exists() else None
+    return settings.layers(spark, ("pyproject", settings.toml_layer(read("pyproject.toml"), "tool", "effectflow")), ("tool", settings.toml_layer(read(".effectflow.toml"))), ("environment", settings.environment_layer()))
+
+
+def _settings(spark, root: Path) -> dict:
+    import json
+
+    from effectflow.sources import settings
+
+    return {r.key: json.loads(r.value) for r in settings.effective(_layers(spark, root), by_block=True).collect()}
+
+
 def _check(args: argparse.Namespace) -> int:
     from pyspark.sql import functions as F
 
@@ -54,6 +69,7 @@ def _check(args: argparse.Namespace) -> int:
     from effectflow.sources.cache import FactCache
 
     spark, found = session(), None
+    chosen = _settings(spark, Path.cwd())
     for path in map(Path, args.paths):
         if not path.exists():
             print(f"{path}: no such file or folder", file=sys.stderr)
@@ -62,7 +78,7 @@ def _check(args: argparse.Namespace) -> int:
         if base.is_dir():
             every = files.scan(spark, str(base))
             ignore = None if args.include_ignored else every.where(F.element_at(F.split("path", "/"), -1) == ".gitignore")
-            rows = files.select_files(every.where(F.col("path").endswith(".py")), ignore=ignore).select(F.concat(F.lit(f"{base}/"), "path").alias("path"), "text")
+            rows = files.select_files(every.where(F.col("path").endswith(".py")), chosen["include"], [*files.DEFAULT_EXCLUDE, *chosen["exclude"]], ignore).select(F.concat(F.lit(f"{base}/"), "path").alias("path"), "text")
         else:
             rows = spark.createDataFrame([(str(base), base.read_text(errors="replace"))], "path string, text string")
         found = rows if found is None else found.unionByName(rows)
@@ -72,8 +88,11 @@ def _check(args: argparse.Namespace) -> int:
     for s in args.stubs:
         part = stubs.for_version(stubs.read_json(spark, s, "stdlib"), args.python)
         table = part if table is None else table.unionByName(part)
-    options = Options(local_only=args.local, strict=args.strict, full_module_path=args.full_module_path, warn_native=not args.no_warn_native, mode="sound" if args.sound else "reference")
-    kept = FactCache(spark, str(Path(args.cache).resolve())) if args.cache else None
+    options = Options(
+        ignored=chosen["ignore_exceptions"], local_only=args.local or chosen["analysis.local_only"], strict=args.strict or chosen["analysis.strict_mode"], mode="sound" if args.sound else "reference",
+        full_module_path=args.full_module_path or chosen["analysis.full_module_path"], warn_native=chosen["analysis.warn_native"] and not args.no_warn_native,
+    )
+    kept = FactCache(spark, str(Path(args.cache).resolve()), chosen["cache.ttl_hours"]) if args.cache and chosen["cache.enabled"] else None
     run = Check(found, table, options=options, cache=kept)
     shown = run.diagnostics.cache()
     if args.json:
@@ -112,7 +131,14 @@ def _lsp(args: argparse.Namespace) -> int:
     from effectflow.streaming import server
 
     try:
-        server.main(args.tcp, args.port)
+        from effectflow.plans.check import Options
+
+        s = _settings(session(), Path.cwd())
+        options = Options(
+            ignored=s["ignore_exceptions"], local_only=s["analysis.local_only"], strict=s["analysis.strict_mode"], warn_native=s["analysis.warn_native"],
+            full_module_path=s["analysis.full_module_path"], most_per_file=s["lsp.max_diagnostics_per_file"],
+        )
+        server.main(args.tcp, args.port, options, s["lsp.debounce_ms"] / 1000)
     except OSError as e:
         print(e, file=sys.stderr)
         return 2
@@ -135,8 +161,7 @@ def _cache(args: argparse.Namespace) -> int:
 def _config(args: argparse.Namespace) -> int:
     from effectflow.sources import settings
 
-    read = lambda name: (Path(args.root) / name).read_text() if (Path(args.root) / name).exists() else None
-    table = settings.layers(session(), ("pyproject", settings.toml_layer(read("pyproject.toml"), "tool", "effectflow")), ("tool", settings.toml_layer(read(".effectflow.toml"))), ("environment", settings.environment_layer()))
+    table = _layers(session(), Path(args.root))
     for r in settings.effective(table, by_block=True).orderBy("key").collect():
         print(f"{r.key} = {r.value}  # {r.layer}")
     return 0

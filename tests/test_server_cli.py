@@ -82,3 +82,19 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     with pytest.raises(SystemExit) as e:
         cli.main(["wrong"])
     assert e.value.code == 2
+
+
+def test_settings_take_effect(spark, tmp_path, capsys, monkeypatch):
+    (tmp_path / "src/made").mkdir(parents=True)
+    (tmp_path / "src/a.py").write_text("def f():\n    raise ValueError()\ndef g():\n    f()\ndef h():\n    raise KeyError()\ndef i():\n    h()\n")
+    (tmp_path / "src/made/b.py").write_text("def h():\n    raise KeyError()\nh()\n")
+    (tmp_path / "pyproject.toml").write_text('[tool.effectflow]\nignore_exceptions = ["ValueError"]\nexclude = ["made"]\n[tool.effectflow.lsp]\ndebounce_ms = 50\nmax_diagnostics_per_file = 7\n')
+    monkeypatch.chdir(tmp_path)
+    assert cli.main(["check", "src"]) == 1
+    out = capsys.readouterr().out
+    assert "KeyError" in out and "ValueError" not in out and "1 issue(s) in 1 file(s)" in out
+    seen = []
+    monkeypatch.setattr(server, "main", lambda *a: seen.append(a))
+    assert cli.main(["lsp"]) == 0
+    _, _, options, debounce = seen[0]
+    assert (list(options.ignored), options.most_per_file, debounce) == (["ValueError"], 7, 0.05)
