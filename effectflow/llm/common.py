@@ -10,9 +10,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,7 +35,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def tuned(spark: SparkSession) -> SparkSession:
-    """Bounds Arrow batches by rows. A smaller setting of the session stays."""
+    """Bounds Arrow batches by rows, for the whole session: the setting is read when a plan runs, so it can't be put back
+    before. A smaller setting stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
@@ -41,33 +44,60 @@ def tuned(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    """The folder that driver and executors share. A local one is made only in local mode, where the session names none."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="effectflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def _tables_dir(spark: SparkSession, kept: bool = False) -> str:
-    return f"{shared_dir(spark)}/{'kept' if kept else 'tables'}-{spark.sparkContext.applicationId}"
+_scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd", kept: bool = False) -> DataFrame:
-    """``df`` as a written table: computed once, then read from the shared folder. ``kept``: not for ``purge``."""
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _tables_dir(spark: SparkSession) -> str:
+    """Where intermediate tables go: the folder of the scope, else one of the application. Either goes when the session
+    ends, at the latest."""
+    path = _scope.get() or f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}"
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
+    return path
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession, name: str) -> Iterator[str]:
+    """Tables written inside go to a folder of their own, whose path this gives. Results that are still lazy read from
+    there, so its end deletes nothing: call ``delete`` once they are written."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    token = _scope.set(path)
+    try:
+        yield path
+    finally:
+        _scope.reset(token)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a scope's folder, with all tables in it."""
+    system, place = _file_system(spark, path)
+    system.delete(place, True)
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """``df`` as a written table: computed once, then read from the shared folder."""
     spark = df.sparkSession
-    path = f"{_tables_dir(spark, kept)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def purge(spark: SparkSession) -> None:
-    """Deletes this application's intermediate tables; only for when nothing lazy reads them any more."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_tables_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def arrow_pass(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` over whole partitions; ``make`` turns batches into dicts of columns."""
     tuned(df.sparkSession)

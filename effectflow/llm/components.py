@@ -18,15 +18,20 @@ def _sum(edges: DataFrame) -> tuple:
 
 
 def roots(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b: long): root is the least node it reaches. Self-loops fall away."""
+    """(node, root) for every node of ``edges`` (a, b: long): root is the least node it reaches. Self-loops fall away.
+
+    Least neighbours are partial aggregates. They are written before the edges join them, so both sides of the join are
+    tables with exchanges of their own, and adaptive execution splits the partition of a node with many neighbours.
+    """
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     was = _sum(now)
     while was[0]:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.col("k")).alias("m"))
-        large = both.join(least, both.a == least.k).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = written(large, "large-star")
-        small = large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m"))
+        least = written(least, "least")
+        nearer = both.where("b > a").join(least, both.a == least.k)
+        large = written(nearer.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
+        small = written(large.groupBy(F.col("a").alias("k")).agg(F.min("b").alias("m")), "least")
         hop = large.join(small, large.a == small.k).where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
         now = written(hop.unionByName(small.select(F.col("k").alias("a"), F.col("m").alias("b"))).distinct(), "small-star")
         if (found := _sum(now)) == was:

@@ -3,20 +3,22 @@
 A text is a set of distinct word shingles; texts link when intersection / union reaches a threshold. The join is exact:
 
 1. Texts with one set are one class; the least id stands for it.
-2. Classes meet where they can link at all: of the shingles in one global order (rare ones before frequent ones, then
-   those with fewer frequent words, then by hash), two sets over the threshold share one among their first
-   ``n - ceil(t * n) + 1``. All classes that share such a shingle go to the group of the least id among them, so a pair
-   is sure to meet in a group.
-3. A group is a count-vector R-tree: shingles are hashed into 64 groups, the counts are a point, and a node's
-   coordinate maxima bound the overlap with any point below by the sum of coordinate minima. Larger sets count in more
-   groups, each halving one of the coarser; at the leaves the bound is taken again in the finest that both points have,
-   as 64 counts of thousands tell little. A first search sees only points and names the members that have any partner
-   within the bound; most members of most groups have none.
-4. The sets of those are made again from their texts and the trees searched again; what survives the bound at the
-   leaves is verified on the sets. Pairs that are linked already, directly or not, are skipped, so a group of n near
-   copies costs about n verifications and gives at most n - 1 links.
-5. Large groups are dealt in blocks of bounded shingles, each with the group's first member; whoever isn't linked to
-   that one afterwards is joined against every block. Then components of all links.
+2. Shingles are hashed into 64 groups and the counts are a point; larger sets count in more groups, each halving one of
+   the coarser. The overlap of two sets is at most the sum of coordinate minima. An R-tree over such points alone can't
+   part a corpus (between unlike texts the bound of whole nodes nearly always holds), so there is one tree for each set
+   of classes that can link at all, a *group*: of the shingles in one global order (rare ones first, then those with
+   fewer frequent words, then by hash), two sets over the threshold share one among their first
+   ``n - ceil(t * n) + 1``. Classes that share such a shingle meet in the group of the least id among them.
+3. Members of a group are sorted by size and cut in blocks of bounded rows and shingles, from the first row on: blocks
+   are the tree's nodes, dealt by ranges, so a group of any size is spread over as many tasks as it has blocks. Within
+   a block a packed tree is searched, a node's coordinate maxima bounding the overlap with any point below, and at the
+   leaves the bound is taken again in the finest counts that both points have. Between blocks of one group, pairs of
+   nodes that the summed minima exclude are dropped first. This names the members that have a partner within the bound.
+4. The sets of those are made again from their texts, and blocks and trees are made and searched again; what survives
+   is verified on the sets. Pairs that are linked already, directly or not, are skipped, so a block of n near copies
+   costs about n verifications and gives at most n - 1 links. Blocks that follow one another are joined next, which
+   connects a large group of near copies; whoever isn't in its group's largest component then asks every other block
+   that the bound leaves. Then components of all links.
 
 "Frequent" words and shingles only steer the order, any order is right: they are those of more than a thousandth of
 the rows, found in one pass over all texts, at most a thousand times those of a mean text.
@@ -42,8 +44,9 @@ FILL = 8  # points have as many groups as leave FILL shingles for one
 LEAF = 16
 COUNT_BLOCK = 1 << 21  # shingles counted at once
 FREQUENT = 1000  # a shingle of more than 1 / FREQUENT of the rows is frequent
-GROUP_SHINGLES = 2_000_000  # of one block of a group
-GROUP_POINTS = 50_000  # of a group that is searched by points alone first
+BLOCK_ROWS = 2048  # of a group that are in memory together
+BLOCK_SHINGLES = 1 << 21  # of these (a larger set is a block of its own)
+COARSE = 8  # groups of the bounds between whole blocks
 BROADCAST_IDS = 1_000_000  # of 8 or 16 bytes
 _LONG = "array<long>"
 
@@ -153,11 +156,13 @@ def frequent_parts(docs: DataFrame, words: int) -> Frequent:
 def profiles(docs: DataFrame, words: int, num: int, den: int, frequent: Frequent) -> DataFrame:
     """doc_id, n, set_id (128 bits of the whole set; null if empty), prefix, point (its counts by hash group)."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
             n, ids, prefix, points = [], [], [], []
             for text in batch.column(1).to_pylist():
-                found, first = profile(text, words, num, den, frequent)
+                found, first = profile(text, words, num, den, shared.value)
                 n.append(len(found))
                 ids.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 prefix.append(first.view(np.int64))
@@ -253,13 +258,17 @@ def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * both >= num * (len(a) + len(b) - both)
 
 
-def join_group(ids: list[int], sets: list[np.ndarray], num: int, den: int, label: list[int] | None = None, probe: list[bool] | None = None) -> list[tuple[int, int]]:
-    """Links that connect the components of a group: sorted sets, ids; ``label``: what is connected before, ``probe``: pairs need one of these."""
+def join_group(
+    ids: list[int], sets: list[np.ndarray], num: int, den: int, label: list[int] | None = None, probe: list[bool] | None = None, side: list[int] | None = None
+) -> list[tuple[int, int]]:
+    """Links that connect the components of sorted sets. ``label``: what is connected before; ``probe``: pairs need one of
+    these; ``side``: pairs need one of each."""
     g = len(ids)
     if g < 2:
         return []
     part = np.unique(np.array(ids if label is None else label), return_inverse=True)[1].astype(np.int64)
     asks = np.ones(g, bool) if probe is None else np.array(probe, bool)
+    of = np.arange(g) if side is None else np.array(side)
     tree = CountTree([point(s) for s in sets], num, den)
     counts = tree.counts
     turn = np.argsort(np.abs(counts - counts.mean(axis=0)).sum(axis=1) if g > LEAF else np.arange(g), kind="stable")
@@ -270,7 +279,7 @@ def join_group(ids: list[int], sets: list[np.ndarray], num: int, den: int, label
         if (part == part[i]).all():
             break
         found = tree.reach(i)
-        found = found[~done[found] & (part[found] != part[i]) & (asks[found] | asks[i])]
+        found = found[~done[found] & (part[found] != part[i]) & (asks[found] | asks[i]) & (of[found] != of[i])]
         for j in found[np.argsort(-np.minimum(counts[found], counts[i]).sum(axis=1), kind="stable")]:
             if part[j] != part[i] and _linked(sets[i], sets[j], num, den):
                 links.append((ids[i], ids[j]))
@@ -278,67 +287,159 @@ def join_group(ids: list[int], sets: list[np.ndarray], num: int, den: int, label
     return links
 
 
-def partnered(ids: list[int], points: list[np.ndarray], num: int, den: int) -> list[int]:
-    """The ids of a group that have another id within the bound."""
-    tree, key, named = CountTree(points, num, den), np.array(ids), np.zeros(len(ids), bool)
-    for i in range(len(ids)):
+def partnered(ids: list[int], points: list[np.ndarray], num: int, den: int, settled: list[bool] | None = None, side: list[int] | None = None) -> np.ndarray:
+    """Which points have another id (of the other side, if sides are given) within the bound, or are settled before."""
+    named = np.zeros(len(ids), bool) if settled is None else np.array(settled, bool)
+    if len(ids) < 2 or named.all():
+        return named
+    tree, key = CountTree(points, num, den), np.array(ids)
+    for i in np.flatnonzero(~named):
         if not named[i]:
             found = tree.reach(i)
             found = found[key[found] != key[i]]
+            if side is not None:
+                found = found[np.array(side)[found] != side[i]]
             named[found] = True
             named[i] = len(found) > 0
-    return sorted(set(key[named].tolist()))
+    return named
+
+
+def _values(column: pa.Array) -> list[np.ndarray]:
+    """Arrays of hashes, or counts from binary, as numpy."""
+    if pa.types.is_list(column.type):
+        flat, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+        return [flat[a:b].copy() for a, b in zip(at[:-1], at[1:])]
+    return [np.frombuffer(v, np.uint16).astype(np.int32) for v in column.to_pylist()]
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Rows of batches; the last column as numpy."""
+    for batch in batches:
+        yield from zip(*(c.to_pylist() for c in batch.columns[:-1]), _values(batch.columns[-1]))
+
+
+@dataclass
+class Block:
+    """Rows of one group that are in memory together. ``whole``: no other block has rows of the group."""
+
+    group: int
+    number: int
+    whole: bool
+    n: list[int]
+    ids: list[int]
+    values: list[np.ndarray]
+
 
+def _blocks(batches: Iterator[pa.RecordBatch], most_rows: int, most_shingles: int) -> Iterator[Block]:
+    """Blocks of rows (group, n, doc_id, value) sorted by these: a run of one group's rows in this partition, cut at the
+    limits. Only a run that neither touches an end of the partition nor was cut is known to be whole."""
+    from pyspark import TaskContext
 
-def _by_group(rows: DataFrame, value: str, work: Callable[[tuple, dict[str, list]], dict | None], schema: str) -> DataFrame:
-    """``work(key, columns)`` for each (group, block) of rows dealt and sorted by it; one group is in memory at a time.
+    number, now, held, weight, first, cut = TaskContext.get().partitionId() << 32, None, ([], [], []), 0, True, False
 
-    The last column, ``value``, comes as numpy: arrays of hashes, or counts from binary.
+    def made(last: bool) -> Block:
+        return Block(now, number, not (first or last or cut), *held)
+
+    for group, n, key, value in _rows(batches):
+        full = len(held[0]) >= most_rows or weight + n > most_shingles
+        if held[0] and (group != now or full):
+            cut = cut or group == now
+            yield made(False)
+            first, cut = False, group == now
+            number, held, weight = number + 1, ([], [], []), 0
+        now, weight = group, weight + n
+        for column, x in zip(held, (n, key, value)):
+            column.append(x)
+    if held[0]:
+        yield made(True)
+
+
+def _coarse(value: np.ndarray) -> list[int]:
+    """A point or a set as counts in COARSE groups, for the bounds of whole blocks."""
+    return _folded(value if value.dtype == np.int32 else point(value), COARSE).tolist()
+
+
+def _in_blocks(rows: DataFrame, value: str, work: Callable[[Block], tuple[list, list | None]], mark: str) -> DataFrame:
+    """One pass over rows (group, n, doc_id, value) that are dealt by ranges of (group, n, doc_id): a large group takes as
+    many blocks and tasks as it needs, whatever its size. ``work(block)`` gives links (a, b) and a mark for each row.
+
+    Returns rows (a, b) of links, and (group, block, doc_id, n, mark, coarse, value) of marked rows; ``coarse`` and
+    ``value`` are null where the block is the whole group, as such rows meet nobody else.
     """
-    names = ["group", "block", *[c for c in rows.columns if c not in ("group", "block", value)], value]
-    dealt = rows.select(*names).repartition("group", "block").sortWithinPartitions("group", "block", "doc_id")
+    dealt = rows.select("group", "n", "doc_id", value).repartitionByRange("group", "n", "doc_id").sortWithinPartitions("group", "n", "doc_id")
+    kind, limits = dict(rows.dtypes)[value], (BLOCK_ROWS, BLOCK_SHINGLES)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        key, held = None, {}
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns[:-1]]
-            last = batch.column(len(names) - 1)
-            if pa.types.is_list(last.type):
-                flat, at = last.values.to_numpy().view(np.uint64), last.offsets.to_numpy()
-                values = [flat[a:b].copy() for a, b in zip(at[:-1], at[1:])]
-            else:
-                values = [np.frombuffer(v, np.uint16).astype(np.int32) for v in last.to_pylist()]
-            for row in zip(*columns, values):
-                if row[:2] != key:
-                    if key and len(held["doc_id"]) > 1 and (out := work(key, held)):
-                        yield out
-                    key, held = row[:2], {n: [] for n in names[2:]}
-                for n, x in zip(names[2:], row[2:]):
-                    held[n].append(x)
-        if key and len(held["doc_id"]) > 1 and (out := work(key, held)):
+        out = {k: [] for k in ("a", "b", "group", "block", "doc_id", "n", mark, "coarse", value)}
+        held = 0
+
+        def add(**row: object) -> None:
+            for k, column in out.items():
+                column.append(row.get(k))
+
+        for block in _blocks(batches, *limits):
+            links, marks = work(block)
+            for a, b in links:
+                add(a=a, b=b)
+            for n, key, x, m in zip(block.n, block.ids, block.values, marks):
+                if not block.whole:
+                    stored = x.astype(np.uint16).tobytes() if kind == "binary" else x.view(np.int64)
+                    add(group=block.group, block=block.number, doc_id=key, n=n, coarse=_coarse(x), **{mark: m, value: stored})
+                    held += n
+                elif m is True:
+                    add(group=block.group, block=block.number, doc_id=key, n=n, **{mark: m})
+            if held > limits[1] // 4 or len(out["a"]) >= limits[0]:
+                yield out
+                out, held = {k: [] for k in out}, 0
+        if out["a"]:
             yield out
 
-    return arrow_pass(dealt, make, schema)
+    kinds = f"a long, b long, group long, block long, doc_id long, n long, {mark} {'boolean' if mark == 'named' else 'long'}, coarse array<int>, {value} {kind}"
+    return arrow_pass(dealt, make, kinds)
 
 
-def _partners(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """(group, doc_id) with a partner within the bound, of rows (group, block, doc_id, n, point)."""
+def _heads(open_: DataFrame) -> DataFrame:
+    """Nodes above the points: each block's least and most size, maxima of its coarse counts, and whether it asks."""
+    tops = [F.max(F.col("coarse")[k]).alias(f"c{k}") for k in range(COARSE)]
+    every = open_.groupBy("group", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.bool_or("asks").alias("asks"), *tops)
+    several = every.groupBy("group").agg(F.count("*").alias("blocks")).where("blocks > 1").select("group")
+    return written(every.join(several, "group", "left_semi"), "heads")
 
-    def work(key: tuple, held: dict[str, list]) -> dict | None:
-        named = partnered(held["doc_id"], held["point"], num, den)
-        return {"group": [key[0]] * len(named), "doc_id": named} if named else None
 
-    return _by_group(rows, "point", work, "group long, doc_id long")
+def _node_pairs(heads: DataFrame, num: int, den: int) -> DataFrame:
+    """(group, i, j, i_asks, j_asks): pairs of a group's blocks that the summed coordinate minima don't exclude."""
+    a = heads.select("group", *[F.col(c).alias(f"i_{c}") for c in heads.columns if c != "group"])
+    b = heads.select("group", *[F.col(c).alias(f"j_{c}") for c in heads.columns if c != "group"])
+    overlap = sum((F.least(F.col(f"i_c{k}"), F.col(f"j_c{k}")) for k in range(COARSE)), F.lit(0))
+    sizes = (F.col("i_most") * den >= F.col("j_least") * num) & (F.col("j_most") * den >= F.col("i_least") * num)
+    fits = sizes & (overlap * (num + den) >= (F.col("i_least") + F.col("j_least")) * num)
+    pairs = a.join(b, "group").where((F.col("i_block") < F.col("j_block")) & (F.col("i_asks") | F.col("j_asks")) & fits)
+    return pairs.select("group", F.col("i_block").alias("i"), F.col("j_block").alias("j"), "i_asks", "j_asks")
 
 
-def _group_links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) within (group, block) of rows (group, block, doc_id, label, probe, shingles)."""
+def _across(open_: DataFrame, pairs: DataFrame, value: str, work: Callable[[dict[str, list]], dict | None], schema: str) -> DataFrame:
+    """``work(columns)`` for each pair of blocks: the rows of either side that ask, or whose other side has some that do."""
+    columns = ["doc_id", "group", "label", "asks", value]
+    sides = []
+    for side, own, other in ((0, "i", "j"), (1, "j", "i")):
+        met = open_.join(pairs.withColumnRenamed(own, "block"), ["group", "block"]).where(F.col("asks") | F.col(f"{other}_asks"))
+        sides.append(met.select(F.col("block").alias(own), other, F.lit(side).alias("side"), *columns).select("i", "j", "side", *columns))
+    dealt = sides[0].unionByName(sides[1]).repartition("i", "j").sortWithinPartitions("i", "j", "side", "doc_id")
+    names = ["i", "j", "side", *columns]
 
-    def work(key: tuple, held: dict[str, list]) -> dict | None:
-        links = join_group(held["doc_id"], held["shingles"], num, den, held["label"], held["probe"])
-        return {"a": [a for a, _ in links], "b": [b for _, b in links]} if links else None
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        key, held = None, {}
+        for row in _rows(batches):
+            if row[:2] != key:
+                if key and (out := work(held)):
+                    yield out
+                key, held = row[:2], {n: [] for n in names[2:]}
+            for n, x in zip(names[2:], row[2:]):
+                held[n].append(x)
+        if key and (out := work(held)):
+            yield out
 
-    return _by_group(rows, "shingles", work, "a long, b long")
+    return arrow_pass(dealt, make, schema)
 
 
 def _few(ids: DataFrame) -> DataFrame:
@@ -358,39 +459,92 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return arrow_pass(wanted, make, f"doc_id long, n long, shingles {_LONG}")
 
 
+def _meetings(tokens: DataFrame) -> DataFrame:
+    """(group, doc_id) of all that share a token with another id: the least id among those with the token is the group.
+
+    The least id is a partial aggregate; both sides of the join back are written tables, so that adaptive execution
+    splits a token that a large part of the rows have.
+    """
+    least = tokens.groupBy("token").agg(F.min("doc_id").alias("group"), F.max("doc_id").alias("last"))
+    least = written(least.where(F.col("group") < F.col("last")).select("token", "group"), "tokens")
+    met = written(tokens.join(least, "token").where("doc_id <> group").select("group", "doc_id").distinct(), "met")
+    return met.unionByName(met.select("group", F.col("group").alias("doc_id")).distinct())
+
+
+def _members(met: DataFrame, points: DataFrame, num: int, den: int) -> DataFrame:
+    """(group, doc_id) of ``met`` that have a partner within the bound: trees of points within blocks, then pairs of blocks."""
+
+    def within(block: Block) -> tuple[list, list]:
+        return [], partnered(block.ids, block.values, num, den).tolist()
+
+    found = written(_in_blocks(met.join(points, "doc_id"), "point", within, "named"), "named")
+    named = found.where("named").select("group", "doc_id")
+    open_ = found.where("point IS NOT NULL").withColumn("asks", ~F.col("named")).withColumn("label", F.lit(0).cast("long"))
+    heads = _heads(open_)
+    pairs = written(_node_pairs(heads, num, den), "point-pairs")
+    if pairs.isEmpty():
+        return named.distinct()
+
+    def across(held: dict[str, list]) -> dict | None:
+        settled = [not x for x in held["asks"]]
+        now = partnered(held["doc_id"], held["point"], num, den, settled, held["side"])
+        new = [k for k in np.flatnonzero(now) if not settled[k]]
+        return {c: [held[c][k] for k in new] for c in ("group", "doc_id")} if new else None
+
+    return named.unionByName(written(_across(open_, pairs, "point", across, "group long, doc_id long"), "named-across")).distinct()
+
+
 def _links(docs: DataFrame, tokens: DataFrame, points: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """Links that connect all that is linked among the classes of ``tokens`` (doc_id, token); ``points``: doc_id, n, point."""
-    of_token = Window.partitionBy("token")
-    met = tokens.select("doc_id", F.min("doc_id").over(of_token).alias("group")).where("doc_id <> group")
-    met = written(met.select("group", "doc_id").distinct(), "met")
-    met = met.unionByName(met.select("group", F.col("group").alias("doc_id")).distinct())
-    sizes = met.groupBy("group").count()
-    huge = written(sizes.where(F.col("count") > GROUP_POINTS).select("group"), "huge")
-    placed = met.join(points, "doc_id").select("group", F.lit(0).alias("block"), "doc_id", "n", "point")
-    members = written(_partners(placed.join(huge, "group", "left_anti"), num, den).unionByName(met.join(huge, "group", "left_semi").select("group", "doc_id")), "members")
+    members = written(_members(_meetings(tokens), points, num, den), "members")
     sets = written(_sets(docs, members.select("doc_id").distinct(), words), "sets").where("n > 0")
-    weights = members.join(sets.select("doc_id", "n"), "doc_id").groupBy("group").agg(F.sum("n").alias("weight"), F.min("doc_id").alias("pivot"))
-    large = written(weights.where(F.col("weight") > GROUP_SHINGLES).select("group", "pivot", F.ceil(F.col("weight") / GROUP_SHINGLES).cast("int").alias("blocks")), "large")
-    any_large = large.limit(1).count() > 0
-    rows = _few(members).join(sets, "doc_id")
-    shaped = lambda df, block, label="doc_id", probe=F.lit(True): df.select("group", block.cast("int").alias("block"), "doc_id", F.col(label).alias("label"), probe.alias("probe"), "shingles")
-    if not any_large:
-        return written(_group_links(shaped(rows, F.lit(0)), num, den), "links")
-    rows = rows.join(large, "group", "left")
-    own = F.array(F.pmod(F.xxhash64("doc_id"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    everywhere = F.when(F.col("doc_id") == F.col("pivot"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(own)
-    links = written(_group_links(shaped(rows.withColumn("at", F.explode(everywhere)), F.col("at")), num, den), "links")
-    # who isn't connected to the first member of a large group is joined against all of it
-    root = roots(links)
-    placed = rows.where("blocks IS NOT NULL").join(root.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").join(root.select(F.col("node").alias("pivot"), F.col("root").alias("first_root")), "pivot", "left")
-    placed = placed.withColumn("label", F.coalesce("root", "doc_id")).withColumn("apart", F.col("label") != F.coalesce("first_root", "pivot"))
-    parts = written(placed.where("apart").groupBy("group").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("parts")), "parts")
-    placed = placed.join(parts, "group").withColumn("own", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(1)), "parts").cast("int"))
-    across = lambda df, i, j: F.col(i) * F.col("parts") + F.col(j)
-    all_rows = placed.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    apart = placed.where("apart").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    second = shaped(all_rows, across(all_rows, "own", "j"), "label", F.lit(False)).unionByName(shaped(apart, across(apart, "i", "part"), "label", F.lit(True)))
-    return links.unionByName(written(_group_links(second, num, den), "links-apart"))
+
+    def within(block: Block) -> tuple[list, list]:
+        links = join_group(block.ids, block.values, num, den)
+        return links, _labels(block.ids, links)
+
+    found = written(_in_blocks(members.join(sets, "doc_id"), "shingles", within, "label"), "linked")
+    links = found.where("a IS NOT NULL").select("a", "b")
+    open_ = found.where("shingles IS NOT NULL")
+    heads = _heads(open_.withColumn("asks", F.lit(True)))
+    if heads.isEmpty():
+        return links
+
+    def across(held: dict[str, list]) -> dict | None:
+        got = join_group(held["doc_id"], held["shingles"], num, den, held["label"], held["asks"], held["side"])
+        return {"a": [a for a, _ in got], "b": [b for _, b in got]} if got else None
+
+    # neighbours in the order of sizes first: they connect a group of near copies to one component
+    next_ = heads.withColumn("next", F.lead("block").over(Window.partitionBy("group").orderBy("block"))).select("group", "block", "next")
+    chain = next_.where("next IS NOT NULL").select("group", F.col("block").alias("i"), F.col("next").alias("j"), F.lit(True).alias("i_asks"), F.lit(True).alias("j_asks"))
+    chain = written(chain, "chain")
+    links = links.unionByName(written(_across(open_.withColumn("asks", F.lit(True)), chain, "shingles", across, "a long, b long"), "links-chain"))
+    # whoever isn't in its group's largest component then asks all blocks that the bound leaves
+    root = roots(links).select(F.col("node").alias("doc_id"), "root")
+    labelled = open_.join(heads.select("group").distinct(), "group", "left_semi").drop("label").join(root, "doc_id", "left")
+    labelled = written(labelled.withColumn("label", F.coalesce("root", "doc_id")).drop("root"), "labelled")
+    most = labelled.groupBy("group", "label").agg(F.count("*").alias("k")).groupBy("group").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
+    asking = written(labelled.join(most, "group").withColumn("asks", F.col("label") != F.col("main")).drop("main"), "asking")
+    pairs = _node_pairs(_heads(asking), num, den).join(chain.select("group", "i", "j"), ["group", "i", "j"], "left_anti")
+    pairs = written(pairs, "set-pairs")
+    if pairs.isEmpty():
+        return links
+    return links.unionByName(written(_across(asking, pairs, "shingles", across, "a long, b long"), "links-across"))
+
+
+def _labels(ids: list[int], links: list[tuple[int, int]]) -> list[int]:
+    """The least id of each row's component under links."""
+    root = {k: k for k in ids}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    for a, b in links:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    return [top(k) for k in ids]
 
 
 def similarity_components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -398,17 +552,22 @@ def similarity_components(docs: DataFrame, words: int, num: int, den: int) -> Da
 
     Null texts and texts without words have no shingles and are alone. Rows that repeat a text are linked. Rows that
     share an id are one document with several texts: it is linked with whatever one of them is. Very long texts are one
-    set like any other. A null doc_id is left alone. Extra columns fall away; an empty table gives an empty result.
+    set like any other. Ties (one token, one size) are in order of ids. A null doc_id is left alone. Extra columns,
+    whatever their names, fall away; an empty table gives an empty result.
     """
+    docs = docs.select("doc_id", "text")
     table = written(profiles(docs, words, num, den, frequent_parts(docs, words)), "profiles")
-    classes = written(table.where("n > 0 AND doc_id IS NOT NULL").groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
-    named = table.select("doc_id", "n", "set_id").join(classes, "set_id", "left")
+    full = table.where("n > 0 AND doc_id IS NOT NULL")
+    classes = written(full.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
+    named = written(table.select("doc_id", "n", "set_id").join(classes, "set_id", "left").drop("set_id"), "reps")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
     copies = written(named.where("doc_id <> rep").select("doc_id").distinct().join(reps, "doc_id", "left_anti"), "copies")
-    tokens = table.where("n > 0 AND doc_id IS NOT NULL").join(_few(copies), "doc_id", "left_anti").select("doc_id", F.explode("prefix").alias("token"))
+    tokens = full.join(_few(copies), "doc_id", "left_anti").select("doc_id", F.explode("prefix").alias("token"))
     points = table.where("n > 0").select("doc_id", "n", "point")
     links = _links(docs, tokens, points, words, num, den)
-    same = named.where("rep IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("a", "b")
+    known = named.where("rep IS NOT NULL AND doc_id IS NOT NULL")
+    shared = written(known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("doc_id", "a"), "shared")
+    same = known.join(shared, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
     root = roots(links.unionByName(same))
     out = named.join(root, named.rep == root.node, "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)

@@ -298,14 +298,15 @@ def brute_components(rows, words, num, den):
 
 
 @pytest.mark.parametrize(("words", "num", "den"), [(3, 90, 100), (5, 80, 100), (1, 50, 100)])
-@pytest.mark.parametrize("limits", [None, (300, 3)])
+@pytest.mark.parametrize("limits", [None, (100_000, 7), (300, 2048), (1, 1)])
 def test_similarity_components(spark, monkeypatch, words, num, den, limits):
-    if limits:  # blocks of large groups, and groups that skip the search by points
-        monkeypatch.setattr(simjoin, "GROUP_SHINGLES", limits[0])
-        monkeypatch.setattr(simjoin, "GROUP_POINTS", limits[1])
+    if limits:  # blocks of any size give the same
+        monkeypatch.setattr(simjoin, "BLOCK_SHINGLES", limits[0])
+        monkeypatch.setattr(simjoin, "BLOCK_ROWS", limits[1])
     rng = random.Random(words)
     base = [[f"b{j}w{k}" for k in range(70)] for j in range(2)]
-    rows = [(k, t) for k, t in enumerate(ODD)] + [(9, "same text here"), (3, "other text of id three")]
+    rows = [(k, t) for k, t in enumerate(ODD)] + [(9, "same text here"), (3, "other text of id three"), (3, "third text of id three"), (2000, "other text of id three")]
+    rows += [(3000 + k, f"a passage that all of these share and no more {k} " + " ".join(f"p{k}q{j}" for j in range(k % 5))) for k in range(40)]
     for k in range(90):
         w = list(rng.choice(base))
         for _ in range(rng.choice([0, 1, 2, 3, 6])):
@@ -333,7 +334,7 @@ def test_pipeline(spark):
     first = {r.doc_id for r in docs.collect()}
     seen = {}
     for name, stage in corpus_pipeline.STAGES:
-        docs = common.written(stage(spark, docs, sf), name, kept=True)
+        docs = common.written(stage(spark, docs, sf), name)
         if name != "packing":
             assert tuple(docs.columns) == corpus_pipeline.COLUMNS
         seen[name] = docs
@@ -358,7 +359,7 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     for table in (docs, docs.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
-            table = common.written(stage(spark, table, str(tmp_path)), name, kept=True)
+            table = common.written(stage(spark, table, str(tmp_path)), name)
         table.count()
 
 
