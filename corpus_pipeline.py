@@ -26,7 +26,6 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that importance resampling takes. Labels come from ``labels``."""
-    common.purge(spark)
     return quality.kept(common.columns_of(docs, COLUMNS), common.read(spark, sf_dir, "labels"))
 
 
@@ -36,7 +35,6 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     Texts without words are linked with nothing and stay. Rows that share a doc_id are documents of their own unless
     their texts are equal (then the least row stays) or linked. Rows without a doc_id stay.
     """
-    common.purge(spark)
     docs = common.columns_of(docs, COLUMNS)
     repeated = common.written(docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").select("doc_id"), "repeated")
     if repeated.limit(1).count():
@@ -66,19 +64,16 @@ def _join_of_rows(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced; ``n_chars`` follows the text."""
-    common.purge(spark)
     return pii.redacted(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    common.purge(spark)
     return mixing.mixed(common.columns_of(docs, COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents in their sequences."""
-    common.purge(spark)
     return packing.pack(docs)
 
 
@@ -94,8 +89,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = common.read(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    A stage's intermediate tables go as soon as its result is written, and a result as soon as the next one is. The last
+    one stays until the session ends.
+    """
+    docs, before = common.read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}", kept=True)
+        with common.scope(spark, f"stage-{name}") as tables:
+            made = stage(spark, docs, sf_dir)
+            with common.scope(spark, f"result-{name}") as result:
+                docs = common.written(made, name)
+        for done in (tables, before):
+            if done:
+                common.delete(spark, done)
+        before = result
     return docs
