@@ -5,43 +5,77 @@ Each source has a target share of all words. A document is taken ``floor(rate)``
 decides these: probabilities move along vectors of the null space of the balancing constraints (documents and
 words of the source) until all but two are 0 or 1, so both totals stay what they were. Blocks of a source are moved
 independently; the few undecided units of all blocks meet again in the next level, until a source is one block.
-There a landing problem of at most 14 units is left, decided by enumeration.
+There a landing problem of at most 14 units is left. It is decided by a linear program over its outcomes: of all
+distributions that give each unit its inclusion probability, the one whose totals stray least, then a draw from it.
+
+Sources are rows of a table like any other: their sizes, order, targets and blocks never come to the driver, only sums
+over them do.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from effectflow.llm.common import n_words, read, written
+from effectflow.llm.common import arrow_pass, n_words, read, written
 
 BLOCK = 4096
 LANDING = 12  # units beside those that the flight leaves: 2 ** 14 outcomes at most
+PIVOTS = 500  # of the linear program; any step before is a valid distribution too
 MOST_TIMES = 3
+BROADCAST_SOURCES = 100_000  # rows of some 100 bytes; more join by a shuffle
+_KEY = "doc_id long, source string, unit binary"
 _EPS = 1e-9
 
 
-def water_fill(sizes: dict[str | None, int], most: int = MOST_TIMES, weights: Sequence[int] = (1, 2, 3)) -> dict[str | None, float]:
-    """Targets by source: shares of the total by weight, at most ``most`` times a size, the excess reshared by weight."""
-    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
-    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
-    target: dict[str | None, float] = {}
-    left, open_ = float(sum(sizes.values())), list(names)
-    while open_:
-        unit = left / sum(weight[s] for s in open_)
-        full = [s for s in open_ if unit * weight[s] > most * sizes[s]]
-        if not full:
-            return target | {s: unit * weight[s] for s in open_}
-        for s in full:
-            target[s] = float(most * sizes[s])
-            left -= target[s]
-        open_ = [s for s in open_ if s not in target]
-    return target
+def weighed(sources: DataFrame, weights: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """``sources`` with ``weight``: the weights in turn by code point, null last.
+
+    Places come from a sort by ranges and the counts of the ranges (a row a shuffle partition on the driver).
+    """
+    spark = sources.sparkSession
+    order = F.col("source").asc_nulls_last()
+    dealt = written(sources.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "sources-by-name")
+    firsts, at = [], 0
+    for row in sorted(dealt.groupBy("part").count().collect()):
+        firsts.append((row["part"], at))
+        at += row["count"]
+    first = F.broadcast(spark.createDataFrame(firsts or [(0, 0)], "part int, first long"))
+    place = F.col("first") + F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1
+    turn = F.array(*[F.lit(int(w)) for w in weights])
+    return dealt.join(first, "part").withColumn("weight", turn[F.pmod(place, F.lit(len(weights))).cast("int")]).drop("part", "first")
+
+
+def water_level(sources: DataFrame, most: int = MOST_TIMES) -> float:
+    """The level of targets: each is ``level * weight``, but ``most * size`` where that is less; together all sizes.
+
+    A round shares what the full ones leave among the rest; levels only rise, and the rounds end when no more get full.
+    """
+    level = 0.0
+    total = sources.agg(F.sum("size")).first()[0] or 0
+    while True:
+        full = F.lit(level) * F.col("weight") > F.col("size") * most
+        held, open_ = sources.agg(F.sum(F.when(full, F.col("size") * most)), F.sum(F.when(~full, F.col("weight")))).first()
+        if not open_ or (now := (total - (held or 0)) / open_) <= level:
+            return level
+        level = now
+
+
+def with_targets(sources: DataFrame, most: int = MOST_TIMES, weights: Sequence[int] = (1, 2, 3)) -> DataFrame:
+    """source, size, n, target, whole, p of each source (source, size, n): how often its documents are taken at least,
+    and the probability of once more."""
+    table = written(weighed(sources, weights), "sources-weighed")
+    level = water_level(table, most)
+    target = F.least(F.lit(level) * F.col("weight"), (F.col("size") * most).cast("double"))
+    rate = F.when(F.col("size") > 0, F.col("target") / F.col("size")).otherwise(0.0)
+    whole = F.least(F.lit(most), F.floor(F.col("rate") + _EPS)).cast("int")
+    out = table.withColumn("target", target).withColumn("rate", rate).withColumn("whole", whole)
+    return out.withColumn("p", F.greatest(F.lit(0.0), F.col("rate") - F.col("whole"))).drop("rate", "weight")
 
 
 def _null_vector(rows: list[tuple[float, ...]]) -> tuple[float, ...]:
@@ -83,88 +117,140 @@ def flight(p: np.ndarray, constraints: np.ndarray, rng: np.random.Generator) ->
     return p
 
 
+def _outcomes(p: np.ndarray, cost: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of outcomes and their probabilities: least mean cost among the distributions with marginals ``p``.
+
+    The simplex method over all outcomes, from the nested ones (the k likeliest units, for each k), which always do.
+    """
+    m = len(p)
+    rows = np.vstack([bits.T, np.ones(len(bits))])
+    goal = np.append(p, 1.0)
+    likeliest = np.argsort(-p, kind="stable")
+    basis = np.concatenate(([0], np.cumsum(1 << likeliest)))
+    for _ in range(PIVOTS):
+        inverse = np.linalg.inv(rows[:, basis])
+        x = np.maximum(inverse @ goal, 0.0)
+        reduced = cost - (cost[basis] @ inverse) @ rows
+        enter = int(reduced.argmin())
+        if reduced[enter] > -1e-10:
+            break
+        change = inverse @ rows[:, enter]
+        ratio = np.full(m + 1, np.inf)
+        np.divide(x, change, out=ratio, where=change > 1e-9)
+        leave = int(ratio.argmin())
+        if not np.isfinite(ratio[leave]):
+            break
+        basis[leave] = enter
+    else:
+        x = np.maximum(np.linalg.inv(rows[:, basis]) @ goal, 0.0)
+    return basis, x / x.sum()
+
+
 def land(p: np.ndarray, constraints: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Decides all units of a source. A few units of middle size sit out the flight; they and the two that it leaves
-    are the landing problem: one of the outcomes whose words come closest to their expectation (then documents) is drawn."""
+    """Decides all units of a source. The units of most words sit out the flight; they and the two that it leaves are the
+    landing problem: an outcome is drawn, each unit with its probability, so that words stray least."""
     spare = min(len(p) // 2, LANDING)
-    first = (len(p) - spare) // 2
-    held = np.arange(first, first + spare)
+    held = np.argsort(-constraints[-1], kind="stable")[:spare]
     free = np.setdiff1d(np.arange(len(p)), held)
     p = p.copy()
     p[free] = flight(p[free], constraints[:, free], rng)
     rest = np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
     if len(rest):
-        bits = (np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1
-        off = np.abs((bits - p[rest]) @ constraints[:, rest].T)
-        best = np.lexsort((off[:, 0], off[:, 1]))[: min(8, 1 << max(0, len(rest) - 3))]
-        p[rest] = bits[rng.choice(best)]
+        bits = ((np.arange(1 << len(rest))[:, None] >> np.arange(len(rest))) & 1).astype(float)
+        off = (bits - p[rest]) @ constraints[:, rest].T
+        off = off / np.maximum(1.0, np.abs(constraints[:, rest]).max(axis=1))
+        chosen, q = _outcomes(p[rest], off[:, 1] ** 2 + 1e-3 * off[:, 0] ** 2, bits)
+        p[rest] = bits[rng.choice(chosen, p=q)]
     return np.rint(p)
 
 
-def _moved(units: DataFrame, blocks: DataFrame, level: int, seed: int) -> DataFrame:
-    """One level: units of (source, block) moved; landed where the source is one block."""
+def _moved(units: DataFrame, level: int, seed: int) -> DataFrame:
+    """One level of units (doc_id, source, unit, size, copies, p, blocks): moved within blocks of their source, landed
+    where it is one block. One block is in memory at a time."""
+    columns = ["doc_id", "source", "unit", "size", "copies", "p", "blocks"]
+    block = F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "unit"), F.col("blocks")).cast("long")
+    dealt = units.select(*columns).withColumn("block", block).repartition("source", "block")
+    dealt = dealt.sortWithinPartitions("source", "block", F.desc("size"), "doc_id", "unit")
+
+    def move(key: tuple, held: list[tuple]) -> dict:
+        ids, sources, unit, size, copies, p, blocks = zip(*held)
+        rng = np.random.default_rng(zlib.crc32(f"{seed}|{level}|{key[1]}|{key[0]!r}".encode("utf-8", "surrogatepass")))
+        rows = np.array([copies, np.array(size) * np.array(copies)], float)
+        done = (land if blocks[0] == 1 else flight)(np.array(p, float), rows, rng)
+        return dict(zip(columns[:-1], (list(ids), list(sources), list(unit), list(size), list(copies), done.tolist())))
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        key, held = None, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (row[1], row[-1]) != key:
+                    yield move(key, held)
+                    held = []
+                key = (row[1], row[-1])
+                held.append(row[:-1])
+        if held:
+            yield move(key, held)
+
+    return arrow_pass(dealt, make, f"{_KEY}, size long, copies long, p double")
 
-    def move(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["size", "unit"], ascending=[False, True], kind="stable").reset_index(drop=True)
-        source, block, alone = group["source"][0], int(group["block"][0]), int(group["blocks"][0]) == 1
-        rng = np.random.default_rng(zlib.crc32(f"{seed}|{level}|{block}|{source!r}".encode()))
-        words = (group["size"] * group["copies"]).to_numpy(float)
-        group["p"] = (land if alone else flight)(group["p"].to_numpy(float), np.stack([group["copies"].to_numpy(float), words]), rng)
-        return group[["unit", "doc_id", "source", "size", "copies", "p"]]
 
-    dealt = units.join(F.broadcast(blocks), units.source.eqNullSafe(blocks.name), "inner").drop("name")
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64(F.lit(seed + level), "unit"), F.col("blocks")).cast("long"))
-    return dealt.groupBy("source", "block").applyInPandas(move, "unit long, doc_id long, source string, size long, copies long, p double")
+def _of_source(units: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """``units`` with columns of their source; the table is broadcast if it has at most BROADCAST_SOURCES rows."""
+    few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    side = table.select(F.col("source").alias("__name"), *columns)
+    return units.join(F.broadcast(side) if few else side, units["source"].eqNullSafe(F.col("__name"))).drop("__name")
 
 
-def _blocks(counts: dict[str | None, int], spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s, -(-n // BLOCK)) for s, n in counts.items()], "name string, blocks long")
+def _unit() -> F.Column:
+    """128 bits of a text; null for null."""
+    return F.unhex(F.md5("text"))
 
 
 def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """unit, doc_id, source, size, copies, source_size, target, times: each distinct row and how often it's taken.
+    """doc_id, source, unit, size, copies, source_size, target, times: each distinct row and how often it's taken.
 
-    ``copies`` is how often the row repeats; repeated rows (one id, source and text) share a decision. Null texts
-    have size 0 and a null source is a source. The driver holds one row a source. Empty tables give an empty result;
-    where all sizes are 0, nothing is taken.
+    (doc_id, source, unit) is the key, nulls included; ``unit`` has 128 bits of the text. ``copies`` is how often the row
+    repeats; repeated rows (one id, source and text) share a decision. Null and empty texts have size 0 and weigh nothing,
+    a null source is a source, very long texts are one unit. Ties in size go by id, then text. Extra columns fall away.
+    Empty tables give an empty result; where all sizes are 0, nothing is taken.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.xxhash64("doc_id", "source", "text").alias("unit"), "doc_id", "source", n_words().alias("size"))
-    units = written(rows.groupBy("unit", "doc_id", "source", "size").agg(F.count("*").alias("copies")), "units")
-    found = {r["source"]: r for r in units.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.count("*").alias("n")).collect()}
-    sizes = {s: r["size"] for s, r in found.items()}
-    target = water_fill(sizes)
-    rate = {s: target[s] / sizes[s] if sizes[s] else 0.0 for s in sizes}
-    table = spark.createDataFrame([(s, sizes[s], target[s], min(MOST_TIMES, int(rate[s] + _EPS)), max(0.0, rate[s] - int(rate[s] + _EPS))) for s in sizes], "name string, source_size long, target double, whole int, p double")
-    joined = lambda df, columns: df.join(F.broadcast(table.select("name", *columns)), df.source.eqNullSafe(F.col("name")), "inner").drop("name")
-    left = joined(units, ["p"])
-    counts, level, parts = {s: r["n"] for s, r in found.items()}, 0, []
-    while counts:
-        moved = written(_moved(left, _blocks(counts, spark), level, seed), f"cube-{level}")
+    rows = docs.select("doc_id", "source", _unit().alias("unit"), n_words().alias("size"))
+    units = written(rows.groupBy("doc_id", "source", "unit", "size").agg(F.count("*").alias("copies")), "units")
+    sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.count("*").alias("n"))
+    table = written(with_targets(sizes).withColumnRenamed("size", "source_size"), "sources")
+    in_blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    left = _of_source(units, table.withColumn("blocks", in_blocks), "p", "blocks")
+    parts, level, waiting = [], 0, None
+    while waiting != 0:
+        moved = written(_moved(left, level, seed), f"cube-{level}")
         undecided = (F.col("p") > 0) & (F.col("p") < 1)
         parts.append(moved.where(~undecided))
         left = moved.where(undecided)
-        more = {r["source"]: r["count"] for r in left.groupBy("source").count().collect()}
-        if max(more.values(), default=0) >= max(counts.values()):
+        counts = written(left.groupBy("source").agg(F.count("*").alias("n")), "undecided")
+        now = counts.agg(F.sum("n")).first()[0] or 0
+        if waiting is not None and now >= waiting:
             raise RuntimeError("the cube method stalled")
-        counts, level = more, level + 1
-    if not parts:
-        return joined(units.withColumn("times", F.lit(0).cast("long")), ["source_size", "target"])
+        left, waiting, level = _of_source(left, counts.withColumn("blocks", in_blocks), "blocks"), now, level + 1
     decided = parts[0]
     for part in parts[1:]:
         decided = decided.unionByName(part)
-    out = joined(decided, ["source_size", "target", "whole"])
+    out = _of_source(decided, table, "source_size", "target", "whole")
     return out.withColumn("times", (F.col("whole") + F.col("p")).cast("long")).drop("whole", "p")
 
 
 def mixed(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns."""
-    taken = mix(docs, seed).where(F.col("times") > 0).select("unit", "times")
-    keyed = docs.withColumn("unit", F.xxhash64("doc_id", "source", "text"))
-    return keyed.join(taken, "unit").withColumn("times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*docs.columns)
+    """The rows of ``docs`` as often as the mix takes them, with their columns, whatever the names of further ones."""
+    taken = mix(docs, seed).where(F.col("times") > 0)
+    taken = taken.select(F.col("doc_id").alias("__id"), F.col("source").alias("__of"), F.col("unit").alias("__text"), F.col("times").alias("__times"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    keyed = docs.select(row, "doc_id", "source", _unit().alias("unit"))
+    same = keyed["doc_id"].eqNullSafe(F.col("__id")) & keyed["source"].eqNullSafe(F.col("__of")) & keyed["unit"].eqNullSafe(F.col("__text"))
+    repeated = keyed.join(taken, same).select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times"))))
+    return repeated.select("__row.*")
 
 
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents and the words that the mix takes of each."""
-    out = mix(read(spark, sf_dir, "documents")).withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    out = mix(read(spark, sf_dir, "documents"))
+    out = out.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken"))
