@@ -25,6 +25,8 @@ CAPACITY = 2048
 END_ID = 1
 BLOCK = 250  # pieces ranked in one block, or more, for at most MOST_BLOCKS beside one a length
 MOST_BLOCKS = 100_000
+PLACEMENTS_MOST = 100_000  # of 40 bytes, to be broadcast
+PLACEMENT_ROWS = 1 << 16  # ranks of one length that share a key of the join, where placements are more
 _CACHE_MOST = 100_000
 #: Texts of these characters alone are cut by the tokenizer's published word pattern; in others, each chunk that has
 #: one of them is left to the tokenizer. (Beyond Latin letters, lower-casing and composing may differ.)
@@ -51,14 +53,17 @@ class WordIds:
 
     The tokenizer drops white space and never joins across it or across its words, so a text's ids are those of its
     chunks, and a chunk's those of its words. Each chunk and word is looked up once a batch; the first
-    ``_CACHE_MOST`` of each stay for later batches.
+    ``_CACHE_MOST`` of each stay for later batches. Strings of special tokens get these tokens' ids, as in a plain call of
+    the tokenizer, unless ``special_as_text``; a chunk with one is left to the tokenizer.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join([_SPECIAL.pattern, *added]), re.IGNORECASE)
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -73,7 +78,7 @@ class WordIds:
         return found
 
     def _chunk(self, chunk: str) -> bytes:
-        if _SPECIAL.search(chunk):
+        if self.special.search(chunk):
             return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self._word, _WORD.findall(chunk.lower())))
 
@@ -90,21 +95,22 @@ class WordIds:
                 del known[chunk]
 
 
-_loaded: dict[str, WordIds] = {}
+_loaded: dict[tuple[str, bool], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
+def word_ids(path: str, special_as_text: bool = False) -> WordIds:
     """One per Python worker."""
-    if path not in _loaded:
-        _loaded[path] = WordIds(path)
-    return _loaded[path]
+    key = (path, special_as_text)
+    if key not in _loaded:
+        _loaded[key] = WordIds(*key)
+    return _loaded[key]
 
 
-def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, special_as_text: bool = False) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: full pieces of ``capacity`` ids and the rest, for every row."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder, names = word_ids(path), ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+        encoder, names = word_ids(path, special_as_text), ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
         end = END_ID.to_bytes(4, "little")
         for batch in batches:
             out: list[tuple] = []
@@ -174,22 +180,32 @@ def ranked(pieces: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     return out.withColumn("rank", F.col("rank") + F.col("first")).drop("first", "salt"), histogram
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, special_as_text: bool = False) -> DataFrame:
     """Every row's pieces in their sequences: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Null and empty texts are one piece, the end id. A text of any length is cut into full pieces and a rest. Rows
-    that repeat are packed as often. A sequence is padded to the capacity unless its ids are a power of two. An empty
-    table gives an empty result.
+    that repeat are packed as often; pieces of one length are ranked by id, start and ids, so ties are equal pieces.
+    A sequence is padded to the capacity unless its ids are a power of two. Extra columns fall away. An empty table gives
+    an empty result. Strings of special tokens in a text are those tokens; ``special_as_text`` takes them as text.
+
+    Placements are broadcast if they are at most PLACEMENTS_MOST (in practice some ten a length, whatever the number of
+    documents). More of them join by a shuffle, on length and block of ranks, so that a length that most pieces have is
+    spread over as many keys as it has blocks.
     """
     spark = docs.sparkSession
-    pieces = written(token_pieces(docs, path or tokenizer_path(), capacity), "pieces")
+    pieces = written(token_pieces(docs, path or tokenizer_path(), capacity, special_as_text), "pieces")
     with_rank, histogram = ranked(pieces)
     placements = shortest_pack_first(histogram, capacity)
-    table = spark.createDataFrame(placements or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, sequence long, offset long")
-    if len(placements) <= 100_000:  # 40 bytes each
-        table = F.broadcast(table)
-    joined = with_rank.join(table, (with_rank["length"] == table["length"]) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    return joined.select("doc_id", "start", with_rank["length"], "ids_crc32", "doc_tokens", (F.col("sequence") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    table = spark.createDataFrame(placements or [(0, 0, 0, 0, 0)], "__length long, lo long, hi long, first long, offset long")
+    inside = (F.col("length") == F.col("__length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
+    if len(placements) <= PLACEMENTS_MOST:
+        joined = with_rank.join(F.broadcast(table), inside)
+    else:
+        block = lambda rank: F.floor(rank / PLACEMENT_ROWS).cast("long")
+        cut = table.withColumn("__block", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))))
+        joined = with_rank.join(cut, inside & (block(F.col("rank")) == F.col("__block")))
+    sequence = (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id")
+    return joined.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence, "offset")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
