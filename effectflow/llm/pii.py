@@ -11,7 +11,7 @@ Base kinds, leftmost and non-overlapping within a kind (a match that fails valid
 * ``phone``: a plus sign, a digit, then digits and ``space ( ) . -``, ending in a digit; 9 to 15 digits.
 
 Added kinds: ``url_auth`` (``user:password@`` behind a scheme), ``secret`` (the value behind a cue such as
-``token =``, at least 16 characters with a digit), ``iban`` (behind its cue, as long as its country says, checked
+``token =``, at least 16 characters with a digit; cues within a value count no more), ``iban`` (behind its cue, as long as its country says, checked
 modulo 97).
 """
 
@@ -49,8 +49,9 @@ _IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AUTH = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+:[^\s:@/]+(?=@)")
-_VALUE = re.compile(r"""["']?\s*[=:]\s*["']?([A-Za-z0-9_+/=.-]{16,})""")
-_IBAN = re.compile(r"\s*[:=]?\s*([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)")
+_ASSIGN = re.compile(r"""["']?\s*+[=:]\s*+["']?""")
+_VALUE = re.compile(r"[A-Za-z0-9_+/=.-]{16,}")
+_IBAN = re.compile(r"\s*+[:=]?\s*+([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?)")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
 
@@ -108,7 +109,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     if _ANCHORS is None:
         _ANCHORS = _automaton()
     spans = []
-    email_end = ip_next = card_next = phone_next = 0
+    email_end = ip_next = card_next = phone_next = value_end = 0
     for end, (kind, size) in _ANCHORS.iter(text):
         at = end - size + 1
         if kind == 0:
@@ -145,8 +146,11 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             if m := _AUTH.match(text, end + 1):
                 spans.append(("url_auth", m.start(), m.end()))
         elif kind == 4:
-            if (m := _VALUE.match(text, end + 1)) and any(c.isdigit() for c in m[1]):
-                spans.append(("secret", m.start(1), m.end(1)))
+            # a cue within a value has the rest of that value behind it: no value is read twice
+            if (said := _ASSIGN.match(text, end + 1)) and said.end() >= value_end and (m := _VALUE.match(text, said.end())):
+                value_end = m.end()
+                if any(c.isdigit() for c in m[0]):
+                    spans.append(("secret", m.start(), m.end()))
         elif (m := _IBAN.match(text, end + 1)) and (size := _iban_end(m[1])):
             spans.append(("iban", m.start(1), m.start(1) + size))
     return sorted(set(spans), key=lambda s: (s[1], _RANK[s[0]], s[2]))
