@@ -1,8 +1,12 @@
-"""Media columns: Netpbm (P5, P6) and BMP (24 bit) to numpy arrays, area resize by integral images, NPY tiles, difference hashes.
+"""Media columns: Netpbm and BMP to numpy arrays, area resize by integral images, NPY tiles, difference hashes.
 
 A media column is a binary column. ``decode`` reads the stored bytes, ``area_resize`` averages over exact
 (fractional) boxes with a summed-area table, ``difference_hash`` compares neighbours of a 9 x 8 grey tile and
 ``npy_tile`` writes an array in the NPY format. The file headers are the formats' own.
+
+Read are Netpbm P1 to P6 (one-byte and two-byte samples of any maximum, scaled to 8 bits) and uncompressed BMP of 1, 4, 8,
+24 and 32 bits, bottom-up or top-down. Anything else, and any picture whose bytes don't fill its size, is a ValueError
+in ``decode`` and null in a column: one bad picture costs its own row only.
 """
 
 from __future__ import annotations
@@ -15,14 +19,18 @@ import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from effectflow.llm.common import per_row, plain_text, read
 
 #: Samples of a row of the picture that a text is stored as: 64 pixels of three bytes.
 ROW_BYTES = 192
+#: The formats that texts are stored in, in turn by their bytes.
+FORMATS = ("P6", "BMP", "P5")
 
-_HEADER = re.compile(rb"(P[56])(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)(?:\s|#[^\n]*\n)+(\d+)\s", re.S)
+_GAP = rb"(?:\s|#[^\n]*\n)+"
+_SIZE = _GAP + rb"(\d{1,9})"
+_HEADER = re.compile(rb"P([1-6])" + _SIZE + _SIZE)
+_MAXIMUM = re.compile(_SIZE)
 
 
 def encode_ppm(pixels: np.ndarray) -> bytes:
@@ -40,20 +48,72 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     return struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Pixels of a stored picture; ValueError where the format isn't one of those above or bytes are missing."""
-    if data[:2] == b"BM":
-        start, (width, height, planes, bits, packed) = struct.unpack_from("<I", data, 10)[0], struct.unpack_from("<iiHHI", data, 18)
-        if bits != 24 or packed or planes != 1 or width <= 0:
-            raise ValueError("only plain 24-bit BMP")
-        stride = -(-3 * width // 4) * 4
-        rows = np.frombuffer(data, np.uint8, abs(height) * stride, start).reshape(abs(height), stride)[:, : 3 * width]
-        return (rows[::-1] if height > 0 else rows).reshape(abs(height), width, 3)[:, :, ::-1]
+def _netpbm(data: bytes) -> np.ndarray:
     m = _HEADER.match(data)
-    if not m or int(m[4]) != 255:
-        raise ValueError("not an 8-bit P5, P6 or BMP")
-    shape = (int(m[3]), int(m[2])) + ((3,) if m[1] == b"P6" else ())
-    return np.frombuffer(data, np.uint8, int(np.prod(shape)), m.end()).reshape(shape)
+    if not m:
+        raise ValueError("not a Netpbm or BMP header")
+    kind, width, height, at = int(m[1]), int(m[2]), int(m[3]), m.end()
+    if not width or not height:
+        raise ValueError("a picture without pixels")
+    most = 1
+    if kind not in (1, 4):
+        top = _MAXIMUM.match(data, at)
+        if not top or not 0 < int(top[1]) < 65536:
+            raise ValueError("no maximum of samples")
+        most, at = int(top[1]), top.end()
+    shape = (height, width, 3) if kind in (3, 6) else (height, width)
+    n = width * height * (3 if kind in (3, 6) else 1)
+    if kind > 3:
+        at += 1  # one white space ends the header
+        stride = -(-width // 8)
+        size = height * stride if kind == 4 else n * (2 if most > 255 else 1)
+        if len(data) - at < size:
+            raise ValueError("bytes are missing")
+        flat = np.frombuffer(data, ">u2" if kind > 4 and most > 255 else np.uint8, size // (2 if kind > 4 and most > 255 else 1), at)
+        values = np.unpackbits(flat.reshape(height, stride), axis=1)[:, :width] if kind == 4 else flat.reshape(shape)
+    else:
+        if len(data) - at < n:  # a sample takes a byte at least
+            raise ValueError("samples are missing")
+        body = re.sub(rb"#[^\n]*", b" ", data[at:])
+        found = re.findall(rb"[01]", body) if kind == 1 else body.split()
+        if len(found) < n or any(len(x) > 5 or not x.isdigit() for x in found[:n]):
+            raise ValueError("samples are missing")
+        values = np.array([int(x) for x in found[:n]], np.int64).reshape(shape)
+    if kind in (1, 4):
+        return ((1 - values) * 255).astype(np.uint8)  # 1 is black
+    if most == 255 and values.dtype == np.uint8:
+        return values
+    return ((np.minimum(values, most).astype(np.int64) * 510 + most) // (2 * most)).astype(np.uint8)
+
+
+def _bmp(data: bytes) -> np.ndarray:
+    if len(data) < 54:
+        raise ValueError("a BMP header is 54 bytes")
+    start, header = struct.unpack_from("<II", data, 10)
+    width, signed, planes, bits, packed = struct.unpack_from("<iiHHI", data, 18)
+    height = abs(signed)
+    if header < 40 or bits not in (1, 4, 8, 24, 32) or packed or planes != 1 or width <= 0 or not height:
+        raise ValueError("only uncompressed BMP of 1, 4, 8, 24 or 32 bits")
+    stride = -(-width * bits // 32) * 4
+    if len(data) - start < height * stride:
+        raise ValueError("bytes are missing")
+    rows = np.frombuffer(data, np.uint8, height * stride, start).reshape(height, stride)
+    rows = rows if signed < 0 else rows[::-1]
+    if bits >= 24:
+        each = bits // 8
+        return rows[:, : each * width].reshape(height, width, each)[:, :, 2::-1]
+    used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
+    if used > 1 << bits or len(data) < 14 + header + 4 * used:
+        raise ValueError("no palette")
+    palette = np.zeros((1 << bits, 3), np.uint8)
+    palette[:used] = np.frombuffer(data, np.uint8, 4 * used, 14 + header).reshape(used, 4)[:, 2::-1]
+    places = np.unpackbits(rows, axis=1).reshape(height, -1, bits) @ (1 << np.arange(bits)[::-1])
+    return palette[places[:, :width]]
+
+
+def decode(data: bytes) -> np.ndarray:
+    """Pixels of a stored picture, (height, width) or (height, width, 3), 8 bits; ValueError where it can't be read."""
+    return _bmp(data) if data[:2] == b"BM" else _netpbm(data)
 
 
 def grey(pixels: np.ndarray) -> np.ndarray:
@@ -97,50 +157,66 @@ def text_payload(text: str) -> bytes:
 
 
 def text_to_media(text: str) -> tuple[int, bytes]:
-    """Unpadded bytes of the text, and the payload stored losslessly as a P6 picture of 64 columns."""
+    """Unpadded bytes of the text, and the payload stored losslessly as a picture.
+
+    Rows have 192 samples: 64 columns of P6 or BMP, 192 of P5. The checksum of the payload says which, so equal texts have
+    equal pictures.
+    """
     payload = text_payload(text)
-    return len(text.encode("utf-8", "surrogatepass")), encode_ppm(np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES // 3, 3))
+    kind = FORMATS[zlib.crc32(payload) % len(FORMATS)]
+    samples = np.frombuffer(payload, np.uint8).reshape(-1, ROW_BYTES)
+    pixels = samples if kind == "P5" else samples.reshape(-1, ROW_BYTES // 3, 3)
+    return len(text.encode("utf-8", "surrogatepass")), encode_bmp(pixels) if kind == "BMP" else encode_ppm(pixels)
 
 
 def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, media: every whole text stored as a picture; null texts are empty, rows stay as they are."""
+    """id, n_bytes, media: every whole text stored as a picture, a row each.
 
+    Null and empty texts are one row of spaces, very long ones a tall picture; repeated rows stay repeated, ties have
+    nothing to decide, extra columns fall away, an empty table gives an empty result. No shuffle.
+    """
     return per_row(docs.select(id_col, plain_text(text_col).alias("text")), lambda i, t: (i, *text_to_media(t)), f"{id_col} long, n_bytes long, media binary")
 
 
-def features(media: bytes | None) -> tuple[bytes | None, bytes | None, str | None]:
-    """Samples as stored, NPY tile and difference hash of one picture; nulls for null or unreadable bytes."""
+def _described(media: bytes | None) -> tuple[np.ndarray | None, bytes | None, str | None]:
+    """Pixels, NPY tile and difference hash; nulls for null or unreadable bytes."""
     try:
         pixels = decode(media or b"")
-    except (ValueError, struct.error):
+    except ValueError:
         return None, None, None
     plane = grey(pixels)
-    return pixels.tobytes(), npy_tile(plane), difference_hash(plane)
+    return pixels, npy_tile(plane), difference_hash(plane)
 
 
 def tiles(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """id, height, width, tile (NPY), dhash for every row of a media column; nulls where it can't be read."""
+    """id, height, width, tile (NPY), dhash for every row of a media column; nulls where it can't be read.
+
+    Null and empty bytes can't be read; repeated rows stay repeated, further columns fall away, an empty table gives an
+    empty result. A picture of any size is one row in memory. No shuffle.
+    """
 
     def row(key: int, data: bytes | None) -> tuple:
-        try:
-            pixels = decode(data or b"")
-        except (ValueError, struct.error):
-            return key, None, None, None, None
-        plane = grey(pixels)
-        return key, *pixels.shape[:2], npy_tile(plane), difference_hash(plane)
+        pixels, tile, dhash = _described(data)
+        return key, *(pixels.shape[:2] if pixels is not None else (None, None)), tile, dhash
 
     return per_row(media.select(id_col, media_col), row, f"{id_col} long, height long, width long, tile binary, dhash string")
 
 
 def digest(media: DataFrame) -> DataFrame:
-    """The contract's columns, from the stored bytes read back."""
-
-    def row(key: int, n_bytes: int, data: bytes) -> tuple:
-        payload, tile, dhash = features(data)
+    """The contract's columns, from the stored bytes read back, and the tile as it is written. A picture that can't be
+    read has nulls."""
+
+    def row(key: int, n_bytes: int, data: bytes | None) -> tuple:
+        pixels, tile, dhash = _described(data)
+        if pixels is None:
+            return key, n_bytes, None, None, None, len(data or b""), hashlib.sha256(data or b"").hexdigest(), None, None
+        payload = pixels.tobytes()
         feature = f"{dhash}:{zlib.crc32(tile):08x}"
-        return key, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature
+        said = hashlib.sha256(payload).hexdigest()
+        return key, n_bytes, len(payload), said, zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature, tile
 
-    return per_row(media.select("doc_id", "n_bytes", "media"), row, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
+    return per_row(media.select("doc_id", "n_bytes", "media"), row, kinds)
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
