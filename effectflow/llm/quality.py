@@ -10,6 +10,9 @@ else long texts would win or lose by length alone. A sample without replacement
 part best (highest mean of both classes' accuracy). Labelled rows are the ``label_bound`` of least hashed id, a
 documented bound: they are broadcast, and only the target model and the cut are fitted on them. The raw counts and
 the selection cover all rows.
+
+Each text is tokenized once: its buckets, two bytes each, are written beside the row, and counts, weights and the selection
+read those.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -59,7 +62,7 @@ def grams(text: str) -> np.ndarray:
     mixed *= np.uint32(0x2C1B3C6D)
     shift = np.uint32(32 - BUCKETS.bit_length() + 1)
     two = np.where(one[:-1] == one[1:], np.uint32(_SAME), mixed >> shift)
-    return np.concatenate((one >> shift, two)).astype(np.int64)
+    return np.concatenate((one >> shift, two)).astype(np.uint16)
 
 
 @dataclass(frozen=True)
@@ -71,9 +74,9 @@ class Model:
     smoothing: float = SMOOTHING
     cut: float = 0.0
 
-    def weight(self, text: str, in_target: bool) -> float:
-        """The log ratio of a text at the common length, its own counts taken out of both models."""
-        found, own = np.unique(grams(text), return_counts=True)
+    def weight(self, buckets: np.ndarray, in_target: bool) -> float:
+        """The log ratio of a text's n-grams at the common length, its own counts taken out of both models."""
+        found, own = np.unique(buckets, return_counts=True)
         n = own.sum()
         raw, target = self.raw.sum() - n, self.target.sum() - n * in_target
         if not n or raw <= 0 or target <= 0:
@@ -89,25 +92,20 @@ def _labelled(labels: DataFrame, bound: int) -> DataFrame:
     return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
-def _counts(docs: DataFrame) -> np.ndarray:
-    """Summed bucket counts, raw and target, of (text, target): each task sums its own, then slices are summed."""
+def _counts(bags: DataFrame) -> np.ndarray:
+    """Summed bucket counts, raw and target, of (buckets, target): each task sums its own, then slices are summed."""
     slices, width = 64, BUCKETS // 64
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            parts: dict[bool, list[np.ndarray]] = {True: [], False: []}
-            for text, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts[bool(target)].append(grams(text))
-            for target, arrays in parts.items():
-                if arrays:
-                    n = np.bincount(np.concatenate(arrays), minlength=BUCKETS)
-                    total[0] += n
-                    if target:
-                        total[1] += n
+            every = batch.column(0).to_pylist()
+            chosen = [b for b, target in zip(every, batch.column(1).to_pylist()) if target]
+            for k, parts in enumerate((every, chosen)):
+                total[k] += np.bincount(np.frombuffer(b"".join(parts), np.uint16), minlength=BUCKETS)
         yield {"slice": list(range(slices)), **{name: list(total[k].reshape(slices, width)) for k, name in enumerate(("raw", "target"))}}
 
-    partial = arrow_pass(docs, make, "slice int, raw array<long>, target array<long>")
+    partial = arrow_pass(bags, make, "slice int, raw array<long>, target array<long>")
 
     def add(key: tuple, group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, width), np.int64)
@@ -123,32 +121,48 @@ def _counts(docs: DataFrame) -> np.ndarray:
     return out
 
 
+def buckets(text: Column) -> Column:
+    """The buckets of a text, two bytes each."""
+
+    @F.arrow_udf("binary")
+    def found(texts: pa.Array) -> pa.Array:
+        return pa.array([grams(t).tobytes() for t in texts.to_pylist()], pa.binary())
+
+    return found(text)
+
+
 def weight(model: Model) -> Column:
-    """A column function of text and whether it is in the target: the log importance weight."""
+    """A column function of buckets and whether they are in the target: the log importance weight."""
 
     @F.arrow_udf("double")
-    def weigh(texts: pa.Array, targets: pa.Array) -> pa.Array:
-        return pa.array([model.weight(t, bool(g)) for t, g in zip(texts.to_pylist(), targets.to_pylist())], pa.float64())
+    def weigh(found: pa.Array, targets: pa.Array) -> pa.Array:
+        pairs = zip(found.to_pylist(), targets.to_pylist())
+        return pa.array([model.weight(np.frombuffer(b, np.uint16), bool(g)) for b, g in pairs], pa.float64())
 
     return weigh
 
 
-def _marked(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """``docs`` with ``__target`` and ``__quality``; the labelled rows, at most the bound, are broadcast."""
-    marks = known.select(F.col("doc_id").alias("__id"), F.col("quality").alias("__quality"))
-    return docs.join(F.broadcast(marks), docs["doc_id"] == F.col("__id"), "left").drop("__id").withColumn("__target", F.coalesce(F.col("__quality") == 1, F.lit(False)))
+def bags(docs: DataFrame, known: DataFrame, columns: Sequence[str] = ()) -> DataFrame:
+    """A written table: ``row`` (the ``columns`` of each row, whatever their names), ``doc_id``, ``buckets`` of the text,
+    ``quality`` (null where unknown) and ``target``. The labelled rows, at most the bound, are broadcast."""
+    tuned(docs.sparkSession)
+    marks = known.select(F.col("doc_id").alias("id"), "quality")
+    row = F.struct(*[F.col(f"`{c}`") for c in columns or ["doc_id"]]).alias("row")
+    rows = docs.select(row, "doc_id", plain_text().alias("text"))
+    marked = rows.join(F.broadcast(marks), rows["doc_id"] == F.col("id"), "left").drop("id")
+    target = F.coalesce(F.col("quality") == 1, F.lit(False)).alias("target")
+    return written(marked.select("row", "doc_id", buckets(F.col("text")).alias("buckets"), "quality", target), "bags")
 
 
-def fit(docs: DataFrame, known: DataFrame, smoothing: float = SMOOTHING) -> Model:
-    """Both models over ``docs``, and the cut on ``known`` (doc_id, quality). Without any of the target, weights and cut are 0."""
-    tuned(docs.sparkSession)
-    texts = _marked(docs, known).select(plain_text().alias("text"), "__target", "__quality")
-    raw, target = _counts(texts.select("text", "__target"))
+def fit(table: DataFrame, smoothing: float = SMOOTHING) -> Model:
+    """Both models over ``bags``, and the cut on its labelled rows. Without any of the target, weights and cut are 0."""
+    raw, target = _counts(table.select("buckets", "target"))
     model = Model(raw, target, smoothing)
     if not target.any():
         return model
-    pairs = texts.where(F.col("__quality").isNotNull()).select(weight(model)("text", "__target").alias("w"), "__quality").collect()  # the bound
-    return Model(raw, target, smoothing, _best_cut(np.array([p["w"] for p in pairs]), np.array([p["__quality"] for p in pairs]) == 1))
+    known = table.where(F.col("quality").isNotNull()).groupBy("doc_id", "quality", "target").agg(F.min("buckets").alias("buckets"))
+    pairs = known.select(weight(model)("buckets", "target").alias("w"), "quality").collect()  # one an id, so at most the bound
+    return Model(raw, target, smoothing, _best_cut(np.array([p["w"] for p in pairs]), np.array([p["quality"] for p in pairs]) == 1))
 
 
 def _best_cut(weights: np.ndarray, good: np.ndarray) -> float:
@@ -192,32 +206,36 @@ def kth_highest(scores: DataFrame, column: str, k: int, rows: int = 4096) -> flo
     return low
 
 
-def scored(docs: DataFrame, known: DataFrame, model: Model, seed: int) -> DataFrame:
-    """``docs`` with ``__weight`` and ``__score``, the weight with Gumbel noise."""
-    weighed = _marked(docs, known).withColumn("__weight", weight(model)(plain_text(), F.col("__target"))).drop("__target", "__quality")
-    return weighed.withColumn("__score", F.col("__weight") + gumbel(seed, "doc_id"))
+def scored(table: DataFrame, model: Model, seed: int) -> DataFrame:
+    """row, doc_id, log_weight, score of ``bags``: the weight, and with Gumbel noise."""
+    weighed = table.select("row", "doc_id", weight(model)("buckets", "target").alias("log_weight"))
+    return weighed.withColumn("score", F.col("log_weight") + gumbel(seed, "doc_id"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 17, label_bound: int = LABEL_BOUND) -> tuple[DataFrame, DataFrame, Model, float]:
-    """Scores of all rows (doc_id, log_weight, score), the labelled rows used, the model and the k-th highest score.
+def resample(
+    docs: DataFrame, labels: DataFrame, seed: int = 17, label_bound: int = LABEL_BOUND, columns: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame, Model, float]:
+    """Scores of all rows (doc_id, log_weight, score), the bags they come from, the model and the k-th highest score.
 
-    Null and empty texts weigh 0. Rows with one id and text tie, and ties at the k-th score all stay. Empty tables
-    and missing labels keep everything.
+    Null and empty texts weigh 0, very long ones as any other at the common length. Rows with one id and text tie, and
+    ties at the k-th score all stay. Extra columns, whatever their names, have no effect. Empty tables and missing labels
+    keep everything.
     """
     known = written(_labelled(labels, label_bound), "labelled")
-    model = fit(docs, known)
-    table = written(scored(docs, known, model, seed).select("doc_id", F.col("__weight").alias("log_weight"), F.col("__score").alias("score")), "scores")
-    k = table.where(F.col("log_weight") >= model.cut).count()
-    return table, known, model, kth_highest(table, "score", k)
+    table = bags(docs, known, columns)
+    model = fit(table)
+    scores = written(scored(table, model, seed).drop("row"), "scores")
+    k = scores.where(F.col("log_weight") >= model.cut).count()
+    return scores, table, model, kth_highest(scores, "score", k)
 
 
 def kept(docs: DataFrame, labels: DataFrame, seed: int = 17) -> DataFrame:
-    """The rows of ``docs`` that the sample takes, with their columns; texts aren't shuffled, they are weighed again."""
-    _, known, model, least = resample(docs, labels, seed)
-    return scored(docs, known, model, seed).where(F.col("__score") >= least).select(*docs.columns)
+    """The rows of ``docs`` that the sample takes, with their columns: read back from the bags, no shuffle."""
+    _, table, model, least = resample(docs, labels, seed, columns=docs.columns)
+    return scored(table, model, seed).where(F.col("score") >= least).select("row.*")
 
 
 def op1_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's weight and score, and whether the sample keeps it."""
-    table, _, _, least = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return table.withColumn("kept", F.col("score") >= least)
+    scores, _, _, least = resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "log_weight", "score", (F.col("score") >= least).alias("kept"))
