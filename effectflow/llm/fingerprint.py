@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from effectflow.llm.common import BATCH_ROWS, arrow_pass, plain_text, read, tuned
+from effectflow.llm.common import BATCH_ROWS, arrow_pass, per_row, plain_text, read, tuned, written
 
 WINDOW, SMALLEST, MOST_CHUNKS = 7, 3, 64
 _B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -116,9 +116,8 @@ def likeness(a: str, b: str) -> float:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and fingerprint of every row's whole text; null texts are empty. No shuffle."""
-    from effectflow.llm.common import per_row
-
+    """id and fingerprint of every row's whole text, however long; null texts are empty, repeated rows stay, extra columns
+    fall away. No shuffle."""
     return per_row(docs.select(id_col, plain_text(text_col).alias("text")), lambda i, t: (i, fingerprint(t)), f"{id_col} long, fingerprint string")
 
 
@@ -128,62 +127,72 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of (id, text) dealt to ranges of descending ids, with the first row of the next range behind each range.
+RANGE_BYTES = 64 << 20  # of stored input that a range has, about
 
-    Columns: part, key, text, guest. One shuffle of the texts; the guests are one row a range, so a task sees each
-    of its rows and the one that follows it. Bounds come from quantiles of the ids, one range a shuffle partition.
-    Rows of one id are in order of their texts. A null id comes last.
-    """
+
+def _ranges(docs: DataFrame) -> int:
+    """Ranges for ``docs``, by the size that the optimizer knows of its files; at least the shuffle partitions."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("key"), plain_text().alias("text"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(rows.approxQuantile("key", [k / n for k in range(1, n)], 1 / (4 * n)))) if n > 1 else []
-    part = F.lit(len(bounds))  # nulls
-    if bounds:
-        edges = F.array(*[F.lit(int(b)) for b in bounds])
-        part = F.when(F.col("key").isNull(), len(bounds)).otherwise(F.size(F.filter(edges, lambda b: b > F.col("key"))))
-    rows = rows.withColumn("part", part.cast("int"))
-    # the first row of each range: the highest id, its least text
-    heads = rows.groupBy("part").agg(F.max("key").alias("key")).collect()  # one row a range: at most shuffle partitions
-    heads.sort(key=lambda r: r["part"])
-    if not heads:
-        return rows.withColumn("guest", F.lit(False))
-    before = {h["part"]: heads[k - 1]["part"] for k, h in enumerate(heads)}
-    table = spark.createDataFrame([(h["part"], h["key"], before[h["part"]], h["part"] == heads[0]["part"]) for h in heads], "part int, key long, prior int, wraps boolean")
-    first = rows.join(F.broadcast(table), (rows.part == table.part) & rows.key.eqNullSafe(table.key)).groupBy(table.prior.alias("part"), rows.key).agg(F.min("text").alias("text")).select("key", "text", "part", F.lit(True).alias("guest"))
-    dealt = rows.withColumn("guest", F.lit(False)).unionByName(first)
-    return dealt.repartition(n, "part").sortWithinPartitions("part", "guest", F.col("key").desc_nulls_last(), "text")
-
-
-def compare_with_next(docs: DataFrame) -> DataFrame:
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(least, min(-(-size // RANGE_BYTES), 1 << 20)) if size < 1 << 60 else least  # beyond: not known
+
+
+def _row(key: int | None, text: str, print_: str, following: str, following_print: str) -> tuple:
+    changed = edited(text, following)
+    other = fingerprint(changed)
+    said = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest()
+    return key, len(text), said, print_, other, likeness(print_, other), likeness(print_, following_print)
+
+
+_RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+
+
+def compare_with_next(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The contract of the query: fingerprints of each text and its edited text, and their likenesses.
 
     The edited text takes its end from the next document by descending id, the last from the first (a single row
-    from itself). Null texts are empty; an empty table gives an empty result.
+    from itself). Null ids come last; rows of one id are in order of a hash of their texts, then of the texts. Null texts
+    are empty; very long ones are whole; repeated rows each get their row; extra columns fall away; an empty table gives
+    an empty result.
+
+    One shuffle deals the texts to ranges of (id, hash), so rows that share an id, or have none, are ranges like any
+    other. Each range compares its rows in one pass and leaves its first and last text beside its results; the last
+    row of each range is then compared with the first of the next one.
     """
-    dealt = tuned(docs.sparkSession) and with_next(docs).select("part", "key", "text", "guest")
-    names = ("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    spark = tuned(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("key"), plain_text().alias("text")).withColumn("hash", F.xxhash64("text"))
+    order = [F.col("key").desc_nulls_last(), F.col("hash")]
+    dealt = rows.repartitionByRange(_ranges(docs), *order).sortWithinPartitions(*order, "text").select("key", "text")
+    names = [part.split()[0] for part in _RESULT.split(",")]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        out: list[tuple] = []
-        held = None  # part, key, text, fingerprint
+        from pyspark import TaskContext
 
+        part, first, held, out = TaskContext.get().partitionId(), None, None, []
         for batch in batches:
-            for part, key, text, guest in zip(*(c.to_pylist() for c in batch.columns)):
+            for key, text in zip(*(c.to_pylist() for c in batch.columns)):
                 print_ = fingerprint(text)
-                if held and held[0] == part:
-                    changed = edited(held[2], text)
-                    other = fingerprint(changed)
-                    out.append((held[1], len(held[2]), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), held[3], other, likeness(held[3], other), likeness(held[3], print_)))
-                held = None if guest else (part, key, text, print_)
+                if held is None:
+                    first = text
+                else:
+                    out.append((*_row(*held, text, print_), None, None, None))
+                held = (key, text, print_)
                 if len(out) >= BATCH_ROWS:
-                    yield dict(zip(names, map(list, zip(*out))))
+                    yield dict(zip((*names, "part", "head", "tail"), map(list, zip(*out))))
                     out = []
-        if out:
-            yield dict(zip(names, map(list, zip(*out))))
-
-    return arrow_pass(dealt, make, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+        if held is not None:
+            out.append((held[0], *[None] * 6, part, first, held[1]))
+            yield dict(zip((*names, "part", "head", "tail"), map(list, zip(*out))))
+
+    found = written(arrow_pass(dealt, make, f"{_RESULT}, part int, head string, tail string"), "ranges")
+    ends = found.where("part IS NOT NULL").select(F.col("doc_id").alias("key"), "part", "head", "tail")
+    parts = sorted(r["part"] for r in ends.select("part").collect())  # a number a range
+    follows = spark.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]])) or [(-1, -1)], "part int, next int")
+    heads = ends.select(F.col("part").alias("next"), F.col("head").alias("following"))
+    pairs = ends.join(F.broadcast(follows), "part").join(heads, "next").select("key", "tail", "following")
+    last = per_row(pairs, lambda key, text, following: _row(key, text, fingerprint(text), following, fingerprint(following)), _RESULT)
+    return found.where("part IS NULL").select(*names).unionByName(last)
 
 
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
