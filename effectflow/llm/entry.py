@@ -25,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": urlfilter.SQL}
+    """Text operators whose results SQL can express; op6's compares all pairs and suits small tables only."""
+    return {"op5_url_filter": urlfilter.SQL, "op6_jaccard_join": simjoin.SQL, "op8_prefix_targets": chat.SQL}

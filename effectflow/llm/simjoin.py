@@ -577,3 +577,22 @@ def similarity_components(docs: DataFrame, words: int, num: int, den: int) -> Da
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents with three-word shingles at a Jaccard of 0.9."""
     return similarity_components(read(spark, sf_dir, "documents"), 3, 90, 100)
+
+
+SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM texts
+), sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)
+), steps AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM sizes UNION SELECT reached.doc_id, steps.b FROM reached JOIN steps ON reached.other = steps.a
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(least_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS least_id FROM reached GROUP BY doc_id) USING (doc_id)
+"""

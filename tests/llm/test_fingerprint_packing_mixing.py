@@ -60,6 +60,65 @@ def test_common_subsequence():
         assert fingerprint._common(a, b) == row[-1]
 
 
+def plain_fingerprint(text):
+    """The definition, a byte at a time."""
+    data = text.encode("utf-8", "surrogatepass")
+    if not data:
+        return "0::"
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rolled, window = [], [0] * 7
+    for byte in data:
+        window = [*window[1:], byte]
+        mixed = 0
+        for back, c in enumerate(window[::-1]):
+            mixed ^= c << 5 * back & 0xFFFFFFFF
+        h = sum(window) + sum(c * (k + 1) for k, c in enumerate(window)) + mixed & 0xFFFFFFFF
+        h = (h ^ h >> 15) * 0x2C1B3C6D & 0xFFFFFFFF
+        rolled.append(h ^ h >> 13)
+
+    def chunks(level):
+        out, chunk = [], []
+        for k, byte in enumerate(data):
+            chunk.append(byte)
+            if k == len(data) - 1 or (rolled[k] + 1 & 0xFFFFFFFF) % (3 << level) == 0:
+                out.append(chunk)
+                chunk = []
+        return out
+
+    def codes(level):
+        said = ""
+        for chunk in chunks(level):
+            h, power = 0, 1
+            for byte in chunk:
+                h, power = (h + (byte + 1) * power) % 2**64, power * 0x9E3779B97F4A7C15 % 2**64
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 % 2**64
+            said += letters[h >> 58] + letters[h >> 52 & 63]
+        return said
+
+    level = next(k for k in range(40) if len(chunks(k)) <= 64)
+    return f"{level}:{codes(level)}:{codes(level + 1)}"
+
+
+def plain_likeness(a, b):
+    """By edit distance without replacement, at the levels that both have."""
+    if a == b:
+        return 1.0
+    (la, *pa), (lb, *pb) = a.split(":"), b.split(":")
+    best = 0.0
+    for i, x in enumerate(pa):
+        for j, y in enumerate(pb):
+            if int(la) + i == int(lb) + j and x and y:
+                p, q = ([t[k : k + 2] for k in range(0, len(t), 2)] for t in (x, y))
+                row = list(range(len(q) + 1))
+                for m, c in enumerate(p):
+                    new = [m + 1]
+                    for n, d in enumerate(q):
+                        new.append(row[n] if c == d else 1 + min(row[n + 1], new[-1]))
+                    row = new
+                best = max(best, 1 - row[-1] / (len(p) + len(q)))
+    return best
+
+
 def test_fingerprints_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in fingerprint.op3_fingerprints(spark, SF).collect()}
@@ -70,16 +129,27 @@ def test_fingerprints_of_documents(spark):
         t, n = texts[d], texts[order[(k + 1) % len(order)]]
         e = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
         r = got[d]
-        assert (r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) == (len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint.fingerprint(t), fingerprint.fingerprint(e))
-        assert r.near_next == fingerprint.likeness(r.fingerprint, fingerprint.fingerprint(n)) and 0 <= r.near_edited <= 1
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
+        assert (r.fingerprint, r.edited_fingerprint) == (fingerprint.fingerprint(t), fingerprint.fingerprint(e))
+        if len(t) + len(n) < 3000:
+            assert (r.fingerprint, r.edited_fingerprint) == (plain_fingerprint(t), plain_fingerprint(e))
+            assert r.near_edited == pytest.approx(plain_likeness(r.fingerprint, r.edited_fingerprint))
+            assert r.near_next == pytest.approx(plain_likeness(r.fingerprint, plain_fingerprint(n)))
     assert sum(r.near_edited for r in got.values()) / len(got) > 0.6 > 0.15 > sum(r.near_next for r in got.values()) / len(got)
 
 
 def test_fingerprints_of_odd_rows(spark):
-    docs = odd_docs(spark)
-    got = fingerprint.compare_with_next(docs).collect()
-    assert len(got) == docs.count()
-    assert len({r.fingerprint for r in got if r.doc_id in (9, 10)}) == 1
+    docs = odd_docs(spark).unionByName(odd_docs(spark).limit(4)).unionByName(spark.createDataFrame([(3, f"text {k} of id three", None, None, None, None) for k in range(9)] + [(None, f"text {k} of no id", None, None, None, None) for k in range(9)], DOCS))
+    hashed = docs.selectExpr("doc_id", "coalesce(text, '') AS text", "xxhash64(coalesce(text, '')) AS h").collect()
+    order = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), r.h, r.text))
+    want = []
+    for k, r in enumerate(order):
+        t, n = r.text, order[(k + 1) % len(order)].text
+        e = t[: len(t) - len(t) // 3] + n[: len(t) // 3]
+        want.append((r.doc_id, len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprint.fingerprint(t), fingerprint.fingerprint(e), fingerprint.likeness(fingerprint.fingerprint(t), fingerprint.fingerprint(n))))
+    for parts in (1, 5):
+        got = fingerprint.compare_with_next(docs.repartition(parts)).drop("near_edited").collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     assert fingerprint.compare_with_next(docs.limit(0)).count() == 0
     one = fingerprint.compare_with_next(docs.where("doc_id = 7")).first()
     assert one.near_next == 1.0
@@ -123,7 +193,6 @@ def test_packed_documents(spark, monkeypatch):
     monkeypatch.setattr(packing, "BLOCK", 3)  # several salted blocks a length
     docs = odd_docs(spark).unionByName(spark.read.parquet(f"{SF}/documents.parquet").limit(60).selectExpr("doc_id + 100 AS doc_id", "text", "lang", "source", "n_chars", "'x' AS size"))
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     want = defaultdict(int)
     for r in docs.collect():
         ids = t.encode(r.text or "", add_special_tokens=False).ids + [1]
@@ -141,6 +210,29 @@ def test_packed_documents(spark, monkeypatch):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("as_text", [False, True])
+def test_ids_are_those_of_the_plain_call(as_text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.tokenizer_path())
+    if as_text:
+        t.encode_special_tokens = True
+    rng = random.Random(7)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|", "|>", "endoftext", " ", "  ", "\n", "a", "B", "don't", "12", "½", "ü", "İ", "ﬁ", "_", "!?", "\x1c", "\xa0", "e\u0301", "word", "中文", "😀", "'LL", "</w>"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(0, 12))) for _ in range(4000)] + ["a <|endoftext|> b", "a<|endoftext|>b"]
+    for ids, text in zip(packing.WordIds(packing.tokenizer_path(), as_text).ids(texts), texts):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_many_placements_join_by_blocks(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = lambda: sorted(map(tuple, packing.pack(docs, capacity=64).collect()))
+    few = rows()
+    monkeypatch.setattr(packing, "PLACEMENTS_MOST", -1)
+    monkeypatch.setattr(packing, "PLACEMENT_ROWS", 7)
+    assert rows() == few
+
+
 # Token counts
 
 def test_token_counts(spark):
@@ -178,11 +270,57 @@ def test_scan_of_any_blocks(spark, seed):
 
 # Mixing
 
-def test_water_fill():
-    got = mixing.water_fill({"b": 100, "a": 10, None: 1000, "c": 0})
-    # a weighs 1, b 2, c 3, null 1
-    assert got["a"] == 30 and got["c"] == 0 and sum(got.values()) == pytest.approx(1110) and got["b"] == 300 and got[None] == pytest.approx(780)
-    assert mixing.water_fill({}) == {} and mixing.water_fill({"a": 0}) == {"a": 0}
+def water_fill(sizes, most=3, weights=(1, 2, 3)):
+    """Targets by source, a source at a time."""
+    names = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    target, left = {}, float(sum(sizes.values()))
+    open_ = list(names)
+    while open_:
+        unit = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if unit * weight[s] > most * sizes[s]]
+        if not full:
+            return target | {s: unit * weight[s] for s in open_}
+        for s in full:
+            target[s] = float(most * sizes[s])
+            left -= target[s]
+        open_ = [s for s in open_ if s not in target]
+    return target
+
+
+def test_targets(spark):
+    rng = random.Random(3)
+    cases = [{"b": 100, "a": 10, None: 1000, "c": 0}, {"a": 0}, {None: 5}, {}]
+    cases += [{rng.choice("aäÄzß😀\uffee") + str(k): int(rng.paretovariate(0.4)) for k in range(200)} | {None: 7}]
+    for sizes in cases:
+        table = spark.createDataFrame([(s, n, 1) for s, n in sizes.items()], "source string, size long, n long").repartition(3)
+        got = {r.source: r for r in mixing.with_targets(table).collect()}
+        want = water_fill(sizes)
+        assert got.keys() == want.keys()
+        for s, r in got.items():
+            assert r.target == pytest.approx(want[s]) and 0 <= r.p < 1 and r.whole + r.p <= 3
+            assert r.whole + r.p == pytest.approx(want[s] / sizes[s] if sizes[s] else 0, abs=1e-6)
+
+
+def test_landing_keeps_probabilities_and_totals():
+    rng = np.random.default_rng(1)
+    for n in (1, 2, 3, 7, 40):
+        words = np.maximum(1, np.exp(rng.normal(4, 1, n))).round()
+        p, rows = rng.random(n), np.stack([np.ones(n), words])
+        mean = np.zeros(n)
+        off = []
+        for seed in range(500):
+            q = mixing.land(p, rows, np.random.default_rng(seed))
+            assert set(q) <= {0.0, 1.0}
+            mean += q / 500
+            off.append(abs((q - p) @ words))
+        assert np.abs(mean - p).max() < 0.1
+        assert n < 40 or np.mean(off) < 0.02 * words.sum()
+    for n in (1, 4, 8):  # the program's distribution has these marginals exactly
+        p = rng.random(n)
+        bits = ((np.arange(1 << n)[:, None] >> np.arange(n)) & 1).astype(float)
+        chosen, q = mixing._outcomes(p, rng.random(1 << n), bits)
+        assert np.allclose(q @ bits[chosen], p) and (q >= 0).all() and np.isclose(q.sum(), 1)
 
 
 def test_flight_keeps_totals_and_probabilities():
@@ -211,7 +349,7 @@ def test_mix(spark, monkeypatch):
         total[r.source][0] += r.size * r.times * r.copies
         total[r.source][1] = r.target
         total[r.source][2] += r.size * r.copies
-    want = mixing.water_fill({s: v[2] for s, v in total.items()})
+    want = water_fill({s: v[2] for s, v in total.items()})
     for s, (taken, target, _) in total.items():
         assert target == pytest.approx(want[s]) and abs(taken - target) < 0.02 * target
     out = mixing.mixed(docs)
@@ -225,6 +363,55 @@ def test_mix_of_odd_rows(spark):
     assert {r.times for r in mixing.mix(docs.where("trim(text) = ''")).collect()} <= {0}
 
 
+def test_keys_of_the_mix(spark):
+    """Nulls in different columns, repeated rows, repeated ids and clashing names."""
+    names = "doc_id long, text string, lang string, source string, n_chars long, unit string, times int, p string, `a.b` string, size int, copies int, target int, __id string"
+    odd = [(1, None, "x"), (1, "x", None), (1, "x", "x"), (None, "x", "x"), (None, None, None), (1, None, None), (2, "same words here", "x"), (2, "other words here", "x"), (2, "same words here", "y")]
+    rng = random.Random(2)
+    rows = [*odd, odd[6], odd[1], odd[0]] + [(k, "w " * rng.randrange(1, 50), rng.choice(["x", None, "y"])) for k in range(10, 300)]
+    docs = spark.createDataFrame([(d, t, None, s, 0, "u", 9, "p", "ab", 1, 2, 3, "id") for d, t, s in rows], names).repartition(4)
+    got = mixing.mix(docs).collect()
+    copies, sizes = defaultdict(int), defaultdict(int)
+    for d, t, s in rows:
+        copies[(d, s, hashlib.md5(t.encode()).digest() if t is not None else None)] += 1
+        sizes[s] += len((t or "").split())
+    assert {(r.doc_id, r.source, bytes(r.unit) if r.unit is not None else None): r.copies for r in got} == copies
+    want = water_fill(dict(sizes))
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source]) and 0 <= r.times <= 3
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    taken = defaultdict(int)
+    for r in out.collect():
+        taken[(r.doc_id, r.source, hashlib.md5(r.text.encode()).digest() if r.text is not None else None)] += 1
+    assert taken == {(r.doc_id, r.source, bytes(r.unit) if r.unit is not None else None): r.times * r.copies for r in got if r.times}
+
+
+def test_mix_of_very_many_sources(spark):
+    n = 100_000
+    docs = spark.range(n + 3000).selectExpr("id AS doc_id", f"repeat('w ', cast(1 + id % 7 AS int)) AS text", f"concat('host', lpad(cast(least(id, {n}) AS string), 7, '0')) AS source")
+    got = mixing.mix(docs).selectExpr("count(*) AS n", "count(DISTINCT source) AS sources", "sum(size * times) AS taken", "sum(size) AS size", "max(times) AS most").first()
+    assert (got.n, got.sources) == (n + 3000, n + 1) and got.most <= 3 and abs(got.taken - got.size) < 0.02 * got.size
+
+
+def test_whole_query_of_the_mix(spark):
+    got = mixing.op2_source_mix(spark, "/root/testdata/sf0.01").collect()
+    words = {r.doc_id: (r.source, len(__import__("re").findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    sizes = defaultdict(int)
+    for source, size in words.values():
+        sizes[source] += size
+    want, taken = water_fill(dict(sizes)), defaultdict(int)
+    assert {r.doc_id: (r.source, r.size) for r in got} == words and len(got) == len(words)
+    for r in got:
+        assert r.source_size == sizes[r.source] and r.target == pytest.approx(want[r.source])
+        assert r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0)
+        taken[r.source] += r.taken
+    for source, target in want.items():
+        assert abs(taken[source] - target) < 0.03 * target, source
+    again = mixing.op2_source_mix(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 # Quality
 
 def test_kth_highest(spark):
@@ -236,21 +423,61 @@ def test_kth_highest(spark):
     assert quality.kth_highest(table, "v", 0) == float("inf")
 
 
-def test_models_against_brute_force(spark):
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    model = quality.fit(docs, labels.select("doc_id", "quality"))
-    good = {r.doc_id for r in labels.collect() if r.quality == 1}
-    raw, target = np.zeros(quality.BUCKETS), np.zeros(quality.BUCKETS)
-    for r in docs.collect():
-        n = np.bincount(quality.grams(r.text or ""), minlength=quality.BUCKETS)
-        raw += n
-        target += n * (r.doc_id in good)
-    assert (model.raw == raw).all() and (model.target == target).all()
-    for r in docs.limit(20).collect():
-        n = np.bincount(quality.grams(r.text or ""), minlength=quality.BUCKETS)
-        mine = r.doc_id in good
-        t, w = target - n * mine, raw - n
-        assert np.isclose(model.weight(r.text or "", mine), (n * np.log((t + 2) / (w * t.sum() / w.sum() + 2))).sum() * 100 / (n.sum() + 20))
+def plain_buckets(text):
+    """N-grams of a text to buckets, a token at a time."""
+    import re
+
+    low = 0xFFFFFFFF
+    hashes = [zlib.crc32(t.encode("utf-8", "surrogatepass")) * 0x9E3779B1 & low for t in re.findall(r"\w+|[^\w\s]+", text.lower())]
+    out = [h >> 16 for h in hashes]
+    for a, b in zip(hashes, hashes[1:]):
+        h = a * 0x85EBCA6B + (b ^ b >> 7) * 0xC2B2AE35 & low
+        h = (h ^ h >> 15) * 0x2C1B3C6D & low
+        out.append(1 if a == b else h >> 16)
+    return out
+
+
+def test_selection_against_brute_force(spark, tmp_path):
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(120)
+    rows = [tuple(r) for r in base.collect()] + [(9000, None), (9001, ""), (9002, "a"), (9003, "tie tie"), (9003, "tie tie"), (None, "no id"), (9004, "word " * 3000)]
+    docs = spark.createDataFrame([(d, t, "c", "c") for d, t in rows], "doc_id long, text string, score string, quality string")
+    known = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()} | {9002: 0}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(list(known.items()) + [(9003, None), (None, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    bags = [np.bincount(plain_buckets(t or ""), minlength=quality.BUCKETS) for _, t in rows]
+    mine = [known.get(d) == 1 for d, _ in rows]
+    raw, target = sum(bags), sum(n * m for n, m in zip(bags, mine))
+    weights = []
+    for n, m in zip(bags, mine):
+        r, t, k = raw - n, target - n * m, n.sum()
+        at = np.flatnonzero(n)
+        ratio = np.log((t[at] + 2.0) / (r[at] * (t.sum() / r.sum()) + 2.0))
+        weights.append(float((n[at] * ratio).sum() * 100 / (k + 20)) if k else 0.0)
+    labelled = [(w, known[d] == 1) for (d, _), w in zip(rows, weights) if d in known]
+    cuts = sorted({w for w, _ in labelled})
+    middles = [(a + b) / 2 for a, b in zip(cuts, cuts[1:])]
+    good = sum(g for _, g in labelled)
+    accuracy = {c: sum(w >= c for w, g in labelled if g) / good + sum(w < c for w, g in labelled if not g) / (len(labelled) - good) for c in middles}
+    gap = {c: b - a for c, a, b in zip(middles, cuts, cuts[1:])}
+    cut = max((c for c in middles if accuracy[c] >= max(accuracy.values()) - 1e-12), key=lambda c: gap[c])
+    got = quality.op1_importance_resampling(spark, str(tmp_path)).collect()
+    noise = {r.doc_id: r.g for r in docs.select("doc_id", quality.gumbel(17, "doc_id").alias("g")).collect()}
+    scores = sorted(((w + noise[d]) for (d, _), w in zip(rows, weights)), reverse=True)
+    least = scores[sum(w >= cut for w in weights) - 1]
+    want = sorted((str(d), round(w, 6), round(w + noise[d], 6), w + noise[d] >= least - 1e-9) for (d, _), w in zip(rows, weights))
+    assert sorted((str(r.doc_id), round(r.log_weight, 6), round(r.score, 6), r.kept) for r in got) == want
+    assert 0 < sum(r.kept for r in got) < len(got)
+
+
+def test_ties_at_the_cut_all_stay(spark):
+    docs = spark.createDataFrame([(4, "tie tie tie")] * 5 + [(k, f"good words here {k}") for k in range(10, 30)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 25)) for k in range(10, 30)], "doc_id long, quality int")
+    scores, _, _, least = quality.resample(docs, labels)
+    tied = [r.score for r in scores.where("doc_id = 4").collect()]
+    assert len(set(tied)) == 1 and len(tied) == 5
+    assert quality.kth_highest(scores, "score", 1 + scores.where(f"score > {tied[0]!r}").count()) == tied[0]
+    kept = quality.kept(docs, labels)
+    assert kept.where("doc_id = 4").count() in (0, 5) and kept.columns == docs.columns
 
 
 def test_quality_on_held_out_labels(spark):
@@ -355,12 +582,54 @@ def test_pipeline(spark):
 
 def test_pipeline_of_odd_rows(spark, tmp_path):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    docs = odd_docs(spark)
+    from effectflow.llm import pii
+
+    docs = odd_docs(spark).unionByName(odd_docs(spark).where("doc_id = 3"))
     spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    for table in (docs, docs.limit(0)):
-        for name, stage in corpus_pipeline.STAGES:
-            table = common.written(stage(spark, table, str(tmp_path)), name)
-        table.count()
+    seen, table = {}, docs
+    for name, stage in corpus_pipeline.STAGES:
+        table = seen[name] = common.written(stage(spark, table, str(tmp_path)), name)
+    plain = lambda df: sorted(map(str, map(tuple, df.select(*corpus_pipeline.COLUMNS).collect())))
+    assert plain(seen["quality_classifier"]) == plain(docs)  # one label says nothing
+    rows = docs.select(*corpus_pipeline.COLUMNS).collect()
+    _, find = brute_components([(r.doc_id, r.text) for r in rows if r.doc_id is not None], 5, 80, 100)
+    once = {str(tuple(r)) for r in rows if r.doc_id is None or find(r.doc_id) == r.doc_id}
+    assert plain(seen["jaccard_join"]) == sorted(once)
+    masked = [(r.doc_id, r.text and pii.redact(r.text, pii.find_spans(r.text))) for r in seen["jaccard_join"].collect()]
+    assert sorted(map(str, masked)) == sorted(str((r.doc_id, r.text)) for r in seen["personal_data"].collect())
+    sure = {str(tuple(r)) for r in seen["personal_data"].select(*corpus_pipeline.COLUMNS).collect()}
+    assert set(plain(seen["source_mix"])) <= sure
+    pieces = seen["packing"].collect()
+    assert sorted(str(r.doc_id) for r in pieces if r.start == 0) == sorted(str(r.doc_id) for r in seen["source_mix"].collect())
+    for name, stage in corpus_pipeline.STAGES:
+        empty = common.written(stage(spark, (docs if name == "quality_classifier" else seen["jaccard_join"]).limit(0), str(tmp_path)), name)
+        assert empty.count() == 0
+
+
+def test_folders_of_a_run(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from pathlib import Path
+
+    shared = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = {p.name for p in shared.iterdir()}
+    out = corpus_pipeline.run(spark, SF)
+    left = {p.name for p in shared.iterdir()} - before
+    assert len(left) == 1 and left.pop().startswith("result-packing") and out.count()
+
+
+def test_folder_must_be_shared(spark, monkeypatch):
+    class Elsewhere:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Elsewhere()
+        conf = type("Conf", (), {"get": lambda self, key, default=None: default})()
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
 
 
 def test_join_keeps_every_text_of_a_shared_id(spark):

@@ -1,8 +1,12 @@
 import fnmatch
 import hashlib
+import io
 import random
 import re
+import struct
+import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -71,8 +75,74 @@ def test_pictures_round_trip():
         tile = np.load(__import__("io").BytesIO(media.npy_tile(plane)))
         assert tile.shape == (16, 16) and tile.dtype == np.uint8
     assert media.decode(b"P5\n# note\n2 1\n255\nab").tolist() == [[97, 98]]
-    for bad in (b"", b"P6\n2 2\n255\nabc", b"GIF89a", b"BM"):
-        assert media.features(bad) == (None, None, None)
+
+
+def bmp(bits, width, height, rows, palette=b"", packed=0):
+    start = 54 + len(palette)
+    return struct.pack("<2sIHHI", b"BM", start + len(rows), 0, 0, start) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, bits, packed, len(rows), 0, 0, len(palette) // 4, 0) + palette + rows
+
+
+def test_other_formats():
+    assert media.decode(b"P1\n# note\n3 2\n1 0 1\n0 1 0").tolist() == [[0, 255, 0], [255, 0, 255]]
+    assert media.decode(b"P4 3 2\n\xa0\x40").tolist() == [[0, 255, 0], [255, 0, 255]]
+    assert media.decode(b"P2 3 1 15\n0 # zero\n15 3").tolist() == [[0, 255, 51]]
+    assert media.decode(b"P3 1 1 1 0 1 1").tolist() == [[[0, 255, 255]]]
+    assert media.decode(b"P5 2 1 65535\n\x00\x00\xff\xff").tolist() == [[0, 255]]
+    assert media.decode(b"P5 2 1 3\n\x01\x09").tolist() == [[85, 255]]  # more than the maximum is the maximum
+    colours = bytes([0, 0, 255, 0, 255, 0, 0, 0])
+    assert media.decode(bmp(1, 3, -2, b"\xa0\0\0\0\x40\0\0\0", colours))[:, :, 0].tolist() == [[0, 255, 0], [255, 0, 255]]
+    assert media.decode(bmp(4, 2, 1, b"\x10\0\0\0", colours)).tolist() == [[[0, 0, 255], [255, 0, 0]]]
+    assert media.decode(bmp(8, 2, 1, b"\x01\x00\0\0", colours)).tolist() == [[[0, 0, 255], [255, 0, 0]]]
+    assert media.decode(bmp(32, 1, 1, b"\x01\x02\x03\xff")).tolist() == [[[3, 2, 1]]]
+
+
+def test_bad_pictures_are_null(spark):
+    bad = [
+        None, b"", b"P6\n2 2\n255\nabc", b"GIF89a", b"BM", b"P5 0 5 255\n", b"P6 5 0 255\n", b"P5 99999999999999999999 1 255\n", b"P5 999999999 999999999 255\n", b"P5 1 1 0\n\0", b"P5 1 1 70000\n\0\0",
+        b"P2 2 2 9 1 2 3", b"P3 1 1 9 a b c", b"P1 9999 9999 1", b"P7\n", bmp(24, 0, 1, b""), bmp(24, 1, 0, b""), bmp(24, 9, 9, b"\0"), bmp(24, -1, 1, b"\0" * 4), bmp(8, 1, 1, b"\0" * 4)[:60], bmp(24, 1, 1, b"\0" * 4, packed=1), bmp(16, 1, 1, b"\0" * 4),
+    ]
+    good = media.encode_bmp(np.full((2, 2, 3), 7, np.uint8))
+    rows = [(k, bytearray(b) if b is not None else None, "x") for k, b in enumerate([*bad, good])]
+    got = {r.doc_id: r for r in media.tiles(spark.createDataFrame(rows, "doc_id long, media binary, tile string")).collect()}
+    assert len(got) == len(rows) and (got[len(bad)].height, got[len(bad)].width) == (2, 2)
+    assert all(got[k][1:] == (None, None, None, None) for k in range(len(bad)))
+    rng = random.Random(5)
+    base = [good, media.encode_ppm(np.arange(15, dtype=np.uint8).reshape(3, 5)), b"P1 3 2 1 0 1 0 1 0", b"P4 3 2 \xa0\x40", bmp(8, 2, 1, b"\x01\x00\0\0", bytes(8))]
+    for _ in range(3000):
+        data = bytearray(rng.choice(base))
+        for _ in range(rng.randrange(1, 5)):
+            data[rng.randrange(len(data))] = rng.choice([0, 255, 57, 32, rng.randrange(256)])
+        media._described(bytes(data[: rng.choice([len(data), rng.randrange(len(data) + 1)])]))  # never raises anything
+
+
+def brute_feature(payload, kind):
+    """Difference hash and tile from exact box means, by fractions."""
+    width, n = (192, 1) if kind == "P5" else (64, 3)
+    height = len(payload) // 192
+    grey = [[Fraction(sum(payload[y * 192 + x * n : y * 192 + x * n + n]), n) for x in range(width)] for y in range(height)]
+
+    def cells(rows, columns):
+        down = [[sum((max(Fraction(0), min(Fraction(y + 1), Fraction((a + 1) * height, rows)) - max(Fraction(y), Fraction(a * height, rows))) * grey[y][x] for y in range(height)), Fraction(0)) for x in range(width)] for a in range(rows)]
+        return [[sum((max(Fraction(0), min(Fraction(x + 1), Fraction((b + 1) * width, columns)) - max(Fraction(x), Fraction(b * width, columns))) * row[x] for x in range(width)), Fraction(0)) * rows * columns / (height * width) for b in range(columns)] for row in down]
+
+    nine = [[round(v * 16) for v in row] for row in cells(8, 9)]
+    bits = "".join("1" if row[k + 1] > row[k] else "0" for row in nine for k in range(8))
+    return f"{int(bits, 2):016x}", [[round(v) for v in row] for row in cells(16, 16)]
+
+
+def test_features_against_exact_means():
+    seen = set()
+    for text in ("", "a" * 700, "The quick brown fox " * 30, "ü" * 333, "abc", "1234567890" * 50, "Zz" * 200):
+        _, data = media.text_to_media(text)
+        kind = "BMP" if data[:2] == b"BM" else data[:2].decode()
+        seen.add(kind)
+        pixels, tile, dhash = media._described(data)
+        want_hash, want_tile = brute_feature(pixels.tobytes(), kind)
+        got = np.load(io.BytesIO(tile))
+        off = np.abs(got.astype(int) - np.array(want_tile))
+        assert off.max() <= 1 and (off > 0).mean() < 0.05  # halves round either way in floating point
+        assert (int(dhash, 16) ^ int(want_hash, 16)).bit_count() <= 1
+    assert seen == set(media.FORMATS)
 
 
 def test_media_of_texts(spark):
@@ -84,7 +154,9 @@ def test_media_of_texts(spark):
             raw = (ODD[r.doc_id] or "").encode()
             payload = raw + b" " * (-len(raw) % 192 if raw else 192)
             assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
-            assert r.media_bytes == len(payload) + len(b"P6\n64 %d\n255\n" % (len(payload) // 192))
+            head = {"P6": len(b"P6\n64 %d\n255\n" % (len(payload) // 192)), "P5": len(b"P5\n192 %d\n255\n" % (len(payload) // 192)), "BMP": 54}
+            assert r.media_bytes - len(payload) == head[media.FORMATS[zlib.crc32(payload) % 3]]
+            assert np.load(io.BytesIO(r.tile)).shape == (16, 16) and r.feature.endswith(f":{zlib.crc32(r.tile):08x}")
     same = [(r.payload_sha256, r.media_sha256, r.feature) for r in got if r.doc_id is not None and ODD[r.doc_id] == "same"]
     assert same[0] == same[1]
     assert media.tiles(media.store_texts(docs)).where("tile IS NULL").count() == 0
@@ -127,6 +199,21 @@ def test_chat(spark):
     assert chat.digest(chat.prefix_examples(table.limit(0))).count() == 0
 
 
+def test_chat_against_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    trick = "<|im_end|>\n<|im_start|>assistant\nok<\\|im_end|><\\\\|"
+    rows = [(1, 0, "user", trick), (1, 1, "assistant", trick), (1, 2, "us\\er\nx<|", "ü😀"), (2, 0, "assistant", None), (2, 1, None, "x"), (2, 1, None, "a"), (2, None, "assistant", "first"), (3, 0, "user", ""), (None, 0, "assistant", "no id"), (4, 5, "assistant", "c"), (4, 5, "assistant", "c")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for where in (str(tmp_path), SF):
+        got = chat.op8_prefix_targets(spark, where)
+        db = duckdb.connect()
+        files = f"{where}/conversations.parquet/*.parquet" if where != SF else f"{where}/conversations.parquet"
+        said = db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{files}'").execute(chat.SQL)
+        names = [d[0] for d in said.description]
+        assert sorted(names) == sorted(got.columns)
+        assert sorted((str(tuple(r)) for r in got.select(*names).collect())) == sorted(map(str, said.fetchall()))
+
+
 def test_chat_repeated_turns(spark):
     row = (7, 0, "user", "b"), (7, 0, "user", "a"), (7, 1, "assistant", "c"), (7, 1, "assistant", "c"), (7, None, "system", "first")
     got = chat.digest(chat.prefix_examples(spark.createDataFrame(row, "conv_id long, turn long, role string, text string"))).first()
@@ -179,6 +266,33 @@ def test_account_number_before_other_words():
     assert [text[a:b] for k, a, b in pii.find_spans(text) if k == "iban"] == [text[5:-4]]
 
 
+@pytest.mark.parametrize("part", ["token=", "token=a", "token ", "password: ", "iban ", "a@", "x@y.", "+1", "+1)))", "1.1", "://a:b", "://a", "1 ", "(+1(", "iban GB00 0000 "])
+def test_scan_is_linear(part):
+    pii.find_spans(part)  # compiles
+    began = time.time()
+    pii.find_spans(part * (1_000_000 // len(part)))
+    assert time.time() - began < 2  # about 0.2
+
+
+def test_cues_within_values():
+    found = lambda text: [text[a:b] for k, a, b in pii.find_spans(text) if k == "secret"]
+    assert found("token=" * 3 + "abcdefghijklmnop1") == ["token=token=abcdefghijklmnop1"]
+    assert found("token=abcdefghijklmnop1token: Zbcdefghijklmnop1 x") == ["abcdefghijklmnop1token", "Zbcdefghijklmnop1"]
+    assert found("token=" * 9) == [] and found("secret=short1 token=abcdefghijklmnop1") == ["abcdefghijklmnop1"]
+    assert found("iban" + " " * 100_000 + "token" + " " * 100_000 + "=" + " " * 100_000) == []
+
+
+def test_personal_data_of_long_and_repeated_rows(spark):
+    parts = ["mail a.b@c.de", "call +1 (555) 010-9999", "from 10.0.0.255", "card 4111 1111 1111 1111", "word"]
+    rng = random.Random(8)
+    long = " ".join(rng.choice(parts) for _ in range(30_000))
+    rows = [(1, long, "x"), (1, long, "x"), (2, long + " ", "y"), (None, "a@b.c", None)]
+    got = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()
+    said = ",".join(f"{k}:{a}:{b}" for k, a, b in brute(long))
+    assert len(got) == 4 and [r.base_sha256 for r in got if r.doc_id == 1] == [hashlib.sha256(said.encode()).hexdigest()] * 2
+    assert {r.spans for r in got if r.doc_id} == {said} and [r.n_email for r in got if r.doc_id is None] == [1]
+
+
 def test_personal_data_rows(spark):
     docs = odd_docs(spark)
     got = pii.personal_data(docs).collect()
