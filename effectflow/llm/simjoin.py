@@ -521,10 +521,13 @@ def _links(docs: DataFrame, tokens: DataFrame, points: DataFrame, words: int, nu
     links = links.unionByName(written(_across(open_.withColumn("asks", F.lit(True)), chain, "shingles", across, "a long, b long"), "links-chain"))
     # whoever isn't in its group's largest component then asks all blocks that the bound leaves
     root = roots(links).select(F.col("node").alias("doc_id"), "root")
-    labelled = open_.join(heads.select("group").distinct(), "group", "left_semi").drop("label").join(root, "doc_id", "left")
+    several = written(heads.select("group").distinct(), "several")
+    labelled = open_.join(_few(several), "group", "left_semi").drop("label").join(root, "doc_id", "left")
     labelled = written(labelled.withColumn("label", F.coalesce("root", "doc_id")).drop("root"), "labelled")
-    most = labelled.groupBy("group", "label").agg(F.count("*").alias("k")).groupBy("group").agg(F.max_by("label", F.struct("k", "label")).alias("main"))
-    asking = written(labelled.join(most, "group").withColumn("asks", F.col("label") != F.col("main")).drop("main"), "asking")
+    most = labelled.groupBy("group", "label").agg(F.count("*").alias("k"))
+    most = written(most.groupBy("group").agg(F.max_by("label", F.struct("k", "label")).alias("main")), "main")
+    asking = labelled.join(_few(most), "group").withColumn("asks", F.col("label") != F.col("main")).drop("main")
+    asking = written(asking, "asking")
     pairs = _node_pairs(_heads(asking), num, den).join(chain.select("group", "i", "j"), ["group", "i", "j"], "left_anti")
     pairs = written(pairs, "set-pairs")
     if pairs.isEmpty():
