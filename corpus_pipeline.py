@@ -12,6 +12,7 @@ expressible in SQL, so ``ORACLE_SQL`` is None and the stages are tested against
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,11 +25,35 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _stage(f: Stage) -> Stage:
+    """A stage whose result is a written table of its own: its intermediate tables go before it returns, so results can be
+    kept, composed and read at any time. ``folder`` is the result's place; it goes when the session ends, if not before."""
+
+    @functools.wraps(f)
+    def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        with common.scope(spark, f"stage-{f.__name__}") as tables:
+            made = f(spark, docs, sf_dir)
+            with common.scope(spark, f"result-{f.__name__}") as folder:
+                out = common.written(made, "rows")
+        common.delete(spark, tables)
+        out.folder = folder
+        return out
+
+    return staged
+
+
+@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that importance resampling takes. Labels come from ``labels``."""
+    """The documents that importance resampling takes. Labels come from ``labels``.
+
+    Null and empty texts weigh 0 and are kept or not like any of that weight; repeated rows and ties at the cut stay or go
+    together; very long texts count at the common length; without labels all stay; an empty table stays empty. Further
+    columns fall away.
+    """
     return quality.kept(common.columns_of(docs, COLUMNS), common.read(spark, sf_dir, "labels"))
 
 
+@_stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: its least doc_id.
 
@@ -51,29 +76,47 @@ def _without(docs: DataFrame, dropped: DataFrame, key: str) -> DataFrame:
 
 def _join_of_rows(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """The stage where doc_ids repeat: every different text under an id is numbered, and the numbers are joined."""
-    again = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row")).select("doc_id", "text", "row.*")
+    again = docs.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct("lang", "source", "n_chars")).alias("row"))
+    again = again.select("doc_id", "text", "row.*")
     once = docs.where("doc_id IS NOT NULL").join(repeated, "doc_id", "left_anti").unionByName(again)
     rows = common.written(once.withColumn("row", F.monotonically_increasing_id()), "rows")  # written, so the numbers stay
     found = simjoin.similarity_components(rows.select(F.col("row").alias("doc_id"), "text"), 5, 80, 100)
     place = rows.select("row", F.struct("doc_id", F.xxhash64("text"), "row").alias("place"))
     members = common.written(found.select(F.col("doc_id").alias("row"), "component_id").join(place, "row"), "members")
     first = members.groupBy("component_id").agg(F.min_by("row", "place").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = common.written(first, "first")  # so that the members of a large component can be split where they join it
     left = _without(rows, members.join(first, "component_id").where("row <> first").select("row"), "row").drop("row")
     return left.unionByName(docs.where("doc_id IS NULL"))
 
 
+@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its personal data replaced; ``n_chars`` follows the text."""
+    """Every document with its personal data replaced; ``n_chars`` follows the text where it changes.
+
+    Null texts stay null, empty ones empty; very long texts are whole; repeated rows stay repeated; ties have nothing to
+    decide; an empty table stays empty. Further columns fall away.
+    """
     return pii.redacted(docs)
 
 
+@_stage
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Texts without words weigh nothing and count by their probability like the rest; rows that are equal in id, source and
+    text share a decision; nulls in any of these are values of their own; a very long text is one unit; an empty table, or
+    one without words, gives no rows. Further columns fall away.
+    """
     return mixing.mixed(common.columns_of(docs, COLUMNS))
 
 
+@_stage
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences."""
+    """The pieces of all documents in their sequences.
+
+    Null and empty texts are one piece, the end id; long ones are cut; repeated rows are packed as often; equal pieces tie;
+    an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
@@ -95,13 +138,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     one stays until the session ends.
     """
     docs, before = common.read(spark, sf_dir, "documents"), None
-    for name, stage in STAGES:
-        with common.scope(spark, f"stage-{name}") as tables:
-            made = stage(spark, docs, sf_dir)
-            with common.scope(spark, f"result-{name}") as result:
-                docs = common.written(made, name)
-        for done in (tables, before):
-            if done:
-                common.delete(spark, done)
-        before = result
+    for _, stage in STAGES:
+        docs = stage(spark, docs, sf_dir)
+        if before:
+            common.delete(spark, before)
+        before = docs.folder
     return docs
