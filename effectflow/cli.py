@@ -1,4 +1,5 @@
-"""Command line: ``check`` a tree of sources, ``lsp`` serves editors, ``cache`` status, clear and prune, ``env`` detection, effective ``config``.
+"""Command line: ``check`` a tree of sources, ``lsp`` serves editors, ``cache`` status, clear and prune, ``env`` detection, effective ``config``, ``stubs`` of a
+library's sources.
 
 Exit codes: 0 nothing found, 1 findings, 2 wrong use.
 """
@@ -10,6 +11,8 @@ import sys
 from collections.abc import Sequence
 from pathlib import Path
 
+from effectflow.runtime import cut
+
 
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="effectflow", description=__doc__)
@@ -23,11 +26,22 @@ def parser() -> argparse.ArgumentParser:
     check.add_argument("-o", "--output")
     check.add_argument("-v", "--verbose", action="store_true")
     check.add_argument("--cache", help="folder of kept facts")
+    check.add_argument("--no-cache", action="store_true", help="parse every file, keep nothing")
+    check.add_argument("--library", action="append", help="folders of installed sources (default: this interpreter's)")
+    check.add_argument("--debug", action="store_true", help="log what Spark does")
     for flag in ("local", "strict", "absolute", "full-module-path", "no-warn-native", "sound"):
         check.add_argument(f"--{flag}", action="store_true")
     lsp = sub.add_parser("lsp", help="serve an editor over stdio or TCP")
     lsp.add_argument("--tcp", action="store_true")
     lsp.add_argument("--port", type=int, default=2087)
+    lsp.add_argument("--stubs", action="append", default=[], help="JSON stub files or folders")
+    lsp.add_argument("--python", default="3.12")
+    made = sub.add_parser("stubs", help="make a stub file from a library's Python sources")
+    made.add_argument("folder", help="a source tree with Lib/, or such a folder itself")
+    made.add_argument("--python", required=True, help="version specifier, as >=3.12,<3.13")
+    made.add_argument("-o", "--output", required=True)
+    made.add_argument("--name", default="stdlib")
+    made.add_argument("--module", action="append", default=[], help="only these packages")
     cache = sub.add_parser("cache", help="kept facts")
     cache.add_argument("action", choices=("status", "clear", "prune"))
     cache.add_argument("folder")
@@ -61,14 +75,30 @@ def _settings(spark, root: Path) -> dict:
     return {r.key: json.loads(r.value) for r in settings.effective(_layers(spark, root), by_block=True).collect()}
 
 
+def _stub_table(spark, paths: Sequence[str], python: str):
+    """Stubs of all paths for one version; None without any."""
+    from effectflow.sources import stubs
+
+    table = None
+    for path in paths:
+        place = path if "://" in path else str(Path(path).resolve())  # Spark has a working folder of its own
+        part = stubs.for_version(stubs.read_json(spark, place, "stdlib"), python)
+        table = part if table is None else table.unionByName(part)
+    return table
+
+
 def _check(args: argparse.Namespace) -> int:
     from pyspark.sql import functions as F
 
+    import sysconfig
+
     from effectflow.plans.check import Check, Options, report_json, report_text
-    from effectflow.sources import files, stubs
+    from effectflow.plans.library import Library, imported_sources
+    from effectflow.sources import files
     from effectflow.sources.cache import FactCache
 
     spark, found = session(), None
+    spark.sparkContext.setLogLevel("INFO" if args.debug else "WARN")
     chosen = _settings(spark, Path.cwd())
     for path in map(Path, args.paths):
         if not path.exists():
@@ -84,16 +114,17 @@ def _check(args: argparse.Namespace) -> int:
         found = rows if found is None else found.unionByName(rows)
     if found is None:
         return 2
-    table = None
-    for s in args.stubs:
-        part = stubs.for_version(stubs.read_json(spark, s, "stdlib"), args.python)
-        table = part if table is None else table.unionByName(part)
+    found = cut(found)
+    table = _stub_table(spark, args.stubs, args.python)
     options = Options(
         ignored=chosen["ignore_exceptions"], local_only=args.local or chosen["analysis.local_only"], strict=args.strict or chosen["analysis.strict_mode"], mode="sound" if args.sound else "reference",
         full_module_path=args.full_module_path or chosen["analysis.full_module_path"], warn_native=chosen["analysis.warn_native"] and not args.no_warn_native,
     )
-    kept = FactCache(spark, str(Path(args.cache).resolve()), chosen["cache.ttl_hours"]) if args.cache and chosen["cache.enabled"] else None
-    run = Check(found, table, options=options, cache=kept)
+    keeps = args.cache and chosen["cache.enabled"] and not args.no_cache
+    kept = FactCache(spark, str(Path(args.cache).resolve()), chosen["cache.ttl_hours"], chosen["cache.max_file_entries"]) if keeps else None
+    roots = args.library or [sysconfig.get_path("stdlib"), sysconfig.get_path("purelib")]
+    sources = None if options.local_only else imported_sources(spark, found, [str(Path(r).resolve()) for r in roots])
+    run = Check(found, table, options=options, cache=kept, library=Library(sources) if sources is not None else None)
     shown = run.diagnostics.cache()
     if args.json:
         text = report_json(run).first().value
@@ -138,13 +169,41 @@ def _lsp(args: argparse.Namespace) -> int:
             ignored=s["ignore_exceptions"], local_only=s["analysis.local_only"], strict=s["analysis.strict_mode"], warn_native=s["analysis.warn_native"],
             full_module_path=s["analysis.full_module_path"], most_per_file=s["lsp.max_diagnostics_per_file"],
         )
-        server.main(args.tcp, args.port, options, s["lsp.debounce_ms"] / 1000)
+        server.main(args.tcp, args.port, options, s["lsp.debounce_ms"] / 1000, _stub_table(session(), args.stubs, args.python))
     except OSError as e:
         print(e, file=sys.stderr)
         return 2
     return 0
 
 
+def _stubs(args: argparse.Namespace) -> int:
+    from datetime import UTC, datetime
+
+    from pyspark.sql import functions as F
+
+    from effectflow.operators import merge
+    from effectflow.plans import stubs
+    from effectflow.plans.library import stubs_of
+    from effectflow.sources import files
+
+    base = Path(args.folder).resolve()
+    base = base / "Lib" if (base / "Lib").is_dir() else base
+    if not base.is_dir():
+        print(f"{base}: no such folder", file=sys.stderr)
+        return 2
+    every = files.scan(session(), str(base), "*.py").select(F.concat(F.lit("Lib/"), "path").alias("path"), "text")
+    if args.module:
+        package = F.regexp_replace(F.element_at(F.split("path", "/"), 2), r"\.py$", "")
+        every = every.where(package.isin(*args.module))
+    every = cut(every)
+    found = stubs.with_twins(stubs_of(files.library_modules(every).join(every, "path")))
+    rows = cut(merge.highest(found, ["module", "cls", "member", "exc"], "confidence"))
+    said = stubs.write_json(rows, args.name, args.python, datetime.now(UTC).isoformat(timespec="seconds")).first().value
+    Path(args.output).write_text(said + "\n")
+    print(f"{stubs.counted(rows).first().stubs} function(s) in {args.output}")
+    return 0
+
+
 def _cache(args: argparse.Namespace) -> int:
     from effectflow.sources.cache import FactCache
 
@@ -172,7 +231,7 @@ def main(argv: Sequence[str] | None = None) -> int:
     if args.command is None:
         parser().print_help()
         return 2
-    return {"check": _check, "lsp": _lsp, "cache": _cache, "env": _env, "config": _config}[args.command](args)
+    return {"check": _check, "lsp": _lsp, "cache": _cache, "env": _env, "config": _config, "stubs": _stubs}[args.command](args)
 
 
 if __name__ == "__main__":

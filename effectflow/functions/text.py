@@ -50,6 +50,10 @@ def strict_message(name: Column, effects: Column) -> Column:
     return F.concat(F.lit("function '"), name, F.lit("' may raise undocumented exceptions: "), F.array_join(effects, ", "))
 
 
+def invalid_directive(tag: str) -> str:
+    return f"invalid ignore comment: must include exception types in brackets (e.g., # {tag}: ignore[ValueError])"
+
+
 def toml_string(value: Column) -> Column:
     """A basic TOML string's inside: backslash, quote and the four usual controls escaped."""
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ("\b", "\\b")):

@@ -1,4 +1,4 @@
-"""Recursion: hierarchies by doubling, cyclic graphs by semi-naive fixpoints."""
+"""Recursion: hierarchies by doubling, cyclic graphs by semi-naive fixpoints. Loops end at the fixpoint alone."""
 
 from __future__ import annotations
 
@@ -8,60 +8,100 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effectflow.runtime import cut
+from effectflow.operators.resolve import small
+from effectflow.runtime import counted, cut, forget
 
 KEPT_APART = 8
+#: After LONG rounds edges are shortcut, while paths of two stay within SHORTCUT times the edges.
+LONG, SHORTCUT = 4, 16
 
 
-def hierarchy(edges: DataFrame, child: str = "child", parent: str = "parent", depth: int = 1000) -> DataFrame:
-    """(node, ancestor, depth) of an acyclic hierarchy, one row a path, each node its own ancestor at depth 0.
+def hierarchy(edges: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, ancestor, depth), each pair once with its least depth, each node its own ancestor at depth 0.
 
-    Distances double each round, so a hierarchy of depth n takes log n rounds of two joins and no table has a bound on
-    its rows (as recursive CTEs have). Deeper ones than ``depth``, cycles among them, raise an error.
+    Distances double each round, so a hierarchy of depth n takes log n rounds of two joins, and no table has a bound on
+    its rows (as recursive CTEs have). A round without a new pair is the last one, so cycles are fine. Null ends are no
+    edge.
     """
-    jump = cut(edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor")))
+    links = edges.select(F.col(child).alias("node"), F.col(parent).alias("ancestor"))
+    jump, left = counted(links.where("node IS NOT NULL AND ancestor IS NOT NULL").distinct())
     nodes = jump.select("node").union(jump.select("ancestor")).distinct()
-    total, far = nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")), 1
-    while not jump.isEmpty():
-        if far > depth:
-            raise RuntimeError(f"a hierarchy deeper than {depth}, or a cycle")
+    total, pairs = counted(nodes.select("node", F.col("node").alias("ancestor"), F.lit(0).alias("depth")))
+    far = 1
+    while left:
         step = jump.select(F.col("node").alias("low"), F.col("ancestor").alias("node"))
         further = total.join(step, "node").select(F.col("low").alias("node"), "ancestor", (F.col("depth") + far).alias("depth"))
-        total = cut(total.unionByName(further))
-        jump = cut(jump.join(step, "node").select(F.col("low").alias("node"), "ancestor"))
+        was, known = total, pairs
+        total, pairs = counted(total.unionByName(further).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
+        forget(was)
+        if pairs == known:
+            break
+        was = jump
+        jump, left = counted(jump.join(step, "node").select(F.col("low").alias("node"), "ancestor").distinct())
+        forget(was)
         far *= 2
     return total
 
 
-def reachability(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 1000) -> DataFrame:
-    """(a, b): all pairs with a path of at least one edge; cycles are fine.
-
-    A round adds the pairs one edge longer; only unseen pairs go on. Every round is checkpointed.
-    """
+def reachability(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(a, b): all pairs with a path of at least one edge; cycles are fine."""
     step = cut(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).distinct())
-    return propagate(step, step, rounds)
+    return propagate(step, step)
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = 1000, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def _shortcut(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) and paths of two, four, ... of them as further edges: long chains take fewer rounds.
+
+    The paths of two are counted from the degrees before they are made, so that a graph whose paths are many more than its
+    edges stays as it is.
+    """
+    hops, n = counted(edges.select("a", "b").distinct())
+    most = SHORTCUT * n
+    while True:
+        into = hops.groupBy(F.col("b").alias("v")).agg(F.count("*").alias("i"))
+        out = hops.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("o"))
+        paths = into.join(out, "v").agg(F.sum(F.col("i").cast("double") * F.col("o"))).first()[0] or 0
+        if not paths or paths > 2 * most:
+            return hops
+        two = hops.select(F.col("a").alias("c"), F.col("b").alias("a")).join(hops, "a").select(F.col("c").alias("a"), "b")
+        further, more = counted(hops.unionByName(two).distinct())
+        if more > most:
+            forget(further)
+            return hops
+        forget(hops)
+        if more == n:
+            return further
+        hops, n = further, more
+
+
+def propagate(edges: DataFrame, seeds: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Least fixpoint of (a, b): ``seeds``, and (x, b) wherever edge (x, a) and (a, b) hold.
 
     ``edges`` (a, b, ...) says that a takes over what b has; ``seeds`` (a, b) what a has of its own. ``keep`` filters what
-    an edge hands over: it sees (a, b) with the edge's further columns. Only new pairs go on. Each round checkpoints what
-    it found; the finds of ``KEPT_APART`` rounds are one table again after that, so plans stay short.
+    an edge hands over: it sees (a, b) with the edge's further columns; without it, chains of edges are shortcut after a few
+    rounds (what earlier rounds found has handed over along single edges already, so only new pairs go on then too). Only
+    new pairs go on. Each round writes what it found; the finds of ``KEPT_APART`` rounds are one table again after that, so
+    plans stay short and old tables go. There is no bound on the rounds.
     """
-    more = [c for c in edges.columns if c not in ("a", "b")]
-    moves = edges.select(F.col("a").alias("__to"), F.col("b").alias("__from"), *more)
-    delta = cut(seeds.select("a", "b").distinct())
+    more = [c for c in edges.columns if c not in ("a", "b")] if keep else []
+    along = lambda df: small(df.select(F.col("a").alias("__to"), F.col("b").alias("__from"), *more))
+    moves, rounds = along(edges), 0
+    delta, new = counted(seeds.select("a", "b").distinct())
     parts = [delta]
-    for _ in range(rounds):
+    while new:
+        if rounds == LONG and not keep:
+            moves = along(_shortcut(edges))
+        rounds += 1
         grown = delta.join(moves, delta.a == moves["__from"]).select(F.col("__to").alias("a"), delta.b, *more)
         grown = (keep(grown) if keep else grown).select("a", "b").distinct()
-        total = reduce(DataFrame.unionByName, parts)
-        delta = cut(grown.join(total, ["a", "b"], "left_anti"))
-        if delta.isEmpty():
-            return total
-        parts = [*parts, delta] if len(parts) < KEPT_APART else [cut(total), delta]
-    raise RuntimeError(f"no fixpoint after {rounds} rounds")
+        delta, new = counted(grown.join(reduce(DataFrame.unionByName, parts), ["a", "b"], "left_anti"))
+        if new and len(parts) == KEPT_APART:
+            whole = cut(reduce(DataFrame.unionByName, parts))
+            forget(*parts)
+            parts = [whole]
+        if new:
+            parts.append(delta)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def affected(edges: DataFrame, changed: DataFrame) -> DataFrame:

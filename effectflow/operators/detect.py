@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from effectflow.operators.rank import rule_hits
 from effectflow.operators.resolve import first_by
 
-#: Tools in order of priority.
+#: Tools in order of priority: fixed names.
 TOOLS = ("poetry", "pipenv", "pdm", "uv", "rye", "hatch", "venv", "pyenv", "environment")
+#: Files that tell a tool: fixed names.
 _MARKS = ("poetry.lock", "Pipfile.lock", "pdm.lock", "uv.lock", "rye.lock", "requirements.lock", ".python-version", ".venv/pyvenv.cfg")
 _EXECUTABLES = ("bin/python", "Scripts/python.exe")
 

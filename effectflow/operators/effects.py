@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from effectflow.operators.resolve import small
@@ -28,9 +28,11 @@ def unhandled(pairs: DataFrame, handlers: DataFrame, site: Sequence[str], effect
     return left.join(caught, [*site, effect], "left_anti")
 
 
-def drop_group_if_any(df: DataFrame, by: Sequence[str], marks: DataFrame) -> DataFrame:
-    """Rows of groups of which no row is marked; ``marks`` is a table with the group's key, null keys mark nothing."""
-    return df.join(marks.select(*by).distinct(), list(by), "left_anti")
+def unmarked_groups(df: DataFrame, by: Sequence[str], mark: Column, *aggregates: Column) -> DataFrame:
+    """(by, aggregates) of the groups of which no row is marked: one aggregation, partial before the shuffle. A null mark
+    marks nothing."""
+    out = df.groupBy(*by).agg(F.coalesce(F.bool_or(mark), F.lit(False)).alias("__marked"), *aggregates)
+    return out.where(~F.col("__marked")).drop("__marked")
 
 
 def drop_documented(df: DataFrame, documented: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -41,7 +43,7 @@ def drop_documented(df: DataFrame, documented: DataFrame, key: Sequence[str]) ->
 def undocumented_strict(effects: DataFrame, escaping: DataFrame, with_calls: DataFrame, documented: DataFrame, unit: str, effect: str) -> DataFrame:
     """Undocumented effects of units that let any escape or that call nothing."""
     shown = effects.join(escaping.select(unit).distinct(), unit, "left_semi").unionByName(effects.join(with_calls.select(unit).distinct(), unit, "left_anti")).distinct()
-    return shown.join(documented.select(unit, effect).distinct(), [unit, effect], "left_anti")
+    return drop_documented(shown, documented, [unit, effect])
 
 
 def with_interesting(df: DataFrame, key: Sequence[str], effect: str, boring: Sequence[str]) -> DataFrame:

@@ -44,10 +44,3 @@ def merge_two(a: DataFrame, b: DataFrame, key: Sequence[str], element: str, conf
     notes = [] if note is None else [F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col(note) != "", F.struct("__side", note)))), lambda x: x[note]), "; ").alias(note)]
     merged = both.groupBy(*key).agg(as_set(element).alias(element), *kinds, *notes)
     return merged.withColumn(confidence, F.when(F.col("__exact"), F.lit("exact")).otherwise(F.col("__last"))).drop("__exact", "__last")
-
-
-def nested_json(df: DataFrame, outer: str, inner: str, element: str) -> DataFrame:
-    """(outer, json): {inner: [elements]} with sorted keys and elements."""
-    sets = df.groupBy(outer, inner).agg(F.array_sort(F.collect_set(element)).alias("e"))
-    entries = F.array_sort(F.collect_list(F.struct(inner, "e")))
-    return sets.groupBy(outer).agg(F.to_json(F.map_from_entries(entries)).alias("json"))

@@ -16,12 +16,6 @@ def rule_hits(df: DataFrame, key: Sequence[str], rules: Sequence[tuple[str, Colu
     return df.select(*key, F.explode(F.filter(hit, lambda x: x.isNotNull())).alias("h")).select(*key, "h.priority", "h.rule")
 
 
-def first_rule(df: DataFrame, key: Sequence[str], rules: Sequence[tuple[str, Column]], default: str | None = None) -> DataFrame:
-    """(key, rule): the first rule that holds, as one expression: no join and no shuffle."""
-    chosen = F.coalesce(*[F.when(cond, F.lit(name)) for name, cond in rules], F.lit(default))
-    return df.select(*key, chosen.alias("rule"))
-
-
 def keep_newest(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], n: int) -> DataFrame:
     """At most ``n`` rows of each key, by ``order``."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -50,4 +44,4 @@ def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], left_on:
     return out.select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in values])
 
 
-__all__ = ["asof_backward", "first_by", "first_rule", "keep_newest", "last_wins", "rule_hits"]
+__all__ = ["asof_backward", "first_by", "keep_newest", "last_wins", "rule_hits"]

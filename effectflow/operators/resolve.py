@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A dimension of at most this many rows is broadcast; larger ones join by shuffle.
-BROADCAST_ROWS = 100_000
+#: A dimension of at most this many rows, or of stored bytes, is broadcast; larger ones join by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 2 << 20
+#: Operators whose results may be larger than the optimizer's estimate.
+_GROWING = re.compile(r"\b(Generate|Expand|Join|\w*Map\w*)\b")
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows; reads no more than that to find out."""
+    """``df`` with a broadcast hint if it is small: by the optimizer's size where nothing in the plan can exceed that, else
+    if it has at most ``most`` rows, reading no more than that to find out."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(plan.stats().sizeInBytes()) <= BROADCAST_BYTES and not _GROWING.search(plan.toString()):
+        return F.broadcast(df)
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 

@@ -2,31 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from effectflow.functions import names, text
 from effectflow.operators import closure, effects, merge, rank, resolve, state
-from effectflow.runtime import table
+from effectflow.plans import code_base  # noqa: F401 (registers its queries)
+from effectflow.plans.registry import QUERIES, SQL, query
+from effectflow.runtime import constant, table
 from effectflow.sources import patterns
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
 
@@ -40,27 +25,12 @@ def glob_include_exclude(spark, sf):
     return patterns.select_paths(table(spark, sf, "pages").select("page_id", "url"), "url", include=["*/en/*", "*/fr/*"], exclude=["*[?]*", "*#*"])
 
 
-@query(r"""SELECT doc_id, CAST(line AS INTEGER) AS line, regexp_extract(l, '#\s*(\S+)', 1) AS tag
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents) WHERE regexp_matches(l, '#\s*\S')""")
-def directive_lines(spark, sf):
-    """Lines of a text with a directive, and what follows its mark."""
-    lines = patterns.lines(table(spark, sf, "documents").where(F.contains("text", F.lit("#"))), "doc_id", "text")
-    return lines.where(F.col("content").rlike(r"#\s*\S")).select("doc_id", "line", F.regexp_extract("content", r"#\s*(\S+)", 1).alias("tag"))
-
-
-@query(r"""SELECT page_id, target, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS target FROM pages) GROUP BY ALL""")
-def extract_refs(spark, sf):
-    """A table function over texts: all references of a page."""
-    refs = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("target"))
-    return refs.groupBy("page_id", "target").agg(F.count("*").alias("n"))
-
-
 _DOMAINS = [("example.com", 1), ("example.net", 2), ("example.org", 3), ("blog", 4), ("www", 5), ("com", 6), ("org", 7), ("m", 8)]
 _DOMAIN_SQL = ", ".join(f"('{d}', {k})" for d, k in _DOMAINS)
 
 
 def _domains(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(_DOMAINS, "prefix string, rule int")
+    return constant(spark, _DOMAINS, "prefix string, rule int")
 
 
 @query(f"""SELECT page_id, host, arg_max(prefix, length(prefix)) AS prefix FROM (SELECT page_id, {_HOST} AS host FROM pages) JOIN (VALUES {_DOMAIN_SQL}) d(prefix, rule)
@@ -70,21 +40,11 @@ def longest_prefix_resolve(spark, sf):
     return resolve.longest_prefix(_hosts(spark, sf), "host", _domains(spark), "prefix").select("page_id", "host", "prefix")
 
 
-@query(f"""SELECT page_id, tail, arg_min(host, page_id2) AS first_host, CAST(min(page_id2) AS BIGINT) AS first_page FROM (SELECT page_id, tail, host, page_id2 FROM
-  (SELECT page_id, regexp_replace({_HOST}, '^[^.]*[.]', '') AS tail FROM pages WHERE page_id % 3 = 0) JOIN (SELECT page_id AS page_id2, {_HOST} AS host FROM pages) ON host = tail OR ends_with(host, '.' || tail)) GROUP BY page_id, tail""")
-def suffix_match_first(spark, sf):
-    """The first definition, in order, whose name ends with a called name."""
-    hosts = _hosts(spark, sf)
-    calls = hosts.where("page_id % 3 = 0").select("page_id", F.regexp_replace("host", "^[^.]*[.]", "").alias("tail"))
-    definitions = hosts.select(F.col("host").alias("first_host"), F.col("page_id").alias("first_page"))
-    return resolve.suffix_first(calls, "tail", definitions, "first_host", "first_page").select("page_id", "tail", "first_host", "first_page")
-
-
 @query(f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), c AS (SELECT page_id, regexp_replace(host, '^[^.]*[.]', '') AS tail FROM h), d AS (SELECT host, min(page_id) AS page FROM h GROUP BY host),
   f AS (SELECT tail, arg_min(host, page) AS first_host, CAST(min(page) AS BIGINT) AS first_page FROM (SELECT DISTINCT tail FROM c) JOIN d ON host = tail OR ends_with(host, '.' || tail) GROUP BY tail)
   SELECT page_id, tail, first_host, first_page FROM c JOIN f USING (tail)""")
 def suffix_match_every(spark, sf):
-    """``suffix_match_first`` with every page as a call."""
+    """The first definition, in order, whose name ends with a called name."""
     hosts = _hosts(spark, sf)
     calls = hosts.select("page_id", F.regexp_replace("host", "^[^.]*[.]", "").alias("tail"))
     definitions = hosts.select(F.col("host").alias("first_host"), F.col("page_id").alias("first_page"))
@@ -99,7 +59,7 @@ def cascade_resolve(spark, sf):
     c = table(spark, sf, "customer")
     one = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("c_custkey"), F.lit("supplier").alias("target"))
     two = c.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit("segment").alias("target"))
-    three = c.join(F.broadcast(table(spark, sf, "nation").where("n_regionkey < 4")), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.col("n_name").alias("target"))
+    three = c.join(resolve.small(table(spark, sf, "nation").where("n_regionkey < 4")), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.col("n_name").alias("target"))
     return resolve.cascade(c.select("c_custkey"), ["c_custkey"], [one, two, three])
 
 
@@ -110,7 +70,7 @@ _RULE_SQL = ", ".join(f"('{a}', {b}, {c}, {d})" for a, b, c, d in _RULES)
 @query(f"SELECT p_partkey, arg_max(r.rule, r.score) AS rule FROM part JOIN (VALUES {_RULE_SQL}) r(rule, lo, hi, score) ON p_size >= lo AND p_size < hi GROUP BY p_partkey")
 def version_range_specificity(spark, sf):
     """The most specific range that holds a version."""
-    rules = spark.createDataFrame(_RULES, "rule string, lo int, hi int, score int")
+    rules = constant(spark, _RULES, "rule string, lo int, hi int, score int")
     return resolve.range_pick(table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", rules, "lo", "hi", [F.desc("score"), "rule"], ["p_partkey"]).select("p_partkey", "rule")
 
 
@@ -137,35 +97,18 @@ def cyclic_reachability(spark, sf):
     return closure.reachability(_edges(spark, sf))
 
 
-@query(f"""WITH RECURSIVE {_EDGE_SQL}, r(a, effect) AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 5 = 0
-  UNION SELECT e.a, r.effect FROM r JOIN edges e ON e.b = r.a) SELECT a AS s_suppkey, string_agg(DISTINCT effect, ',' ORDER BY effect) AS effects FROM r GROUP BY a""")
-def propagate_effects(spark, sf):
-    """Effects of callees taken over by callers until nothing changes, as a set per node."""
-    s = table(spark, sf, "supplier").where("s_suppkey % 5 = 0")
-    own = s.join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("a"), F.col("n_name").alias("b"))
-    return closure.propagate(_edges(spark, sf), own).groupBy(F.col("a").alias("s_suppkey")).agg(merge.as_set("b").alias("effects"))
-
-
 @query(f"""WITH RECURSIVE {_EDGE_SQL}, r(a, effect) AS (SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey
   UNION SELECT e.a, r.effect FROM r JOIN edges e ON e.b = r.a) SELECT a AS s_suppkey, string_agg(DISTINCT effect, ',' ORDER BY effect) AS effects FROM r GROUP BY a""")
 def propagate_every_effect(spark, sf):
-    """``propagate_effects`` with every supplier's own effect."""
-    own = table(spark, sf, "supplier").join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("a"), F.col("n_name").alias("b"))
+    """Effects of callees taken over by callers until nothing changes, as a set per node."""
+    own = table(spark, sf, "supplier").join(resolve.small(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("a"), F.col("n_name").alias("b"))
     return closure.propagate(_edges(spark, sf), own).groupBy(F.col("a").alias("s_suppkey")).agg(merge.as_set("b").alias("effects"))
 
 
-@query(f"""WITH RECURSIVE {_EDGE_SQL}, r(a, cause) AS (SELECT s_suppkey, s_suppkey FROM supplier WHERE s_suppkey % 20 = 7
-  UNION SELECT e.a, r.cause FROM r JOIN edges e ON e.b = r.a) SELECT a AS node, count(*) AS n_causes FROM r GROUP BY a""")
-def affected_closure(spark, sf):
-    """What must be computed again after a change: reverse reachability."""
-    changed = table(spark, sf, "supplier").where("s_suppkey % 20 = 7").select(F.col("s_suppkey").alias("node"))
-    return closure.affected(_edges(spark, sf), changed).groupBy("node").agg(F.count("*").alias("n_causes"))
-
-
 @query(f"""WITH RECURSIVE {_EDGE_SQL}, r(a, cause) AS (SELECT s_suppkey, s_suppkey FROM supplier WHERE s_acctbal < 0
   UNION SELECT e.a, r.cause FROM r JOIN edges e ON e.b = r.a) SELECT a AS node, count(*) AS n_causes FROM r GROUP BY a""")
 def affected_by_debt(spark, sf):
-    """``affected_closure`` with all suppliers of a negative balance as the change."""
+    """What must be computed again after a change: reverse reachability."""
     changed = table(spark, sf, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("node"))
     return closure.affected(_edges(spark, sf), changed).groupBy("node").agg(F.count("*").alias("n_causes"))
 
@@ -182,7 +125,7 @@ def unhandled_pairs(spark, sf):
     pairs = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag").distinct()
     level = F.substring("o_orderpriority", 1, 1)
     handlers = table(spark, sf, "orders").where(level < "4").select(F.col("o_orderkey").alias("l_orderkey"), F.when(level == "1", "R").when(level == "2", "X").alias("handler"))
-    return effects.unhandled(pairs, handlers, ["l_orderkey"], "l_returnflag", "handler", spark.createDataFrame(_ANCESTORS, "effect string, ancestor string"))
+    return effects.unhandled(pairs, handlers, ["l_orderkey"], "l_returnflag", "handler", constant(spark, _ANCESTORS, "effect string, ancestor string"))
 
 
 @query("""SELECT e.event_id, s.event_id AS signup_id FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') s ON e.user_id = s.user_id AND e.ts >= s.ts""")
@@ -197,7 +140,7 @@ def asof_enclosing(spark, sf):
 def suppress_any(spark, sf):
     """A whole group goes if any member is marked."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag")
-    return effects.drop_group_if_any(lines, ["l_orderkey"], lines.where("l_returnflag = 'R'")).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    return effects.unmarked_groups(lines, ["l_orderkey"], F.col("l_returnflag") == "R", F.count("*").alias("n"))
 
 
 @query("""SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS left_over FROM lineitem l JOIN orders o ON o_orderkey = l_orderkey
@@ -226,15 +169,6 @@ def filter_boring(spark, sf):
     return effects.with_interesting(table(spark, sf, "events"), ["user_id"], "event_type", ["click", "view", "error"])
 
 
-@query("""SELECT o_orderkey, arg FROM (SELECT o_orderkey, o_orderpriority, unnest([o_orderstatus, left(o_orderpriority, 1), '<lambda>']) AS arg FROM orders)
-  WHERE o_orderpriority IN ('1-URGENT', '3-MEDIUM') AND arg <> '<lambda>'""")
-def hof_edges(spark, sf):
-    """Callable arguments of registered higher-order calls become edges; anonymous ones don't."""
-    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", F.array("o_orderstatus", F.substring("o_orderpriority", 1, 1), F.lit("<lambda>")).alias("args"))
-    registry = spark.createDataFrame([("1-URGENT",), ("3-MEDIUM",)], "o_orderpriority string")
-    return o.join(F.broadcast(registry), "o_orderpriority", "left_semi").select("o_orderkey", F.explode("args").alias("arg")).where("arg <> '<lambda>'")
-
-
 def _detectors() -> list[tuple[str, F.Column]]:
     c = F.col
     return [("urgent", c("o_orderpriority") == "1-URGENT"), ("open", c("o_orderstatus") == "O"), ("large", c("o_totalprice") > 300000), ("high", c("o_orderpriority") == "2-HIGH"), ("fifth", c("o_orderkey") % 5 == 0), ("seventh", c("o_custkey") % 7 == 0), ("final", c("o_orderstatus") == "F"), ("low", c("o_orderpriority") == "5-LOW"), ("early", F.year("o_orderdate") < 1995)]
@@ -243,12 +177,6 @@ def _detectors() -> list[tuple[str, F.Column]]:
 _DETECTOR_SQL = [("urgent", "o_orderpriority = '1-URGENT'"), ("open", "o_orderstatus = 'O'"), ("large", "o_totalprice > 300000"), ("high", "o_orderpriority = '2-HIGH'"), ("fifth", "o_orderkey % 5 = 0"), ("seventh", "o_custkey % 7 = 0"), ("final", "o_orderstatus = 'F'"), ("low", "o_orderpriority = '5-LOW'"), ("early", "year(o_orderdate) < 1995")]
 
 
-@query("SELECT o_orderkey, CASE " + " ".join(f"WHEN {cond} THEN '{name}'" for name, cond in _DETECTOR_SQL) + " END AS rule FROM orders")
-def first_detector(spark, sf):
-    """The first of nine rules that holds."""
-    return rank.first_rule(table(spark, sf, "orders"), ["o_orderkey"], _detectors())
-
-
 @query(" UNION ALL ".join(f"SELECT o_orderkey, {k + 1} AS priority, '{name}' AS rule FROM orders WHERE {cond}" for k, (name, cond) in enumerate(_DETECTOR_SQL)))
 def all_detectors(spark, sf):
     """All rules that hold, with their priority."""
@@ -278,23 +206,12 @@ def confidence_decision(spark, sf):
     return found.select("l_orderkey", merge.decide(F.col("e"), F.col("explicit"), "N").alias("confidence"))
 
 
-@query("""WITH a AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS e, CASE WHEN c_nationkey % 3 = 0 THEN 'exact' ELSE 'likely' END AS c FROM customer WHERE c_nationkey < 18),
-  b AS (SELECT DISTINCT s_nationkey AS k, CASE WHEN s_acctbal > 0 THEN 'PAID' ELSE 'OWED' END AS e, CASE WHEN s_nationkey % 5 = 0 THEN 'exact' ELSE 'conservative' END AS c FROM supplier WHERE s_nationkey > 6),
-  u AS (SELECT *, 0 AS side FROM a UNION ALL SELECT *, 1 AS side FROM b)
-  SELECT k, string_agg(DISTINCT e, ',' ORDER BY e) AS e, CASE WHEN bool_or(c = 'exact') THEN 'exact' ELSE arg_max(c, side) END AS c FROM u GROUP BY k""")
-def merge_sources(spark, sf):
-    """Key-wise union of two sources' sets, with the confidence rule."""
-    a = table(spark, sf, "customer").where("c_nationkey < 18").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("e"), F.when(F.col("c_nationkey") % 3 == 0, "exact").otherwise("likely").alias("c")).distinct()
-    b = table(spark, sf, "supplier").where("s_nationkey > 6").select(F.col("s_nationkey").alias("k"), F.when(F.col("s_acctbal") > 0, "PAID").otherwise("OWED").alias("e"), F.when(F.col("s_nationkey") % 5 == 0, "exact").otherwise("conservative").alias("c")).distinct()
-    return merge.merge_two(a, b, ["k"], "e", "c")
-
-
 @query("""WITH a AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment AS e, CASE WHEN c_nationkey % 3 = 0 THEN 'exact' ELSE 'likely' END AS c FROM customer),
   b AS (SELECT DISTINCT s_nationkey AS k, CASE WHEN s_acctbal > 0 THEN 'PAID' ELSE 'OWED' END AS e, CASE WHEN s_nationkey % 5 = 0 THEN 'exact' ELSE 'conservative' END AS c FROM supplier),
   u AS (SELECT *, 0 AS side FROM a UNION ALL SELECT *, 1 AS side FROM b)
   SELECT k, string_agg(DISTINCT e, ',' ORDER BY e) AS e, CASE WHEN bool_or(c = 'exact') THEN 'exact' ELSE arg_max(c, side) END AS c FROM u GROUP BY k""")
 def merge_whole_sources(spark, sf):
-    """``merge_sources`` over all nations of both tables."""
+    """Key-wise union of two sources' sets, with the confidence rule."""
     a = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("e"), F.when(F.col("c_nationkey") % 3 == 0, "exact").otherwise("likely").alias("c")).distinct()
     b = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.when(F.col("s_acctbal") > 0, "PAID").otherwise("OWED").alias("e"), F.when(F.col("s_nationkey") % 5 == 0, "exact").otherwise("conservative").alias("c")).distinct()
     return merge.merge_two(a, b, ["k"], "e", "c")
@@ -306,20 +223,6 @@ def dedupe_last_wins(spark, sf):
     return rank.last_wins(table(spark, sf, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], ["o_orderpriority"])
 
 
-@query("""SELECT n_regionkey, c_mktsegment, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS members FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL""")
-def nested_json(spark, sf):
-    """Grouped objects to JSON, read back as rows."""
-    rows = table(spark, sf, "customer").join(F.broadcast(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("c_nationkey"))
-    packed = merge.nested_json(rows, "n_regionkey", "c_mktsegment", "n_name")
-    return packed.select("n_regionkey", F.explode(F.from_json("json", "map<string, array<string>>")).alias("c_mktsegment", "m")).select("n_regionkey", "c_mktsegment", F.array_join("m", ",").alias("members"))
-
-
-@query("SELECT event_id, k AS key, json_extract_string(props, '$.' || k) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events)")
-def flatten_json(spark, sf):
-    """Objects of any shape to rows of key and value."""
-    return table(spark, sf, "events").select("event_id", F.explode(F.from_json("props", "map<string, string>")).alias("key", "value"))
-
-
 @query(f"""SELECT page_id, string_split(host, '.')[1] AS module, CASE WHEN len(string_split(host, '.')) >= 3 THEN array_to_string(string_split(host, '.')[2:-2], '.') ELSE '' END AS owner,
   CASE WHEN len(string_split(host, '.')) >= 2 THEN string_split(host, '.')[-1] ELSE '' END AS member FROM (SELECT page_id, {_HOST} AS host FROM pages)""")
 def qualify_names(spark, sf):
@@ -344,17 +247,12 @@ def diagnostic_projection(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", text.editor_range((c("o_orderkey") % 50).cast("int"), F.lit(0))["start_line"].alias("line"), severity.alias("severity"), text.severity_number(severity).alias("number"), shown.alias("shown"))
 
 
-@query("SELECT source, lang, count(*) AS n_docs, count(DISTINCT text) AS n_texts, CAST(sum(n_chars) AS BIGINT) AS n_chars FROM documents GROUP BY ALL")
-def project_summary(spark, sf):
-    """Totals and distinct counts by group."""
-    return table(spark, sf, "documents").groupBy("source", "lang").agg(F.count("*").alias("n_docs"), F.count_distinct(F.sha2("text", 256)).alias("n_texts"), F.sum("n_chars").alias("n_chars"))
-
-
 @query("""SELECT event_id, coalesce(ts - p_ts <= INTERVAL 2 HOUR AND event_type = p_type AND sha256(props) = sha256(p_props), false) AS hit FROM (
   SELECT *, lag(ts) OVER w AS p_ts, lag(event_type) OVER w AS p_type, lag(props) OVER w AS p_props FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))""")
 def cache_valid(spark, sf):
     """Whether the entry before still holds: age, kind and content hash."""
-    e = state.previous(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], ["ts", "event_type", "props"])
+    before = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = table(spark, sf, "events").select("*", *[F.lag(c).over(before).alias(f"prev_{c}") for c in ("ts", "event_type", "props")])
     hit = state.valid(F.col("ts") - F.col("prev_ts"), F.expr("INTERVAL '2' HOUR"), (F.col("event_type"), F.col("prev_event_type")), (F.sha2("props", 256), F.sha2("prev_props", 256)))
     return e.select("event_id", hit.alias("hit"))
 
@@ -391,6 +289,9 @@ _LAYER_SQL = ", ".join(map(str, _LAYERS))
 @query(f"SELECT key, arg_max(value, priority) AS value, arg_max(layer, priority) AS layer, arg_max(lower(value) IN ('true', '1', 'yes'), priority) AS is_on, arg_max(TRY_CAST(value AS BIGINT), priority) AS number_or_null FROM (VALUES {_LAYER_SQL}) v(layer, priority, key, value) GROUP BY key".replace("arg_max(TRY_CAST(value AS BIGINT), priority)", "TRY_CAST(arg_max(value, priority) AS BIGINT)"))
 def config_layers(spark, sf):
     """The highest layer of each setting."""
-    layers = spark.createDataFrame(_LAYERS, "layer string, priority int, key string, value string")
+    layers = constant(spark, _LAYERS, "layer string, priority int, key string, value string")
     best = rank.last_wins(layers, ["key"], ["priority"], ["value", "layer"])
     return best.select("key", "value", "layer", text.flag(F.col("value")).alias("is_on"), text.whole_number(F.col("value")).alias("number_or_null"))
+
+
+__all__ = ["QUERIES", "SQL"]

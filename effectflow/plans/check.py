@@ -14,12 +14,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectflow.functions import names, text
 from effectflow.operators import closure, effects, rank, resolve
-from effectflow.runtime import cut
+from effectflow.runtime import constant, cut
 from effectflow.sources import facts, stubs as stub_source
 
 #: Stands for whatever native code may raise.
@@ -59,7 +59,7 @@ OTHER_NAMES = ("EnvironmentError", "IOError", "VMSError", "WindowsError")
 def builtin_ancestors(spark: SparkSession) -> DataFrame:
     """(effect, ancestor), reflexive, of the interpreter's own effects, names of other platforms, and the native sentinel."""
     known = {n: x for n, x in vars(builtins).items() if isinstance(x, type) and issubclass(x, BaseException)} | dict.fromkeys(OTHER_NAMES, OSError) | {NATIVE: Exception}
-    return spark.createDataFrame(sorted({(n, b.__name__) for n, x in known.items() for b in x.__mro__[:-1]} | {(n, n) for n in known}), "effect string, ancestor string")
+    return constant(spark, sorted({(n, b.__name__) for n, x in known.items() for b in x.__mro__[:-1]} | {(n, n) for n in known}), "effect string, ancestor string")
 
 
 def builtin_modules(spark: SparkSession) -> DataFrame:
@@ -68,12 +68,12 @@ def builtin_modules(spark: SparkSession) -> DataFrame:
     for n, x in vars(builtins).items():
         home = getattr(x, "__module__", None)
         rows += [(n, m, k) for k, m in enumerate(dict.fromkeys((home if isinstance(home, str) else "builtins", "builtins")))]
-    return spark.createDataFrame(rows, "name string, module string, place int")
+    return constant(spark, rows, "name string, module string, place int")
 
 
 def standard_modules(spark: SparkSession) -> DataFrame:
     """(module, is_native) of the standard library."""
-    return spark.createDataFrame([(m, m in sys.builtin_module_names) for m in sorted(sys.stdlib_module_names)], "module string, is_native boolean")
+    return constant(spark, [(m, m in sys.builtin_module_names) for m in sorted(sys.stdlib_module_names)], "module string, is_native boolean")
 
 
 class Check:
@@ -83,7 +83,8 @@ class Check:
         self.spark, self.files, self.options = files.sparkSession, files.select("path", "text"), options
         self.stubs, self.modules = stubs, modules if modules is not None else standard_modules(self.spark)
         self.library = library  # effectflow.plans.library.Library: sources behind names that no stub has
-        self.facts = cut(facts.extract(self.files) if cache is None else cache.facts(self.files))
+        # one parse a file; a folder for each kind of fact, so that a view reads its own rows alone
+        self.facts = cut(facts.extract(self.files) if cache is None else cache.facts(self.files), by="kind")
 
     def _module(self, path: str):
         if self.options.root is None:
@@ -124,11 +125,10 @@ class Check:
             return known
         own = facts.classes(self.facts).select(F.explode("bases").alias("base"), F.element_at(F.split("qualname", "[.]"), -1).alias("name"), "file_id")
         module = self._module("file_id")
-        edges = cut(own.select(names.qualify(F.col("name"), module).alias("a"), names.qualify(F.col("base"), module).alias("b")).where("a <> b").distinct())
-        nodes = edges.select("a", F.col("a").alias("b")).unionByName(edges.select(F.col("b").alias("a"), "b"))
-        seeds = known.select(F.col("effect").alias("a"), F.col("ancestor").alias("b")).unionByName(nodes)
-        # a fixpoint, as classes of broken code may form cycles
-        return closure.propagate(edges, seeds).select(F.col("a").alias("effect"), F.col("b").alias("ancestor"))
+        edges = own.select(names.qualify(F.col("name"), module).alias("child"), names.qualify(F.col("base"), module).alias("parent"))
+        edges = edges.unionByName(known.select(F.col("effect").alias("child"), F.col("ancestor").alias("parent"))).where("child <> parent")
+        pairs = closure.hierarchy(edges).select(F.col("node").alias("effect"), "ancestor")
+        return pairs.unionByName(known).distinct()  # names without a parent have themselves alone
 
     def _handlers(self, kind: str) -> DataFrame:
         """(site, handler) of each call (or raise); null catches all. Tuples of types are split."""
@@ -145,7 +145,7 @@ class Check:
     def names(self) -> DataFrame:
         """(file_id, name) of everything called, and of callables passed to higher-order calls: each resolved once."""
         passed = self.calls.where(F.col("func_name").isin(*HIGHER_ORDER)).select("file_id", F.explode("callable_args").alias("name")).where("name <> '<lambda>'")
-        return cut(self.calls.select("file_id", F.col("func_name").alias("name")).unionByName(passed).distinct())
+        return self.calls.select("file_id", F.col("func_name").alias("name")).unionByName(passed).distinct()
 
     @cached_property
     def targets(self) -> DataFrame:
@@ -160,7 +160,7 @@ class Check:
     def external(self) -> DataFrame:
         """(file_id, name, effect) of names that no source file defines."""
         if self.stubs is None:
-            self.stubs = self.spark.createDataFrame([], "source string, priority int, version_spec string, module string, cls string, member string, ord bigint, exc string, confidence string")
+            self.stubs = constant(self.spark, [], stub_source.SCHEMA)
         if self.options.local_only:
             return self.names.select("file_id", "name", F.lit("").alias("effect")).limit(0)
         open_ = self.targets.where("fn_id IS NULL").select("file_id", "name")
@@ -171,8 +171,8 @@ class Check:
         rest = open_.join(alias.select("file_id", "name"), ["file_id", "name"], "left_anti")
         bare = rest.where(~F.col("name").contains("."))
         never = [n for n in self.options.builtin_never if n not in self.options.builtin_always]
-        homes = resolve.small(builtin_modules(self.spark))
-        candidates = (bare.where(~F.col("name").isin(*never)) if never else bare).join(homes, "name").withColumn("member", F.col("name"))
+        homes = builtin_modules(self.spark)
+        candidates = (bare.where(~F.col("name").isin(*never)) if never else bare).join(F.broadcast(homes), "name").withColumn("member", F.col("name"))
         known = stub_source.lookup(candidates.select("module", "member"), self.stubs)
         interesting = effects.with_interesting(known, ["module", "member"], "exc", BORING).select("module", "member")
         always = F.col("name").isin(*self.options.builtin_always) if self.options.builtin_always else F.lit(False)
@@ -209,7 +209,8 @@ class Check:
 
     @cached_property
     def handlers(self) -> DataFrame:
-        return cut(self._handlers("call"))
+        found = self._handlers("call")
+        return cut(found) if self.options.mode == "sound" else found  # joined once a round there
 
     @cached_property
     def signatures(self) -> DataFrame:
@@ -225,6 +226,12 @@ class Check:
         seeds = self.own_effects.select(F.col("fn_id").alias("a"), F.col("effect").alias("b")).unionByName(outer.select("a", "b"))
         return closure.propagate(cut(local), seeds, keep=keep).select(F.col("a").alias("fn_id"), F.col("b").alias("effect"))
 
+    @cached_property
+    def reaches(self) -> DataFrame:
+        """(fn_id, target): every function that a function calls, directly or not."""
+        local = self.edges.join(self.targets.where("fn_id IS NOT NULL"), ["file_id", "name"]).select("a", F.col("fn_id").alias("b"))
+        return closure.reachability(local).select(F.col("a").alias("fn_id"), F.col("b").alias("target"))
+
     @cached_property
     def unhandled(self) -> DataFrame:
         """(call_id, fn_id, effect) that no handler at the call catches."""
@@ -232,7 +239,8 @@ class Check:
         local = called.join(self.targets.where("fn_id IS NOT NULL").select("file_id", "name", F.col("fn_id").alias("target")), ["file_id", "name"]).join(self.signatures.withColumnRenamed("fn_id", "target"), "target").select("call_id", "fn_id", "effect")
         outer = called.join(self.external, ["file_id", "name"]).select("call_id", "fn_id", "effect")
         pairs = local.unionByName(outer).distinct().withColumnRenamed("call_id", "site")
-        return cut(effects.unhandled(pairs, self.handlers, ["site"], "effect", "handler", self.ancestors).withColumnRenamed("site", "call_id"))
+        left = effects.unhandled(pairs, self.handlers, ["site"], "effect", "handler", self.ancestors).withColumnRenamed("site", "call_id")
+        return cut(left) if self.options.strict else left
 
     @cached_property
     def directives(self) -> DataFrame:
@@ -241,22 +249,46 @@ class Check:
     @cached_property
     def diagnostics(self) -> DataFrame:
         """file_id, line, col, end_line, message, exc_types, severity."""
-        found = self.unhandled.join(self.calls.select("call_id", "file_id", "func_name", "line", "col", "end_line"), "call_id")
-        marked = self.directives.where("valid").select("file_id", F.col("line").alias("end_line"), F.explode("exc_types").alias("t"))
-        dropped = found.join(marked, ["file_id", "end_line"]).where((F.col("t") == F.col("effect")) | (F.col("t") == names.last_part(F.col("effect")))).select("call_id")
-        left = effects.drop_group_if_any(found, ["call_id"], dropped)
-        inside = self.functions.where("name <> '<module>'").select("file_id", F.col("line").alias("fn_line"), "docstring")
-        near = rank.asof_backward(left, inside, ["file_id"], "end_line", "fn_line", ["docstring"])
-        doc = F.coalesce("docstring", F.lit(""))
-        said = F.contains(F.lower(doc), F.lit("raise")) & F.contains(doc, names.last_part(F.col("effect")))
-        grouped = near.groupBy("call_id", "file_id", "line", "col", "end_line", "func_name").agg(F.array_sort(F.collect_set(F.when(~said, F.col("effect")))).alias("exc_types"), F.count_if(said).alias("n_said")).where("size(exc_types) > 0")
-        out = grouped.select("file_id", "line", "col", F.when(F.col("n_said") == 0, F.col("end_line")).alias("end_line"), text.call_message(F.col("func_name"), F.col("exc_types")).alias("message"), "exc_types", F.lit("error").alias("severity"))
+        out = self._calls_that_escape().unionByName(self._invalid_directives()).unionByName(self._unread())
         if self.options.strict:
             out = out.unionByName(self._strict())
         if self.options.most_per_file is not None:
             out = rank.keep_newest(out, ["file_id"], ["line", "col", "message"], self.options.most_per_file)
         return out
 
+    def _calls_that_escape(self) -> DataFrame:
+        """Calls with effects that are neither handled, nor told by the enclosing docstring, nor ignored on their last line."""
+        place = self.calls.select("call_id", "file_id", "func_name", "line", "col", "end_line")
+        found = self.unhandled.join(place, "call_id")
+        told = self.directives.where("valid").select("file_id", F.col("line").alias("end_line"), "exc_types")
+        told = told.groupBy("file_id", "end_line").agg(F.flatten(F.collect_list("exc_types")).alias("told"))
+        inside = self.functions.where("name <> '<module>'").select("file_id", F.col("line").alias("fn_line"), "docstring")
+        near = rank.asof_backward(found.join(told, ["file_id", "end_line"], "left"), inside, ["file_id"], "end_line", "fn_line", ["docstring"])
+        effect, doc = F.col("effect"), F.coalesce("docstring", F.lit(""))
+        said = F.contains(F.lower(doc), F.lit("raise")) & F.contains(doc, names.last_part(effect))
+        ignored = F.array_contains("told", effect) | F.array_contains("told", names.last_part(effect))
+        left = F.array_sort(F.collect_set(F.when(~said, effect))).alias("exc_types")
+        call = ["call_id", "file_id", "line", "col", "end_line", "func_name"]
+        grouped = effects.unmarked_groups(near, call, ignored, left, F.count_if(said).alias("n_said")).where("size(exc_types) > 0")
+        message = text.call_message(F.col("func_name"), F.col("exc_types")).alias("message")
+        end = F.when(F.col("n_said") == 0, F.col("end_line")).alias("end_line")
+        return grouped.select("file_id", "line", "col", end, message, "exc_types", F.lit("error").alias("severity"))
+
+    def _whole_line(self, rows: DataFrame, message: Column, severity: str) -> DataFrame:
+        """A finding without effects at the start of each row's line."""
+        none = F.array().cast("array<string>").alias("exc_types")
+        return rows.select("file_id", F.col("line").cast("int").alias("line"), F.lit(0).alias("col"), F.lit(None).cast("int").alias("end_line"), message.alias("message"), none, F.lit(severity).alias("severity"))
+
+    def _invalid_directives(self) -> DataFrame:
+        """Comments that ignore without a list, in files that can be read."""
+        rows = self.directives.where("NOT valid").join(facts.errors(self.facts).select("file_id"), "file_id", "left_anti")
+        return self._whole_line(rows, F.lit(text.invalid_directive(self.options.tags[0])), "warning")
+
+    def _unread(self) -> DataFrame:
+        """Files that can't be parsed, at their first line."""
+        rows = facts.errors(self.facts).withColumn("line", F.lit(1))
+        return self._whole_line(rows, F.concat(F.lit("failed to analyse file: "), F.col("message")), "error")
+
     def _strict(self) -> DataFrame:
         fn = self.functions.select("fn_id", "file_id", "name", "line", "col", F.coalesce("docstring", F.lit("")).alias("doc"))
         sigs = self._not_ignored(self.signatures, "effect")

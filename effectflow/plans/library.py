@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+
 from effectflow.functions import names
-from effectflow.operators import resolve
+from effectflow.operators import native, resolve
+from effectflow.runtime import cut
 from effectflow.sources import facts
+from effectflow.sources import files as file_source
 
 #: Submodules where packages usually keep what they export, in order: fixed names.
 INNER = ("_parser", "_impl", "_core", "decoder", "encoder")
@@ -55,3 +60,47 @@ class Library:
         """(module, member) whose docstring speaks of raising; docstrings are read from the sources, nothing is imported."""
         said = self.functions.where(F.contains(F.lower("docstring"), F.lit("raise"))).select("module", "member")
         return asked.select("module", "member").distinct().join(said.distinct(), ["module", "member"], "left_semi")
+
+
+def imported_sources(spark: SparkSession, files: DataFrame, roots: list[str]) -> DataFrame | None:
+    """(module, path, text) below library folders, of the packages that ``files`` (path, text) import; None if there are none.
+
+    A package is its top folder or file; the first root that has it counts. Folders of tests are left out.
+    """
+    named = facts.imports(facts.extract(files)).select(names.first_part(F.col("target")).alias("package")).distinct()
+    wanted = sorted(r["package"] for r in named.where("package <> ''").collect())  # imports of one project
+    parts = []
+    for package in wanted:
+        for root in roots:
+            home = Path(root, package)
+            if home.is_dir():
+                found = file_source.scan(spark, str(home), "*.py").select(F.concat(F.lit(f"Lib/{package}/"), "path").alias("path"), "text")
+            elif home.with_suffix(".py").is_file():
+                body = home.with_suffix(".py").read_text(errors="replace")
+                found = spark.createDataFrame([(f"Lib/{package}.py", body)], "path string, text string")
+            else:
+                continue
+            parts.append(found)
+            break
+    if not parts:
+        return None
+    every = parts[0]
+    for part in parts[1:]:
+        every = every.unionByName(part)
+    every = cut(every)
+    return file_source.library_modules(every).join(every, "path").select("module", "path", "text")
+
+
+def stubs_of(files: DataFrame, confidence: str = "exact") -> DataFrame:
+    """(module, cls, member, exc, confidence) of library sources (module, path, text), for ``stubs.write_json``."""
+    found = cut(facts.extract(files), by="kind")
+    owner = files.select(F.col("path").alias("file_id"), "module").distinct()
+    fn = cut(facts.functions(found).where("name <> '<module>'").join(owner, "file_id"))
+    short = F.substr(F.col("qualname"), F.length(F.regexp_extract("file_id", r"([^/]+?)(?:\.\w+)?$", 1)) + 2)
+    fn = fn.select("file_id", "fn", "module", short.alias("member")).withColumn("qualname", F.concat_ws(".", "module", "member"))
+    raised = facts.raises(found).where("NOT is_re_raise AND exc_type <> ''").join(fn, ["file_id", "fn"])
+    raised = raised.select("qualname", names.qualify(F.col("exc_type"), F.col("module")).alias("effect"))
+    called = facts.calls(found).join(fn, ["file_id", "fn"]).select("module", "qualname", F.col("func_name").alias("name"))
+    known = native.library_signatures(fn.select("module", "qualname", "member"), raised, called, native.syscalls(files.sparkSession))
+    rows = known.join(fn.select("module", "member", "qualname").distinct(), "qualname")
+    return rows.select("module", names.parent(F.col("member")).alias("cls"), names.last_part(F.col("member")).alias("member"), F.col("effect").alias("exc"), F.lit(confidence).alias("confidence"))

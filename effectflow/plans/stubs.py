@@ -67,7 +67,8 @@ def counted(stubs: DataFrame) -> DataFrame:
 
 def write_toml(stubs: DataFrame) -> DataFrame:
     """(value) lines of the older format from (qualname, exc, confidence, notes): effects united, the weakest confidence, the first notes."""
-    one = stubs.groupBy("qualname").agg(F.array_sort(F.collect_set("exc")).alias("e"), F.min_by("confidence", merge.ordinal(F.col("confidence"))).alias("c"), F.min(F.when(F.col("notes") != "", F.col("notes"))).alias("n"))
+    one = stubs.groupBy("qualname").agg(F.array_sort(F.collect_set("exc")).alias("e"), F.min(F.when(F.col("notes") != "", F.col("notes"))).alias("n"))
+    one = one.join(merge.lowest(stubs, ["qualname"], "confidence").withColumnRenamed("confidence", "c"), "qualname")
     quoted = lambda c: F.concat(F.lit('"'), text.toml_string(c), F.lit('"'))
     lines = F.filter(F.array(F.concat(F.lit("["), quoted(F.col("qualname")), F.lit("]")), F.concat(F.lit("raises = ["), F.array_join(F.transform("e", quoted), ", "), F.lit("]")), F.concat(F.lit("confidence = "), quoted(F.col("c"))), F.concat(F.lit("notes = "), quoted(F.col("n"))), F.lit("")), lambda x: x.isNotNull())
     return one.select("qualname", F.posexplode(lines).alias("k", "value")).orderBy("qualname", "k").select("value")

@@ -1,19 +1,77 @@
-"""Session helpers: the driver tables, and cutting the lineage of loops."""
+"""Session helpers: the driver tables, and cutting the lineage of loops by written tables."""
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
+
+#: Rows of an Arrow batch where texts are parsed.
+TEXT_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and checkpointed in the shared folder that the session names (one of its own where unset)."""
+def constant(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
+    """A table of fixed rows whose size the optimizer knows, so that it is broadcast where that helps."""
+    kind = to_arrow_schema(_parse_datatype_string(schema))
+    columns = list(zip(*rows)) or [()] * len(kind)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. A local one is made only in local mode, where the session names none."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="effectflow-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """``df`` computed once, written as Parquet to the shared folder (partitioned ``by`` a column) and read from there.
+
+    The table goes when the session ends, or by ``forget``.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="effectflow-"))
-    return df.checkpoint()
+    root = f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}"
+    path = f"{root}/{uuid.uuid4().hex}"
+    system, place = _place(spark, root)
+    system.deleteOnExit(place)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows, observed while writing."""
+    seen = Observation()
+    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
+    return out, seen.get["n"]
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables of ``cut`` that nothing lazy reads any more."""
+    for df in tables:
+        system, place = _place(df.sparkSession, df._cut_path)
+        system.delete(place, True)

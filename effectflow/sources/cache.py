@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from effectflow.operators import closure, state
 from effectflow.runtime import cut
 from effectflow.sources import facts
 
@@ -13,11 +14,12 @@ class FactCache:
     """A folder of fact rows with the hash of the text they came from and the time of their storing.
 
     ``root`` can be on any store that Spark writes. Entries older than ``ttl_hours`` count as missing; of a path's
-    entries the newest counts. Appends only: ``prune`` and ``clear`` write the folder anew.
+    entries the newest counts. Appends only: ``prune``, which also keeps the newest ``most`` paths alone, and ``clear``
+    write the folder anew.
     """
 
-    def __init__(self, spark: SparkSession, root: str, ttl_hours: int = 24):
-        self.spark, self.root, self.ttl_hours = spark, root.rstrip("/"), ttl_hours
+    def __init__(self, spark: SparkSession, root: str, ttl_hours: int = 24, most: int = 10_000):
+        self.spark, self.root, self.ttl_hours, self.most = spark, root.rstrip("/"), ttl_hours, most
 
     def _path(self):
         jvm = self.spark.sparkContext._jvm
@@ -28,10 +30,12 @@ class FactCache:
         system, where = self._path()
         return self.spark.read.parquet(self.root) if system.exists(where) else None
 
+    def _young(self) -> Column:
+        return state.valid(F.current_timestamp() - F.col("stored_at"), F.expr(f"INTERVAL '{self.ttl_hours}' HOUR"))
+
     def _fresh(self, table: DataFrame) -> DataFrame:
-        young = F.col("stored_at") >= F.current_timestamp() - F.expr(f"INTERVAL {self.ttl_hours} HOURS")
         newest = table.groupBy("file_id").agg(F.max("stored_at").alias("stored_at"))
-        return table.where(young).join(newest, ["file_id", "stored_at"], "left_semi")
+        return table.where(self._young()).join(newest, ["file_id", "stored_at"], "left_semi")
 
     def facts(self, files: DataFrame) -> DataFrame:
         """Facts of ``files`` (path, text): kept ones where path and hash agree, parsed and stored ones for the rest."""
@@ -50,23 +54,49 @@ class FactCache:
         table = self.entries()
         if table is None:
             return self.spark.createDataFrame([(0, 0, 0)], "files long, rows long, stale long")
-        old = F.col("stored_at") < F.current_timestamp() - F.expr(f"INTERVAL {self.ttl_hours} HOURS")
-        per = table.groupBy("file_id").agg(F.count("*").alias("n"), F.bool_and(old).alias("old"))
+        per = table.groupBy("file_id").agg(F.count("*").alias("n"), F.bool_and(~self._young()).alias("old"))
         return per.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count_if("old").alias("stale"))
 
     def _replace(self, table: DataFrame) -> None:
         cut(table).write.mode("overwrite").parquet(self.root)
 
     def prune(self, alive: DataFrame | None = None) -> None:
-        """Drops stale and superseded entries, and those of paths that aren't in ``alive`` (path)."""
-        if (table := self.entries()) is not None:
-            left = self._fresh(table)
-            self._replace(left if alive is None else left.join(alive.select(F.col("path").alias("file_id")).distinct(), "file_id", "left_semi"))
-
-    def invalidate(self, paths: DataFrame) -> None:
-        if (table := self.entries()) is not None:
-            self._replace(table.join(paths.select(F.col("path").alias("file_id")).distinct(), "file_id", "left_anti"))
+        """Drops stale and superseded entries, those of paths that aren't in ``alive`` (path), and all but the newest paths."""
+        if (table := self.entries()) is None:
+            return
+        left = self._fresh(table)
+        if alive is not None:
+            left, _ = state.prune(left, alive.select(F.col("path").alias("file_id")), ["file_id"])
+        paths = left.groupBy("file_id").agg(F.max("stored_at").alias("at"))
+        kept = paths.orderBy(F.desc("at"), "file_id").limit(self.most).select("file_id")
+        self._replace(left.join(kept, "file_id", "left_semi"))
+
+    def invalidate(self, paths: DataFrame, edges: DataFrame | None = None) -> None:
+        """Drops entries of ``paths`` (path) and, with ``edges`` (a, b: path a depends on path b), of all that reach them."""
+        if (table := self.entries()) is None:
+            return
+        gone = paths.select(F.col("path").alias("file_id")).distinct()
+        if edges is not None:
+            gone = closure.affected(edges, gone.withColumnRenamed("file_id", "node")).select(F.col("node").alias("file_id")).distinct()
+        self._replace(state.prune(table, gone, ["file_id"])[1])
 
     def clear(self) -> None:
         system, where = self._path()
         system.delete(where, True)
+
+
+class PackageCache:
+    """Effects of installed packages kept by name and version: a folder each, made once, never stale."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def place(self, package: str, version: str) -> FactCache:
+        """The facts of one package@version; names and versions are as in their index, so they make safe paths."""
+        return FactCache(self.spark, f"{self.root}/{package}@{version}", ttl_hours=24 * 365 * 100)
+
+    def facts(self, package: str, version: str, files: DataFrame) -> DataFrame:
+        """Facts of a package's sources (path, text): all kept ones, or parsed and kept now."""
+        held = self.place(package, version)
+        kept = held.entries()
+        return held.facts(files) if kept is None else kept.drop("sha256", "stored_at")

@@ -7,8 +7,9 @@ import tomllib
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from effectflow.operators.resolve import first_by, small
+from effectflow.operators.resolve import range_pick, small
 
+SCHEMA = "source string, priority int, version_spec string, module string, cls string, member string, ord bigint, exc string, confidence string"
 #: Priorities of stub sources, the highest first.
 PRIORITIES = {"project": 100, "stdlib": 50, "third-party": 40}
 
@@ -61,7 +62,7 @@ def with_bounds(stubs: DataFrame, spec: str = "version_spec") -> DataFrame:
 
     The score is the specificity: ten for ``==``, five for ``~=``, one for each other clause.
     """
-    clause = F.filter(F.transform(F.split(F.coalesce(F.col(spec), F.lit("")), ","), F.trim), lambda c: c != "")
+    clause = F.filter(F.transform(F.split(F.coalesce(F.col(spec), F.lit("")), ","), lambda c: F.trim(c)), lambda c: c != "")
     op = lambda c: F.regexp_extract(c, "^(==|~=|>=|<=|>|<)", 1)
     at = lambda c: version_number(F.regexp_extract(c, r"([0-9]+(?:[.][0-9]+)*)", 1))
     parts = lambda c: F.size(F.split(F.regexp_extract(c, r"([0-9]+(?:[.][0-9]+)*)", 1), "[.]"))
@@ -76,11 +77,11 @@ def with_bounds(stubs: DataFrame, spec: str = "version_spec") -> DataFrame:
 
 def for_version(stubs: DataFrame, version: str) -> DataFrame:
     """Rows of the sources' most specific specifier that holds the version; ties keep the least specifier text."""
-    at = version_number(F.lit(version))
-    held = with_bounds(stubs).where((F.col("lo") <= at) & (at < F.col("hi")))
-    specs = held.select("source", "version_spec", "score").distinct()
-    best = first_by(specs, ["source"], [F.desc("score"), "version_spec"]).select("source", F.col("version_spec").alias("__spec"))
-    return held.join(small(best), "source").where(F.col("version_spec").eqNullSafe(F.col("__spec"))).drop("__spec", "lo", "hi", "score")
+    specs = with_bounds(stubs.select("source", "version_spec").distinct())
+    asked = stubs.sparkSession.range(1).select(version_number(F.lit(version)).alias("__at"))
+    best = range_pick(asked, "__at", specs, "lo", "hi", [F.desc("score"), "version_spec"], ["source"])
+    best = best.select(F.col("source").alias("__source"), F.col("version_spec").alias("__spec"))
+    return stubs.join(small(best), (F.col("source") == F.col("__source")) & F.col("version_spec").eqNullSafe(F.col("__spec"))).drop("__source", "__spec")
 
 
 def lookup(names: DataFrame, stubs: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from effectflow.operators import state
+
 EVENT = "uri string, ts timestamp, kind string, start_line int, start_char int, end_line int, end_char int, text string"
 
 
@@ -19,10 +21,7 @@ def timed(stream: DataFrame, time: str = "ts", late: str = "1 minute") -> DataFr
 
 def debounced(stream: DataFrame, gap: str = "500 milliseconds", by: str | None = "uri", late: str = "1 minute") -> DataFrame:
     """One row a burst of changes: (by, started, last, n). Without ``by`` one timer serves all, as a single editor server does."""
-    rows = timed(stream, late=late)
-    keys = [by] if by else []
-    out = rows.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.min("ts").alias("started"), F.max("ts").alias("last"), F.count("*").alias("n"))
-    return out.drop("w")
+    return state.debounce(timed(stream, late=late), "ts", gap, [by] if by else [])
 
 
 def apply_edit(base: str, start: tuple[int, int] | None, end: tuple[int, int] | None, new: str) -> str:
@@ -47,8 +46,8 @@ def folded(stream: DataFrame, ttl: str | None = None) -> DataFrame:
     events of a batch are applied in order of time.
     """
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text, n = state.get if state.exists else ("", 0)
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], held_state: GroupState) -> Iterator[pd.DataFrame]:
+        text, n = held_state.get if held_state.exists else ("", 0)
         events = pd.concat(list(batches)).sort_values("ts", kind="stable")
         closed = False
         for e in events.itertuples():
@@ -64,9 +63,9 @@ def folded(stream: DataFrame, ttl: str | None = None) -> DataFrame:
             elif not pd.isna(e.text):
                 text = new
         if closed:
-            state.remove()
+            held_state.remove()
             return
-        state.update((text, n))
+        held_state.update((text, n))
         yield pd.DataFrame({"uri": [key[0]], "ts": [events["ts"].max()], "text": [text], "n_edits": [n]})
 
     return stream.groupBy("uri").applyInPandasWithState(fold, "uri string, ts timestamp, text string, n_edits int", "text string, n int", "update", GroupStateTimeout.NoTimeout)
@@ -78,8 +77,8 @@ def cached(stream: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
     A miss stores the request as the new entry; an entry older than its time to live is a miss.
     """
 
-    def probe(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
+    def probe(key: tuple, batches: Iterator[pd.DataFrame], held_state: GroupState) -> Iterator[pd.DataFrame]:
+        held = held_state.get if held_state.exists else None
         out = []
         for e in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
             at = e.ts.timestamp()
@@ -87,7 +86,7 @@ def cached(stream: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
             out.append((key[0], e.ts, same))
             if not same:
                 held = (at, float(e.mtime), int(e.size), e.sha256)
-        state.update(held)
+        held_state.update(held)
         yield pd.DataFrame(out, columns=["key", "ts", "hit"])
 
     return stream.groupBy("key").applyInPandasWithState(probe, "key string, ts timestamp, hit boolean", "at double, mtime double, size long, sha256 string", "append", GroupStateTimeout.NoTimeout)
@@ -97,7 +96,7 @@ def publish(stream: DataFrame, check: Callable[[DataFrame], DataFrame], sink: Ca
     """Runs ``check`` on the documents that each batch changed and hands the findings to ``sink``; returns the started query."""
 
     def each(batch: DataFrame, number: int) -> None:
-        latest = batch.groupBy("uri").agg(F.max_by("text", "ts").alias("text"))
+        latest = state.fold_last(batch, ["uri"], ["ts"], ["text"])
         sink(check(latest.select(F.col("uri").alias("path"), "text")), number)
 
     return stream.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).start()

@@ -1,6 +1,6 @@
 from effectflow.plans.check import NATIVE, Check, Options
 from effectflow.plans.library import Library
-from effectflow.sources.cache import FactCache
+from effectflow.sources.cache import FactCache, PackageCache
 
 LIB = [
     ("pack", "/lib/pack/__init__.py", "from .inner import go\nfrom pack.other import gone as left\ndef own():\n    _raise()\ndef _raise():\n    raise KeyError()\ndef told():\n    'May raise things.'\n    return 1\n"),
@@ -45,3 +45,25 @@ def test_fact_cache(spark, tmp_path):
     old = FactCache(spark, str(tmp_path / "old"), ttl_hours=0)
     old.facts(one)
     assert old.stats().first().stale == 2
+
+
+def test_cache_keeps_the_newest_and_drops_dependents(spark, tmp_path):
+    cache = FactCache(spark, str(tmp_path / "facts"), most=2)
+    for name in "abcd":
+        cache.facts(spark.createDataFrame([(f"{name}.py", "x = 1\n")], "path string, text string"))
+    cache.prune()
+    assert {r.file_id for r in cache.entries().select("file_id").distinct().collect()} == {"c.py", "d.py"}
+    wide = FactCache(spark, str(tmp_path / "facts"))
+    wide.facts(spark.createDataFrame([(f"{n}.py", "x = 1\n") for n in "ab"], "path string, text string"))
+    edges = spark.createDataFrame([("a.py", "b.py"), ("b.py", "c.py")], "a string, b string")  # a imports b imports c
+    wide.invalidate(spark.createDataFrame([("c.py",)], "path string"), edges)
+    assert {r.file_id for r in wide.entries().select("file_id").distinct().collect()} == {"d.py"}
+
+
+def test_package_cache(spark, tmp_path):
+    kept = PackageCache(spark, str(tmp_path))
+    one = spark.createDataFrame([("p/a.py", "def f(): raise A()\n")], "path string, text string")
+    first = kept.facts("p", "1.0", one)
+    assert kept.facts("p", "1.0", one.limit(0)).count() == first.count() > 0  # sources aren't read again
+    assert kept.facts("p", "2.0", one.limit(0)).count() == 0
+    assert set(first.columns) == set(kept.facts("p", "1.0", one).columns)

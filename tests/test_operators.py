@@ -52,12 +52,30 @@ def test_closure_of_random_graphs(spark, seed):
 
 
 def test_hierarchy(spark):
-    chain = spark.createDataFrame([(k, k - 1) for k in range(1, 21)] + [(100, 7), (100, 3)], "child long, parent long")
-    got = sorted((r.node, r.ancestor, r.depth) for r in closure.hierarchy(chain).collect())
-    want = [(a, b, a - b) for a in range(21) for b in range(a + 1)] + [(100, 100, 0)] + [(100, b, 1 + top - b) for top in (7, 3) for b in range(top + 1)]
-    assert got == sorted(want)
-    with pytest.raises(RuntimeError):
-        closure.hierarchy(chain.unionByName(spark.createDataFrame([(0, 20)], "child long, parent long")), depth=30)
+    """Each pair once at its least depth, whatever the paths; cycles end at the fixpoint."""
+    rng = random.Random(4)
+    chain = [(k, k - 1) for k in range(1, 21)] + [(100, 7), (100, 3)]
+    ring = [(k, (k + 1) % 9) for k in range(9)]
+    some = [(rng.randrange(14), rng.randrange(14)) for _ in range(25)]
+    for edges in (chain, ring, some, chain + [(0, 20)], [(1, 1)], []):
+        nodes = {x for e in edges for x in e}
+        want = {(k, k): 0 for k in nodes}
+        while more := {(a, c): want[(b, c)] + 1 for a, b in edges for b2, c in list(want) if b2 == b and want[(b, c)] + 1 < want.get((a, c), 99)}:
+            want |= more
+        table = spark.createDataFrame([*edges, (None, 5), (5, None)], "child long, parent long")
+        assert {(r.node, r.ancestor): r.depth for r in closure.hierarchy(table).collect()} == want
+
+
+def test_long_chains(spark):
+    """Far more rounds than any bound on them would allow: chains are shortcut, and without a filter or with one, nothing is lost."""
+    n = 1500
+    edges = spark.createDataFrame([(k, k + 1) for k in range(n)], "a long, b long")
+    seeds = spark.createDataFrame([(n, 7)], "a long, b long")
+    assert closure.propagate(edges, seeds).count() == n + 1
+    few = spark.createDataFrame([(k, k + 1) for k in range(25)], "a long, b long")
+    assert closure.propagate(few, spark.createDataFrame([(25, 7)], "a long, b long"), keep=lambda df: df.where("a <> 3")).count() == 22
+    hub = spark.createDataFrame([(k, 0) for k in range(1, 200)] + [(0, k) for k in range(200, 400)] + [(399, 400)], "a long, b long")
+    assert closure.propagate(hub, spark.createDataFrame([(400, 1)], "a long, b long")).count() == 202
 
 
 def test_asof_ties_and_gaps(spark):
@@ -125,12 +143,46 @@ def test_native(spark):
     markers = spark.createDataFrame([("_m", 30)], "module string, line int")
     got = {r.py_name: (r.effects, r.confidence) for r in native.native_signatures(fn, call, native.propagating(site, goto, clear), export, native.marked(fn, markers)).collect()}
     assert got == {"f": (["Exception", "ValueError"], "exact"), "go": (["OSError", "TypeError"], "likely"), "h": (["OSError", "TypeError"], "exact")}
+    unknown = spark.createDataFrame([("PyExc_ValueError",), ("PyExc_IOError",), ("PyExc_Mine",), ("&PyExc_KeyError",), ("x",), (None,)], "r string")
+    assert [r[0] for r in unknown.select(native.error_name(F.col("r"))).collect()] == ["ValueError", "OSError", None, "KeyError", None, None]
     words = spark.createDataFrame([(n,) for n in ("FileIO_methods", "json_methods", "bufferedreader_methods", "PyList_Methods", "iter_methods", "table")], "n string")
     assert [r[0] for r in words.select(native.table_class(F.col("n"))).collect()] == ["FileIO", "", "Bufferedreader", "List", "", ""]
     text_ = "/*[clinic input]\n@classmethod\n_m.Reader.__new__ as reader_new\n  x: int\n[clinic start generated code]*/\n/*[clinic input]\n_m.Other.__init__\n[clinic start generated code]*/"
     assert {(r.type, r.c_name) for r in native.constructors(spark.createDataFrame([("_m", text_)], "module string, text string")).collect()} == {("Reader", "reader_new"), ("Other", "Other___init__")}
 
 
+def test_first_constructor_by_path_and_place(spark):
+    block = lambda *lines: "/*[clinic input]\n" + "\n".join(lines) + "\n[clinic start generated code]*/\n"
+    rows = [("m", "b.c", block("T.__new__ as late")), ("m", "a.c", block("x", "T.__init__ as second") + block("U.__new__")), ("m", "a.c", "")]
+    rows += [("m", "A.c", block("V.__init__ as v2", "V.__new__ as v3"))]
+    for order in (rows, rows[::-1]):
+        got = native.constructors(spark.createDataFrame(order, "module string, path string, text string").repartition(3)).collect()
+        assert sorted((r.type, r.c_name) for r in got) == [("T", "second"), ("U", "U___new__"), ("V", "v2")]
+
+
+def test_operators_have_callers():
+    """Each operator is called by the engine, not by the catalogue alone."""
+    import ast
+    from pathlib import Path
+
+    import effectflow
+
+    root = Path(effectflow.__file__).parent
+    defined, used = {}, set()
+    for path in root.rglob("*.py"):
+        if "llm" in path.parts:
+            continue
+        tree = ast.parse(path.read_text())
+        if path.parent.name == "operators":
+            defined |= {n.name: path.name for n in tree.body if isinstance(n, ast.FunctionDef) and not n.name.startswith("_")}
+        if path.name not in ("catalogue.py", "code_base.py"):
+            own = {id(n) for f in tree.body if isinstance(f, ast.FunctionDef) for n in ast.walk(f) if isinstance(n, (ast.Name, ast.Attribute)) and getattr(n, "id", getattr(n, "attr", "")) == f.name}
+            used |= {getattr(n, "id", getattr(n, "attr", "")) for n in ast.walk(tree) if isinstance(n, (ast.Name, ast.Attribute)) and id(n) not in own}
+    # entry points of the library itself: nothing inside needs to call these
+    entries = {"native_signatures", "marked", "propagating", "constructors", "table_class", "native_exports"}
+    assert sorted(set(defined) - used - entries) == []
+
+
 def test_library_signatures(spark):
     fn = spark.createDataFrame([("m", "m.f", "f"), ("m", "m.C.__init__", "C.__init__"), ("m", "m.C.run", "C.run"), ("m", "m.D.run", "D.run"), ("m", "m.C.go", "C.go"), ("m", "m.opens", "opens")], "module string, qualname string, member string")
     raised = spark.createDataFrame([("m.C.__init__", "ValueError"), ("m.D.run", "KeyError")], "qualname string, effect string")

@@ -96,5 +96,43 @@ def test_settings_take_effect(spark, tmp_path, capsys, monkeypatch):
     seen = []
     monkeypatch.setattr(server, "main", lambda *a: seen.append(a))
     assert cli.main(["lsp"]) == 0
-    _, _, options, debounce = seen[0]
+    _, _, options, debounce, stub_table = seen[0]
+    assert stub_table is None
     assert (list(options.ignored), options.most_per_file, debounce) == (["ValueError"], 7, 0.05)
+
+
+def test_stubs_and_library_of_the_interpreter(spark, tmp_path, capsys, monkeypatch):
+    """A stub file made from the running interpreter's sources, and a check that reads them without one."""
+    import sysconfig
+
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.py").write_text("import json\ndef f(s):\n    return json.loads(s)\ndef g(s):\n    try:\n        return json.loads(s)\n    except (TypeError, json.JSONDecodeError):\n        return None\n")
+    assert cli.main(["stubs", sysconfig.get_path("stdlib"), "--module", "json", "--python", ">=3.13,<3.14", "-o", "std.json"]) == 0
+    assert "function(s) in std.json" in capsys.readouterr().out
+    made = json.loads((tmp_path / "std.json").read_text())
+    assert made["metadata"]["version"] == ">=3.13,<3.14" and "TypeError" in made["json"]["loads"]
+    assert cli.main(["check", "src", "--stubs", "std.json", "--python", "3.13", "--library", "nowhere"]) == 1
+    with_stubs = capsys.readouterr().out
+    assert "src/a.py:3:11: error: call to 'json.loads'" in with_stubs and ":6:" not in with_stubs
+    assert cli.main(["check", "src", "--python", "3.13"]) == 1
+    without = capsys.readouterr().out
+    assert "src/a.py:3:11: error: call to 'json.loads'" in without and "TypeError" in without and ":6:" not in without
+    assert cli.main(["check", "src", "--local"]) == 0
+    assert cli.main(["stubs", "nowhere", "--python", ">=3", "-o", "x.json"]) == 2
+
+
+def test_cache_switches(spark, tmp_path, capsys, monkeypatch):
+    monkeypatch.chdir(tmp_path)
+    (tmp_path / "a.py").write_text("def f(): raise A()\nf()\n")
+    assert cli.main(["check", "a.py", "--cache", "kept", "--no-cache"]) == 1 and not (tmp_path / "kept").exists()
+    assert cli.main(["check", "a.py", "--cache", "kept", "--debug"]) == 1 and (tmp_path / "kept").exists()
+
+
+def test_editor_server_with_stubs(spark):
+    from effectflow.sources import stubs
+
+    table = stubs.flatten(spark.createDataFrame([("stdlib", 50, '{"json": {"loads": ["ValueError"]}}')], "source string, priority int, text string"))
+    analyse = server.analyse_with(stubs=table)
+    assert [f["exc_types"] for f in analyse("/a.py", "import json\ndef f(s):\n    return json.loads(s)\n")] == [["ValueError"]]
+    assert analyse("/a.py", "def func(: pass")[0]["severity"] == "error"
