@@ -7,6 +7,8 @@ Exit codes: 0 nothing found, 1 findings, 2 wrong use.
 from __future__ import annotations
 
 import argparse
+import contextlib
+import itertools
 import sys
 from collections.abc import Sequence
 from pathlib import Path
@@ -36,8 +38,8 @@ def parser() -> argparse.ArgumentParser:
     lsp.add_argument("--port", type=int, default=2087)
     lsp.add_argument("--stubs", action="append", default=[], help="JSON stub files or folders")
     lsp.add_argument("--python", default="3.12")
-    made = sub.add_parser("stubs", help="make a stub file from a library's Python sources")
-    made.add_argument("folder", help="a source tree with Lib/, or such a folder itself")
+    made = sub.add_parser("stubs", help="make a stub file from an interpreter's sources, Python and C")
+    made.add_argument("folder", help="a source tree with Lib/ (and Modules/, Objects/, Python/), or a folder of Python sources")
     made.add_argument("--python", required=True, help="version specifier, as >=3.12,<3.13")
     made.add_argument("-o", "--output", required=True)
     made.add_argument("--name", default="stdlib")
@@ -127,13 +129,16 @@ def _check(args: argparse.Namespace) -> int:
     run = Check(found, table, options=options, cache=kept, library=Library(sources) if sources is not None else None)
     shown = run.diagnostics.cache()
     if args.json:
-        text = report_json(run).first().value
+        lines = [report_json(run).first().value]
     else:
         here = str(Path.cwd()) + "/"
         rows = shown if args.absolute else shown.withColumn("file_id", F.regexp_replace("file_id", "^" + here.replace(".", r"\."), ""))
         total = run.summary.first()
-        text = "\n".join([r.value for r in report_text(rows).toLocalIterator()] + [f"{total.issues} issue(s) in {total.files} file(s)"] + [f"{total.functions} functions, {total.exceptions} raise statements"] * args.verbose)
-    Path(args.output).write_text(text + "\n") if args.output else print(text)
+        lines = itertools.chain((r.value for r in report_text(rows).toLocalIterator()), [f"{total.issues} issue(s) in {total.files} file(s)"], [f"{total.functions} functions, {total.exceptions} raise statements"] * args.verbose)
+    with contextlib.ExitStack() as stack:
+        out = stack.enter_context(open(args.output, "w")) if args.output else sys.stdout
+        for line in lines:
+            print(line, file=out)
     return int(shown.limit(1).count() > 0)
 
 
@@ -183,21 +188,28 @@ def _stubs(args: argparse.Namespace) -> int:
 
     from effectflow.operators import merge
     from effectflow.plans import stubs
-    from effectflow.plans.library import stubs_of
+    from effectflow.plans.library import native_stubs, stubs_of, united
     from effectflow.sources import files
 
     base = Path(args.folder).resolve()
-    base = base / "Lib" if (base / "Lib").is_dir() else base
+    library = base / "Lib" if (base / "Lib").is_dir() else base
     if not base.is_dir():
         print(f"{base}: no such folder", file=sys.stderr)
         return 2
-    every = files.scan(session(), str(base), "*.py").select(F.concat(F.lit("Lib/"), "path").alias("path"), "text")
+    every = files.scan(session(), str(library), "*.py").select(F.concat(F.lit("Lib/"), "path").alias("path"), "text")
     if args.module:
         package = F.regexp_replace(F.element_at(F.split("path", "/"), 2), r"\.py$", "")
         every = every.where(package.isin(*args.module))
     every = cut(every)
     found = stubs.with_twins(stubs_of(files.library_modules(every).join(every, "path")))
-    rows = cut(merge.highest(found, ["module", "cls", "member", "exc"], "confidence"))
+    found = merge.highest(found, ["module", "cls", "member", "exc"], "confidence")
+    if any((base / name).is_dir() for name in ("Modules", "Objects", "Python")):
+        sources = cut(files.scan(session(), str(base), "*.[ch]").select("path", "text"))
+        header = sources.where(F.col("path").endswith(".h")).select(F.lit("").alias("module"), "path", "text")
+        of_module = files.native_modules(sources).join(sources, "path").select("module", "path", "text")
+        of_module = of_module.where(F.col("module").isin(*args.module)) if args.module else of_module
+        found = united(native_stubs(of_module.unionByName(header)), found)
+    rows = cut(found)
     said = stubs.write_json(rows, args.name, args.python, datetime.now(UTC).isoformat(timespec="seconds")).first().value
     Path(args.output).write_text(said + "\n")
     print(f"{stubs.counted(rows).first().stubs} function(s) in {args.output}")

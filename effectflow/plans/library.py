@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from effectflow.functions import names
 from effectflow.operators import native, resolve
 from effectflow.runtime import cut
-from effectflow.sources import facts
+from effectflow.plans import stubs as writers
+from effectflow.sources import c_facts, facts
 from effectflow.sources import files as file_source
 
 #: Submodules where packages usually keep what they export, in order: fixed names.
@@ -91,6 +92,31 @@ def imported_sources(spark: SparkSession, files: DataFrame, roots: list[str]) ->
     return file_source.library_modules(every).join(every, "path").select("module", "path", "text")
 
 
+def native_stubs(files: DataFrame) -> DataFrame:
+    """(module, cls, member, exc, confidence) of an interpreter's C sources (module, path, text), generated headers among them."""
+    files = c_facts.with_headers(files)
+    found = cut(c_facts.extract(files), by="kind")
+    every = c_facts.functions(found)
+    fn = resolve.first_by(every, ["module", "name"], ["path", "line"])
+    by_path = native.marked(every.select(F.col("path").alias("module"), "name", "line"), c_facts.markers(found).select(F.col("path").alias("module"), "line"))
+    marked = every.join(by_path.withColumnRenamed("module", "path"), ["path", "name"], "left_semi").select("module", "name").distinct()
+    hands_on = native.propagating(c_facts.sites(found), c_facts.jumps(found), c_facts.clears(found))
+    exports = c_facts.exports(found, files)
+    known = native.native_signatures(fn, c_facts.calls(found), hands_on, exports, marked)
+    rows = known.select("module", "py_name", F.explode("effects").alias("exc"), "confidence")
+    return rows.select("module", names.parent(F.col("py_name")).alias("cls"), names.last_part(F.col("py_name")).alias("member"), "exc", "confidence").distinct()
+
+
+def united(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Native and library stubs (module, cls, member, exc, confidence) as one, by the rule for merged sources."""
+    key = F.to_json(F.array("module", "cls", "member")).alias("qualname")
+    flat = lambda df: df.select(key, "exc", "confidence", F.lit("").alias("notes"))
+    both = writers.merged(flat(first), flat(second))
+    parts = F.from_json("qualname", "array<string>")
+    columns = [parts[k].alias(n) for k, n in enumerate(("module", "cls", "member"))]
+    return both.select(*columns, F.explode(F.split("exc", ",")).alias("exc"), "confidence")
+
+
 def stubs_of(files: DataFrame, confidence: str = "exact") -> DataFrame:
     """(module, cls, member, exc, confidence) of library sources (module, path, text), for ``stubs.write_json``."""
     found = cut(facts.extract(files), by="kind")

@@ -15,6 +15,9 @@ from effectflow.functions.names import package_module
 from effectflow.operators.resolve import small
 from effectflow.sources import patterns
 
+#: A scan's partitions: folders of at most LEVELS levels below the root, until there are MOST_FOLDERS; files in runs.
+LEVELS, MOST_FOLDERS, RUN_FILES = 4, 256, 64
+
 #: What a scan leaves out where nothing else is said.
 DEFAULT_EXCLUDE = (".venv",)
 
@@ -34,8 +37,9 @@ class TreeSource(DataSource):
     """``spark.read.format("tree").load(root)``: every file below a folder as (path, size, mtime, text), hidden ones too.
 
     Spark's own file listing leaves out names that begin with ``_`` or ``.``, and with them ``__init__.py`` and ignore
-    files. Each entry of the root is a partition, walked and read on the executors through Arrow's file systems
-    (mounted folders, and the stores that Arrow knows by their scheme). Options: ``glob`` on file names, ``texts``.
+    files. Folders are listed on the driver level by level until there are a few hundred; each is a partition then, walked
+    and read on the executors through Arrow's file systems (mounted folders, and the stores that Arrow knows by their
+    scheme), and so is each run of the files above them. Options: ``glob`` on file names, ``texts``.
     """
 
     @classmethod
@@ -63,17 +67,22 @@ class TreeReader(DataSourceReader):
         from pyarrow import fs
 
         store, base = _opened(self.root)
-        entries = store.get_file_info(fs.FileSelector(base, recursive=False, allow_not_found=True))
-        return [InputPartition(e.path) for e in entries] or [InputPartition(None)]
+        files, folders = [], [base]
+        for _ in range(LEVELS):
+            if not folders or len(folders) >= MOST_FOLDERS:
+                break
+            entries = [e for d in folders for e in store.get_file_info(fs.FileSelector(d, recursive=False, allow_not_found=True))]
+            files += [e.path for e in entries if e.type == fs.FileType.File]
+            folders = [e.path for e in entries if e.type == fs.FileType.Directory]
+        runs = [files[k : k + RUN_FILES] for k in range(0, len(files), RUN_FILES)]
+        return [InputPartition(x) for x in [*folders, *runs]] or [InputPartition([])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         from pyarrow import fs
 
-        if partition.value is None:
-            return
         store, base = _opened(self.root)
-        first = store.get_file_info(partition.value)
-        found = [first] if first.type == fs.FileType.File else store.get_file_info(fs.FileSelector(first.path, recursive=True))
+        wanted = partition.value
+        found = store.get_file_info(fs.FileSelector(wanted, recursive=True) if isinstance(wanted, str) else wanted)
         for f in found:
             if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, self.glob):
                 text = None
@@ -138,8 +147,8 @@ def project_root(files: DataFrame, starts: DataFrame, markers: Sequence[str] = R
 class ArchiveSource(DataSource):
     """``spark.read.format("archive").load(folder)``: members of tar archives (.tar, .tar.gz, .tar.xz) as (archive, member, content).
 
-    One partition an archive, members one at a time. Archives are opened by path, so the folder must be one that
-    every executor mounts; elsewhere, read them with ``binaryFile`` and pass the bytes to ``members``.
+    One partition an archive, read as a stream, one member at a time, from a mounted folder or a store that Arrow knows by
+    its scheme; from other stores, read them with ``binaryFile`` and pass the bytes to ``members``.
     """
 
     @classmethod
@@ -158,13 +167,20 @@ class ArchiveReader(DataSourceReader):
         self.path = path.removeprefix("file://")
 
     def partitions(self) -> list[InputPartition]:
-        import os
+        from pyarrow import fs
 
-        found = [self.path] if os.path.isfile(self.path) else sorted(os.path.join(d, f) for d, _, names in os.walk(self.path) for f in names if f.endswith((".tar", ".tar.gz", ".tgz", ".tar.xz")))
-        return [InputPartition(p) for p in found]
+        store, base = _opened(self.path)
+        if store.get_file_info(base).type == fs.FileType.File:
+            return [InputPartition(base)]
+        found = store.get_file_info(fs.FileSelector(base, recursive=True, allow_not_found=True))
+        paths = sorted(f.path for f in found if f.type == fs.FileType.File and f.path.endswith((".tar", ".tar.gz", ".tgz", ".tar.xz")))
+        return [InputPartition(p) for p in paths] or [InputPartition(None)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with tarfile.open(partition.value) as tar:
+        if partition.value is None:
+            return
+        store, _ = _opened(self.path)
+        with store.open_input_stream(partition.value, compression=None) as stream, tarfile.open(fileobj=stream, mode="r|*") as tar:
             for m in tar:
                 if m.isfile():
                     yield partition.value, m.name, tar.extractfile(m).read()
