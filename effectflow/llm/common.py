@@ -2,7 +2,7 @@
 
 Intermediate tables are written as Parquet under ``spark.checkpoint.dir`` and read again. That cuts the
 lineage, survives the loss of executors and lets later passes read only the columns they need. The folder
-is read from the session; a local one is set only where the session names none, as in tests.
+is read from the session; a local one is made only in local mode where the session names none, as in tests.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from contextvars import ContextVar
@@ -22,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
+from effectflow.runtime import shared_dir
+
 #: Rows of an Arrow batch: texts are long, so batches are kept small.
 BATCH_ROWS = 256
 
@@ -43,18 +43,6 @@ def tuned(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. A local one is made only in local mode, where the session names none."""
-    context = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not found:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="effectflow-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 _scope: ContextVar[str | None] = ContextVar("scope", default=None)
 
 

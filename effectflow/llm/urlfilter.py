@@ -155,16 +155,18 @@ class UrlFilter:
         self.rules, self.default = list(rules), default
         self.owner = np.array([k for k, r in enumerate(rules) for _ in r.globs], dtype=np.int64)
         self.automaton = GlobAutomaton([g for r in rules for g in r.globs])
-        # longest reported rules first, then the unreported ones in their order
-        self.rank = sorted(range(len(rules)), key=lambda k: (not rules[k].reported, -len(rules[k].name) if rules[k].reported else 0, k))
+        # longest reported rules first, then the unreported ones in their order; globs in the order of their rules
+        rank = sorted(range(len(rules)), key=lambda k: (not rules[k].reported, -len(rules[k].name) if rules[k].reported else 0, k))
+        place = np.argsort(np.array(rank, dtype=np.int64), kind="stable")
+        self.order = np.argsort(place[self.owner], kind="stable") if len(self.owner) else self.owner
 
     def judge(self, urls: Sequence[str | None]) -> dict[str, list]:
         parts = [split_url(u) for u in urls]
         hit = self.automaton.match([(h + p).encode("utf-8", "surrogatepass") for h, p in parts])
         best = np.full(len(urls), -1)
-        for place in range(len(self.rank) - 1, -1, -1):
-            k = self.rank[place]
-            best[hit[:, self.owner == k].any(axis=1)] = k
+        if len(self.order):
+            hit = hit[:, self.order]
+            best = np.where(hit.any(axis=1), self.owner[self.order[hit.argmax(axis=1)]], -1)
         empty = np.array([not h and not p for h, p in parts], bool)
         best[empty] = -1
         rule = [self.rules[k].name if k >= 0 and self.rules[k].reported else None for k in best]

@@ -61,6 +61,23 @@ def test_rules_by_contract(spark):
     assert urlfilter.filter_urls(pages.limit(0)).count() == 0
 
 
+def test_many_rules_against_the_rule_by_rule_choice():
+    rng = random.Random(4)
+    words = ["a", "b", "ab", "x.y", "*", "**", "?", "/"]
+    rules = [urlfilter.Rule(f"{k % 7}{'n' * rng.randrange(9)}", tuple("".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(0, 4))), rng.choice(["allow", "block"]), rng.random() < 0.5) for k in range(300)]
+    urls = ["h://" + "".join(rng.choice("ab/.xy") for _ in range(rng.randrange(0, 8))) for _ in range(200)] + [None, ""]
+    got = urlfilter.UrlFilter(rules).judge(urls)
+    automaton = [urlfilter.GlobAutomaton(list(r.globs)) for r in rules]
+    for n, url in enumerate(urls):
+        host, path = urlfilter.split_url(url)
+        text = (host + path).encode()
+        fits = [k for k, r in enumerate(rules) if r.globs and automaton[k].match([text]).any()] if text else []
+        first = min(fits, key=lambda k: (not rules[k].reported, -len(rules[k].name) if rules[k].reported else 0, k), default=None)
+        want = ("allow", None, None) if first is None else (rules[first].verdict, *((rules[first].name, None) if rules[first].reported else (None, rules[first].name)))
+        assert (got["verdict"][n], got["rule"][n], got["glob"][n]) == want
+    assert urlfilter.UrlFilter([]).judge(["h://a"])["verdict"] == ["allow"]
+
+
 # Media
 
 def test_pictures_round_trip():
