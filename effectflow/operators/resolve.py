@@ -86,7 +86,31 @@ def cascade(df: DataFrame, key: Sequence[str], strategies: Sequence[DataFrame])
     return out.withColumn("__hit", F.coalesce(*marks)).select(*df.columns, *[F.col(f"__hit.{c}").alias(c) for c in columns], step.alias("strategy"))
 
 
+def _dyadic(lo: Column, hi: Column) -> Column:
+    """[lo, hi) of whole numbers as an array of (level, block): block b of level l is [b * 2^l, (b + 1) * 2^l).
+
+    At most two blocks a level; null and empty ranges have none.
+    """
+    def blocks(level: Column) -> Column:
+        first, last = -F.call_function("shiftright", -lo, level), F.call_function("shiftright", hi, level)
+        odd = lambda c: F.pmod(c, F.lit(2)) == 1
+        block = lambda c: F.struct(level.alias("level"), c.alias("block"))
+        left, right = F.when((first < last) & odd(first), block(first)), F.when((first < last) & odd(last), block(last - 1))
+        return F.array(left, right)
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), blocks)))
+
+
 def range_pick(df: DataFrame, value: str, rules: DataFrame, lo: str, hi: str, score: Sequence[Column | str], key: Sequence[str]) -> DataFrame:
-    """Each row with the best rule whose [lo, hi) holds its value. Rules are few (checked) or joined by range as they are."""
-    hit = df.join(small(rules), (F.col(value) >= F.col(lo)) & (F.col(value) < F.col(hi)))
+    """Each row with the best rule whose [lo, hi) holds its value, by ``score``; whole numbers.
+
+    An equi-join, however many rules there are: ranges are cut in blocks of powers of two, and a value lies in one block of
+    each size that any rule has.
+    """
+    cut = rules.withColumn("__at", F.explode(_dyadic(F.col(lo).cast("long"), F.col(hi).cast("long"))))
+    cut = cut.withColumns({"__level": F.col("__at.level"), "__block": F.col("__at.block")}).drop("__at")
+    levels = sorted(r[0] for r in cut.select("__level").distinct().collect())  # at most 63
+    here = df.withColumn("__l", F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")))
+    block = F.call_function("shiftright", F.col(value).cast("long"), F.col("__l"))
+    hit = here.join(small(cut), (F.col("__l") == F.col("__level")) & (block == F.col("__block"))).drop("__l", "__level", "__block")
     return first_by(hit, key, score)

@@ -95,6 +95,22 @@ def test_resolution_edges(spark):
     assert {r.name: r.p for r in resolve.longest_prefix(asked, "name", dim, "p", strict=True).collect()} == {"a.b.c": "a.b", "a.b": "a"}
 
 
+def test_range_pick_against_all_pairs(spark):
+    rng = random.Random(6)
+    wide = lambda: rng.choice([rng.randrange(-50, 50), rng.randrange(-(1 << 40), 1 << 40), 0, 1 << 60])
+    rules = [(k, *sorted((wide(), wide())), rng.randrange(5)) for k in range(120)] + [(900, 5, 5, 9), (901, 9, 2, 9), (902, None, 5, 9)]
+    values = [(k, wide()) for k in range(200)] + [(999, None)]
+    got = resolve.range_pick(spark.createDataFrame(values, "id long, v long"), "v", spark.createDataFrame(rules, "rule long, lo long, hi long, score int"), "lo", "hi", [F.desc("score"), "rule"], ["id"])
+    want = {}
+    for k, v in values:
+        fits = [(-s, r) for r, a, b, s in rules if v is not None and a is not None and a <= v < b]
+        if fits:
+            want[k] = min(fits)[1]
+    assert {r.id: r.rule for r in got.collect()} == want and len(want) > 50
+    none = resolve.range_pick(spark.createDataFrame(values, "id long, v long"), "v", spark.createDataFrame([], "rule long, lo long, hi long, score int"), "lo", "hi", ["score"], ["id"])
+    assert none.count() == 0
+
+
 def test_names(spark):
     t = spark.createDataFrame([("ValueError", "p.m"), ("Own", "p.m"), ("decoder.Bad", "p.m"), ("Cls.Bad", "p.m"), ("_x.Bad", "p.m"), ("Own", None)], "e string, m string")
     assert [r[0] for r in t.select(names.qualify(F.col("e"), F.col("m"))).collect()] == ["ValueError", "p.m.Own", "p.Bad", "Cls.Bad", "_x.Bad", "Own"]
