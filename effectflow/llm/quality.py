@@ -11,8 +11,8 @@ part best (highest mean of both classes' accuracy). Labelled rows are the ``labe
 documented bound: they are broadcast, and only the target model and the cut are fitted on them. The raw counts and
 the selection cover all rows.
 
-Each text is tokenized once: its buckets, two bytes each, are written beside the row, and counts, weights and the selection
-read those.
+Each text is tokenized once: its sorted buckets, as differences, are written beside the row, and counts, weights and the
+selection read those.
 """
 
 from __future__ import annotations
@@ -65,6 +65,18 @@ def grams(text: str) -> np.ndarray:
     return np.concatenate((one >> shift, two)).astype(np.uint16)
 
 
+def packed(found: np.ndarray) -> bytes:
+    """Buckets as bytes that compress well: sorted, differences, the low bytes before the high ones."""
+    steps = np.diff(np.sort(found), prepend=np.uint16(0)).astype(np.uint16)
+    return steps.view(np.uint8).reshape(-1, 2).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The sorted buckets again."""
+    halves = np.frombuffer(data, np.uint8).reshape(2, -1)
+    return np.cumsum(np.ascontiguousarray(halves.T).view(np.uint16).ravel(), dtype=np.uint16)
+
+
 @dataclass(frozen=True)
 class Model:
     """Counts of each bucket (a fixed number of them) over all texts and over the target, and the cut on the weight."""
@@ -99,10 +111,11 @@ def _counts(bags: DataFrame) -> np.ndarray:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         total = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
-            every = batch.column(0).to_pylist()
+            every = list(map(unpacked, batch.column(0).to_pylist()))
             chosen = [b for b, target in zip(every, batch.column(1).to_pylist()) if target]
             for k, parts in enumerate((every, chosen)):
-                total[k] += np.bincount(np.frombuffer(b"".join(parts), np.uint16), minlength=BUCKETS)
+                if parts:
+                    total[k] += np.bincount(np.concatenate(parts), minlength=BUCKETS)
         yield {"slice": list(range(slices)), **{name: list(total[k].reshape(slices, width)) for k, name in enumerate(("raw", "target"))}}
 
     partial = arrow_pass(bags, make, "slice int, raw array<long>, target array<long>")
@@ -122,11 +135,11 @@ def _counts(bags: DataFrame) -> np.ndarray:
 
 
 def buckets(text: Column) -> Column:
-    """The buckets of a text, two bytes each."""
+    """The packed buckets of a text."""
 
     @F.arrow_udf("binary")
     def found(texts: pa.Array) -> pa.Array:
-        return pa.array([grams(t).tobytes() for t in texts.to_pylist()], pa.binary())
+        return pa.array([packed(grams(t)) for t in texts.to_pylist()], pa.binary())
 
     return found(text)
 
@@ -137,7 +150,7 @@ def weight(model: Model) -> Column:
     @F.arrow_udf("double")
     def weigh(found: pa.Array, targets: pa.Array) -> pa.Array:
         pairs = zip(found.to_pylist(), targets.to_pylist())
-        return pa.array([model.weight(np.frombuffer(b, np.uint16), bool(g)) for b, g in pairs], pa.float64())
+        return pa.array([model.weight(unpacked(b), bool(g)) for b, g in pairs], pa.float64())
 
     return weigh
 

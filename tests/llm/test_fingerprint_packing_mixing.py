@@ -437,6 +437,15 @@ def plain_buckets(text):
     return out
 
 
+def test_packed_buckets():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 500):
+        found = rng.integers(0, 1 << 16, n).astype(np.uint16)
+        assert (quality.unpacked(quality.packed(found)) == np.sort(found)).all()
+    assert (quality.unpacked(quality.packed(np.array([65535, 0, 65535], np.uint16))) == [0, 65535, 65535]).all()
+    assert sorted(quality.grams("A b b, c!").tolist()) == sorted(plain_buckets("A b b, c!"))
+
+
 def test_selection_against_brute_force(spark, tmp_path):
     base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(120)
     rows = [tuple(r) for r in base.collect()] + [(9000, None), (9001, ""), (9002, "a"), (9003, "tie tie"), (9003, "tie tie"), (None, "no id"), (9004, "word " * 3000)]
