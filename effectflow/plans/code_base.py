@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from effectflow.functions import names
 from effectflow.operators import detect, merge
 from effectflow.plans import stubs as writers
-from effectflow.plans.check import Check, Options
+from effectflow.plans.check import Check, Options, report_text
+from effectflow.plans.library import Library, native_stubs, stubs_of
 from effectflow.plans.registry import query
 from effectflow.runtime import constant, cut, shared_dir, table
-from effectflow.sources import facts, stubs
+from effectflow.sources import facts, patterns, stubs
+from effectflow.sources import files as file_source
 from effectflow.sources.cache import FactCache
 
 #: A module: {k} the supplier, {t} another one, {n} its nation, {doc} a docstring, {mark} a comment, {end} further lines.
@@ -182,6 +184,102 @@ def check_summary(spark, sf):
     return Check(sources(spark, sf)).summary
 
 
+@query(f"""WITH RECURSIVE {_BASE_SQL}, {_FOUND_SQL}
+  SELECT file_id || ':' || line || ':' || CASE line WHEN 1 THEN 0 WHEN 16 THEN 8 WHEN 22 THEN 8 ELSE CASE severity WHEN 'error' THEN 4 ELSE 0 END END || ': ' || severity || ': ' || message AS value FROM findings""")
+def report_lines(spark, sf):
+    """The text report of a check."""
+    found = report_text(Check(sources(spark, sf)).diagnostics)
+    return found.select(F.regexp_replace("value", "(failed to analyse file).*", "$1").alias("value"))
+
+
+@query(f"""WITH RECURSIVE {_BASE_SQL}, {_CLOSED_SQL}, shown(k, line, fn, effect) AS (
+    SELECT k, 14, 'guarded', effect FROM own UNION ALL SELECT o.k, 25, 'opened', o.effect FROM opened o JOIN good g USING (k) WHERE NOT (g.told AND o.effect = 'Local'))
+  SELECT 's' || k || '.py' AS file_id, line, 'function ''' || fn || ''' may raise undocumented exceptions: ' || string_agg(effect, ', ' ORDER BY effect) AS message FROM shown GROUP BY k, line, fn""")
+def strict_findings(spark, sf):
+    """Functions that let effects escape which their docstrings don't name."""
+    found = Check(sources(spark, sf), options=Options(strict=True)).diagnostics
+    return found.where("message LIKE 'function %'").select("file_id", "line", "message")
+
+
+@query(f"""WITH RECURSIVE {_BASE_SQL}, own(k, effect) AS (SELECT k, 's' || k || substr(effect, 7) FROM good UNION ALL SELECT k, 's' || k || '.Local' FROM good),
+  opened(k, effect) AS (SELECT * FROM own UNION SELECT g.k, o.effect FROM opened o JOIN good g ON g.t = o.k)
+  SELECT 's' || k || '.py#s' || k || '.' || fn AS fn_id, effect FROM own, (VALUES ('first'), ('guarded')) f(fn) UNION ALL SELECT 's' || k || '.py#s' || k || '.opened', effect FROM opened""")
+def sound_signatures(spark, sf):
+    """Signatures where handlers inside callees count and own classes have their module."""
+    return Check(sources(spark, sf), options=Options(mode="sound", root="")).signatures
+
+
+@query(f"""WITH {_BASE_SQL} SELECT 's' || k AS module, member, 's' || k || x AS effect FROM (SELECT k, substr(effect, 7) AS x FROM good UNION ALL SELECT k, '.Local' FROM good), (VALUES ('first'), ('guarded')) m(member)""")
+def library_lookup(spark, sf):
+    """Names of a library to the effects of its sources."""
+    files = sources(spark, sf).withColumn("module", F.regexp_replace("path", "[.]py$", ""))
+    asked = files.select("module", F.explode(F.array(*[F.lit(x) for x in ("first", "guarded", "missing")])).alias("member"))
+    return Library(files).lookup(asked)
+
+
+@query(f"""WITH {_BASE_SQL} SELECT 's' || k AS module, '' AS cls, member, exc, 'exact' AS confidence FROM (SELECT k, 's' || k || substr(effect, 7) AS exc FROM good UNION ALL SELECT k, 's' || k || '.Local' FROM good), (VALUES ('first'), ('guarded'), ('opened')) m(member)""")
+def library_stubs(spark, sf):
+    """Signatures of library sources as stub rows: calls within the module, handlers not modelled."""
+    return stubs_of(sources(spark, sf).withColumn("module", F.regexp_replace("path", "[.]py$", "")))
+
+
+_NATIVE = """#include "Python.h"
+static int
+low(int x)
+{
+    PyErr_SetString(PyExc_{exc}, "{ not a brace");
+    return -1;
+}
+static PyObject *
+run(PyObject *self, PyObject *args)
+{
+    if (!PyArg_ParseTuple(args, "i", &x)) {
+        return NULL;
+    }
+    {call}
+    return Py_None;
+}
+static PyMethodDef m_methods[] = {
+    {"go", (PyCFunction)run, METH_VARARGS},
+    {NULL, NULL}
+};
+"""
+
+
+@query("""SELECT 'm' || s_suppkey AS module, 'go' AS member, exc, 'likely' AS confidence FROM (
+    SELECT s_suppkey, 'TypeError' AS exc FROM supplier UNION ALL
+    SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 'KeyError' ELSE 'ValueError' END FROM supplier WHERE s_acctbal < 5000)""")
+def native_effects(spark, sf):
+    """Effects of C sources: what a function sets, what it hands on where a failing result leaves it, exported names."""
+    s = table(spark, sf, "supplier")
+    text = F.replace(F.lit(_NATIVE), F.lit("{exc}"), F.when(F.col("s_acctbal") < 0, "KeyError").otherwise("ValueError"))
+    text = F.replace(text, F.lit("{call}"), F.when(F.col("s_acctbal") < 5000, "if (low(x) < 0)\n        return NULL;").otherwise("low(x);"))
+    module = F.concat(F.lit("m"), F.col("s_suppkey").cast("string"))
+    files = s.select(module.alias("module"), F.concat(F.lit("Modules/"), module, F.lit("module.c")).alias("path"), text.alias("text"))
+    return native_stubs(files).select("module", "member", "exc", "confidence")
+
+
+@query("""SELECT n_name || '.' || c_mktsegment AS qualname, CASE WHEN owed THEN 'OWED' ELSE 'PAID' END AS exc, CASE WHEN bool_or(n_regionkey = 0) THEN 'likely' ELSE 'exact' END AS confidence FROM (
+  SELECT n_name, n_regionkey, c_mktsegment, c_acctbal < 0 AS owed FROM customer JOIN nation ON n_nationkey = c_nationkey) GROUP BY n_name, c_mktsegment, owed""")
+def toml_stubs(spark, sf):
+    """Signatures written in the older format and read again; the weakest confidence of a name holds."""
+    rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    weak = F.explode(F.when(F.col("n_regionkey") == 0, F.array(F.lit("exact"), F.lit("likely"))).otherwise(F.array(F.lit("exact"))))
+    flat = rows.select(F.concat_ws(".", "n_name", "c_mktsegment").alias("qualname"), F.when(F.col("c_acctbal") < 0, "OWED").otherwise("PAID").alias("exc"), weak.alias("confidence"), F.lit("").alias("notes")).distinct()
+    text = "\n".join(r.value for r in writers.write_toml(flat).collect())  # a stub file: names by nation and segment
+    found = [(q, e, c) for q, e, c, _ in stubs.read_toml(text)]
+    return constant(spark, found, "qualname string, exc string, confidence string")
+
+
+@query(r"""SELECT page_id FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) WHERE regexp_matches(path, '(^|/)en/') OR (regexp_matches(path, '1$') AND NOT regexp_matches(path, '11$'))""")
+def ignored_files(spark, sf):
+    """Paths that ignore files leave out: folders, globs, and what is taken back."""
+    files = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
+    rules = file_source.ignore_rules(constant(spark, [(".gitignore", "# none\nen/\n*1\n!*11\n"), ("none/.gitignore", None)], "path string, text string"))
+    hit = patterns.ignored_paths(files.select("path").distinct(), rules)
+    return files.join(hit, "path", "left_semi").select("page_id")
+
+
 @query("""SELECT n_name AS module, cls, member, exc, confidence, CAST(n_regionkey AS VARCHAR) AS source FROM nation,
   (VALUES ('', 'f', 'A', 'likely'), ('', 'f', 'B', 'likely'), ('', 'g', 'C', 'exact'), ('K', 'm', 'A', 'likely'), ('K', 'p', 'D', 'conservative')) s(cls, member, exc, confidence)""")
 def stub_rows(spark, sf):
