@@ -13,11 +13,11 @@ BUILTIN_EFFECTS = frozenset(n for n, x in vars(builtins).items() if isinstance(x
 
 def last_part(name: Column, sep: str = ".") -> Column:
     """What follows the last separator; the whole name without one."""
-    return F.element_at(F.split(name, f"[{sep}]"), -1)
+    return F.substring_index(name, sep, -1)
 
 
 def first_part(name: Column, sep: str = ".") -> Column:
-    return F.element_at(F.split(name, f"[{sep}]"), 1)
+    return F.substring_index(name, sep, 1)
 
 
 def parent(name: Column, sep: str = ".") -> Column:
@@ -39,20 +39,18 @@ def split_qualname(name: Column) -> tuple[Column, Column, Column]:
 def qualify(effect: Column, module: Column) -> Column:
     """Effect names with their module: builtins as they are; bare names behind the module; ``lower.X`` behind the module's
     top package; anything else dotted as it is. Without a module nothing changes."""
-    first = F.substr(effect, F.lit(1), F.lit(1))
-    relative = F.contains(effect, F.lit(".")) & (first == F.lower(first)) & (first != F.upper(first))
-    named = F.concat_ws(".", first_part(module), last_part(effect))
-    builtin = effect.isin(*sorted(BUILTIN_EFFECTS))
-    return F.when(module.isNull() | (module == "") | (effect == ""), effect).when(relative, named).when(F.contains(effect, F.lit(".")) | builtin, effect).otherwise(F.concat_ws(".", module, effect))
+    # written with few copies of its arguments, as they may be long expressions themselves
+    home = F.coalesce(module, F.lit(""))
+    named = F.concat_ws(".", first_part(home), last_part(effect))
+    as_it_is = F.contains(effect, F.lit(".")) | effect.isin(*sorted(BUILTIN_EFFECTS)) | (effect == "")
+    out = F.when(effect.rlike(r"^\p{Ll}[^.]*[.]"), named).when(as_it_is, effect).otherwise(F.concat_ws(".", home, effect))
+    return F.when(home == "", effect).otherwise(out)
 
 
 def module_of_path(path: Column, full: bool = False) -> Column:
     """Module of a project-relative path: without ``.py`` and a leading ``src/``; ``a/a.py`` is ``a`` unless ``full``."""
-    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"^\./", ""), r"\.py$", ""), "^src/", "")
-    dotted = F.replace(flat, F.lit("/"), F.lit("."))
-    parts = F.split(flat, "/")
-    doubled = (F.size(parts) == 2) & (F.element_at(parts, 1) == F.element_at(parts, -1))
-    return dotted if full else F.when(doubled, F.element_at(parts, 1)).otherwise(dotted)
+    flat = F.regexp_replace(path, r"^(?:\./)?(?:src/)?(.*?)(?:\.py)?$", "$1")
+    return F.replace(flat if full else F.regexp_replace(flat, r"^([^/]+)/\1$", "$1"), F.lit("/"), F.lit("."))
 
 
 def package_module(path: Column) -> Column:

@@ -136,10 +136,12 @@ class Check:
         tries = sites.select("file_id", "site", F.explode("tries").alias("try_idx")).join(facts.try_blocks(self.facts), ["file_id", "try_idx"])
         typed = tries.select("file_id", "site", F.explode("handled_types").alias("handler"))
         held = sites.select("file_id", "site", F.explode("sups").alias("sup_idx")).join(facts.suppress_blocks(self.facts), ["file_id", "sup_idx"]).select("file_id", "site", F.explode("types").alias("handler"))
-        both = typed.unionByName(held).select("file_id", "site", F.explode(F.split("handler", ",")).alias("handler")).withColumn("handler", F.trim("handler"))
+        both = typed.unionByName(held).select("file_id", "site", F.explode(F.split("handler", ",")).alias("handler"))
+        both = both.withColumn("handler", F.trim("handler")).where("handler <> ''")
         if self.options.mode == "sound":
             both = both.withColumn("handler", names.qualify(F.col("handler"), self._module("file_id")))
-        return both.select("site", "handler").where("handler <> ''").unionByName(tries.where("has_bare AND NOT reraises").select("site", F.lit(None).cast("string").alias("handler"))).distinct()
+        bare = tries.where("has_bare AND NOT reraises").select("site", F.lit(None).cast("string").alias("handler"))
+        return both.select("site", "handler").unionByName(bare).distinct()
 
     @cached_property
     def names(self) -> DataFrame:
