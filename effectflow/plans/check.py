@@ -97,25 +97,22 @@ class Check:
 
     @cached_property
     def functions(self) -> DataFrame:
-        return cut(facts.functions(self.facts))
+        return facts.functions(self.facts)
 
     @cached_property
     def calls(self) -> DataFrame:
         """Calls of the definitions that count, with their caller."""
-        caller = self.functions.select("file_id", "fn", "fn_id")
-        return cut(facts.calls(self.facts).join(caller, ["file_id", "fn"]))
+        return facts.calls(self.facts).where("fn_id IS NOT NULL")
 
     @cached_property
     def own_effects(self) -> DataFrame:
         """(fn_id, effect) raised in the function itself."""
-        caller = self.functions.select("file_id", "fn", "fn_id")
-        raised = self._not_ignored(facts.raises(self.facts).where("NOT is_re_raise AND exc_type <> ''"), "exc_type")
+        raised = facts.raises(self.facts).where("fn_id IS NOT NULL AND NOT is_re_raise AND exc_type <> ''")
+        raised = self._not_ignored(raised, "exc_type").withColumn("exc_type", names.qualify(F.col("exc_type"), self._module("file_id")))
         if self.options.mode == "sound":
-            handled = self._handlers("raise")
             raised = raised.withColumn("site", F.concat_ws("!", "file_id", "seq"))
-            raised = effects.unhandled(raised.withColumn("exc_type", names.qualify(F.col("exc_type"), self._module("file_id"))), handled, ["site"], "exc_type", "handler", self.ancestors)
-            return raised.join(caller, ["file_id", "fn"]).select("fn_id", F.col("exc_type").alias("effect")).distinct()
-        return raised.join(caller, ["file_id", "fn"]).select("fn_id", names.qualify(F.col("exc_type"), self._module("file_id")).alias("effect")).distinct()
+            raised = effects.unhandled(raised, self._handlers("raise"), ["site"], "exc_type", "handler", self.ancestors)
+        return raised.select("fn_id", F.col("exc_type").alias("effect")).distinct()
 
     @cached_property
     def ancestors(self) -> DataFrame:
@@ -131,17 +128,11 @@ class Check:
         return pairs.unionByName(known).distinct()  # names without a parent have themselves alone
 
     def _handlers(self, kind: str) -> DataFrame:
-        """(site, handler) of each call (or raise); null catches all. Tuples of types are split."""
-        sites = self.facts.where(F.col("kind") == kind).select("file_id", F.concat_ws("@" if kind == "call" else "!", "file_id", "seq").alias("site"), "tries", "sups")
-        tries = sites.select("file_id", "site", F.explode("tries").alias("try_idx")).join(facts.try_blocks(self.facts), ["file_id", "try_idx"])
-        typed = tries.select("file_id", "site", F.explode("handled_types").alias("handler"))
-        held = sites.select("file_id", "site", F.explode("sups").alias("sup_idx")).join(facts.suppress_blocks(self.facts), ["file_id", "sup_idx"]).select("file_id", "site", F.explode("types").alias("handler"))
-        both = typed.unionByName(held).select("file_id", "site", F.explode(F.split("handler", ",")).alias("handler"))
-        both = both.withColumn("handler", F.trim("handler")).where("handler <> ''")
+        """(site, handler) of each call (or raise); null catches all."""
+        found = facts.handlers(self.facts, kind)
         if self.options.mode == "sound":
-            both = both.withColumn("handler", names.qualify(F.col("handler"), self._module("file_id")))
-        bare = tries.where("has_bare AND NOT reraises").select("site", F.lit(None).cast("string").alias("handler"))
-        return both.select("site", "handler").unionByName(bare).distinct()
+            found = found.withColumn("handler", F.when(F.col("handler").isNotNull(), names.qualify(F.col("handler"), self._module("file_id"))))
+        return found.select("site", "handler").distinct()
 
     @cached_property
     def names(self) -> DataFrame:

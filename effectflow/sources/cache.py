@@ -10,6 +10,10 @@ from effectflow.runtime import cut
 from effectflow.sources import facts
 
 
+#: Of the columns of facts: folders of other layouts aren't read.
+LAYOUT = "facts-2"
+
+
 class FactCache:
     """A folder of fact rows with the hash of the text they came from and the time of their storing.
 
@@ -19,7 +23,7 @@ class FactCache:
     """
 
     def __init__(self, spark: SparkSession, root: str, ttl_hours: int = 24, most: int = 10_000):
-        self.spark, self.root, self.ttl_hours, self.most = spark, root.rstrip("/"), ttl_hours, most
+        self.spark, self.root, self.ttl_hours, self.most = spark, f"{root.rstrip('/')}/{LAYOUT}", ttl_hours, most
 
     def _path(self):
         jvm = self.spark.sparkContext._jvm
