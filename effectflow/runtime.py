@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
-
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -41,6 +42,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_in_memory: ContextVar[bool] = ContextVar("in_memory", default=False)
+
+
+@contextlib.contextmanager
+def in_memory() -> Iterator[None]:
+    """Inside, ``cut`` keeps its tables on the driver instead of writing them: for the facts of a single document alone."""
+    token = _in_memory.set(True)
+    try:
+        yield
+    finally:
+        _in_memory.reset(token)
+
+
 def _place(spark: SparkSession, path: str) -> tuple:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
@@ -52,6 +66,8 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     The table goes when the session ends, or by ``forget``.
     """
     spark = df.sparkSession
+    if _in_memory.get():
+        return spark.createDataFrame(df.toArrow(), df.schema)
     root = f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}"
     path = f"{root}/{uuid.uuid4().hex}"
     system, place = _place(spark, root)
@@ -65,6 +81,9 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
 
 def counted(df: DataFrame) -> tuple[DataFrame, int]:
     """``cut``, and the number of rows, observed while writing."""
+    if _in_memory.get():
+        found = df.toArrow()
+        return df.sparkSession.createDataFrame(found, df.schema), found.num_rows
     seen = Observation()
     out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
     return out, seen.get["n"]
@@ -73,5 +92,7 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
 def forget(*tables: DataFrame) -> None:
     """Deletes tables of ``cut`` that nothing lazy reads any more."""
     for df in tables:
+        if not hasattr(df, "_cut_path"):  # kept in memory
+            continue
         system, place = _place(df.sparkSession, df._cut_path)
         system.delete(place, True)
