@@ -62,8 +62,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = special_as_text
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join([_SPECIAL.pattern, *added]), re.IGNORECASE)
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
@@ -78,9 +77,10 @@ class WordIds:
         return found
 
     def _chunk(self, chunk: str) -> bytes:
-        if self.special.search(chunk):
+        low = chunk.lower()
+        if _SPECIAL.search(chunk) or any(token in low for token in self.added):
             return array("I", self.tokenizer.encode(chunk, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self._word, _WORD.findall(chunk.lower())))
+        return b"".join(map(self._word, _WORD.findall(low)))
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         known = self.chunks
