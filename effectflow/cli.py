@@ -66,7 +66,10 @@ def _layers(spark, root: Path):
     from effectflow.sources import settings
 
     read = lambda name: (root / name).read_text() if (root / name).exists() else None
-    return settings.layers(spark, ("pyproject", settings.toml_layer(read("pyproject.toml"), "tool", "effectflow")), ("tool", settings.toml_layer(read(".effectflow.toml"))), ("environment", settings.environment_layer()))
+    return settings.layers(
+        spark, ("pyproject", settings.toml_layer(read("pyproject.toml"), "tool", "effectflow")),
+        ("tool", settings.toml_layer(read(".effectflow.toml"))), ("environment", settings.environment_layer()),
+    )
 
 
 def _settings(spark, root: Path) -> dict:
@@ -110,7 +113,10 @@ def _check(args: argparse.Namespace) -> int:
         if base.is_dir():
             every = files.scan(spark, str(base))
             ignore = None if args.include_ignored else every.where(F.element_at(F.split("path", "/"), -1) == ".gitignore")
-            rows = files.select_files(every.where(F.col("path").endswith(".py")), chosen["include"], [*files.DEFAULT_EXCLUDE, *chosen["exclude"]], ignore).select(F.concat(F.lit(f"{base}/"), "path").alias("path"), "text")
+            rows = files.select_files(
+                every.where(F.col("path").endswith(".py")), chosen["include"], [*files.DEFAULT_EXCLUDE, *chosen["exclude"]],
+                ignore,
+            ).select(F.concat(F.lit(f"{base}/"), "path").alias("path"), "text")
         else:
             rows = spark.createDataFrame([(str(base), base.read_text(errors="replace"))], "path string, text string")
         found = rows if found is None else found.unionByName(rows)
@@ -134,7 +140,10 @@ def _check(args: argparse.Namespace) -> int:
         here = str(Path.cwd()) + "/"
         rows = shown if args.absolute else shown.withColumn("file_id", F.regexp_replace("file_id", "^" + here.replace(".", r"\."), ""))
         total = run.summary.first()
-        lines = itertools.chain((r.value for r in report_text(rows).toLocalIterator()), [f"{total.issues} issue(s) in {total.files} file(s)"], [f"{total.functions} functions, {total.exceptions} raise statements"] * args.verbose)
+        lines = itertools.chain(
+            (r.value for r in report_text(rows).toLocalIterator()), [f"{total.issues} issue(s) in {total.files} file(s)"],
+            [f"{total.functions} functions, {total.exceptions} raise statements"] * args.verbose,
+        )
     with contextlib.ExitStack() as stack:
         out = stack.enter_context(open(args.output, "w")) if args.output else sys.stdout
         for line in lines:
@@ -149,11 +158,19 @@ def _env(args: argparse.Namespace) -> int:
     from effectflow.operators import detect
 
     spark, root = session(), Path(args.root).resolve()
-    known = [p for p in (*root.glob("*"), *root.glob(".*"), *root.glob("*/pyvenv.cfg"), *root.glob(".venv/*"), *root.glob("*/bin/python"), *root.glob("*/Scripts/python.exe")) if p.is_file()]
+    known = [
+        p for p in (
+            *root.glob("*"), *root.glob(".*"), *root.glob("*/pyvenv.cfg"), *root.glob(".venv/*"), *root.glob("*/bin/python"),
+            *root.glob("*/Scripts/python.exe"),
+        ) if p.is_file()
+    ]
     text = lambda p: p.read_text(errors="replace") if p.name in ("pyproject.toml", ".pdm.toml") else None
     rows = [(str(root), str(p.relative_to(root)), text(p)) for p in sorted(set(known))] or [(str(root), "", None)]
     told = [(str(root), "environment", os.environ["VIRTUAL_ENV"])] if os.environ.get("VIRTUAL_ENV") else []
-    found = detect.environments(spark.createDataFrame(rows, "project string, rel_path string, content string"), spark.createDataFrame(told, "project string, tool string, path string"))
+    found = detect.environments(
+        spark.createDataFrame(rows, "project string, rel_path string, content string"),
+        spark.createDataFrame(told, "project string, tool string, path string"),
+    )
     found = found.where(found.tool == args.tool) if args.tool else found
     out = [r.asDict() for r in (detect.all_environments(found) if args.all else detect.first_environment(found)).collect()]
     if args.json:

@@ -36,8 +36,12 @@ def settings(files: DataFrame) -> DataFrame:
                 out.append((project, bool(envs), default.get("path") if isinstance(default, dict) else None, python))
             yield pd.DataFrame(out, columns=["project", "hatch", "hatch_path", "pdm_path"])
 
-    read = files.where(F.col("rel_path").isin("pyproject.toml", ".pdm.toml")).select("project", "rel_path", "content").mapInPandas(rows, "project string, hatch boolean, hatch_path string, pdm_path string")
-    return read.groupBy("project").agg(F.bool_or("hatch").alias("hatch"), F.max("hatch_path").alias("hatch_path"), F.max("pdm_path").alias("pdm_path"))
+    read = files.where(F.col("rel_path").isin("pyproject.toml", ".pdm.toml")).select("project", "rel_path", "content").mapInPandas(
+        rows, "project string, hatch boolean, hatch_path string, pdm_path string",
+    )
+    return read.groupBy("project").agg(
+        F.bool_or("hatch").alias("hatch"), F.max("hatch_path").alias("hatch_path"), F.max("pdm_path").alias("pdm_path"),
+    )
 
 
 def environments(files: DataFrame, told: DataFrame | None = None) -> DataFrame:
@@ -48,7 +52,12 @@ def environments(files: DataFrame, told: DataFrame | None = None) -> DataFrame:
     or its settings name another. Valid ones have an executable; one named by the environment just needs to be named.
     """
     has = lambda path: F.bool_or(F.col("rel_path") == path)
-    marks = files.groupBy("project").agg(*[has(m).alias(m.replace("/", "|")) for m in _MARKS], F.bool_or(F.col("rel_path").startswith(".venv/")).alias("dot_venv"), F.array_sort(F.collect_set(F.when(F.col("rel_path").rlike(r"(^|/)(bin/python|Scripts/python\.exe)$"), F.col("rel_path")))).alias("executables"))
+    marks = files.groupBy("project").agg(
+        *[has(m).alias(m.replace("/", "|")) for m in _MARKS], F.bool_or(F.col("rel_path").startswith(".venv/")).alias("dot_venv"),
+        F.array_sort(
+            F.collect_set(F.when(F.col("rel_path").rlike(r"(^|/)(bin/python|Scripts/python\.exe)$"), F.col("rel_path")))
+        ).alias("executables"),
+    )
     facts = marks.join(settings(files), "project", "left")
     named = told if told is not None else facts.select("project", F.lit("").alias("tool"), F.lit("").alias("path")).limit(0)
     said = named.groupBy("project").pivot("tool", ["poetry", "pipenv", "pyenv", "environment"]).agg(F.first("path"))
@@ -63,15 +72,21 @@ def environments(files: DataFrame, told: DataFrame | None = None) -> DataFrame:
         "hatch": F.coalesce("hatch_path", dot), "venv": dot, "pyenv": F.col("pyenv"), "environment": F.col("environment"),
     }
     rules = [
-        ("poetry", c("poetry.lock")), ("pipenv", c("Pipfile.lock")), ("pdm", c("pdm.lock")), ("uv", c("uv.lock") & c("dot_venv")), ("rye", c("rye.lock") | c("requirements.lock") | c(".python-version") & c("dot_venv")),
-        ("hatch", F.coalesce("hatch", F.lit(False))), ("venv", c(".venv|pyvenv.cfg")), ("pyenv", c(".python-version") & ~c("dot_venv") & ~other_locks), ("environment", F.col("environment").isNotNull()),
+        ("poetry", c("poetry.lock")), ("pipenv", c("Pipfile.lock")), ("pdm", c("pdm.lock")), ("uv", c("uv.lock") & c("dot_venv")), (
+            "rye", c("rye.lock") | c("requirements.lock") | c(".python-version") & c("dot_venv"),
+        ),
+        ("hatch", F.coalesce("hatch", F.lit(False))), ("venv", c(".venv|pyvenv.cfg")), (
+            "pyenv", c(".python-version") & ~c("dot_venv") & ~other_locks,
+        ), ("environment", F.col("environment").isNotNull()),
     ]
     hits = rule_hits(facts, ["project"], rules).withColumnRenamed("rule", "tool").join(facts, "project")
     where = F.coalesce(*[F.when(F.col("tool") == t, p) for t, p in path.items()])
     out = hits.withColumn("venv_path", where)
     inside = F.filter("executables", lambda x: F.exists(F.array(*[F.lit(e) for e in _EXECUTABLES]), lambda e: x == F.concat_ws("/", F.col("venv_path"), e)))
     out = out.withColumn("python_executable", F.try_element_at(inside, F.lit(1)))
-    valid = F.when(F.col("tool") == "environment", F.col("venv_path").isNotNull()).when(F.col("tool") == "pyenv", F.col("venv_path").isNotNull()).otherwise(F.col("python_executable").isNotNull())
+    valid = F.when(
+        F.col("tool") == "environment", F.col("venv_path").isNotNull(),
+    ).when(F.col("tool") == "pyenv", F.col("venv_path").isNotNull()).otherwise(F.col("python_executable").isNotNull())
     return out.select("project", "priority", "tool", "venv_path", "python_executable", valid.alias("is_valid"))
 
 

@@ -42,7 +42,9 @@ def drop_documented(df: DataFrame, documented: DataFrame, key: Sequence[str]) ->
 
 def undocumented_strict(effects: DataFrame, escaping: DataFrame, with_calls: DataFrame, documented: DataFrame, unit: str, effect: str) -> DataFrame:
     """Undocumented effects of units that let any escape or that call nothing."""
-    shown = effects.join(escaping.select(unit).distinct(), unit, "left_semi").unionByName(effects.join(with_calls.select(unit).distinct(), unit, "left_anti")).distinct()
+    shown = effects.join(escaping.select(unit).distinct(), unit, "left_semi").unionByName(
+        effects.join(with_calls.select(unit).distinct(), unit, "left_anti")
+    ).distinct()
     return drop_documented(shown, documented, [unit, effect])
 
 

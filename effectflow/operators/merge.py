@@ -41,6 +41,11 @@ def merge_two(a: DataFrame, b: DataFrame, key: Sequence[str], element: str, conf
     the key; notes joined with ``; ``. One union and one aggregation instead of a full outer join."""
     both = a.withColumn("__side", F.lit(0)).unionByName(b.withColumn("__side", F.lit(1)))
     kinds = [F.max(F.when(F.col(confidence) == "exact", F.lit(True))).alias("__exact"), F.max_by(confidence, "__side").alias("__last")]
-    notes = [] if note is None else [F.array_join(F.transform(F.array_sort(F.collect_set(F.when(F.col(note) != "", F.struct("__side", note)))), lambda x: x[note]), "; ").alias(note)]
+    notes = [] if note is None else [
+        F.array_join(
+            F.transform(F.array_sort(F.collect_set(F.when(F.col(note) != "", F.struct("__side", note)))), lambda x: x[note]),
+            "; ",
+        ).alias(note)
+    ]
     merged = both.groupBy(*key).agg(as_set(element).alias(element), *kinds, *notes)
     return merged.withColumn(confidence, F.when(F.col("__exact"), F.lit("exact")).otherwise(F.col("__last"))).drop("__exact", "__last")

@@ -28,15 +28,24 @@ def last_wins(df: DataFrame, by: Sequence[str], order: Sequence[str], values: Se
     return best.select(*by, *[F.col(f"__m.{c}").alias(c) for c in values])
 
 
-def asof_backward(left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, values: Sequence[str], keep_unmatched: bool = True) -> DataFrame:
+def asof_backward(
+    left: DataFrame, right: DataFrame, by: Sequence[str], left_on: str, right_on: str, values: Sequence[str],
+    keep_unmatched: bool = True,
+) -> DataFrame:
     """Each left row with ``values`` of the latest right row at or before it, within ``by``.
 
     Both sides are merged and ordered once; the last non-null right row is carried forward. One shuffle on ``by``,
     no range join: a key's rows are sorted in one task (a file's definitions and calls, a user's events), so ``by`` should
     be as fine as its rows allow. At one position the right row comes first; ties among right rows go to the greatest values.
     """
-    marked = left.select(*[F.col(c) for c in by], F.col(left_on).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"), F.lit(None).alias("__r"))
-    other = right.select(*[F.col(c) for c in by], F.col(right_on).alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__l"), F.struct(*values).alias("__r"))
+    marked = left.select(
+        *[F.col(c) for c in by], F.col(left_on).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__l"),
+        F.lit(None).alias("__r"),
+    )
+    other = right.select(
+        *[F.col(c) for c in by], F.col(right_on).alias("__t"), F.lit(0).alias("__side"), F.lit(None).alias("__l"),
+        F.struct(*values).alias("__r"),
+    )
     both = marked.unionByName(other)
     w = Window.partitionBy(*by).orderBy("__t", "__side", "__r").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("__r", F.last("__r", ignorenulls=True).over(w)).where("__side = 1")

@@ -59,7 +59,9 @@ def cascade_resolve(spark, sf):
     c = table(spark, sf, "customer")
     one = table(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("c_custkey"), F.lit("supplier").alias("target"))
     two = c.where("c_mktsegment = 'BUILDING'").select("c_custkey", F.lit("segment").alias("target"))
-    three = c.join(resolve.small(table(spark, sf, "nation").where("n_regionkey < 4")), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.col("n_name").alias("target"))
+    three = c.join(
+        resolve.small(table(spark, sf, "nation").where("n_regionkey < 4")), F.col("n_nationkey") == F.col("c_nationkey"),
+    ).select("c_custkey", F.col("n_name").alias("target"))
     return resolve.cascade(c.select("c_custkey"), ["c_custkey"], [one, two, three])
 
 
@@ -67,11 +69,16 @@ _RULES = [("any", 0, 1000, 1), ("small", 1, 10, 5), ("middle", 10, 30, 4), ("nar
 _RULE_SQL = ", ".join(f"('{a}', {b}, {c}, {d})" for a, b, c, d in _RULES)
 
 
-@query(f"SELECT p_partkey, arg_max(r.rule, r.score) AS rule FROM part JOIN (VALUES {_RULE_SQL}) r(rule, lo, hi, score) ON p_size >= lo AND p_size < hi GROUP BY p_partkey")
+@query(
+    f"SELECT p_partkey, arg_max(r.rule, r.score) AS rule FROM part JOIN (VALUES {_RULE_SQL}) r(rule, lo, hi, score) ON p_size >= lo AND p_size < hi GROUP BY p_partkey"
+)
 def version_range_specificity(spark, sf):
     """The most specific range that holds a version."""
     rules = constant(spark, _RULES, "rule string, lo int, hi int, score int")
-    return resolve.range_pick(table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", rules, "lo", "hi", [F.desc("score"), "rule"], ["p_partkey"]).select("p_partkey", "rule")
+    return resolve.range_pick(
+        table(spark, sf, "part").select("p_partkey", "p_size"), "p_size", rules, "lo", "hi", [F.desc("score"), "rule"],
+        ["p_partkey"],
+    ).select("p_partkey", "rule")
 
 
 @query("""WITH RECURSIVE up(node, ancestor, depth) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL
@@ -101,7 +108,9 @@ def cyclic_reachability(spark, sf):
   UNION SELECT e.a, r.effect FROM r JOIN edges e ON e.b = r.a) SELECT a AS s_suppkey, string_agg(DISTINCT effect, ',' ORDER BY effect) AS effects FROM r GROUP BY a""")
 def propagate_every_effect(spark, sf):
     """Effects of callees taken over by callers until nothing changes, as a set per node."""
-    own = table(spark, sf, "supplier").join(resolve.small(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("a"), F.col("n_name").alias("b"))
+    own = table(spark, sf, "supplier").join(
+        resolve.small(table(spark, sf, "nation")), F.col("n_nationkey") == F.col("s_nationkey"),
+    ).select(F.col("s_suppkey").alias("a"), F.col("n_name").alias("b"))
     return closure.propagate(_edges(spark, sf), own).groupBy(F.col("a").alias("s_suppkey")).agg(merge.as_set("b").alias("effects"))
 
 
@@ -124,8 +133,12 @@ def unhandled_pairs(spark, sf):
     """Effects at a site that none of its handlers catches, ancestors and bare handlers included."""
     pairs = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag").distinct()
     level = F.substring("o_orderpriority", 1, 1)
-    handlers = table(spark, sf, "orders").where(level < "4").select(F.col("o_orderkey").alias("l_orderkey"), F.when(level == "1", "R").when(level == "2", "X").alias("handler"))
-    return effects.unhandled(pairs, handlers, ["l_orderkey"], "l_returnflag", "handler", constant(spark, _ANCESTORS, "effect string, ancestor string"))
+    handlers = table(spark, sf, "orders").where(level < "4").select(
+        F.col("o_orderkey").alias("l_orderkey"), F.when(level == "1", "R").when(level == "2", "X").alias("handler"),
+    )
+    return effects.unhandled(
+        pairs, handlers, ["l_orderkey"], "l_returnflag", "handler", constant(spark, _ANCESTORS, "effect string, ancestor string"),
+    )
 
 
 @query("""SELECT e.event_id, s.event_id AS signup_id FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') s ON e.user_id = s.user_id AND e.ts >= s.ts""")
@@ -149,9 +162,14 @@ def suppress_documented(spark, sf):
     """Only documented elements go."""
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_returnflag").distinct()
     o = table(spark, sf, "orders")
-    documented = o.select(F.col("o_orderkey").alias("l_orderkey"), F.when(F.contains("o_orderpriority", F.lit("URGENT")), "N").when(F.contains("o_orderpriority", F.lit("HIGH")), "A").alias("l_returnflag")).where("l_returnflag IS NOT NULL")
+    documented = o.select(
+        F.col("o_orderkey").alias("l_orderkey"),
+        F.when(F.contains("o_orderpriority", F.lit("URGENT")), "N").when(F.contains("o_orderpriority", F.lit("HIGH")), "A").alias("l_returnflag"),
+    ).where("l_returnflag IS NOT NULL")
     with_order = lines.join(o.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
-    return effects.drop_documented(with_order, documented, ["l_orderkey", "l_returnflag"]).groupBy("l_orderkey").agg(merge.as_set("l_returnflag").alias("left_over"))
+    return effects.drop_documented(
+        with_order, documented, ["l_orderkey", "l_returnflag"],
+    ).groupBy("l_orderkey").agg(merge.as_set("l_returnflag").alias("left_over"))
 
 
 @query("""WITH e AS (SELECT o_orderkey AS unit, o_orderstatus AS effect FROM orders), esc AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
@@ -163,7 +181,9 @@ def strict_undocumented(spark, sf):
     return effects.undocumented_strict(e, lines.where("l_returnflag = 'R'"), lines, e.where("unit % 4 = 0 AND effect = 'F'"), "unit", "effect")
 
 
-@query("SELECT user_id, count(*) FILTER (event_type NOT IN ('click', 'view', 'error')) AS n_interesting FROM events GROUP BY user_id HAVING count(*) FILTER (event_type NOT IN ('click', 'view', 'error')) > 0")
+@query(
+    "SELECT user_id, count(*) FILTER (event_type NOT IN ('click', 'view', 'error')) AS n_interesting FROM events GROUP BY user_id HAVING count(*) FILTER (event_type NOT IN ('click', 'view', 'error')) > 0"
+)
 def filter_boring(spark, sf):
     """Keys with any effect beyond the boring ones."""
     return effects.with_interesting(table(spark, sf, "events"), ["user_id"], "event_type", ["click", "view", "error"])
@@ -171,13 +191,24 @@ def filter_boring(spark, sf):
 
 def _detectors() -> list[tuple[str, F.Column]]:
     c = F.col
-    return [("urgent", c("o_orderpriority") == "1-URGENT"), ("open", c("o_orderstatus") == "O"), ("large", c("o_totalprice") > 300000), ("high", c("o_orderpriority") == "2-HIGH"), ("fifth", c("o_orderkey") % 5 == 0), ("seventh", c("o_custkey") % 7 == 0), ("final", c("o_orderstatus") == "F"), ("low", c("o_orderpriority") == "5-LOW"), ("early", F.year("o_orderdate") < 1995)]
+    return [
+        ("urgent", c("o_orderpriority") == "1-URGENT"), ("open", c("o_orderstatus") == "O"),
+        ("large", c("o_totalprice") > 300000), ("high", c("o_orderpriority") == "2-HIGH"), ("fifth", c("o_orderkey") % 5 == 0),
+        ("seventh", c("o_custkey") % 7 == 0), ("final", c("o_orderstatus") == "F"), ("low", c("o_orderpriority") == "5-LOW"),
+        ("early", F.year("o_orderdate") < 1995),
+    ]
 
 
-_DETECTOR_SQL = [("urgent", "o_orderpriority = '1-URGENT'"), ("open", "o_orderstatus = 'O'"), ("large", "o_totalprice > 300000"), ("high", "o_orderpriority = '2-HIGH'"), ("fifth", "o_orderkey % 5 = 0"), ("seventh", "o_custkey % 7 = 0"), ("final", "o_orderstatus = 'F'"), ("low", "o_orderpriority = '5-LOW'"), ("early", "year(o_orderdate) < 1995")]
+_DETECTOR_SQL = [
+    ("urgent", "o_orderpriority = '1-URGENT'"), ("open", "o_orderstatus = 'O'"), ("large", "o_totalprice > 300000"),
+    ("high", "o_orderpriority = '2-HIGH'"), ("fifth", "o_orderkey % 5 = 0"), ("seventh", "o_custkey % 7 = 0"),
+    ("final", "o_orderstatus = 'F'"), ("low", "o_orderpriority = '5-LOW'"), ("early", "year(o_orderdate) < 1995"),
+]
 
 
-@query(" UNION ALL ".join(f"SELECT o_orderkey, {k + 1} AS priority, '{name}' AS rule FROM orders WHERE {cond}" for k, (name, cond) in enumerate(_DETECTOR_SQL)))
+@query(
+    " UNION ALL ".join(f"SELECT o_orderkey, {k + 1} AS priority, '{name}' AS rule FROM orders WHERE {cond}" for k, (name, cond) in enumerate(_DETECTOR_SQL))
+)
 def all_detectors(spark, sf):
     """All rules that hold, with their priority."""
     return rank.rule_hits(table(spark, sf, "orders"), ["o_orderkey"], _detectors())
@@ -202,7 +233,10 @@ def confidence_min(spark, sf):
   FROM lineitem GROUP BY l_orderkey""")
 def confidence_decision(spark, sf):
     """Confidence from what was found and how."""
-    found = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_returnflag")).alias("e"), F.bool_or((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R")).alias("explicit"))
+    found = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.array_sort(F.collect_set("l_returnflag")).alias("e"),
+        F.bool_or((F.col("l_linestatus") == "F") & (F.col("l_returnflag") == "R")).alias("explicit"),
+    )
     return found.select("l_orderkey", merge.decide(F.col("e"), F.col("explicit"), "N").alias("confidence"))
 
 
@@ -212,8 +246,14 @@ def confidence_decision(spark, sf):
   SELECT k, string_agg(DISTINCT e, ',' ORDER BY e) AS e, CASE WHEN bool_or(c = 'exact') THEN 'exact' ELSE arg_max(c, side) END AS c FROM u GROUP BY k""")
 def merge_whole_sources(spark, sf):
     """Key-wise union of two sources' sets, with the confidence rule."""
-    a = table(spark, sf, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("e"), F.when(F.col("c_nationkey") % 3 == 0, "exact").otherwise("likely").alias("c")).distinct()
-    b = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), F.when(F.col("s_acctbal") > 0, "PAID").otherwise("OWED").alias("e"), F.when(F.col("s_nationkey") % 5 == 0, "exact").otherwise("conservative").alias("c")).distinct()
+    a = table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("k"), F.col("c_mktsegment").alias("e"),
+        F.when(F.col("c_nationkey") % 3 == 0, "exact").otherwise("likely").alias("c"),
+    ).distinct()
+    b = table(spark, sf, "supplier").select(
+        F.col("s_nationkey").alias("k"), F.when(F.col("s_acctbal") > 0, "PAID").otherwise("OWED").alias("e"),
+        F.when(F.col("s_nationkey") % 5 == 0, "exact").otherwise("conservative").alias("c"),
+    ).distinct()
     return merge.merge_two(a, b, ["k"], "e", "c")
 
 
@@ -244,7 +284,10 @@ def diagnostic_projection(spark, sf):
     c, severity = F.col, F.when(F.col("o_orderstatus") == "F", "warning").otherwise("error")
     message = text.call_message(c("o_orderpriority"), F.array(F.lit("A"), F.lit("B")))
     shown = text.report_line(F.concat(F.lit("c"), c("o_custkey").cast("string")), c("o_orderkey") % 50, c("o_orderkey") % 9, severity, message)
-    return table(spark, sf, "orders").select("o_orderkey", text.editor_range((c("o_orderkey") % 50).cast("int"), F.lit(0))["start_line"].alias("line"), severity.alias("severity"), text.severity_number(severity).alias("number"), shown.alias("shown"))
+    return table(spark, sf, "orders").select(
+        "o_orderkey", text.editor_range((c("o_orderkey") % 50).cast("int"), F.lit(0))["start_line"].alias("line"),
+        severity.alias("severity"), text.severity_number(severity).alias("number"), shown.alias("shown"),
+    )
 
 
 @query("""SELECT event_id, coalesce(ts - p_ts <= INTERVAL 2 HOUR AND event_type = p_type AND sha256(props) = sha256(p_props), false) AS hit FROM (
@@ -253,20 +296,30 @@ def cache_valid(spark, sf):
     """Whether the entry before still holds: age, kind and content hash."""
     before = Window.partitionBy("user_id").orderBy("ts", "event_id")
     e = table(spark, sf, "events").select("*", *[F.lag(c).over(before).alias(f"prev_{c}") for c in ("ts", "event_type", "props")])
-    hit = state.valid(F.col("ts") - F.col("prev_ts"), F.expr("INTERVAL '2' HOUR"), (F.col("event_type"), F.col("prev_event_type")), (F.sha2("props", 256), F.sha2("prev_props", 256)))
+    hit = state.valid(
+        F.col("ts") - F.col("prev_ts"), F.expr("INTERVAL '2' HOUR"), (F.col("event_type"), F.col("prev_event_type")),
+        (F.sha2("props", 256), F.sha2("prev_props", 256)),
+    )
     return e.select("event_id", hit.alias("hit"))
 
 
-@query("SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 10")
+@query(
+    "SELECT event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 10"
+)
 def evict_oldest(spark, sf):
     """The newest entries of each key stay."""
-    return rank.keep_newest(table(spark, sf, "events").select("event_id", "user_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 10).select("event_id", "user_id")
+    return rank.keep_newest(
+        table(spark, sf, "events").select("event_id", "user_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 10,
+    ).select("event_id", "user_id")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
 def prune_stale(spark, sf):
     """Entries whose subject is gone."""
-    return state.prune(table(spark, sf, "orders").select("o_orderkey"), table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"])[1]
+    return state.prune(
+        table(spark, sf, "orders").select("o_orderkey"),
+        table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), ["o_orderkey"],
+    )[1]
 
 
 @query("""SELECT user_id, min(ts) AS started, max(ts) AS last, count(*) AS n FROM (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (
@@ -279,14 +332,24 @@ def debounce_sessions(spark, sf):
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, count(*) AS n_edits FROM events GROUP BY user_id")
 def fold_pending(spark, sf):
     """The last of a key's pending changes."""
-    return state.fold_last(table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"], ["event_type"])
+    return state.fold_last(
+        table(spark, sf, "events").select("user_id", "ts", "event_id", "event_type"), ["user_id"], ["ts", "event_id"],
+        ["event_type"],
+    )
 
 
-_LAYERS = [("default", 0, "ttl", "24"), ("default", 0, "strict", "false"), ("default", 0, "gap", "500"), ("project", 1, "ttl", "12"), ("tool", 2, "strict", "yes"), ("environment", 3, "ttl", "x1"), ("environment", 3, "gap", "250")]
+_LAYERS = [
+    ("default", 0, "ttl", "24"), ("default", 0, "strict", "false"), ("default", 0, "gap", "500"), ("project", 1, "ttl", "12"),
+    ("tool", 2, "strict", "yes"), ("environment", 3, "ttl", "x1"), ("environment", 3, "gap", "250"),
+]
 _LAYER_SQL = ", ".join(map(str, _LAYERS))
 
 
-@query(f"SELECT key, arg_max(value, priority) AS value, arg_max(layer, priority) AS layer, arg_max(lower(value) IN ('true', '1', 'yes'), priority) AS is_on, arg_max(TRY_CAST(value AS BIGINT), priority) AS number_or_null FROM (VALUES {_LAYER_SQL}) v(layer, priority, key, value) GROUP BY key".replace("arg_max(TRY_CAST(value AS BIGINT), priority)", "TRY_CAST(arg_max(value, priority) AS BIGINT)"))
+@query(
+    f"SELECT key, arg_max(value, priority) AS value, arg_max(layer, priority) AS layer, arg_max(lower(value) IN ('true', '1', 'yes'), priority) AS is_on, arg_max(TRY_CAST(value AS BIGINT), priority) AS number_or_null FROM (VALUES {_LAYER_SQL}) v(layer, priority, key, value) GROUP BY key".replace(
+        "arg_max(TRY_CAST(value AS BIGINT), priority)", "TRY_CAST(arg_max(value, priority) AS BIGINT)",
+    )
+)
 def config_layers(spark, sf):
     """The highest layer of each setting."""
     layers = constant(spark, _LAYERS, "layer string, priority int, key string, value string")

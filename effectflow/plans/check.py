@@ -59,7 +59,10 @@ OTHER_NAMES = ("EnvironmentError", "IOError", "VMSError", "WindowsError")
 def builtin_ancestors(spark: SparkSession) -> DataFrame:
     """(effect, ancestor), reflexive, of the interpreter's own effects, names of other platforms, and the native sentinel."""
     known = {n: x for n, x in vars(builtins).items() if isinstance(x, type) and issubclass(x, BaseException)} | dict.fromkeys(OTHER_NAMES, OSError) | {NATIVE: Exception}
-    return constant(spark, sorted({(n, b.__name__) for n, x in known.items() for b in x.__mro__[:-1]} | {(n, n) for n in known}), "effect string, ancestor string")
+    return constant(
+        spark, sorted({(n, b.__name__) for n, x in known.items() for b in x.__mro__[:-1]} | {(n, n) for n in known}),
+        "effect string, ancestor string",
+    )
 
 
 def builtin_modules(spark: SparkSession) -> DataFrame:
@@ -79,7 +82,10 @@ def standard_modules(spark: SparkSession) -> DataFrame:
 class Check:
     """All tables of one check; each is a plan, and those that others share are cut once."""
 
-    def __init__(self, files: DataFrame, stubs: DataFrame | None = None, modules: DataFrame | None = None, options: Options = Options(), library=None, cache=None):
+    def __init__(
+        self, files: DataFrame, stubs: DataFrame | None = None, modules: DataFrame | None = None, options: Options = Options(),
+        library=None, cache=None,
+    ):
         self.spark, self.files, self.options = files.sparkSession, files.select("path", "text"), options
         self.stubs, self.modules = stubs, modules if modules is not None else standard_modules(self.spark)
         self.library = library  # effectflow.plans.library.Library: sources behind names that no stub has
@@ -120,7 +126,9 @@ class Check:
         known = builtin_ancestors(self.spark)
         if self.options.mode != "sound":
             return known
-        own = facts.classes(self.facts).select(F.explode("bases").alias("base"), F.element_at(F.split("qualname", "[.]"), -1).alias("name"), "file_id")
+        own = facts.classes(self.facts).select(
+            F.explode("bases").alias("base"), F.element_at(F.split("qualname", "[.]"), -1).alias("name"), "file_id",
+        )
         module = self._module("file_id")
         edges = own.select(names.qualify(F.col("name"), module).alias("child"), names.qualify(F.col("base"), module).alias("parent"))
         edges = edges.unionByName(known.select(F.col("effect").alias("child"), F.col("ancestor").alias("parent"))).where("child <> parent")
@@ -137,14 +145,19 @@ class Check:
     @cached_property
     def names(self) -> DataFrame:
         """(file_id, name) of everything called, and of callables passed to higher-order calls: each resolved once."""
-        passed = self.calls.where(F.col("func_name").isin(*HIGHER_ORDER)).select("file_id", F.explode("callable_args").alias("name")).where("name <> '<lambda>'")
+        passed = self.calls.where(F.col("func_name").isin(*HIGHER_ORDER)).select(
+            "file_id", F.explode("callable_args").alias("name"),
+        ).where("name <> '<lambda>'")
         return self.calls.select("file_id", F.col("func_name").alias("name")).unionByName(passed).distinct()
 
     @cached_property
     def targets(self) -> DataFrame:
         """(file_id, name, fn_id): exact qualified names of any file (the first path), then suffixes within the file."""
         fn = self.functions.select("fn_id", "file_id", "qualname", "ordinal")
-        first = resolve.first_by(fn.select(F.col("qualname").alias("name"), "fn_id", F.col("file_id").alias("path"), "ordinal"), ["name"], ["path", "ordinal"])
+        first = resolve.first_by(
+            fn.select(F.col("qualname").alias("name"), "fn_id", F.col("file_id").alias("path"), "ordinal"), ["name"],
+            ["path", "ordinal"],
+        )
         exact = self.names.join(first.select("name", "fn_id"), "name").select("file_id", "name", "fn_id")
         suffix = resolve.suffix_first(self.names, "name", fn, "qualname", "ordinal", by=["file_id"]).select("file_id", "name", "fn_id")
         return cut(resolve.cascade(self.names, ["file_id", "name"], [exact, suffix]))
@@ -160,7 +173,10 @@ class Check:
         alias = facts.imports(self.facts).select("file_id", F.col("alias").alias("name"), "target")
         imported = open_.join(alias, ["file_id", "name"])
         dot = F.col("target").contains(".")
-        by_import = imported.select("file_id", "name", F.when(dot, names.parent(F.col("target"))).otherwise(F.col("target")).alias("module"), F.when(dot, names.last_part(F.col("target"))).otherwise("").alias("member"))
+        by_import = imported.select(
+            "file_id", "name", F.when(dot, names.parent(F.col("target"))).otherwise(F.col("target")).alias("module"),
+            F.when(dot, names.last_part(F.col("target"))).otherwise("").alias("member"),
+        )
         rest = open_.join(alias.select("file_id", "name"), ["file_id", "name"], "left_anti")
         bare = rest.where(~F.col("name").contains("."))
         never = [n for n in self.options.builtin_never if n not in self.options.builtin_always]
@@ -169,14 +185,18 @@ class Check:
         known = stub_source.lookup(candidates.select("module", "member"), self.stubs)
         interesting = effects.with_interesting(known, ["module", "member"], "exc", BORING).select("module", "member")
         always = F.col("name").isin(*self.options.builtin_always) if self.options.builtin_always else F.lit(False)
-        wanted = candidates.join(interesting.withColumn("seen", F.lit(True)), ["module", "member"], "left").where(F.col("seen").isNotNull() | (always & (F.col("place") == 0)))
+        wanted = candidates.join(
+            interesting.withColumn("seen", F.lit(True)), ["module", "member"], "left",
+        ).where(F.col("seen").isNotNull() | (always & (F.col("place") == 0)))
         by_builtin = resolve.first_by(wanted, ["file_id", "name"], ["place"]).select("file_id", "name", "module", "member")
         modules = self.modules.unionByName(self.stubs.select("module", F.lit(False).alias("is_native")))
         if self.library is not None:
             modules = modules.unionByName(self.library.files.select("module", F.lit(False).alias("is_native")))
         modules = modules.groupBy("module").agg(F.bool_or("is_native").alias("is_native"))
         dotted = rest.where(F.col("name").contains("."))
-        by_prefix = resolve.longest_prefix(dotted, "name", modules, "module", strict=True).select("file_id", "name", "module", F.expr("substr(name, length(module) + 2)").alias("member"))
+        by_prefix = resolve.longest_prefix(dotted, "name", modules, "module", strict=True).select(
+            "file_id", "name", "module", F.expr("substr(name, length(module) + 2)").alias("member"),
+        )
         asked = cut(by_import.unionByName(by_builtin).unionByName(by_prefix))
         found = stub_source.lookup(asked, self.stubs)
         hit = asked.join(found, ["module", "member"]).select("file_id", "name", F.col("exc").alias("effect"))
@@ -190,14 +210,18 @@ class Check:
             hit = hit.unionByName(left.join(sourced, ["module", "member"]).select("file_id", "name", "effect"))
             if self.options.warn_native:
                 open_ = left.join(sourced, ["module", "member"], "left_anti")
-                hit = hit.unionByName(open_.join(self.library.documented(open_), ["module", "member"]).select("file_id", "name", F.lit(NATIVE).alias("effect")))
+                hit = hit.unionByName(
+                    open_.join(self.library.documented(open_), ["module", "member"]).select("file_id", "name", F.lit(NATIVE).alias("effect"))
+                )
         return cut(self._not_ignored(hit.distinct(), "effect"))
 
     @cached_property
     def edges(self) -> DataFrame:
         """(a, b, site): callers and what they call, callables handed to higher-order calls included."""
         plain = self.calls.select("fn_id", "file_id", "call_id", F.col("func_name").alias("name"))
-        passed = self.calls.where(F.col("func_name").isin(*HIGHER_ORDER)).select("fn_id", "file_id", "call_id", F.explode("callable_args").alias("name")).where("name <> '<lambda>'")
+        passed = self.calls.where(F.col("func_name").isin(*HIGHER_ORDER)).select(
+            "fn_id", "file_id", "call_id", F.explode("callable_args").alias("name"),
+        ).where("name <> '<lambda>'")
         return plain.unionByName(passed).select(F.col("fn_id").alias("a"), "file_id", "name", F.col("call_id").alias("site"))
 
     @cached_property
@@ -208,7 +232,9 @@ class Check:
     @cached_property
     def signatures(self) -> DataFrame:
         """(fn_id, effect): everything that may escape each function."""
-        local = self.edges.join(self.targets.where("fn_id IS NOT NULL"), ["file_id", "name"]).select("a", F.col("fn_id").alias("b"), "site").distinct()
+        local = self.edges.join(
+            self.targets.where("fn_id IS NOT NULL"), ["file_id", "name"],
+        ).select("a", F.col("fn_id").alias("b"), "site").distinct()
         outer = self.edges.join(self.external, ["file_id", "name"]).select("a", F.col("effect").alias("b"), "site").distinct()
         keep = None
         if self.options.mode == "sound":
@@ -229,7 +255,10 @@ class Check:
     def unhandled(self) -> DataFrame:
         """(call_id, fn_id, effect) that no handler at the call catches."""
         called = self.calls.select("call_id", "fn_id", "file_id", F.col("func_name").alias("name"))
-        local = called.join(self.targets.where("fn_id IS NOT NULL").select("file_id", "name", F.col("fn_id").alias("target")), ["file_id", "name"]).join(self.signatures.withColumnRenamed("fn_id", "target"), "target").select("call_id", "fn_id", "effect")
+        local = called.join(
+            self.targets.where("fn_id IS NOT NULL").select("file_id", "name", F.col("fn_id").alias("target")),
+            ["file_id", "name"],
+        ).join(self.signatures.withColumnRenamed("fn_id", "target"), "target").select("call_id", "fn_id", "effect")
         outer = called.join(self.external, ["file_id", "name"]).select("call_id", "fn_id", "effect")
         pairs = local.unionByName(outer).distinct().withColumnRenamed("call_id", "site")
         left = effects.unhandled(pairs, self.handlers, ["site"], "effect", "handler", self.ancestors).withColumnRenamed("site", "call_id")
@@ -270,7 +299,10 @@ class Check:
     def _whole_line(self, rows: DataFrame, message: Column, severity: str) -> DataFrame:
         """A finding without effects at the start of each row's line."""
         none = F.array().cast("array<string>").alias("exc_types")
-        return rows.select("file_id", F.col("line").cast("int").alias("line"), F.lit(0).alias("col"), F.lit(None).cast("int").alias("end_line"), message.alias("message"), none, F.lit(severity).alias("severity"))
+        return rows.select(
+            "file_id", F.col("line").cast("int").alias("line"), F.lit(0).alias("col"), F.lit(None).cast("int").alias("end_line"),
+            message.alias("message"), none, F.lit(severity).alias("severity"),
+        )
 
     def _invalid_directives(self) -> DataFrame:
         """Comments that ignore without a list, in files that can be read."""
@@ -288,7 +320,11 @@ class Check:
         said = sigs.join(fn, "fn_id").where(F.contains("doc", F.col("effect"))).select("fn_id", "effect")
         shown = effects.undocumented_strict(sigs, self.unhandled, self.calls, said, "fn_id", "effect")
         grouped = shown.groupBy("fn_id").agg(F.array_sort(F.collect_set("effect")).alias("exc_types")).join(fn, "fn_id")
-        return grouped.select("file_id", "line", "col", F.lit(None).cast("int").alias("end_line"), text.strict_message(F.col("name"), F.col("exc_types")).alias("message"), "exc_types", F.lit("warning").alias("severity"))
+        return grouped.select(
+            "file_id", "line", "col", F.lit(None).cast("int").alias("end_line"),
+            text.strict_message(F.col("name"), F.col("exc_types")).alias("message"), "exc_types",
+            F.lit("warning").alias("severity"),
+        )
 
     @cached_property
     def summary(self) -> DataFrame:
@@ -308,7 +344,12 @@ def report_text(diagnostics: DataFrame) -> DataFrame:
 
 def report_json(check: Check) -> DataFrame:
     """(value) one JSON text: diagnostics and summary. For reports read by people: it is a single row."""
-    found = check.diagnostics.select(F.struct(F.col("file_id").alias("file"), "line", F.col("col").alias("column"), "message", F.col("exc_types").alias("exceptions"), "severity").alias("d"))
+    found = check.diagnostics.select(
+        F.struct(
+            F.col("file_id").alias("file"), "line", F.col("col").alias("column"), "message",
+            F.col("exc_types").alias("exceptions"), "severity",
+        ).alias("d")
+    )
     one = found.agg(F.array_sort(F.collect_list("d")).alias("diagnostics"))
     return one.join(check.summary.select(F.struct("*").alias("summary"))).select(F.to_json(F.struct("diagnostics", "summary")).alias("value"))
 

@@ -103,7 +103,10 @@ def source_raises(spark, sf):
 def source_calls(spark, sf):
     """Calls with their callable arguments, awaits, and the blocks around them."""
     found = facts.calls(_facts(spark, sf))
-    return found.select("file_id", "func_name", "line", "end_line", "is_async", F.array_join("callable_args", ",").alias("args"), F.size("tries").alias("n_tries"), F.size("sups").alias("n_sups"))
+    return found.select(
+        "file_id", "func_name", "line", "end_line", "is_async", F.array_join("callable_args", ",").alias("args"),
+        F.size("tries").alias("n_tries"), F.size("sups").alias("n_sups"),
+    )
 
 
 @query(f"""WITH {_BASE_SQL} SELECT file_id, 'try' AS kind, 15 AS line, 'KeyError,OSError' AS types, true AS has_bare, true AS reraises FROM good
@@ -111,9 +114,14 @@ def source_calls(spark, sf):
 def source_handlers(spark, sf):
     """Try blocks and suppressing contexts."""
     found = _facts(spark, sf)
-    tries = facts.try_blocks(found).select("file_id", F.lit("try").alias("kind"), "line", F.array_join("handled_types", ";").alias("types"), "has_bare", "reraises")
+    tries = facts.try_blocks(found).select(
+        "file_id", F.lit("try").alias("kind"), "line", F.array_join("handled_types", ";").alias("types"), "has_bare", "reraises",
+    )
     none = F.lit(None).cast("boolean")
-    held = facts.suppress_blocks(found).select("file_id", F.lit("suppress").alias("kind"), "line", F.array_join("types", ";").alias("types"), none.alias("has_bare"), none.alias("reraises"))
+    held = facts.suppress_blocks(found).select(
+        "file_id", F.lit("suppress").alias("kind"), "line", F.array_join("types", ";").alias("types"), none.alias("has_bare"),
+        none.alias("reraises"),
+    )
     return tries.unionByName(held)
 
 
@@ -133,7 +141,9 @@ def source_classes(spark, sf):
   FROM base WHERE ignored OR bare""")
 def source_directives(spark, sf):
     """Suppression comments with and without a list."""
-    return facts.directives(sources(spark, sf), Options().tags).select("file_id", "line", "valid", F.array_join("exc_types", ",").alias("types"), "raw")
+    return facts.directives(sources(spark, sf), Options().tags).select(
+        "file_id", "line", "valid", F.array_join("exc_types", ",").alias("types"), "raw",
+    )
 
 
 @query(f"WITH {_BASE_SQL} SELECT file_id, 30 AS line FROM base WHERE broken")
@@ -265,7 +275,10 @@ def toml_stubs(spark, sf):
     """Signatures written in the older format and read again; the weakest confidence of a name holds."""
     rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     weak = F.explode(F.when(F.col("n_regionkey") == 0, F.array(F.lit("exact"), F.lit("likely"))).otherwise(F.array(F.lit("exact"))))
-    flat = rows.select(F.concat_ws(".", "n_name", "c_mktsegment").alias("qualname"), F.when(F.col("c_acctbal") < 0, "OWED").otherwise("PAID").alias("exc"), weak.alias("confidence"), F.lit("").alias("notes")).distinct()
+    flat = rows.select(
+        F.concat_ws(".", "n_name", "c_mktsegment").alias("qualname"),
+        F.when(F.col("c_acctbal") < 0, "OWED").otherwise("PAID").alias("exc"), weak.alias("confidence"), F.lit("").alias("notes"),
+    ).distinct()
     text = "\n".join(r.value for r in writers.write_toml(flat).collect())  # a stub file: names by nation and segment
     found = [(q, e, c) for q, e, c, _ in stubs.read_toml(text)]
     return constant(spark, found, "qualname string, exc string, confidence string")
@@ -275,7 +288,9 @@ def toml_stubs(spark, sf):
 def ignored_files(spark, sf):
     """Paths that ignore files leave out: folders, globs, and what is taken back."""
     files = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
-    rules = file_source.ignore_rules(constant(spark, [(".gitignore", "# none\nen/\n*1\n!*11\n"), ("none/.gitignore", None)], "path string, text string"))
+    rules = file_source.ignore_rules(
+        constant(spark, [(".gitignore", "# none\nen/\n*1\n!*11\n"), ("none/.gitignore", None)], "path string, text string")
+    )
     hit = patterns.ignored_paths(files.select("path").distinct(), rules)
     return files.join(hit, "path", "left_semi").select("page_id")
 
@@ -285,7 +300,10 @@ def ignored_files(spark, sf):
 def stub_rows(spark, sf):
     """Nested stub texts of every shape to one relation."""
     n = table(spark, sf, "nation")
-    body = F.concat(F.lit('{"metadata": {"version": ">=3"}, "'), "n_name", F.lit('": {"f": ["A", "B"], "g": {"C": "exact"}, "K": {"m": ["A"], "p": {"D": "conservative"}}}}'))
+    body = F.concat(
+        F.lit('{"metadata": {"version": ">=3"}, "'), "n_name",
+        F.lit('": {"f": ["A", "B"], "g": {"C": "exact"}, "K": {"m": ["A"], "p": {"D": "conservative"}}}}'),
+    )
     texts = n.select(F.col("n_regionkey").cast("string").alias("source"), F.lit(1).alias("priority"), body.alias("text"))
     return stubs.flatten(texts).select("module", "cls", "member", "exc", "confidence", "source")
 
@@ -301,7 +319,11 @@ def stub_versions(spark, sf):
     specs = constant(spark, [(name, spec, order[name]) for name, spec in _SPECS], "exc string, version_spec string, least int")
     rows = table(spark, sf, "nation").join(specs, F.col("n_regionkey") >= F.col("least"))
     none = F.lit("f")
-    table_ = rows.select(F.col("n_name").alias("source"), F.lit(1).alias("priority"), "version_spec", F.col("n_name").alias("module"), F.lit("").alias("cls"), none.alias("member"), F.lit(0).cast("long").alias("ord"), "exc", F.lit("exact").alias("confidence"))
+    table_ = rows.select(
+        F.col("n_name").alias("source"), F.lit(1).alias("priority"), "version_spec", F.col("n_name").alias("module"),
+        F.lit("").alias("cls"), none.alias("member"), F.lit(0).cast("long").alias("ord"), "exc",
+        F.lit("exact").alias("confidence"),
+    )
     return stubs.for_version(table_, "3.12").select("module", "exc")
 
 
@@ -310,9 +332,19 @@ def stub_versions(spark, sf):
 def stub_lookup(spark, sf):
     """Names to stubs: exact in the module or its underscored twin, methods of any class, the highest source first."""
     n = table(spark, sf, "nation")
-    have = constant(spark, [("low", 1, "", "f", "Z", "exact"), ("high", 9, "", "f", "A", "likely"), ("low", 1, "K", "m", "D", "likely")], "source string, priority int, cls string, member string, exc string, confidence string")
-    rows = n.join(F.broadcast(have)).select("source", "priority", F.lit("").alias("version_spec"), F.col("n_name").alias("module"), "cls", "member", F.lit(0).cast("long").alias("ord"), "exc", "confidence")
-    twin = n.where("n_regionkey <> 0").select(F.lit("low").alias("source"), F.lit(1).alias("priority"), F.lit("").alias("version_spec"), F.concat(F.lit("_"), "n_name").alias("module"), F.lit("").alias("cls"), F.lit("g").alias("member"), F.lit(0).cast("long").alias("ord"), F.lit("C").alias("exc"), F.lit("exact").alias("confidence"))
+    have = constant(
+        spark, [("low", 1, "", "f", "Z", "exact"), ("high", 9, "", "f", "A", "likely"), ("low", 1, "K", "m", "D", "likely")],
+        "source string, priority int, cls string, member string, exc string, confidence string",
+    )
+    rows = n.join(F.broadcast(have)).select(
+        "source", "priority", F.lit("").alias("version_spec"), F.col("n_name").alias("module"), "cls", "member",
+        F.lit(0).cast("long").alias("ord"), "exc", "confidence",
+    )
+    twin = n.where("n_regionkey <> 0").select(
+        F.lit("low").alias("source"), F.lit(1).alias("priority"), F.lit("").alias("version_spec"),
+        F.concat(F.lit("_"), "n_name").alias("module"), F.lit("").alias("cls"), F.lit("g").alias("member"),
+        F.lit(0).cast("long").alias("ord"), F.lit("C").alias("exc"), F.lit("exact").alias("confidence"),
+    )
     asked = n.select(F.col("n_name").alias("module"), F.explode(F.array(*[F.lit(x) for x in ("f", "g", "K.m", "X.m", "none")])).alias("member"))
     return stubs.lookup(asked, rows.unionByName(twin)).select("module", "member", "exc", "confidence")
 
@@ -322,7 +354,10 @@ def stub_lookup(spark, sf):
 def stub_files(spark, sf):
     """Signatures written as a stub file a region and read again."""
     rows = table(spark, sf, "customer").join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    flat = rows.select("n_regionkey", F.col("n_name").alias("module"), F.lit("").alias("cls"), F.col("c_mktsegment").alias("member"), F.when(F.col("c_acctbal") < 0, "OWED").otherwise("PAID").alias("exc"), F.lit("likely").alias("confidence"))
+    flat = rows.select(
+        "n_regionkey", F.col("n_name").alias("module"), F.lit("").alias("cls"), F.col("c_mktsegment").alias("member"),
+        F.when(F.col("c_acctbal") < 0, "OWED").otherwise("PAID").alias("exc"), F.lit("likely").alias("confidence"),
+    )
     flat = cut(flat.distinct())
     out = None
     for region in sorted(r[0] for r in flat.select("n_regionkey").distinct().collect()):
@@ -340,7 +375,10 @@ def check_reaches(spark, sf):
     """Every function that a function calls, directly or not."""
     part = lambda c, k: F.regexp_extract(c, r"#s(\d+)\.(\w+)$", k)
     found = Check(sources(spark, sf)).reaches
-    return found.select(part("fn_id", 1).cast("long").alias("a"), part("fn_id", 2).alias("a_fn"), part("target", 1).cast("long").alias("b"), part("target", 2).alias("b_fn"))
+    return found.select(
+        part("fn_id", 1).cast("long").alias("a"), part("fn_id", 2).alias("a_fn"), part("target", 1).cast("long").alias("b"),
+        part("target", 2).alias("b_fn"),
+    )
 
 
 _MARKED = "CASE WHEN s_acctbal < 0 THEN 'poetry.lock,uv.lock,.venv/bin/python' WHEN s_acctbal < 3000 THEN 'uv.lock,.venv/bin/python' WHEN s_acctbal < 6000 THEN 'Pipfile.lock' ELSE '.venv/pyvenv.cfg,.venv/Scripts/python.exe' END"
@@ -350,7 +388,10 @@ _MARKED = "CASE WHEN s_acctbal < 0 THEN 'poetry.lock,uv.lock,.venv/bin/python' W
   FROM (SELECT s_name, CASE WHEN s_acctbal < 0 THEN 'poetry' WHEN s_acctbal < 3000 THEN 'uv' WHEN s_acctbal >= 6000 THEN 'venv' END AS tool FROM supplier) WHERE tool IS NOT NULL""")
 def first_environment(spark, sf):
     """The first detector of each project that answers with an environment."""
-    files = table(spark, sf, "supplier").select(F.col("s_name").alias("project"), F.explode(F.split(F.expr(_MARKED), ",")).alias("rel_path"), F.lit(None).cast("string").alias("content"))
+    files = table(spark, sf, "supplier").select(
+        F.col("s_name").alias("project"), F.explode(F.split(F.expr(_MARKED), ",")).alias("rel_path"),
+        F.lit(None).cast("string").alias("content"),
+    )
     return detect.first_environment(detect.environments(files)).drop("priority")
 
 
@@ -360,7 +401,9 @@ def cache_refreshed(spark, sf):
     cache = FactCache(spark, f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}")
     files = sources(spark, sf)
     cache.facts(files)
-    cache.facts(files.withColumn("text", F.when(F.contains("text", F.lit("# EF : ignore")), F.concat("text", F.lit("\n# more\n"))).otherwise(F.col("text"))))
+    cache.facts(
+        files.withColumn("text", F.when(F.contains("text", F.lit("# EF : ignore")), F.concat("text", F.lit("\n# more\n"))).otherwise(F.col("text")))
+    )
     return cache.entries().groupBy("file_id").agg(F.count_distinct("sha256").alias("versions"))
 
 
@@ -370,4 +413,6 @@ def module_names(spark, sf):
     """Paths to module names, from the folders that every URL names."""
     rest = F.regexp_replace(F.regexp_extract("url", "^[a-z]+://([^?#]*)", 1), "/$", "")
     path = F.concat(F.lit("src/"), F.replace(rest, F.lit("."), F.lit("_")), F.lit(".py"))
-    return table(spark, sf, "pages").select("page_id", names.module_of_path(path, full=True).alias("module"), F.element_at(F.split(path, "/"), -1).alias("leaf"))
+    return table(spark, sf, "pages").select(
+        "page_id", names.module_of_path(path, full=True).alias("module"), F.element_at(F.split(path, "/"), -1).alias("leaf"),
+    )

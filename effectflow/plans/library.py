@@ -30,8 +30,13 @@ class Library:
         owner = files.select(F.col("path").alias("file_id"), "module").distinct()
         fn = self.check.functions.where("name <> '<module>'").join(owner, "file_id")
         short = F.substr(F.col("qualname"), F.length(F.regexp_extract("file_id", r"([^/]+?)(?:\.\w+)?$", 1)) + 2)
-        self.functions = fn.select("module", "fn_id", short.alias("member"), "qualname", "ordinal", F.coalesce("docstring", F.lit("")).alias("docstring"))
-        self.signatures = self.functions.join(self.check.signatures, "fn_id").select("module", "member", "ordinal", names.qualify(F.col("effect"), F.col("module")).alias("effect")).distinct()
+        self.functions = fn.select(
+            "module", "fn_id", short.alias("member"), "qualname", "ordinal",
+            F.coalesce("docstring", F.lit("")).alias("docstring"),
+        )
+        self.signatures = self.functions.join(self.check.signatures, "fn_id").select(
+            "module", "member", "ordinal", names.qualify(F.col("effect"), F.col("module")).alias("effect"),
+        ).distinct()
         self.imports = facts.imports(self.check.facts).join(owner, "file_id").select("module", "alias", "target").distinct()
 
     def _direct(self, asked: DataFrame) -> DataFrame:
@@ -39,8 +44,13 @@ class Library:
         heads = self.signatures.select("module", F.col("member").alias("full"), "ordinal").distinct()
         first = resolve.suffix_first(asked.distinct(), "member", heads, "full", "ordinal", by=["module"])
         exact = asked.distinct().join(heads.select("module", F.col("full").alias("member"), "full"), ["module", "member"])
-        chosen = resolve.cascade(asked.distinct(), ["module", "member"], [exact.select("module", "member", "full").distinct(), first.select("module", "member", "full")]).where("full IS NOT NULL")
-        return chosen.join(self.signatures.select("module", F.col("member").alias("full"), "effect"), ["module", "full"]).select("module", "member", "effect")
+        chosen = resolve.cascade(
+            asked.distinct(), ["module", "member"],
+            [exact.select("module", "member", "full").distinct(), first.select("module", "member", "full")],
+        ).where("full IS NOT NULL")
+        return chosen.join(
+            self.signatures.select("module", F.col("member").alias("full"), "effect"), ["module", "full"],
+        ).select("module", "member", "effect")
 
     def lookup(self, asked: DataFrame) -> DataFrame:
         """(module, member, effect) of ``asked`` (module, member): the module, then what it imports the name from, then its
@@ -48,12 +58,23 @@ class Library:
         asked = asked.select("module", "member").distinct()
         found = self._direct(asked)
         left = asked.join(found.select("module", "member"), ["module", "member"], "left_anti")
-        by_import = left.join(self.imports.withColumnRenamed("alias", "member"), ["module", "member"]).select("module", "member", names.parent(F.col("target")).alias("m"), names.last_part(F.col("target")).alias("f"), F.lit(0).alias("place"))
-        inner = left.select("*", F.posexplode(F.array(*[F.lit(x) for x in INNER])).alias("k", "x")).select("module", "member", F.concat_ws(".", "module", "x").alias("m"), F.col("member").alias("f"), (F.col("k") + 1).alias("place"))
+        by_import = left.join(self.imports.withColumnRenamed("alias", "member"), ["module", "member"]).select(
+            "module", "member", names.parent(F.col("target")).alias("m"), names.last_part(F.col("target")).alias("f"),
+            F.lit(0).alias("place"),
+        )
+        inner = left.select("*", F.posexplode(F.array(*[F.lit(x) for x in INNER])).alias("k", "x")).select(
+            "module", "member", F.concat_ws(".", "module", "x").alias("m"), F.col("member").alias("f"),
+            (F.col("k") + 1).alias("place"),
+        )
         # relative imports have lost their package: the module's own is tried too
         near = by_import.withColumn("m", F.concat_ws(".", "module", "m"))
         tried = by_import.unionByName(near).unionByName(inner)
-        hit = tried.join(self._direct(tried.select(F.col("m").alias("module"), F.col("f").alias("member"))).select(F.col("module").alias("m"), F.col("member").alias("f"), "effect"), ["m", "f"])
+        hit = tried.join(
+            self._direct(
+                tried.select(F.col("m").alias("module"), F.col("f").alias("member"))
+            ).select(F.col("module").alias("m"), F.col("member").alias("f"), "effect"),
+            ["m", "f"],
+        )
         best = hit.groupBy("module", "member").agg(F.min("place").alias("place"))
         return found.unionByName(hit.join(best, ["module", "member", "place"]).select("module", "member", "effect")).distinct()
 
@@ -98,13 +119,19 @@ def native_stubs(files: DataFrame) -> DataFrame:
     found = cut(c_facts.extract(files), by="kind")
     every = c_facts.functions(found)
     fn = resolve.first_by(every, ["module", "name"], ["path", "line"])
-    by_path = native.marked(every.select(F.col("path").alias("module"), "name", "line"), c_facts.markers(found).select(F.col("path").alias("module"), "line"))
+    by_path = native.marked(
+        every.select(F.col("path").alias("module"), "name", "line"),
+        c_facts.markers(found).select(F.col("path").alias("module"), "line"),
+    )
     marked = every.join(by_path.withColumnRenamed("module", "path"), ["path", "name"], "left_semi").select("module", "name").distinct()
     hands_on = native.propagating(c_facts.sites(found), c_facts.jumps(found), c_facts.clears(found))
     exports = c_facts.exports(found, files)
     known = native.native_signatures(fn, c_facts.calls(found), hands_on, exports, marked)
     rows = known.select("module", "py_name", F.explode("effects").alias("exc"), "confidence")
-    return rows.select("module", names.parent(F.col("py_name")).alias("cls"), names.last_part(F.col("py_name")).alias("member"), "exc", "confidence").distinct()
+    return rows.select(
+        "module", names.parent(F.col("py_name")).alias("cls"), names.last_part(F.col("py_name")).alias("member"), "exc",
+        "confidence",
+    ).distinct()
 
 
 def united(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -129,4 +156,7 @@ def stubs_of(files: DataFrame, confidence: str = "exact") -> DataFrame:
     called = facts.calls(found).join(fn, ["file_id", "fn"]).select("module", "qualname", F.col("func_name").alias("name"))
     known = native.library_signatures(fn.select("module", "qualname", "member"), raised, called, native.syscalls(files.sparkSession))
     rows = known.join(fn.select("module", "member", "qualname").distinct(), "qualname")
-    return rows.select("module", names.parent(F.col("member")).alias("cls"), names.last_part(F.col("member")).alias("member"), F.col("effect").alias("exc"), F.lit(confidence).alias("confidence"))
+    return rows.select(
+        "module", names.parent(F.col("member")).alias("cls"), names.last_part(F.col("member")).alias("member"),
+        F.col("effect").alias("exc"), F.lit(confidence).alias("confidence"),
+    )

@@ -47,7 +47,10 @@ def write_json(stubs: DataFrame, name: str, version: str, generated_at: str, ski
     A stub file is one document, a few thousand functions.
     """
     rows = without_tests(stubs) if skip_tests else stubs
-    effects = rows.groupBy("module", "cls", "member").agg(F.array_sort(F.collect_set(F.struct("exc", "confidence"))).alias("e"), F.bool_and(F.col("confidence") == "likely").alias("plain"))
+    effects = rows.groupBy("module", "cls", "member").agg(
+        F.array_sort(F.collect_set(F.struct("exc", "confidence"))).alias("e"),
+        F.bool_and(F.col("confidence") == "likely").alias("plain"),
+    )
     body = F.when(F.col("plain"), F.to_json(F.col("e.exc"))).otherwise(F.to_json(F.map_from_entries("e")))
     key = lambda c: F.to_json(F.array(c))
     pair = lambda k, v: F.concat(F.substr(key(k), F.lit(2), F.length(key(k)) - 2), F.lit(": "), v)
@@ -56,8 +59,18 @@ def write_json(stubs: DataFrame, name: str, version: str, generated_at: str, ski
     classes = members.where("cls <> ''").groupBy("module", "cls").agg(object_(F.collect_list("p")).alias("v"))
     level = members.where("cls = ''").select("module", "p").unionByName(classes.select("module", pair(F.col("cls"), F.col("v")).alias("p")))
     modules = level.groupBy("module").agg(object_(F.collect_list("p")).alias("v")).select(pair(F.col("module"), F.col("v")).alias("p"))
-    meta = F.to_json(F.struct(F.lit(name).alias("name"), F.lit(version).alias("version"), F.lit("2.0").alias("format_version"), F.lit("effectflow").alias("generator"), F.lit(generated_at).alias("generated_at")))
-    return modules.agg(F.collect_list("p").alias("all")).select(F.concat(F.lit("{"), F.concat_ws(", ", F.concat(F.lit('"metadata": '), meta), F.array_join(F.array_sort("all"), ", ")), F.lit("}")).alias("value"))
+    meta = F.to_json(
+        F.struct(
+            F.lit(name).alias("name"), F.lit(version).alias("version"), F.lit("2.0").alias("format_version"),
+            F.lit("effectflow").alias("generator"), F.lit(generated_at).alias("generated_at"),
+        )
+    )
+    return modules.agg(F.collect_list("p").alias("all")).select(
+        F.concat(
+            F.lit("{"), F.concat_ws(", ", F.concat(F.lit('"metadata": '), meta), F.array_join(F.array_sort("all"), ", ")),
+            F.lit("}"),
+        ).alias("value")
+    )
 
 
 def counted(stubs: DataFrame) -> DataFrame:
@@ -70,7 +83,14 @@ def write_toml(stubs: DataFrame) -> DataFrame:
     one = stubs.groupBy("qualname").agg(F.array_sort(F.collect_set("exc")).alias("e"), F.min(F.when(F.col("notes") != "", F.col("notes"))).alias("n"))
     one = one.join(merge.lowest(stubs, ["qualname"], "confidence").withColumnRenamed("confidence", "c"), "qualname")
     quoted = lambda c: F.concat(F.lit('"'), text.toml_string(c), F.lit('"'))
-    lines = F.filter(F.array(F.concat(F.lit("["), quoted(F.col("qualname")), F.lit("]")), F.concat(F.lit("raises = ["), F.array_join(F.transform("e", quoted), ", "), F.lit("]")), F.concat(F.lit("confidence = "), quoted(F.col("c"))), F.concat(F.lit("notes = "), quoted(F.col("n"))), F.lit("")), lambda x: x.isNotNull())
+    lines = F.filter(
+        F.array(
+            F.concat(F.lit("["), quoted(F.col("qualname")), F.lit("]")),
+            F.concat(F.lit("raises = ["), F.array_join(F.transform("e", quoted), ", "), F.lit("]")),
+            F.concat(F.lit("confidence = "), quoted(F.col("c"))), F.concat(F.lit("notes = "), quoted(F.col("n"))), F.lit(""),
+        ),
+        lambda x: x.isNotNull(),
+    )
     return one.select("qualname", F.posexplode(lines).alias("k", "value")).orderBy("qualname", "k").select("value")
 
 

@@ -68,7 +68,9 @@ class Scan:
     def calls(self, start: int, end: int) -> Iterator[int]:
         """Places of names that are called between two tokens."""
         for k in range(start, end - 1):
-            if self.kinds[k] == "word" and self.words[k + 1] == "(" and self.words[k] not in _KEYWORDS and (k == 0 or self.words[k - 1] not in ("->", ".")):
+            if self.kinds[k] == "word" and self.words[k + 1] == "(" and self.words[k] not in _KEYWORDS and (
+                k == 0 or self.words[k - 1] not in ("->", ".")
+            ):
                 yield k
 
     def first_argument(self, call: int) -> str:
@@ -194,8 +196,15 @@ def _function(scan: Scan, head: int, start: int, end: int, pointer: bool) -> lis
     uses = _uses(scan, start, end)
     for call in scan.calls(start, end):
         callee = scan.words[call]
-        rows.append({"kind": "call", "caller": name, "name": callee, "line": scan.lines[call], "first_arg": scan.first_argument(call), "use": uses.get(call, "plain")})
-    rows += [{"kind": "goto", "caller": name, "name": scan.words[k + 1], "line": scan.lines[k]} for k in range(start, end - 1) if scan.words[k] == "goto"]
+        rows.append(
+            {
+                "kind": "call", "caller": name, "name": callee, "line": scan.lines[call], "first_arg": scan.first_argument(call),
+                "use": uses.get(call, "plain"),
+            }
+        )
+    rows += [
+        {"kind": "goto", "caller": name, "name": scan.words[k + 1], "line": scan.lines[k]} for k in range(start, end - 1) if scan.words[k] == "goto"
+    ]
     return rows
 
 

@@ -102,7 +102,9 @@ def scan(spark: SparkSession, root: str, glob: str = "*", texts: bool = True) ->
     return found if texts else found.drop("text")
 
 
-def select_files(files: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = DEFAULT_EXCLUDE, ignore: DataFrame | None = None) -> DataFrame:
+def select_files(
+    files: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = DEFAULT_EXCLUDE, ignore: DataFrame | None = None,
+) -> DataFrame:
     """Files by globs and ignore files, sorted. ``ignore``: (path, text) of ignore files among them."""
     out = patterns.select_paths(files, "path", include, exclude)
     if ignore is not None:
@@ -137,9 +139,14 @@ def project_root(files: DataFrame, starts: DataFrame, markers: Sequence[str] = R
 
     ``files`` has every known path (files and folders) of the file system in question, ``starts`` (start) folders.
     """
-    homes = files.where(F.element_at(F.split("path", "/"), -1).isin(*markers)).select(F.regexp_replace("path", "/[^/]*$", "").alias("root")).where("root <> ''").distinct()
+    homes = files.where(
+        F.element_at(F.split("path", "/"), -1).isin(*markers)
+    ).select(F.regexp_replace("path", "/[^/]*$", "").alias("root")).where("root <> ''").distinct()
     parts = F.split("start", "/")
-    above = starts.select("start", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("root"))
+    above = starts.select(
+        "start",
+        F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).alias("root"),
+    )
     best = above.join(small(homes), "root").groupBy("start").agg(F.max_by("root", F.length("root")).alias("root"))
     return starts.join(best, "start", "left")
 
@@ -205,7 +212,10 @@ def members(archives: DataFrame) -> DataFrame:
 #: Fixed names: native sources that are no modules, prefixes of test modules, folders of a library that are left out.
 NO_MODULES = ("config", "main", "getpath", "getbuildinfo")
 TEST_PREFIXES = ("_test", "xx", "_xx")
-SKIPPED_FOLDERS = ("test", "tests", "idlelib", "tkinter", "turtledemo", "lib2to3", "ensurepip", "venv", "site-packages", "__pycache__", "pydoc_data", "msilib")
+SKIPPED_FOLDERS = (
+    "test", "tests", "idlelib", "tkinter", "turtledemo", "lib2to3", "ensurepip", "venv", "site-packages", "__pycache__",
+    "pydoc_data", "msilib",
+)
 
 
 def native_modules(files: DataFrame) -> DataFrame:
@@ -226,8 +236,13 @@ def library_modules(files: DataFrame, skip_folders: Sequence[str] = SKIPPED_FOLD
     """(path, module) of a library's Python sources (path below ``Lib/``): test folders and files, and ``__main__``, left out."""
     rel = F.regexp_replace("path", "^Lib/", "")
     parts, name = F.split(rel, "/"), F.element_at(F.split(rel, "/"), -1)
-    keep = F.col("path").startswith("Lib/") & name.endswith(".py") & ~F.arrays_overlap(parts, F.array(*[F.lit(s) for s in skip_folders])) & ~(name.startswith("test_") | name.startswith("_test")) & (name != "__main__.py")
+    keep = F.col("path").startswith("Lib/") & name.endswith(".py") & ~F.arrays_overlap(parts, F.array(*[F.lit(s) for s in skip_folders])) & ~(
+        name.startswith("test_") | name.startswith("_test")
+    ) & (name != "__main__.py")
     return files.where(keep).select("path", package_module(rel).alias("module")).where("module <> ''")
 
 
-__all__ = ["ArchiveSource", "TreeSource", "ignore_rules", "library_modules", "members", "native_modules", "project_root", "python_files", "scan", "select_files"]
+__all__ = [
+    "ArchiveSource", "TreeSource", "ignore_rules", "library_modules", "members", "native_modules", "project_root", "python_files",
+    "scan", "select_files",
+]

@@ -81,7 +81,9 @@ def ignore_rule(line: str) -> tuple[str, bool, bool] | None:
     anchored = "/" in line
     out = ""
     for part in re.findall(r"\*\*/|/\*\*|\*\*|\*|\?|\[[^\]]*\]|.", line.removeprefix("/")):
-        out += {"**/": "(?:[^/]+/)*", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (part.replace("[!", "[^") if part[0] == "[" and len(part) > 1 else re.escape(part))
+        out += {"**/": "(?:[^/]+/)*", "/**": "/.*", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(part) or (
+            part.replace("[!", "[^") if part[0] == "[" and len(part) > 1 else re.escape(part)
+        )
     return f"^{'' if anchored else '(?:[^/]+/)*'}{out}$", negated, only_dirs
 
 
@@ -92,9 +94,13 @@ def ignored_paths(files: DataFrame, rules: DataFrame) -> DataFrame:
     decides for that file; any file's verdict is enough. One join on the directory, no path by rule product.
     """
     parts, n = F.split("path", "/"), F.size(F.split("path", "/"))
-    subjects = files.select("path", F.explode(F.sequence(F.lit(1), n)).alias("k")).withColumn("subject", F.array_join(F.slice(parts, F.lit(1), F.col("k")), "/")).withColumn("is_dir", F.col("k") < n)
+    subjects = files.select("path", F.explode(F.sequence(F.lit(1), n)).alias("k")).withColumn(
+        "subject", F.array_join(F.slice(parts, F.lit(1), F.col("k")), "/"),
+    ).withColumn("is_dir", F.col("k") < n)
     at = subjects.select("*", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("d"))
-    at = at.withColumn("dir", F.array_join(F.slice(parts, F.lit(1), F.col("d")), "/")).withColumn("rest", F.array_join(F.slice(F.split("subject", "/"), F.col("d") + 1, F.col("k")), "/"))
+    at = at.withColumn("dir", F.array_join(F.slice(parts, F.lit(1), F.col("d")), "/")).withColumn(
+        "rest", F.array_join(F.slice(F.split("subject", "/"), F.col("d") + 1, F.col("k")), "/"),
+    )
     hit = at.join(rules, "dir").where((F.col("is_dir") | ~F.col("only_dirs")) & F.expr("rest RLIKE regex"))
     last = hit.groupBy("path", "subject", "dir").agg(F.max_by("negated", "ord").alias("negated"))
     return last.where("NOT negated").select("path").distinct()

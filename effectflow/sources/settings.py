@@ -79,6 +79,9 @@ def effective(table: DataFrame, by_block: bool = False) -> DataFrame:
     base = table.where("priority = 0").select("key", F.col("value").alias("base"))
     changed = table.where("priority > 0").join(base, "key").where("value <> base").withColumn("block", block).where("block IN ('cache', 'lsp', 'analysis')")
     owner = changed.groupBy("block").agg(F.max("priority").alias("p"))
-    inside = base.withColumn("block", block).join(owner, "block").join(table.where("priority > 0").select("key", F.col("priority").alias("p"), F.col("value").alias("v"), F.col("layer").alias("l")), ["key", "p"], "left")
+    inside = base.withColumn("block", block).join(owner, "block").join(
+        table.where("priority > 0").select("key", F.col("priority").alias("p"), F.col("value").alias("v"), F.col("layer").alias("l")),
+        ["key", "p"], "left",
+    )
     forced = inside.select("key", F.coalesce("v", "base").alias("value"), F.coalesce("l", F.lit("default")).alias("layer"))
     return best.join(forced.select("key"), "key", "left_anti").unionByName(forced)

@@ -21,7 +21,9 @@ def flatten(texts: DataFrame) -> DataFrame:
     (all ``likely``) or an object of confidences. Module-level members may stand under an empty class. A text that isn't
     JSON has no rows. Everything is VARIANT until its shape is known.
     """
-    root = texts.select("source", "priority", F.try_parse_json("text").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT")).select("source", "priority", "v", F.try_variant_get("v", "$.metadata.version", "string").alias("version_spec"))
+    root = texts.select("source", "priority", F.try_parse_json("text").alias("v")).where(F.schema_of_variant("v").startswith("OBJECT")).select(
+        "source", "priority", "v", F.try_variant_get("v", "$.metadata.version", "string").alias("version_spec"),
+    )
     root.createOrReplaceTempView("__stub_roots")
     spark = texts.sparkSession
     return spark.sql("""
@@ -37,7 +39,10 @@ def flatten(texts: DataFrame) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, source: str, priority: int | None = None) -> DataFrame:
-    texts = spark.read.text(path, wholetext=True).select(F.lit(source).alias("source"), F.lit(priority if priority is not None else PRIORITIES[source]).alias("priority"), F.col("value").alias("text"))
+    texts = spark.read.text(path, wholetext=True).select(
+        F.lit(source).alias("source"), F.lit(priority if priority is not None else PRIORITIES[source]).alias("priority"),
+        F.col("value").alias("text"),
+    )
     return flatten(texts)
 
 
@@ -70,7 +75,10 @@ def with_bounds(stubs: DataFrame, spec: str = "version_spec") -> DataFrame:
     wild = lambda c: F.when(c.endswith("*"), step(c)).otherwise(1)
     near = lambda c: F.when(parts(c) <= 2, F.floor(at(c) / 1_000_000) * 1_000_000 + 1_000_000).otherwise(F.floor(at(c) / 1000) * 1000 + 1000)
     low = F.transform(clause, lambda c: F.when(op(c).isin(">=", "==", "~="), at(c)).when(op(c) == ">", at(c) + 1).otherwise(F.lit(0).cast("bigint")))
-    high = F.transform(clause, lambda c: F.when(op(c) == "<", at(c)).when(op(c) == "<=", at(c) + 1).when(op(c) == "==", at(c) + wild(c)).when(op(c) == "~=", near(c)).otherwise(F.lit(1 << 60)))
+    high = F.transform(
+        clause,
+        lambda c: F.when(op(c) == "<", at(c)).when(op(c) == "<=", at(c) + 1).when(op(c) == "==", at(c) + wild(c)).when(op(c) == "~=", near(c)).otherwise(F.lit(1 << 60)),
+    )
     weight = F.aggregate(F.transform(clause, lambda c: F.when(op(c) == "==", 10).when(op(c) == "~=", 5).otherwise(1)), F.lit(0), lambda a, x: a + x)
     return stubs.withColumns({"lo": F.coalesce(F.array_max(low), F.lit(0)), "hi": F.coalesce(F.array_min(high), F.lit(1 << 60)), "score": weight})
 
@@ -81,7 +89,9 @@ def for_version(stubs: DataFrame, version: str) -> DataFrame:
     asked = stubs.sparkSession.range(1).select(version_number(F.lit(version)).alias("__at"))
     best = range_pick(asked, "__at", specs, "lo", "hi", [F.desc("score"), "version_spec"], ["source"])
     best = best.select(F.col("source").alias("__source"), F.col("version_spec").alias("__spec"))
-    return stubs.join(small(best), (F.col("source") == F.col("__source")) & F.col("version_spec").eqNullSafe(F.col("__spec"))).drop("__source", "__spec")
+    return stubs.join(
+        small(best), (F.col("source") == F.col("__source")) & F.col("version_spec").eqNullSafe(F.col("__spec")),
+    ).drop("__source", "__spec")
 
 
 def lookup(names: DataFrame, stubs: DataFrame) -> DataFrame:
@@ -91,10 +101,29 @@ def lookup(names: DataFrame, stubs: DataFrame) -> DataFrame:
     the first in order. The source of highest priority that has the name wins.
     """
     dot = F.col("member").contains(".")
-    asked = names.select("module", "member").distinct().select("*", F.when(dot, F.regexp_replace("member", r"[.][^.]*$", "")).otherwise("").alias("cls"), F.regexp_extract("member", r"([^.]*)$", 1).alias("leaf"))
-    keyed = asked.select("*", F.explode(F.array(F.struct(F.lit(0).alias("twin"), F.col("module").alias("m")), F.struct(F.lit(1).alias("twin"), F.concat(F.lit("_"), "module").alias("m")))).alias("t"))
-    s = small(stubs.select("source", "priority", F.col("module").alias("s_module"), F.col("cls").alias("s_cls"), F.col("member").alias("s_member"), "ord", "exc", "confidence"))
-    hit = keyed.join(s, (F.col("t.m") == F.col("s_module")) & (F.col("leaf") == F.col("s_member")) & ((F.col("cls") == F.col("s_cls")) | (F.col("cls") != "")))
+    asked = names.select("module", "member").distinct().select(
+        "*", F.when(dot, F.regexp_replace("member", r"[.][^.]*$", "")).otherwise("").alias("cls"),
+        F.regexp_extract("member", r"([^.]*)$", 1).alias("leaf"),
+    )
+    keyed = asked.select(
+        "*",
+        F.explode(
+            F.array(
+                F.struct(F.lit(0).alias("twin"), F.col("module").alias("m")),
+                F.struct(F.lit(1).alias("twin"), F.concat(F.lit("_"), "module").alias("m")),
+            )
+        ).alias("t"),
+    )
+    s = small(
+        stubs.select(
+            "source", "priority", F.col("module").alias("s_module"), F.col("cls").alias("s_cls"),
+            F.col("member").alias("s_member"), "ord", "exc", "confidence",
+        )
+    )
+    hit = keyed.join(
+        s,
+        (F.col("t.m") == F.col("s_module")) & (F.col("leaf") == F.col("s_member")) & ((F.col("cls") == F.col("s_cls")) | (F.col("cls") != "")),
+    )
     fuzzy = (F.col("cls") != F.col("s_cls")).cast("int")
     order = F.struct((-F.col("priority")).alias("p"), fuzzy.alias("fuzzy"), F.col("t.twin").alias("twin"), "ord")
     best = F.min(order).over(Window.partitionBy("module", "member"))

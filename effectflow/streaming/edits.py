@@ -58,7 +58,10 @@ def folded(stream: DataFrame, ttl: str | None = None) -> DataFrame:
             new = "" if pd.isna(e.text) else e.text
             if e.kind == "change":
                 whole = pd.isna(e.start_line)
-                text = apply_edit(text, None if whole else (int(e.start_line), int(e.start_char)), None if whole else (int(e.end_line), int(e.end_char)), new)
+                text = apply_edit(
+                    text, None if whole else (int(e.start_line), int(e.start_char)),
+                    None if whole else (int(e.end_line), int(e.end_char)), new,
+                )
                 n += 1
             elif not pd.isna(e.text):
                 text = new
@@ -68,7 +71,9 @@ def folded(stream: DataFrame, ttl: str | None = None) -> DataFrame:
         held_state.update((text, n))
         yield pd.DataFrame({"uri": [key[0]], "ts": [events["ts"].max()], "text": [text], "n_edits": [n]})
 
-    return stream.groupBy("uri").applyInPandasWithState(fold, "uri string, ts timestamp, text string, n_edits int", "text string, n int", "update", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("uri").applyInPandasWithState(
+        fold, "uri string, ts timestamp, text string, n_edits int", "text string, n int", "update", GroupStateTimeout.NoTimeout,
+    )
 
 
 def cached(stream: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
@@ -89,7 +94,10 @@ def cached(stream: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
         held_state.update(held)
         yield pd.DataFrame(out, columns=["key", "ts", "hit"])
 
-    return stream.groupBy("key").applyInPandasWithState(probe, "key string, ts timestamp, hit boolean", "at double, mtime double, size long, sha256 string", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("key").applyInPandasWithState(
+        probe, "key string, ts timestamp, hit boolean", "at double, mtime double, size long, sha256 string", "append",
+        GroupStateTimeout.NoTimeout,
+    )
 
 
 def publish(stream: DataFrame, check: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):
