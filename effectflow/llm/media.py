@@ -45,7 +45,9 @@ def encode_bmp(pixels: np.ndarray) -> bytes:
     stride = -(-3 * width // 4) * 4
     rows = np.zeros((height, stride), np.uint8)
     rows[:, : 3 * width] = pixels[::-1, :, ::-1].reshape(height, 3 * width)
-    return struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0) + rows.tobytes()
+    return struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54) + struct.pack(
+        "<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0,
+    ) + rows.tobytes()
 
 
 def _netpbm(data: bytes) -> np.ndarray:
@@ -175,7 +177,10 @@ def store_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Null and empty texts are one row of spaces, very long ones a tall picture; repeated rows stay repeated, ties have
     nothing to decide, extra columns fall away, an empty table gives an empty result. No shuffle.
     """
-    return per_row(docs.select(id_col, plain_text(text_col).alias("text")), lambda i, t: (i, *text_to_media(t)), f"{id_col} long, n_bytes long, media binary")
+    return per_row(
+        docs.select(id_col, plain_text(text_col).alias("text")), lambda i, t: (i, *text_to_media(t)),
+        f"{id_col} long, n_bytes long, media binary",
+    )
 
 
 def _described(media: bytes | None) -> tuple[np.ndarray | None, bytes | None, str | None]:

@@ -123,7 +123,10 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, special_a
             if out:
                 yield dict(zip(names, map(list, zip(*out))))
 
-    return arrow_pass(docs.select("doc_id", plain_text().alias("text")), make, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return arrow_pass(
+        docs.select("doc_id", plain_text().alias("text")), make,
+        "doc_id long, start long, length long, ids_crc32 long, doc_tokens long",
+    )
 
 
 def shortest_pack_first(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -169,7 +172,9 @@ def ranked(pieces: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     block = max(BLOCK, -(-sum(histogram.values()) // MOST_BLOCKS))
     salts = spark.createDataFrame([(k, n // block + 1) for k, n in histogram.items()] or [(0, 1)], "length long, salts long")
-    dealt = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts"))).drop("salts")
+    dealt = pieces.join(F.broadcast(salts), "length").withColumn(
+        "salt", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("salts")),
+    ).drop("salts")
     firsts, at = [], dict.fromkeys(histogram, 0)
     for r in sorted(dealt.groupBy("length", "salt").count().collect()):
         firsts.append((r["length"], r["salt"], at[r["length"]]))

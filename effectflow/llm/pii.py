@@ -180,7 +180,10 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         counts = [sum(s[0] == k for s in base) for k in BASE_KINDS]
         return key, *counts, hashlib.sha256(said.encode()).hexdigest(), ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
-    return per_row(docs.select(id_col, plain_text(text_col).alias("text")), row, f"{id_col} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return per_row(
+        docs.select(id_col, plain_text(text_col).alias("text")), row,
+        f"{id_col} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string",
+    )
 
 
 def redacted(docs: DataFrame) -> DataFrame:
@@ -192,7 +195,10 @@ def redacted(docs: DataFrame) -> DataFrame:
             n_chars = len(text)
         return key, text, lang, source, n_chars
 
-    return per_row(docs.select("doc_id", "text", "lang", "source", "n_chars"), row, "doc_id long, text string, lang string, source string, n_chars long")
+    return per_row(
+        docs.select("doc_id", "text", "lang", "source", "n_chars"), row,
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
 
 
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -125,7 +125,12 @@ def _counts(bags: DataFrame) -> np.ndarray:
         for batch in group:
             for k in (0, 1):
                 total[k] += batch.column(k + 1).flatten().to_numpy().reshape(-1, width).sum(axis=0)
-        yield pa.RecordBatch.from_pydict({"slice": pa.array([key[0].as_py()], pa.int32()), "raw": pa.array([total[0]], pa.list_(pa.int64())), "target": pa.array([total[1]], pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict(
+            {
+                "slice": pa.array([key[0].as_py()], pa.int32()), "raw": pa.array([total[0]], pa.list_(pa.int64())),
+                "target": pa.array([total[1]], pa.list_(pa.int64())),
+            }
+        )
 
     out = np.zeros((2, BUCKETS), np.int64)
     for row in partial.groupBy("slice").applyInArrow(add, partial.schema).collect():  # a fixed number of counts
@@ -210,7 +215,14 @@ def kth_highest(scores: DataFrame, column: str, k: int, rows: int = 4096) -> flo
             break
         cell = F.least(F.floor((F.col(column) - low) / step), F.lit(rows - 1))
         inside = scores.where((F.col(column) >= low) & (F.col(column) <= high))
-        counts = sorted(((r["cell"], r["n"], r["least"], r["most"]) for r in inside.groupBy(cell.alias("cell")).agg(F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("most")).collect()), reverse=True)
+        counts = sorted(
+            (
+                (r["cell"], r["n"], r["least"], r["most"]) for r in inside.groupBy(cell.alias("cell")).agg(
+                    F.count("*").alias("n"), F.min(column).alias("least"), F.max(column).alias("most"),
+                ).collect()
+            ),
+            reverse=True,
+        )
         for _, n, least, most in counts:
             if k <= n:
                 low, high = least, most

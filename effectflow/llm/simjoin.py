@@ -287,7 +287,10 @@ def join_group(
     return links
 
 
-def partnered(ids: list[int], points: list[np.ndarray], num: int, den: int, settled: list[bool] | None = None, side: list[int] | None = None) -> np.ndarray:
+def partnered(
+    ids: list[int], points: list[np.ndarray], num: int, den: int, settled: list[bool] | None = None,
+    side: list[int] | None = None,
+) -> np.ndarray:
     """Which points have another id (of the other side, if sides are given) within the bound, or are settled before."""
     named = np.zeros(len(ids), bool) if settled is None else np.array(settled, bool)
     if len(ids) < 2 or named.all():
@@ -394,7 +397,9 @@ def _in_blocks(rows: DataFrame, value: str, work: Callable[[Block], tuple[list,
         if out["a"]:
             yield out
 
-    kinds = f"a long, b long, group long, block long, doc_id long, n long, {mark} {'boolean' if mark == 'named' else 'long'}, coarse array<int>, {value} {kind}"
+    kinds = f"a long, b long, group long, block long, doc_id long, n long, {mark} {
+        'boolean' if mark == 'named' else 'long'
+    }, coarse array<int>, {value} {kind}"
     return arrow_pass(dealt, make, kinds)
 
 
@@ -516,7 +521,9 @@ def _links(docs: DataFrame, tokens: DataFrame, points: DataFrame, words: int, nu
 
     # neighbours in the order of sizes first: they connect a group of near copies to one component
     next_ = heads.withColumn("next", F.lead("block").over(Window.partitionBy("group").orderBy("block"))).select("group", "block", "next")
-    chain = next_.where("next IS NOT NULL").select("group", F.col("block").alias("i"), F.col("next").alias("j"), F.lit(True).alias("i_asks"), F.lit(True).alias("j_asks"))
+    chain = next_.where("next IS NOT NULL").select(
+        "group", F.col("block").alias("i"), F.col("next").alias("j"), F.lit(True).alias("i_asks"), F.lit(True).alias("j_asks"),
+    )
     chain = written(chain, "chain")
     links = links.unionByName(written(_across(open_.withColumn("asks", F.lit(True)), chain, "shingles", across, "a long, b long"), "links-chain"))
     # whoever isn't in its group's largest component then asks all blocks that the bound leaves
@@ -569,12 +576,18 @@ def similarity_components(docs: DataFrame, words: int, num: int, den: int) -> Da
     points = table.where("n > 0").select("doc_id", "n", "point")
     links = _links(docs, tokens, points, words, num, den)
     known = named.where("rep IS NOT NULL AND doc_id IS NOT NULL")
-    shared = written(known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("doc_id", "a"), "shared")
+    shared = written(
+        known.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("last")).where("a < last").select("doc_id", "a"),
+        "shared",
+    )
     same = known.join(shared, "doc_id").select("a", F.col("rep").alias("b")).where("a < b").distinct()
     root = roots(links.unionByName(same))
     out = named.join(root, named.rep == root.node, "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "rep")).alias("component_id"))
+    return out.select(
+        "doc_id", F.col("n").alias("n_shingles"),
+        F.when(alone, F.col("doc_id")).otherwise(F.coalesce("root", "rep")).alias("component_id"),
+    )
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

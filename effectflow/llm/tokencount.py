@@ -96,9 +96,18 @@ def scan(blocks: DataFrame, end: int = END_OF_DOCUMENT) -> DataFrame:
                 flat = np.frombuffer(data or b"", np.uint16)
                 at = np.flatnonzero(flat == end)
                 inner = np.diff(at) - 1
-                yield {"file": [file], "block": [block], "tokens": [len(flat)], "ends": [len(at)], "first": [int(at[0]) if len(at) else None], "after": [int(at[-1]) + 1 if len(at) else None], "inner": [inner]}
-
-    found = written(arrow_pass(blocks.select("file", "block", "data"), find, "file long, block long, tokens long, ends long, first long, after long, inner array<int>"), "separators")
+                yield {
+                    "file": [file], "block": [block], "tokens": [len(flat)], "ends": [len(at)],
+                    "first": [int(at[0]) if len(at) else None], "after": [int(at[-1]) + 1 if len(at) else None], "inner": [inner],
+                }
+
+    found = written(
+        arrow_pass(
+            blocks.select("file", "block", "data"), find,
+            "file long, block long, tokens long, ends long, first long, after long, inner array<int>",
+        ),
+        "separators",
+    )
     placed = _carried(found.select("file", "block", "tokens", "ends", "first", "after"))
     heads = placed.where("ends > 0").select("file", "ordinal", (F.col("start") + F.col("first") - F.col("carry")).alias("n_tokens"))
     firsts = placed.where("ends > 1").select("file", "block", "ordinal")
@@ -118,14 +127,18 @@ def _carried(blocks: DataFrame) -> DataFrame:
     local = rows.withColumn("start", F.coalesce(F.sum("tokens").over(within), F.lit(0)))
     local = local.withColumn("ordinal", F.coalesce(F.sum("ends").over(within), F.lit(0)))
     local = written(local.withColumn("carry", F.max(F.col("start") + F.col("after")).over(within)), "carried-in-parts")
-    parts = local.groupBy("file", "part").agg(F.sum("tokens").alias("all"), F.sum("ends").alias("ended"), F.max(F.col("start") + F.col("after")).alias("closed"))
+    parts = local.groupBy("file", "part").agg(
+        F.sum("tokens").alias("all"), F.sum("ends").alias("ended"), F.max(F.col("start") + F.col("after")).alias("closed"),
+    )
     before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("from", F.coalesce(F.sum("all").over(before), F.lit(0)))
     parts = parts.withColumn("first_ordinal", F.coalesce(F.sum("ended").over(before), F.lit(0)))
     parts = parts.withColumn("reached", F.coalesce(F.max(F.col("from") + F.col("closed")).over(before), F.lit(0)))
     out = local.join(parts.select("file", "part", "from", "first_ordinal", "reached"), ["file", "part"])
     carry = F.greatest(F.coalesce(F.col("from") + F.col("carry"), F.lit(0)), F.col("reached"))
-    out = out.withColumn("carry", carry).withColumn("start", F.col("start") + F.col("from")).withColumn("ordinal", F.col("ordinal") + F.col("first_ordinal"))
+    out = out.withColumn("carry", carry).withColumn("start", F.col("start") + F.col("from")).withColumn(
+        "ordinal", F.col("ordinal") + F.col("first_ordinal"),
+    )
     return written(out.drop("part", "from", "first_ordinal", "reached"), "carried")
 
 
@@ -134,7 +147,9 @@ def named(counts: DataFrame, manifest: DataFrame) -> DataFrame:
     lists = manifest.select("file", (-1 - F.col("block")).alias("at"), "ids", F.size("ids").alias("n"))
     before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     placed = lists.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    ids = placed.select("file", "first", F.posexplode("ids").alias("k", "doc_id")).select("file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id")
+    ids = placed.select("file", "first", F.posexplode("ids").alias("k", "doc_id")).select(
+        "file", (F.col("first") + F.col("k")).alias("ordinal"), "doc_id",
+    )
     return ids.join(counts, ["file", "ordinal"]).select("doc_id", "file", "ordinal", "n_tokens")
 
 

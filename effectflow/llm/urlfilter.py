@@ -50,7 +50,9 @@ def host_rule(rule: str, verdict: str) -> Rule:
 
 #: The production rules: those of the contract, and globs for what no host rule decides.
 HOST_RULES = tuple(host_rule(r, v) for v, r in (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")))
-GLOB_RULES = tuple(Rule(g, "block", (g,), False) for g in ("*spam*/**", "*pills*/**", "*casino*/**", "ads.*/**", "**/ads/**", "**/wp-login**", "**.exe"))
+GLOB_RULES = tuple(
+    Rule(g, "block", (g,), False) for g in ("*spam*/**", "*pills*/**", "*casino*/**", "ads.*/**", "**/ads/**", "**/wp-login**", "**.exe")
+)
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -175,7 +177,10 @@ class UrlFilter:
         return {"host": [h for h, _ in parts], "path": [p for _, p in parts], "rule": rule, "verdict": verdict, "glob": glob}
 
 
-def filter_urls(pages: DataFrame, rules: Sequence[Rule] = HOST_RULES + GLOB_RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
+def filter_urls(
+    pages: DataFrame, rules: Sequence[Rule] = HOST_RULES + GLOB_RULES, id_col: str = "page_id", url_col: str = "url",
+    default: str = "allow",
+) -> DataFrame:
     """One row for each row of ``pages``: id, host, path, rule (null where no host rule fits), verdict, glob.
 
     Repeated rows stay repeated; a null or empty url, or one without ``://``, has empty host and path and the
