@@ -134,8 +134,10 @@ def _ranges(docs: DataFrame) -> int:
     """Ranges for ``docs``, by the size that the optimizer knows of its files; at least the shuffle partitions."""
     spark = docs.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(least, min(-(-size // RANGE_BYTES), 1 << 20)) if size < 1 << 60 else least  # beyond: not known
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    size = int(plan.stats().sizeInBytes())
+    known = size < 1 << 60 and "Join" not in plan.toString()  # a join's is a product
+    return max(least, min(-(-size // RANGE_BYTES), 1 << 20)) if known else least
 
 
 def _row(key: int | None, text: str, print_: str, following: str, following_print: str) -> tuple:

@@ -296,12 +296,11 @@ def partnered(
     if len(ids) < 2 or named.all():
         return named
     tree, key = CountTree(points, num, den), np.array(ids)
+    of = np.arange(len(ids)) if side is None else np.array(side)
     for i in np.flatnonzero(~named):
         if not named[i]:
             found = tree.reach(i)
-            found = found[key[found] != key[i]]
-            if side is not None:
-                found = found[np.array(side)[found] != side[i]]
+            found = found[(key[found] != key[i]) & (of[found] != of[i])]
             named[found] = True
             named[i] = len(found) > 0
     return named
