@@ -132,7 +132,10 @@ def _check(args: argparse.Namespace) -> int:
     kept = FactCache(spark, str(Path(args.cache).resolve()), chosen["cache.ttl_hours"], chosen["cache.max_file_entries"]) if keeps else None
     roots = args.library or [sysconfig.get_path("stdlib"), sysconfig.get_path("purelib")]
     sources = None if options.local_only else imported_sources(spark, found, [str(Path(r).resolve()) for r in roots])
-    run = Check(found, table, options=options, cache=kept, library=Library(sources) if sources is not None else None)
+    library = None
+    if sources is not None:
+        library = Library(sources, FactCache(spark, f"{Path(args.cache).resolve()}/library") if keeps else None)
+    run = Check(found, table, options=options, cache=kept, library=library)
     shown = run.diagnostics.cache()
     if args.json:
         lines = [report_json(run).first().value]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import builtins
+from collections.abc import Collection
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +12,11 @@ from pyspark.sql import functions as F
 BUILTIN_EFFECTS = frozenset(n for n, x in vars(builtins).items() if isinstance(x, type) and issubclass(x, BaseException)) | {"VMSError", "WindowsError", "EncodingWarning", "PythonFinalizationError"}
 
 
+def among(name: Column, values: Collection[str]) -> Column:
+    """Whether a name is one of fixed ones (without commas): folded to one literal when planned, and quick to build."""
+    return F.array_contains(F.split(F.lit(",".join(sorted(values))), ","), name)
+
+
 def last_part(name: Column, sep: str = ".") -> Column:
     """What follows the last separator; the whole name without one."""
     return F.substring_index(name, sep, -1)
@@ -42,7 +48,7 @@ def qualify(effect: Column, module: Column) -> Column:
     # written with few copies of its arguments, as they may be long expressions themselves
     home = F.coalesce(module, F.lit(""))
     named = F.concat_ws(".", first_part(home), last_part(effect))
-    as_it_is = F.contains(effect, F.lit(".")) | effect.isin(*sorted(BUILTIN_EFFECTS)) | (effect == "")
+    as_it_is = F.contains(effect, F.lit(".")) | among(effect, BUILTIN_EFFECTS) | (effect == "")
     out = F.when(effect.rlike(r"^\p{Ll}[^.]*[.]"), named).when(as_it_is, effect).otherwise(F.concat_ws(".", home, effect))
     return F.when(home == "", effect).otherwise(out)
 

@@ -145,7 +145,7 @@ class Check:
     @cached_property
     def names(self) -> DataFrame:
         """(file_id, name) of everything called, and of callables passed to higher-order calls: each resolved once."""
-        passed = self.calls.where(F.col("func_name").isin(*HIGHER_ORDER)).select(
+        passed = self.calls.where(names.among(F.col("func_name"), HIGHER_ORDER)).select(
             "file_id", F.explode("callable_args").alias("name"),
         ).where("name <> '<lambda>'")
         return self.calls.select("file_id", F.col("func_name").alias("name")).unionByName(passed).distinct()
@@ -219,7 +219,7 @@ class Check:
     def edges(self) -> DataFrame:
         """(a, b, site): callers and what they call, callables handed to higher-order calls included."""
         plain = self.calls.select("fn_id", "file_id", "call_id", F.col("func_name").alias("name"))
-        passed = self.calls.where(F.col("func_name").isin(*HIGHER_ORDER)).select(
+        passed = self.calls.where(names.among(F.col("func_name"), HIGHER_ORDER)).select(
             "fn_id", "file_id", "call_id", F.explode("callable_args").alias("name"),
         ).where("name <> '<lambda>'")
         return plain.unionByName(passed).select(F.col("fn_id").alias("a"), "file_id", "name", F.col("call_id").alias("site"))

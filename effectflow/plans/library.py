@@ -20,13 +20,14 @@ INNER = ("_parser", "_impl", "_core", "decoder", "encoder")
 
 
 class Library:
-    """``files`` (module, path, text). Effects are closed within each module, names by their first suffix match."""
+    """``files`` (module, path, text). Effects are closed within each module, names by their first suffix match. ``cache`` keeps
+    the facts of the sources, like that of a check."""
 
-    def __init__(self, files: DataFrame):
+    def __init__(self, files: DataFrame, cache=None):
         from effectflow.plans.check import Check, Options
 
         self.files = files
-        self.check = Check(files.select("path", "text"), options=Options(local_only=True))
+        self.check = Check(files.select("path", "text"), options=Options(local_only=True), cache=cache)
         owner = files.select(F.col("path").alias("file_id"), "module").distinct()
         fn = self.check.functions.where("name <> '<module>'").join(owner, "file_id")
         short = F.substr(F.col("qualname"), F.length(F.regexp_extract("file_id", r"([^/]+?)(?:\.\w+)?$", 1)) + 2)
