@@ -284,9 +284,9 @@ def toml_stubs(spark, sf):
     return constant(spark, found, "qualname string, exc string, confidence string")
 
 
-@query(r"""SELECT page_id FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) WHERE regexp_matches(path, '(^|/)en/') OR (regexp_matches(path, '1$') AND NOT regexp_matches(path, '11$'))""")
+@query(r"""SELECT page_id FROM (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS path FROM pages) WHERE regexp_matches(path, '(^|/)en/') OR regexp_matches(path, '(^|/)([^/]*[^1/])?1(/|$)')""")
 def ignored_files(spark, sf):
-    """Paths that ignore files leave out: folders, globs, and what is taken back."""
+    """Paths that ignore files leave out: folders, globs (which folders on the way may fit too), and what is taken back."""
     files = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "").alias("path"))
     rules = file_source.ignore_rules(
         constant(spark, [(".gitignore", "# none\nen/\n*1\n!*11\n"), ("none/.gitignore", None)], "path string, text string")
