@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from effectflow.operators.resolve import small
-from effectflow.runtime import counted, cut, forget
+from effectflow.runtime import counted, cut, forget, together
 
 KEPT_APART = 8
 #: After LONG rounds edges are shortcut, while paths of two stay within SHORTCUT times the edges.
@@ -31,14 +31,13 @@ def hierarchy(edges: DataFrame, child: str = "child", parent: str = "parent") ->
     while left:
         step = jump.select(F.col("node").alias("low"), F.col("ancestor").alias("node"))
         further = total.join(step, "node").select(F.col("low").alias("node"), "ancestor", (F.col("depth") + far).alias("depth"))
-        was, known = total, pairs
-        total, pairs = counted(total.unionByName(further).groupBy("node", "ancestor").agg(F.min("depth").alias("depth")))
-        forget(was)
+        nearest = total.unionByName(further).groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+        twice = jump.join(step, "node").select(F.col("low").alias("node"), "ancestor").distinct()
+        was, known = (total, jump), pairs
+        (total, pairs), (jump, left) = together(lambda: counted(nearest), lambda: counted(twice))  # noqa: B023
+        forget(*was)
         if pairs == known:
             break
-        was = jump
-        jump, left = counted(jump.join(step, "node").select(F.col("low").alias("node"), "ancestor").distinct())
-        forget(was)
         far *= 2
     return total
 

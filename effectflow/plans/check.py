@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from effectflow.functions import names, text
 from effectflow.operators import closure, effects, rank, resolve
-from effectflow.runtime import constant, cut
+from effectflow.runtime import constant, cut, together
 from effectflow.sources import facts, stubs as stub_source
 
 #: Stands for whatever native code may raise.
@@ -235,15 +235,20 @@ class Check:
         local = self.edges.join(
             self.targets.where("fn_id IS NOT NULL"), ["file_id", "name"],
         ).select("a", F.col("fn_id").alias("b"), "site").distinct()
+        sound = self.options.mode == "sound"
+        edges = local if sound else local.select("a", "b").distinct()
+        # what doesn't need each other is computed at the same time
+        local, *_ = together(
+            lambda: cut(edges),
+            lambda: self.external, lambda: self.handlers, lambda: self.ancestors,
+        )
         outer = self.edges.join(self.external, ["file_id", "name"]).select("a", F.col("effect").alias("b"), "site").distinct()
         keep = None
-        if self.options.mode == "sound":
+        if sound:
             keep = lambda df: effects.unhandled(df, self.handlers, ["site"], "b", "handler", self.ancestors)
             outer = keep(outer)
-        else:
-            local = local.select("a", "b").distinct()
         seeds = self.own_effects.select(F.col("fn_id").alias("a"), F.col("effect").alias("b")).unionByName(outer.select("a", "b"))
-        return closure.propagate(cut(local), seeds, keep=keep).select(F.col("a").alias("fn_id"), F.col("b").alias("effect"))
+        return closure.propagate(local, seeds, keep=keep).select(F.col("a").alias("fn_id"), F.col("b").alias("effect"))
 
     @cached_property
     def reaches(self) -> DataFrame:

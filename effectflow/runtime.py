@@ -6,8 +6,9 @@ import contextlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
-from contextvars import ContextVar
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from contextvars import ContextVar, copy_context
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -89,6 +90,12 @@ def counted(df: DataFrame) -> tuple[DataFrame, int]:
     return out, seen.get["n"]
 
 
+def together(*calls: Callable[[], object]) -> list:
+    """Results of calls that start jobs of their own, run at the same time."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        return [f.result() for f in [pool.submit(copy_context().run, call) for call in calls]]
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables of ``cut`` that nothing lazy reads any more."""
     for df in tables:
