@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from effectflow.llm import chat, filteraudit, fingerprint, media, mixing, packing, pii, quality, simjoin, tokencount, urlfilter
+from effectflow.llm import chat, decontaminate, filteraudit, fingerprint, media, mixing, packing, pii, quality, simjoin, tokencount, urlfilter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_prefix_targets": chat.op8_prefix_targets,
         "op9_personal_data": pii.op9_personal_data,
         "op10_media_columns": media.op10_media_columns,
+        "op11_decontamination": decontaminate.op11_decontamination,
         "op12_filter_audit": filteraudit.op12_filter_audit,
     }
 
@@ -29,5 +30,5 @@ def oracle_sql() -> dict[str, str]:
     """Text operators whose results SQL can express; op6's compares all pairs and suits small tables only."""
     return {
         "op5_url_filter": urlfilter.SQL, "op6_jaccard_join": simjoin.SQL, "op8_prefix_targets": chat.SQL,
-        "op12_filter_audit": filteraudit.SQL,
+        "op11_decontamination": decontaminate.SQL, "op12_filter_audit": filteraudit.SQL,
     }
