@@ -7,6 +7,9 @@ words of the source) until all but two are 0 or 1, so both totals stay what they
 independently; the few undecided units of all blocks meet again in the next level, until a source is one block.
 There a landing problem of at most 14 units is left. It is decided by a linear program over its outcomes: of all
 distributions that give each unit its inclusion probability, the one whose totals stray least, then a draw from it.
+Where the draw still strays by more than ``NEAR`` of the source's target, as it may in a source of few documents, the
+nearest total that up to ``SOUGHT`` units allow is taken instead; there, probabilities give way to the target. A single
+unit keeps its draw, so that many sources of one document together come near the sum of their targets.
 
 Sources are rows of a table like any other: their sizes, order, targets and blocks never come to the driver, only sums
 over them do.
@@ -26,6 +29,8 @@ from effectflow.llm.common import arrow_pass, n_words, read, written
 
 BLOCK = 4096
 LANDING = 12  # units beside those that the flight leaves: 2 ** 14 outcomes at most
+NEAR = 0.02  # of a source's target
+SOUGHT = 18  # units whose outcomes are all looked at then
 PIVOTS = 500  # of the linear program; any step before is a valid distribution too
 MOST_TIMES = 3
 BROADCAST_SOURCES = 100_000  # rows of some 100 bytes; more join by a shuffle
@@ -146,9 +151,31 @@ def _outcomes(p: np.ndarray, cost: np.ndarray, bits: np.ndarray) -> tuple[np.nda
     return basis, x / x.sum()
 
 
-def land(p: np.ndarray, constraints: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def nearest(done: np.ndarray, free: np.ndarray, words: np.ndarray, off: float) -> np.ndarray:
+    """``done`` with units among ``free`` decided anew, so that ``off`` more words are taken, as nearly as they allow.
+
+    All outcomes of at most SOUGHT units are compared, of all sizes if there are more; of the nearest, the one with the
+    fewest changes.
+    """
+    free = free[np.argsort(words[free], kind="stable")]
+    if len(free) > SOUGHT:
+        free = free[np.linspace(0, len(free) - 1, SOUGHT).round().astype(int)]
+    sums, changes = np.zeros(1), np.zeros(1)
+    for k in free:
+        sums = np.concatenate((sums, sums + words[k] * (1 - 2 * done[k])))
+        changes = np.concatenate((changes, changes + 1))
+    best = np.lexsort((changes, np.abs(sums - off)))[0]
+    flip = free[(int(best) >> np.arange(len(free))) & 1 == 1]
+    done = done.copy()
+    done[flip] = 1 - done[flip]
+    return done
+
+
+def land(p: np.ndarray, constraints: np.ndarray, rng: np.random.Generator, most: float = np.inf) -> np.ndarray:
     """Decides all units of a source. The units of most words sit out the flight; they and the two that it leaves are the
-    landing problem: an outcome is drawn, each unit with its probability, so that words stray least."""
+    landing problem: an outcome is drawn, each unit with its probability, so that words stray least. If they stray by
+    more than ``most``, the nearest outcome is taken, but for a single unit."""
+    goal, undecided = float(constraints[-1] @ p), np.flatnonzero((p > _EPS) & (p < 1 - _EPS))
     spare = min(len(p) // 2, LANDING)
     held = np.argsort(-constraints[-1], kind="stable")[:spare]
     free = np.setdiff1d(np.arange(len(p)), held)
@@ -161,23 +188,26 @@ def land(p: np.ndarray, constraints: np.ndarray, rng: np.random.Generator) -> np
         off = off / np.maximum(1.0, np.abs(constraints[:, rest]).max(axis=1))
         chosen, q = _outcomes(p[rest], off[:, 1] ** 2 + 1e-3 * off[:, 0] ** 2, bits)
         p[rest] = bits[rng.choice(chosen, p=q)]
-    return np.rint(p)
+    done = np.rint(p)
+    off = goal - float(constraints[-1] @ done)
+    return nearest(done, undecided, constraints[-1], off) if abs(off) > most and len(undecided) > 1 else done
 
 
 def _moved(units: DataFrame, level: int, seed: int) -> DataFrame:
-    """One level of units (doc_id, source, unit, size, copies, p, blocks): moved within blocks of their source, landed
+    """One level of units (doc_id, source, unit, size, copies, p, target, blocks): moved within blocks of their source, landed
     where it is one block. One block is in memory at a time."""
-    columns = ["doc_id", "source", "unit", "size", "copies", "p", "blocks"]
+    columns = ["doc_id", "source", "unit", "size", "copies", "p", "target", "blocks"]
     block = F.pmod(F.xxhash64(F.lit(seed + level), "doc_id", "unit"), F.col("blocks")).cast("long")
     dealt = units.select(*columns).withColumn("block", block).repartition("source", "block")
     dealt = dealt.sortWithinPartitions("source", "block", F.desc("size"), "doc_id", "unit")
 
     def move(key: tuple, held: list[tuple]) -> dict:
-        ids, sources, unit, size, copies, p, blocks = zip(*held)
+        ids, sources, unit, size, copies, p, target, blocks = zip(*held)
         rng = np.random.default_rng(zlib.crc32(f"{seed}|{level}|{key[1]}|{key[0]!r}".encode("utf-8", "surrogatepass")))
         rows = np.array([copies, np.array(size) * np.array(copies)], float)
-        done = (land if blocks[0] == 1 else flight)(np.array(p, float), rows, rng)
-        return dict(zip(columns[:-1], (list(ids), list(sources), list(unit), list(size), list(copies), done.tolist())))
+        start = np.array(p, float)
+        done = land(start, rows, rng, NEAR * target[0]) if blocks[0] == 1 else flight(start, rows, rng)
+        return dict(zip(columns[:-1], (list(ids), list(sources), list(unit), list(size), list(copies), done.tolist(), list(target))))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         key, held = None, []
@@ -191,7 +221,7 @@ def _moved(units: DataFrame, level: int, seed: int) -> DataFrame:
         if held:
             yield move(key, held)
 
-    return arrow_pass(dealt, make, f"{_KEY}, size long, copies long, p double")
+    return arrow_pass(dealt, make, f"{_KEY}, size long, copies long, p double, target double")
 
 
 def _of_source(units: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
@@ -219,7 +249,7 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.count("*").alias("n"))
     table = written(with_targets(sizes).withColumnRenamed("size", "source_size"), "sources")
     in_blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    left = _of_source(units, table.withColumn("blocks", in_blocks), "p", "blocks")
+    left = _of_source(units, table.withColumn("blocks", in_blocks), "p", "target", "blocks")
     parts, level, waiting = [], 0, None
     while waiting != 0:
         moved = written(_moved(left, level, seed), f"cube-{level}")
@@ -234,7 +264,7 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
     decided = parts[0]
     for part in parts[1:]:
         decided = decided.unionByName(part)
-    out = _of_source(decided, table, "source_size", "target", "whole")
+    out = _of_source(decided.drop("target"), table, "source_size", "target", "whole")
     return out.withColumn("times", (F.col("whole") + F.col("p")).cast("long")).drop("whole", "p")
 
 

@@ -6,9 +6,10 @@ A text is a set of distinct word shingles; texts link when intersection / union
 2. Shingles are hashed into 64 groups and the counts are a point; larger sets count in more groups, each halving one of
    the coarser. The overlap of two sets is at most the sum of coordinate minima. An R-tree over such points alone can't
    part a corpus (between unlike texts the bound of whole nodes nearly always holds), so there is one tree for each set
-   of classes that can link at all, a *group*: of the shingles in one global order (rare ones first, then those with
-   fewer frequent words, then by hash), two sets over the threshold share one among their first
-   ``n - ceil(t * n) + 1``. Classes that share such a shingle meet in the group of the least id among them.
+   of classes that can link at all, a *group*: of the shingles in one global order (by their counts, then by hash), two
+   sets over the threshold share one among their first ``n - ceil(t * n) + 1``. Classes that share such a shingle meet
+   in the group of the least id among them. As the rarest come first, what many texts share is last in their order: a
+   group is large only where nearly all that its members say is said that often.
 3. Members of a group are sorted by size and cut in blocks of bounded rows and shingles, from the first row on: blocks
    are the tree's nodes, dealt by ranges, so a group of any size is spread over as many tasks as it has blocks. Within
    a block a packed tree is searched, a node's coordinate maxima bounding the overlap with any point below, and at the
@@ -20,8 +21,8 @@ A text is a set of distinct word shingles; texts link when intersection / union
    connects a large group of near copies; whoever isn't in its group's largest component then asks every other block
    that the bound leaves. Then components of all links.
 
-"Frequent" words and shingles only steer the order, any order is right: they are those of more than a thousandth of
-the rows, found in one pass over all texts, at most a thousand times those of a mean text.
+Counts only steer the order, and any order is right. They are those of a sketch: every shingle of every text counts in a
+bucket of its hash. There are four buckets a row, within bounds, so that at most 32 MB are sent to a task.
 """
 
 from __future__ import annotations
@@ -42,8 +43,9 @@ from effectflow.llm.fingerprint import _tables
 GROUPS = 64  # of the tree
 FILL = 8  # points have as many groups as leave FILL shingles for one
 LEAF = 16
-COUNT_BLOCK = 1 << 21  # shingles counted at once
-FREQUENT = 1000  # a shingle of more than 1 / FREQUENT of the rows is frequent
+COUNTED = 1 << 20  # shingles counted at once
+SKETCH_BITS = (16, 23)  # least and most, of the number of buckets
+SLICE = 1 << 14  # buckets that are summed together
 BLOCK_ROWS = 2048  # of a group that are in memory together
 BLOCK_SHINGLES = 1 << 21  # of these (a larger set is a block of its own)
 COARSE = 8  # groups of the bounds between whole blocks
@@ -85,78 +87,66 @@ def shingles(text: str, words: int) -> np.ndarray:
     return np.unique(_shingled(w, words)) if len(w) else w
 
 
-def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Which values are in a sorted table."""
-    if not len(table):
-        return np.zeros(len(values), bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
-
-
 def prefix_length(n: int, num: int, den: int) -> int:
     return n - -(-num * n // den) + 1
 
 
-@dataclass(frozen=True)
-class Frequent:
-    """Sorted hashes of the frequent words and shingles."""
-
-    words: np.ndarray
-    shingles: np.ndarray
+def _buckets(h: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each hash, of ``n`` (a power of two)."""
+    return (h >> np.uint64(65 - n.bit_length())).astype(np.int64)
 
 
-def profile(text: str, words: int, num: int, den: int, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
+def profile(text: str, words: int, num: int, den: int, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The set of a text, and its first shingles in the global order, as many as two linked sets must share one of."""
-    w = word_hashes(text)
-    if not len(w):
-        return w, w
-    h = _shingled(w, words)
-    found, first = np.unique(h, return_index=True)
-    often = np.concatenate((np.zeros(1, np.int64), np.cumsum(_among(w, frequent.words))))
-    size = min(words, len(w))
-    rank = (often[size:] - often[:-size])[first] + _among(found, frequent.shingles) * (words + 1)
-    order = np.argsort(rank, kind="stable")
+    found = shingles(text, words)
+    if not len(found):
+        return found, found
+    order = np.argsort(counts[_buckets(found, len(counts))], kind="stable")
     return found, found[order[: prefix_length(len(found), num, den)]]
 
 
-def frequent_parts(docs: DataFrame, words: int) -> Frequent:
-    """Words and shingles of more than one in FREQUENT rows (and two rows at least)."""
-
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held, size, rows = ([], []), 0, 0
-
-        def counted() -> Iterator[dict]:
-            for kind in (0, 1):
-                h, n = np.unique(np.concatenate(held[kind]), return_counts=True)
-                often = n > max(2, len(held[0]) // FREQUENT)
-                yield {"kind": np.full(often.sum(), kind), "h": h[often].view(np.int64), "n": n[often]}
+def sketch(docs: DataFrame, words: int) -> np.ndarray:
+    """How many shingles of all texts fall into each bucket. A task sends its counts in slices, which are summed by slice."""
+    low, high = SKETCH_BITS
+    n = 1 << min(max(docs.count().bit_length() + 2, low), high)
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        counts, held, size = np.zeros(n, np.int64), [], 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 w = word_hashes(text)
-                rows += 1
                 if len(w):
-                    held[0].append(np.unique(w))
-                    held[1].append(np.unique(_shingled(w, words)))
-                    size += len(held[1][-1])
-                if size >= COUNT_BLOCK:
-                    yield from counted()
-                    held, size = ([], []), 0
-        if held[0]:
-            yield from counted()
-        if rows:
-            yield {"kind": [2], "h": [0], "n": [rows]}
-
-    counts = arrow_pass(docs.select(plain_text().alias("text")), make, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n"))
-    counts = written(counts, "frequent")
-    rows = (counts.where("kind = 2").first() or {"n": 0})["n"]
-    found = counts.where((F.col("n") > max(2, rows / FREQUENT)) & (F.col("kind") < 2)).select("kind", "h").toPandas()
-    return Frequent(*(np.sort(found["h"][found["kind"] == kind].to_numpy(np.int64).view(np.uint64)) for kind in (0, 1)))
-
-
-def profiles(docs: DataFrame, words: int, num: int, den: int, frequent: Frequent) -> DataFrame:
+                    held.append(_shingled(w, words))
+                    size += len(held[-1])
+                if size >= COUNTED:
+                    counts += np.bincount(_buckets(np.concatenate(held), n), minlength=n)
+                    held, size = [], 0
+        if held:
+            counts += np.bincount(_buckets(np.concatenate(held), n), minlength=n)
+        parts = counts.reshape(-1, SLICE)
+        for k in np.flatnonzero(parts.any(axis=1)):
+            yield {"slice": [int(k)], "counts": [parts[k].tobytes()]}
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, part in zip(*(c.to_pylist() for c in batch.columns)):
+                sums[k] = sums.get(k, 0) + np.frombuffer(part, np.int64)
+        for k, part in sums.items():
+            yield {"slice": [k], "counts": [np.minimum(part, 0xFFFFFFFF).astype(np.uint32).tobytes()]}
+
+    parts = arrow_pass(docs.select(plain_text().alias("text")), count, "slice long, counts binary").repartition("slice")
+    found = written(arrow_pass(parts, add, "slice long, counts binary"), "sketch").collect()  # 4 bytes a bucket
+    out = np.zeros((n // SLICE, SLICE), np.uint32)
+    for row in found:
+        out[row["slice"]] = np.frombuffer(row["counts"], np.uint32)
+    return out.ravel()
+
+
+def profiles(docs: DataFrame, words: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
     """doc_id, n, set_id (128 bits of the whole set; null if empty), prefix, point (its counts by hash group)."""
 
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -565,7 +555,7 @@ def similarity_components(docs: DataFrame, words: int, num: int, den: int) -> Da
     whatever their names, fall away; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    table = written(profiles(docs, words, num, den, frequent_parts(docs, words)), "profiles")
+    table = written(profiles(docs, words, num, den, sketch(docs, words)), "profiles")
     full = table.where("n > 0 AND doc_id IS NOT NULL")
     classes = written(full.groupBy("set_id").agg(F.min("doc_id").alias("rep")), "classes")
     named = written(table.select("doc_id", "n", "set_id").join(classes, "set_id", "left").drop("set_id"), "reps")
