@@ -494,8 +494,8 @@ def _links(docs: DataFrame, tokens: DataFrame, points: DataFrame, words: int, nu
     sets = written(_sets(docs, members.select("doc_id").distinct(), words), "sets").where("n > 0")
 
     def within(block: Block) -> tuple[list, list]:
-        links = join_group(block.ids, block.values, num, den)
-        return links, _labels(block.ids, links)
+        labels = _labels(block.ids, join_group(block.ids, block.values, num, den))
+        return _stars(block.ids, labels), labels
 
     found = written(_in_blocks(members.join(sets, "doc_id"), "shingles", within, "label"), "linked")
     links = found.where("a IS NOT NULL").select("a", "b")
@@ -506,6 +506,7 @@ def _links(docs: DataFrame, tokens: DataFrame, points: DataFrame, words: int, nu
 
     def across(held: dict[str, list]) -> dict | None:
         got = join_group(held["doc_id"], held["shingles"], num, den, held["label"], held["asks"], held["side"])
+        got = _stars(held["doc_id"], _labels(held["doc_id"], got))
         return {"a": [a for a, _ in got], "b": [b for _, b in got]} if got else None
 
     # neighbours in the order of sizes first: they connect a group of near copies to one component
@@ -516,7 +517,9 @@ def _links(docs: DataFrame, tokens: DataFrame, points: DataFrame, words: int, nu
     chain = written(chain, "chain")
     links = links.unionByName(written(_across(open_.withColumn("asks", F.lit(True)), chain, "shingles", across, "a long, b long"), "links-chain"))
     # whoever isn't in its group's largest component then asks all blocks that the bound leaves
-    root = roots(links).select(F.col("node").alias("doc_id"), "root")
+    found = roots(links)
+    links = found.select(F.col("node").alias("a"), F.col("root").alias("b"))  # stars, for what comes next
+    root = found.select(F.col("node").alias("doc_id"), "root")
     several = written(heads.select("group").distinct(), "several")
     labelled = open_.join(_few(several), "group", "left_semi").drop("label").join(root, "doc_id", "left")
     labelled = written(labelled.withColumn("label", F.coalesce("root", "doc_id")).drop("root"), "labelled")
@@ -546,6 +549,11 @@ def _labels(ids: list[int], links: list[tuple[int, int]]) -> list[int]:
     return [top(k) for k in ids]
 
 
+def _stars(ids: list[int], labels: list[int]) -> list[tuple[int, int]]:
+    """Links of each row with its label: components of stars take fewer steps than those of paths."""
+    return [(k, x) for k, x in zip(ids, labels) if k != x]
+
+
 def similarity_components(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs``: exact components of Jaccard >= num / den.
 
