@@ -73,14 +73,17 @@ def _shortcut(edges: DataFrame) -> DataFrame:
         hops, n = further, more
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def propagate(
+    edges: DataFrame, seeds: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None,
+) -> DataFrame:
     """Least fixpoint of (a, b): ``seeds``, and (x, b) wherever edge (x, a) and (a, b) hold.
 
     ``edges`` (a, b, ...) says that a takes over what b has; ``seeds`` (a, b) what a has of its own. ``keep`` filters what
     an edge hands over: it sees (a, b) with the edge's further columns; without it, chains of edges are shortcut after a few
     rounds (what earlier rounds found has handed over along single edges already, so only new pairs go on then too). Only
     new pairs go on. Each round writes what it found; the finds of ``KEPT_APART`` rounds are one table again after that, so
-    plans stay short and old tables go. There is no bound on the rounds.
+    plans stay short and old tables go. There is no bound on the rounds. ``known`` (a, b): pairs that hold already; they
+    neither go on nor come out.
     """
     more = [c for c in edges.columns if c not in ("a", "b")] if keep else []
     along = lambda df: small(df.select(F.col("a").alias("__to"), F.col("b").alias("__from"), *more))
@@ -88,12 +91,13 @@ def propagate(edges: DataFrame, seeds: DataFrame, keep: Callable[[DataFrame], Da
     delta, new = counted(seeds.select("a", "b").distinct())
     parts = [delta]
     while new:
-        if rounds == LONG and not keep:
+        if rounds == LONG and not keep and known is None:
             moves = along(_shortcut(edges))
         rounds += 1
         grown = delta.join(moves, delta.a == moves["__from"]).select(F.col("__to").alias("a"), delta.b, *more)
         grown = (keep(grown) if keep else grown).select("a", "b").distinct()
-        delta, new = counted(grown.join(reduce(DataFrame.unionByName, parts), ["a", "b"], "left_anti"))
+        left = grown.join(reduce(DataFrame.unionByName, parts), ["a", "b"], "left_anti")
+        delta, new = counted(left if known is None else left.join(known, ["a", "b"], "left_anti"))
         if new and len(parts) == KEPT_APART:
             whole = cut(reduce(DataFrame.unionByName, parts))
             forget(*parts)

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from effectflow.functions import names, text
-from effectflow.operators import closure, effects, merge, rank, resolve, state
+from effectflow.operators import closure, effects, incremental, merge, rank, resolve, state
 from effectflow.plans import code_base  # noqa: F401 (registers its queries)
 from effectflow.plans.registry import QUERIES, SQL, query
-from effectflow.runtime import constant, table
+from effectflow.runtime import constant, shared_dir, table
 from effectflow.sources import patterns
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
@@ -122,6 +124,23 @@ def affected_by_debt(spark, sf):
     return closure.affected(_edges(spark, sf), changed).groupBy("node").agg(F.count("*").alias("n_causes"))
 
 
+@query(f"""WITH RECURSIVE {_EDGE_SQL.replace('s_acctbal > 0', 's_acctbal > 0 AND s_nationkey <> 3 OR s_nationkey = 5')}, r(a, effect) AS (
+  SELECT s_suppkey, n_name FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_nationkey <> 7
+  UNION SELECT e.a, r.effect FROM r JOIN edges e ON e.b = r.a) SELECT a AS s_suppkey, string_agg(DISTINCT effect, ',' ORDER BY effect) AS effects FROM r GROUP BY a""")
+def maintained_effects(spark, sf):
+    """Kept effects after edges went and came and seeds went: deleted, derived again where other support is left."""
+    s, n = table(spark, sf, "supplier"), resolve.small(table(spark, sf, "nation"))
+    word = lambda df: df.select(*[F.col(c).cast("string").alias(c) for c in ("a", "b")])
+    own = s.join(n, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("s_suppkey").alias("a"), F.col("n_name").alias("b"), "s_nationkey")
+    count = s.agg(F.count("*").alias("n"))
+    to = ((F.col("s_suppkey") * 7 + 3) % F.col("n")).alias("b")
+    later = s.where("s_acctbal > 0 AND s_nationkey <> 3 OR s_nationkey = 5").join(F.broadcast(count)).select(F.col("s_suppkey").alias("a"), to)
+    kept = incremental.KeptClosure(spark, f"{shared_dir(spark)}/kept-{uuid.uuid4().hex}")
+    kept.refresh(word(_edges(spark, sf)), word(own))
+    out = kept.refresh(word(later), word(own.where("s_nationkey <> 7")))
+    return out.groupBy(F.col("a").cast("long").alias("s_suppkey")).agg(merge.as_set("b").alias("effects"))
+
+
 _ANCESTORS = [("R", "R"), ("N", "N"), ("A", "A"), ("R", "X"), ("A", "X")]
 _HANDLER_SQL = "SELECT o_orderkey, CASE left(o_orderpriority, 1) WHEN '1' THEN 'R' WHEN '2' THEN 'X' WHEN '3' THEN NULL END AS handler FROM orders WHERE left(o_orderpriority, 1) < '4'"
 

@@ -84,11 +84,12 @@ class Check:
 
     def __init__(
         self, files: DataFrame, stubs: DataFrame | None = None, modules: DataFrame | None = None, options: Options = Options(),
-        library=None, cache=None,
+        library=None, cache=None, kept=None,
     ):
         self.spark, self.files, self.options = files.sparkSession, files.select("path", "text"), options
         self.stubs, self.modules = stubs, modules if modules is not None else standard_modules(self.spark)
         self.library = library  # effectflow.plans.library.Library: sources behind names that no stub has
+        self.kept = kept  # effectflow.operators.incremental.KeptClosure: signatures of the run before
         # one parse a file; a folder for each kind of fact, so that a view reads its own rows alone
         self.facts = cut(facts.extract(self.files) if cache is None else cache.facts(self.files), by="kind")
 
@@ -248,6 +249,8 @@ class Check:
             keep = lambda df: effects.unhandled(df, self.handlers, ["site"], "b", "handler", self.ancestors)
             outer = keep(outer)
         seeds = self.own_effects.select(F.col("fn_id").alias("a"), F.col("effect").alias("b")).unionByName(outer.select("a", "b"))
+        if self.kept is not None and not sound:  # handlers on the way are no part of what is kept
+            return self.kept.refresh(local, seeds).select(F.col("a").alias("fn_id"), F.col("b").alias("effect"))
         return closure.propagate(local, seeds, keep=keep).select(F.col("a").alias("fn_id"), F.col("b").alias("effect"))
 
     @cached_property
