@@ -99,7 +99,7 @@ def _check(args: argparse.Namespace) -> int:
 
     from effectflow.plans.check import Check, Options, report_json, report_text
     from effectflow.plans.library import Library, imported_sources
-    from effectflow.sources import files
+    from effectflow.sources import files, native_modules
     from effectflow.sources.cache import FactCache
 
     spark, found = session(), None
@@ -131,11 +131,13 @@ def _check(args: argparse.Namespace) -> int:
     keeps = args.cache and chosen["cache.enabled"] and not args.no_cache
     kept = FactCache(spark, str(Path(args.cache).resolve()), chosen["cache.ttl_hours"], chosen["cache.max_file_entries"]) if keeps else None
     roots = args.library or [sysconfig.get_path("stdlib"), sysconfig.get_path("purelib")]
-    sources = None if options.local_only else imported_sources(spark, found, [str(Path(r).resolve()) for r in roots])
+    places = [str(Path(r).resolve()) for r in roots]
+    modules = None if options.local_only else native_modules.standard(spark).unionByName(native_modules.below(spark, places))
+    sources = None if options.local_only else imported_sources(spark, found, places)
     library = None
     if sources is not None:
         library = Library(sources, FactCache(spark, f"{Path(args.cache).resolve()}/library") if keeps else None)
-    run = Check(found, table, options=options, cache=kept, library=library)
+    run = Check(found, table, modules, options, library, kept)
     shown = run.diagnostics.cache()
     if args.json:
         lines = [report_json(run).first().value]

@@ -12,7 +12,7 @@ from effectflow.operators import closure, effects, incremental, merge, rank, res
 from effectflow.plans import code_base  # noqa: F401 (registers its queries)
 from effectflow.plans.registry import QUERIES, SQL, query
 from effectflow.runtime import constant, shared_dir, table
-from effectflow.sources import patterns
+from effectflow.sources import native_modules, patterns
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
@@ -67,6 +67,25 @@ def cascade_resolve(spark, sf):
     return resolve.cascade(c.select("c_custkey"), ["c_custkey"], [one, two, three])
 
 
+_LIBRARY_PATH = """replace(host, '.', '/') || '/' || CASE page_id % 5 WHEN 0 THEN '_fast.cpython-313-x86_64-linux-gnu.so' WHEN 1 THEN '_fast.abi3.so'
+  WHEN 2 THEN '_fast.cpython-311-darwin.so' WHEN 3 THEN 'plain.py' ELSE 'lib_fast.so.1' END"""
+
+
+@query(f"""WITH h AS (SELECT page_id, {_HOST} AS host FROM pages), m AS (
+    SELECT DISTINCT replace(host, '/', '.') || CASE page_id % 5 WHEN 3 THEN '.plain' ELSE '._fast' END AS module, page_id % 5 <> 3 AS is_native
+    FROM h WHERE page_id % 5 IN (0, 1, 3) AND regexp_matches(host, '^[A-Za-z_][A-Za-z0-9_]*([.][A-Za-z_][A-Za-z0-9_]*)*$')),
+  c AS (SELECT page_id, host || CASE page_id % 2 WHEN 0 THEN '._fast.encode' ELSE '.plain.Box.run' END AS name FROM h)
+  SELECT page_id, module, bool_or(is_native) AS is_native FROM c JOIN m ON starts_with(name, module || '.') GROUP BY page_id, module""")
+def native_calls(spark, sf):
+    """Calls into modules that are shared libraries, told by the files of a library folder: tags, endings and packages."""
+    hosts = _hosts(spark, sf)
+    files = hosts.select(F.expr(_LIBRARY_PATH).alias("path")).distinct()
+    modules = native_modules.of_paths(files, "3.13").groupBy("module").agg(F.bool_or("is_native").alias("is_native"))
+    name = F.concat("host", F.when(F.col("page_id") % 2 == 0, "._fast.encode").otherwise(".plain.Box.run"))
+    calls = hosts.select("page_id", name.alias("name"))
+    return resolve.longest_prefix(calls, "name", modules, "module", strict=True).select("page_id", "module", "is_native")
+
+
 _RULES = [("any", 0, 1000, 1), ("small", 1, 10, 5), ("middle", 10, 30, 4), ("narrow", 20, 25, 9), ("exact", 7, 8, 10)]
 _RULE_SQL = ", ".join(f"('{a}', {b}, {c}, {d})" for a, b, c, d in _RULES)
 

@@ -9,7 +9,6 @@ results don't depend on the order of files.
 from __future__ import annotations
 
 import builtins
-import sys
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from effectflow.functions import names, text
 from effectflow.operators import closure, effects, rank, resolve
 from effectflow.runtime import constant, cut, together
-from effectflow.sources import facts, stubs as stub_source
+from effectflow.sources import facts, native_modules, stubs as stub_source
 
 #: Stands for whatever native code may raise.
 NATIVE = "PossibleNativeException"
@@ -74,11 +73,6 @@ def builtin_modules(spark: SparkSession) -> DataFrame:
     return constant(spark, rows, "name string, module string, place int")
 
 
-def standard_modules(spark: SparkSession) -> DataFrame:
-    """(module, is_native) of the standard library."""
-    return constant(spark, [(m, m in sys.builtin_module_names) for m in sorted(sys.stdlib_module_names)], "module string, is_native boolean")
-
-
 class Check:
     """All tables of one check; each is a plan, and those that others share are cut once."""
 
@@ -87,7 +81,7 @@ class Check:
         library=None, cache=None, kept=None,
     ):
         self.spark, self.files, self.options = files.sparkSession, files.select("path", "text"), options
-        self.stubs, self.modules = stubs, modules if modules is not None else standard_modules(self.spark)
+        self.stubs, self.modules = stubs, modules if modules is not None else native_modules.standard(self.spark)
         self.library = library  # effectflow.plans.library.Library: sources behind names that no stub has
         self.kept = kept  # effectflow.operators.incremental.KeptClosure: signatures of the run before
         # one parse a file; a folder for each kind of fact, so that a view reads its own rows alone
