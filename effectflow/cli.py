@@ -194,7 +194,7 @@ def _lsp(args: argparse.Namespace) -> int:
         s = _settings(session(), Path.cwd())
         options = Options(
             ignored=s["ignore_exceptions"], local_only=s["analysis.local_only"], strict=s["analysis.strict_mode"], warn_native=s["analysis.warn_native"],
-            full_module_path=s["analysis.full_module_path"], most_per_file=s["lsp.max_diagnostics_per_file"],
+            full_module_path=s["analysis.full_module_path"], most_per_file=s["lsp.max_diagnostics_per_file"] or None,  # 0: all
         )
         server.main(args.tcp, args.port, options, s["lsp.debounce_ms"] / 1000, _stub_table(session(), args.stubs, args.python))
     except OSError as e:

@@ -12,7 +12,7 @@ from effectflow.operators import closure, effects, incremental, merge, rank, res
 from effectflow.plans import code_base  # noqa: F401 (registers its queries)
 from effectflow.plans.registry import QUERIES, SQL, query
 from effectflow.runtime import constant, shared_dir, table
-from effectflow.sources import native_modules, patterns
+from effectflow.sources import native_modules, patterns, stubs
 
 _HOST = "regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)"
 
@@ -184,7 +184,9 @@ def asof_enclosing(spark, sf):
     """The latest definition at or before a position."""
     e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
     signups = e.where("event_type = 'signup'").select("user_id", "ts", F.col("event_id").alias("signup_id"))
-    return rank.asof_backward(e.where("event_type = 'error'"), signups, ["user_id"], "ts", "ts", ["signup_id"]).select("event_id", "signup_id")
+    return rank.asof_backward(
+        e.where("event_type = 'error'"), signups, ["user_id"], "ts", "ts", ["signup_id"], split=True,
+    ).select("event_id", "signup_id")
 
 
 @query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey HAVING NOT bool_or(l_returnflag = 'R')")
@@ -210,13 +212,14 @@ def suppress_documented(spark, sf):
     ).groupBy("l_orderkey").agg(merge.as_set("l_returnflag").alias("left_over"))
 
 
-@query("""WITH e AS (SELECT o_orderkey AS unit, o_orderstatus AS effect FROM orders), esc AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
-  SELECT unit, effect FROM e WHERE (unit IN (SELECT l_orderkey FROM esc) OR unit NOT IN (SELECT l_orderkey FROM lineitem)) AND NOT (unit % 4 = 0 AND effect = 'F')""")
+@query("""WITH e AS (SELECT o_orderkey AS unit, o_orderstatus AS effect, o_orderpriority = '5-LOW' AS told FROM orders), esc AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
+  SELECT unit, effect FROM e WHERE (unit IN (SELECT l_orderkey FROM esc) OR unit NOT IN (SELECT l_orderkey FROM lineitem)) AND NOT (told AND effect = 'F')""")
 def strict_undocumented(spark, sf):
     """Undocumented effects of units that let any escape or that call nothing."""
     lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("unit"), "l_returnflag")
-    e = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit"), F.col("o_orderstatus").alias("effect"))
-    return effects.undocumented_strict(e, lines.where("l_returnflag = 'R'"), lines, e.where("unit % 4 = 0 AND effect = 'F'"), "unit", "effect")
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("unit"), F.col("o_orderstatus").alias("effect"), "o_orderpriority")
+    told = orders.where("o_orderpriority = '5-LOW' AND effect = 'F'").select("unit", "effect")
+    return effects.undocumented_strict(orders.select("unit", "effect"), lines.where("l_returnflag = 'R'"), lines, told, "unit", "effect")
 
 
 @query(
@@ -376,23 +379,28 @@ def fold_pending(spark, sf):
     )
 
 
-_LAYERS = [
-    ("default", 0, "ttl", "24"), ("default", 0, "strict", "false"), ("default", 0, "gap", "500"), ("project", 1, "ttl", "12"),
-    ("tool", 2, "strict", "yes"), ("environment", 3, "ttl", "x1"), ("environment", 3, "gap", "250"),
-]
-_LAYER_SQL = ", ".join(map(str, _LAYERS))
-
-
-@query(
-    f"SELECT key, arg_max(value, priority) AS value, arg_max(layer, priority) AS layer, arg_max(lower(value) IN ('true', '1', 'yes'), priority) AS is_on, arg_max(TRY_CAST(value AS BIGINT), priority) AS number_or_null FROM (VALUES {_LAYER_SQL}) v(layer, priority, key, value) GROUP BY key".replace(
-        "arg_max(TRY_CAST(value AS BIGINT), priority)", "TRY_CAST(arg_max(value, priority) AS BIGINT)",
-    )
-)
+@query("""WITH layers AS (SELECT o_custkey AS key, o_orderkey AS priority, o_orderstatus AS layer,
+    CASE o_orderpriority WHEN '1-URGENT' THEN 'Yes' WHEN '2-HIGH' THEN ' true ' WHEN '3-MEDIUM' THEN CAST(o_orderkey AS VARCHAR) WHEN '5-LOW' THEN 'x1' ELSE 'no' END AS value FROM orders)
+  SELECT key, value, layer, trim(lower(value)) IN ('true', '1', 'yes') AS is_on, TRY_CAST(value AS BIGINT) AS number_or_null
+  FROM (SELECT key, arg_max(value, priority) AS value, arg_max(layer, priority) AS layer FROM layers GROUP BY key)""")
 def config_layers(spark, sf):
-    """The highest layer of each setting."""
-    layers = constant(spark, _LAYERS, "layer string, priority int, key string, value string")
+    """The highest layer of each setting, as a switch and as a number: settings of customers, layers by order."""
+    c = F.col("o_orderpriority")
+    value = F.when(c == "1-URGENT", "Yes").when(c == "2-HIGH", " true ").when(c == "3-MEDIUM", F.col("o_orderkey").cast("string")).when(c == "5-LOW", "x1").otherwise("no")
+    layers = table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("key"), F.col("o_orderkey").alias("priority"), F.col("o_orderstatus").alias("layer"), value.alias("value"),
+    )
     best = rank.last_wins(layers, ["key"], ["priority"], ["value", "layer"])
     return best.select("key", "value", "layer", text.flag(F.col("value")).alias("is_on"), text.whole_number(F.col("value")).alias("number_or_null"))
 
 
+@query("""SELECT event_id, event_type AS module, 'u' || user_id AS member, 'k' || regexp_extract(props, '[0-9]+', 0) AS exc, 'exact' AS confidence FROM events""")
+def flattened_props(spark, sf):
+    """A nested stub text for each event, made of its properties, to one relation."""
+    number = F.get_json_object("props", "$.k")
+    body = F.to_json(F.create_map("event_type", F.create_map(F.concat(F.lit("u"), F.col("user_id").cast("string")), F.create_map(F.concat(F.lit("k"), number), F.lit("exact")))))
+    texts = table(spark, sf, "events").select(F.col("event_id").cast("string").alias("source"), F.lit(1).alias("priority"), body.alias("text"))
+    return stubs.flatten(texts).select(F.col("source").cast("long").alias("event_id"), "module", "member", "exc", "confidence")
+
+
 __all__ = ["QUERIES", "SQL"]

@@ -15,7 +15,7 @@ from effectflow.operators.rank import last_wins
 DEFAULTS: dict[str, object] = {
     "ignore_exceptions": ["KeyboardInterrupt", "SystemExit"], "ignore_modules": [], "include": [], "exclude": [".venv"], "analysis.strict_mode": False, "analysis.local_only": False,
     "analysis.warn_native": True, "analysis.full_module_path": False, "analysis.allow_bare_except": False, "analysis.require_reraise_after_log": False, "analysis.ignore_include": [], "analysis.ignore_exclude": [],
-    "cache.enabled": True, "cache.max_file_entries": 10_000, "cache.max_memory_mb": 500, "cache.ttl_hours": 24, "lsp.debounce_ms": 500, "lsp.max_diagnostics_per_file": 100,
+    "cache.enabled": True, "cache.max_file_entries": 10_000, "cache.max_memory_mb": 500, "cache.ttl_hours": 24, "lsp.debounce_ms": 500, "lsp.max_diagnostics_per_file": 0,
 }
 
 
