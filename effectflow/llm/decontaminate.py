@@ -74,12 +74,12 @@ def _hits(texts: DataFrame, tokens: DataFrame) -> DataFrame:
     for k in sorted(r["k"] for r in bounds):
         names = [F.col(f"at.w{j}") for j in range(k)]
         at = parts.select("text", F.size("parts").alias("n"), F.posexplode_outer(_shingles("parts", k)).alias("pos", "at"))
-        at = at.select("text", "n", "pos", F.xxhash64(*names).alias("hash"), F.concat_ws(" ", *names).alias("said"))
+        at = at.select("text", "n", "pos", "at", F.xxhash64(*names).alias("hash"))
         words = F.split("token", " ")
         wanted = tokens.where(F.col("k") == k).select("token", F.xxhash64(*[words[j] for j in range(k)]).alias("hash"))
-        # the hash finds, the words decide; written so that the comparison isn't taken for a key of the join
-        same = F.startswith("token", "said") & (F.length("said") >= F.length("token"))
-        found.append(at.join(F.broadcast(wanted) if few else wanted, "hash").where(same).select("text", "n", "pos", "token"))
+        # the hash finds, the words decide: in a pass over what was found, so that the loop over all words does little
+        near = written(at.join(F.broadcast(wanted) if few else wanted, "hash").drop("hash"), "found")
+        found.append(near.where(F.concat_ws(" ", *names) == F.col("token")).select("text", "n", "pos", "token"))
     none = texts.select(F.lit(None).cast("binary").alias("text"), F.lit(0).alias("n"), F.lit(0).alias("pos"), F.lit("").alias("token")).limit(0)
     return reduce(DataFrame.unionByName, found, none).distinct()
 
