@@ -48,14 +48,14 @@ def reachability(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return propagate(step, step)
 
 
-def _shortcut(edges: DataFrame) -> DataFrame:
+def _shortcut(edges: DataFrame, times: int = SHORTCUT) -> DataFrame:
     """``edges`` (a, b) and paths of two, four, ... of them as further edges: long chains take fewer rounds.
 
     The paths of two are counted from the degrees before they are made, so that a graph whose paths are many more than its
     edges stays as it is.
     """
     hops, n = counted(edges.select("a", "b").distinct())
-    most = SHORTCUT * n
+    most = times * n
     while True:
         into = hops.groupBy(F.col("b").alias("v")).agg(F.count("*").alias("i"))
         out = hops.groupBy(F.col("a").alias("v")).agg(F.count("*").alias("o"))

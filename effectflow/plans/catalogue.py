@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from effectflow.functions import names, text
-from effectflow.operators import closure, effects, incremental, merge, rank, resolve, state
+from effectflow.operators import closure, condense, effects, incremental, merge, rank, resolve, state
 from effectflow.plans import code_base  # noqa: F401 (registers its queries)
 from effectflow.plans.registry import QUERIES, SQL, query
 from effectflow.runtime import constant, shared_dir, table
@@ -135,6 +135,34 @@ def propagate_every_effect(spark, sf):
     return closure.propagate(_edges(spark, sf), own).groupBy(F.col("a").alias("s_suppkey")).agg(merge.as_set("b").alias("effects"))
 
 
+_PART_EDGE_SQL = """edges(a, b) AS (SELECT DISTINCT x.l_partkey, y.l_partkey FROM lineitem x JOIN lineitem y ON x.l_orderkey = y.l_orderkey AND y.l_linenumber = x.l_linenumber + 1
+  WHERE x.l_returnflag = 'R' AND x.l_discount < 0.035)"""
+
+
+def _part_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts that follow each other in an order, the first one returned and sold at a low discount: a graph with large cycles."""
+    l = table(spark, sf, "lineitem")  # noqa: E741
+    following = l.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_partkey").alias("b"))
+    first = l.where("l_returnflag = 'R' AND l_discount < 0.035").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("a"))
+    return first.join(following, ["l_orderkey", "l_linenumber"]).select("a", "b").distinct()
+
+
+@query(f"""WITH RECURSIVE {_PART_EDGE_SQL}, r(a, b) AS (SELECT a, b FROM edges UNION SELECT r.a, e.b FROM r JOIN edges e ON r.b = e.a)
+  SELECT x.a AS node, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a HAVING count(*) > 1""")
+def strong_components(spark, sf):
+    """Cycles of a graph as one node: each node of a cycle with the least node of its class."""
+    return condense.components(_part_edges(spark, sf))
+
+
+@query(f"""WITH RECURSIVE {_PART_EDGE_SQL}, r(a, b) AS (SELECT p_partkey, p_size FROM part UNION SELECT e.a, r.b FROM r JOIN edges e ON r.a = e.b)
+  SELECT a AS p_partkey, count(*) AS n_sizes, CAST(sum(b) AS BIGINT) AS sizes FROM r GROUP BY a""")
+def condensed_effects(spark, sf):
+    """What nodes have or reach, closed over the condensed graph in words of bits."""
+    own = table(spark, sf, "part").select(F.col("p_partkey").alias("a"), F.col("p_size").alias("b"))
+    total = condense.condensed(_part_edges(spark, sf), own)
+    return total.groupBy(F.col("a").alias("p_partkey")).agg(F.count("*").alias("n_sizes"), F.sum("b").alias("sizes"))
+
+
 @query(f"""WITH RECURSIVE {_EDGE_SQL}, r(a, cause) AS (SELECT s_suppkey, s_suppkey FROM supplier WHERE s_acctbal < 0
   UNION SELECT e.a, r.cause FROM r JOIN edges e ON e.b = r.a) SELECT a AS node, count(*) AS n_causes FROM r GROUP BY a""")
 def affected_by_debt(spark, sf):
