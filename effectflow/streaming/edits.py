@@ -24,6 +24,37 @@ def debounced(stream: DataFrame, gap: str = "500 milliseconds", by: str | None =
     return state.debounce(timed(stream, late=late), "ts", gap, [by] if by else [])
 
 
+def bursts(stream: DataFrame, gap_ms: int = 500) -> DataFrame:
+    """(uri, started, last, n) of each burst of changes (uri, ts), when no change of its uri came for ``gap_ms`` on the clock.
+
+    The timer is the state's own, in processing time, so the last burst comes out though no later event does, where
+    ``debounced`` waits for the watermark. A change that comes before its timer fires joins the burst, whatever its ``ts``;
+    one with a null ``ts`` counts without moving start or end. State is a row a uri with an open burst, and goes as the
+    burst comes out. Null uris are one uri.
+    """
+
+    def hold(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            started, last, n = held.get
+            held.remove()
+            yield pd.DataFrame({"uri": [key[0]], "started": pd.to_datetime([started], unit="us"), "last": pd.to_datetime([last], unit="us"), "n": [n]})
+            return
+        started, last, n = held.get if held.exists else (None, None, 0)
+        for batch in batches:
+            times = batch["ts"].dropna()
+            n += len(batch)
+            if len(times):
+                low, high = (int(t.value // 1000) for t in (times.min(), times.max()))
+                started, last = low if started is None else min(started, low), high if last is None else max(last, high)
+        held.update((started, last, n))
+        held.setTimeoutDuration(gap_ms)
+
+    return stream.select("uri", "ts").groupBy("uri").applyInPandasWithState(
+        hold, "uri string, started timestamp, last timestamp, n long", "started long, last long, n long", "append",
+        GroupStateTimeout.ProcessingTimeTimeout,
+    )
+
+
 def apply_edit(base: str, start: tuple[int, int] | None, end: tuple[int, int] | None, new: str) -> str:
     """A text with one edit: all of it, or a range of zero-based lines and characters, clipped to what there is."""
     if start is None or end is None:
@@ -76,13 +107,18 @@ def folded(stream: DataFrame, ttl: str | None = None) -> DataFrame:
     )
 
 
-def cached(stream: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
+def cached(stream: DataFrame, ttl_seconds: int = 86_400, forget_ms: int | None = None) -> DataFrame:
     """(key, ts, hit) of requests (key, ts, mtime, size, sha256): whether the entry before is young enough and the same.
 
-    A miss stores the request as the new entry; an entry older than its time to live is a miss.
+    A miss stores the request as the new entry; an entry older than its time to live (by ``ts``) is a miss. With ``forget_ms``
+    a key without a request for so long on the clock leaves the state, so the store holds recent keys alone, and its next
+    request is a miss; such a query runs a batch at each trigger, so ``processAllAvailable`` doesn't return. Without it, keys stay.
     """
 
     def probe(key: tuple, batches: Iterator[pd.DataFrame], held_state: GroupState) -> Iterator[pd.DataFrame]:
+        if held_state.hasTimedOut:
+            held_state.remove()
+            return
         held = held_state.get if held_state.exists else None
         out = []
         for e in pd.concat(list(batches)).sort_values("ts", kind="stable").itertuples():
@@ -92,11 +128,13 @@ def cached(stream: DataFrame, ttl_seconds: int = 86_400) -> DataFrame:
             if not same:
                 held = (at, float(e.mtime), int(e.size), e.sha256)
         held_state.update(held)
+        if forget_ms is not None:
+            held_state.setTimeoutDuration(forget_ms)
         yield pd.DataFrame(out, columns=["key", "ts", "hit"])
 
     return stream.groupBy("key").applyInPandasWithState(
         probe, "key string, ts timestamp, hit boolean", "at double, mtime double, size long, sha256 string", "append",
-        GroupStateTimeout.NoTimeout,
+        GroupStateTimeout.NoTimeout if forget_ms is None else GroupStateTimeout.ProcessingTimeTimeout,
     )
 
 

@@ -62,6 +62,36 @@ def test_cache(spark, tmp_path):
     assert [r.hit for r in spark.table("hits").orderBy("ts").collect()] == [False, True, False, False]
 
 
+def until(query, done, seconds=60):
+    """Waits for a running stream whose input has ended, then stops it."""
+    end = time.time() + seconds
+    while not done() and time.time() < end:
+        time.sleep(0.2)
+    query.stop()
+    assert done()
+
+
+def test_last_burst_comes_without_later_events(spark, tmp_path):
+    batches = [[("u", at(k)) for k in (0, 1, 2)] + [("v", at(5)), ("v", None), (None, None)]]
+    stream = rows(spark, tmp_path, batches, "uri string, ts timestamp")
+    query = edits.bursts(stream, 300).writeStream.format("memory").queryName("timed").outputMode("append").start()
+    until(query, lambda: spark.table("timed").count() == 3)
+    flat = spark.createDataFrame([r for r in batches[0] if r[0] and r[1]], "uri string, ts timestamp")
+    want = {(r.uri, r.started, r.last) for r in state.debounce(flat, "ts", "10 seconds", ["uri"]).collect()}
+    got = spark.table("timed").collect()
+    assert {(r.uri, r.started, r.last) for r in got if r.uri} == want
+    assert {r.uri: r.n for r in got} == {"u": 3, "v": 2, None: 1}
+
+
+def test_idle_keys_leave_the_cache(spark, tmp_path):
+    schema = "key string, ts timestamp, mtime double, size long, sha256 string"
+    out = edits.cached(rows(spark, tmp_path, [[("a", at(0), 1.0, 5, "h"), ("b", at(0), 1.0, 5, "h")]], schema), ttl_seconds=100, forget_ms=300)
+    query = out.writeStream.format("memory").queryName("idle").outputMode("append").start()
+    held = lambda: [s["numRowsTotal"] for p in query.recentProgress for s in p["stateOperators"]]
+    until(query, lambda: spark.table("idle").count() == 2 and held()[-1:] == [0])
+    assert max(held()) == 2
+
+
 def test_publish(spark, tmp_path):
     none = (None, None, None, None)
     text = "def f():\n    raise ValueError()\ndef g():\n    f()\n"
