@@ -56,9 +56,12 @@ def read_toml(text: str) -> list[tuple[str, str, str, str | None]]:
 
 
 def version_number(version: Column) -> Column:
-    """A dotted version as a number that sorts: major, minor and patch in steps of a thousand; null for null."""
+    """A dotted version as a number that sorts: major, minor and patch in steps of a thousand; null for null.
+
+    A part counts by its leading digits, so a pre-release (``3.13rc1``) takes the stubs of its release; no digits are 0.
+    """
     parts = F.split(version, "[.]")
-    at = lambda k: F.coalesce(F.try_element_at(parts, F.lit(k)).try_cast("bigint"), F.lit(0))
+    at = lambda k: F.coalesce(F.regexp_extract(F.try_element_at(parts, F.lit(k)), "^[0-9]+", 0).try_cast("bigint"), F.lit(0))
     return F.when(version.isNotNull(), at(1) * 1_000_000 + at(2) * 1000 + at(3))
 
 

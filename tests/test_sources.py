@@ -118,3 +118,10 @@ def test_detectors(spark):
     assert first == {"poetry": ("poetry", ".venv", True), "plain": ("venv", ".venv", True), "hatch": ("hatch", "env", True), "pyenv": ("pyenv", "/v/3.12", True), "nothing": ("environment", "/e", True), "both": ("pdm", ".venv", True)}
     every = [(r.project, r.tool) for r in detect.all_environments(found).collect()]
     assert ("both", "uv") in every and ("both", "venv") in every and ("plain", "environment") not in every
+
+
+def test_versions_before_a_release(spark):
+    texts = ["3.13rc1", "3.13.0a2", "3.13", "3.9.7", "x", "", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "k int, v string")
+    got = [r[0] for r in table.orderBy("k").select(stubs.version_number(F.col("v"))).collect()]
+    assert got == [3_013_000, 3_013_000, 3_013_000, 3_009_007, 0, 0, None]
