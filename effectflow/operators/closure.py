@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from effectflow.operators.resolve import small
-from effectflow.runtime import counted, cut, forget, together
+from effectflow.operators.resolve import looped
+from effectflow.runtime import apart, counted, cut, forget, together, united
 
 KEPT_APART = 8
 #: After LONG rounds edges are shortcut, while paths of two stay within SHORTCUT times the edges.
@@ -75,6 +74,7 @@ def _shortcut(edges: DataFrame, times: int = SHORTCUT) -> DataFrame:
 
 def propagate(
     edges: DataFrame, seeds: DataFrame, keep: Callable[[DataFrame], DataFrame] | None = None, known: DataFrame | None = None,
+    free: DataFrame | None = None,
 ) -> DataFrame:
     """Least fixpoint of (a, b): ``seeds``, and (x, b) wherever edge (x, a) and (a, b) hold.
 
@@ -83,28 +83,33 @@ def propagate(
     rounds (what earlier rounds found has handed over along single edges already, so only new pairs go on then too). Only
     new pairs go on. Each round writes what it found; the finds of ``KEPT_APART`` rounds are one table again after that, so
     plans stay short and old tables go. There is no bound on the rounds. ``known`` (a, b): pairs that hold already; they
-    neither go on nor come out.
+    neither go on nor come out. ``free`` (a, b): further edges, which ``keep`` doesn't filter; these are shortcut with it too.
+
+    Tables of more than ``LARGE`` rows join by shuffle, so rounds send the driver no more as tables grow.
     """
+    along = lambda df, *more: looped(df.select(F.col("a").alias("__to"), F.col("b").alias("__from"), *more))
     more = [c for c in edges.columns if c not in ("a", "b")] if keep else []
-    along = lambda df: small(df.select(F.col("a").alias("__to"), F.col("b").alias("__from"), *more))
-    moves, rounds = along(edges), 0
+    kept, free = (along(edges, *more), free) if keep else (None, edges if free is None else edges.select("a", "b").unionByName(free.select("a", "b")))
+    moves, rounds = None if free is None else along(free), 0
     delta, new = counted(seeds.select("a", "b").distinct())
-    parts = [delta]
+    parts, total = [delta], new
     while new:
-        if rounds == LONG and not keep:
-            moves = along(_shortcut(edges))
+        if rounds == LONG and free is not None:
+            moves = along(_shortcut(free))
         rounds += 1
-        grown = delta.join(moves, delta.a == moves["__from"]).select(F.col("__to").alias("a"), delta.b, *more)
-        grown = (keep(grown) if keep else grown).select("a", "b").distinct()
-        left = grown.join(reduce(DataFrame.unionByName, parts), ["a", "b"], "left_anti")
-        delta, new = counted(left if known is None else left.join(known, ["a", "b"], "left_anti"))
+        over = lambda m, *c: delta.join(m, delta.a == m["__from"]).select(F.col("__to").alias("a"), delta.b, *c)  # noqa: B023, E731
+        found = ([keep(over(kept, *more)).select("a", "b")] if keep else []) + ([] if moves is None else [over(moves)])
+        grown = united(found, 0).distinct()
+        left = grown.join(united(parts, total), ["a", "b"], "left_anti")
+        delta, new = counted(left if known is None else left.join(apart(known), ["a", "b"], "left_anti"))
+        total += new
         if new and len(parts) == KEPT_APART:
-            whole = cut(reduce(DataFrame.unionByName, parts))
+            whole = cut(united(parts, total))
             forget(*parts)
             parts = [whole]
         if new:
             parts.append(delta)
-    return reduce(DataFrame.unionByName, parts)
+    return united(parts, total)
 
 
 def affected(edges: DataFrame, changed: DataFrame) -> DataFrame:

@@ -8,19 +8,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from effectflow.runtime import LARGE, apart
+
 #: A dimension of at most this many rows, or of stored bytes, is broadcast; larger ones join by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 2 << 20
 #: Operators whose results may be larger than the optimizer's estimate.
 _GROWING = re.compile(r"\b(Generate|Expand|Join|\w*Map\w*)\b")
+#: Stored tables, of whose size only the compressed bytes are known.
+_STORED = re.compile(r"\bRelation\b.* parquet\b")
 
 
 def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is small: by the optimizer's size where nothing in the plan can exceed that, else
-    if it has at most ``most`` rows, reading no more than that to find out."""
+    if it has at most ``most`` rows, reading no more than that to find out. Otherwise it is kept ``apart``."""
     plan = df._jdf.queryExecution().optimizedPlan()
-    if int(plan.stats().sizeInBytes()) <= BROADCAST_BYTES and not _GROWING.search(plan.toString()):
+    if int(plan.stats().sizeInBytes()) <= BROADCAST_BYTES and not _GROWING.search(plan.toString()) and not _STORED.search(plan.toString()):
         return F.broadcast(df)
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else apart(df)
+
+
+def looped(df: DataFrame) -> DataFrame:
+    """``small`` for a table that every round of a loop joins: what the rounds send to the driver doesn't grow with it."""
+    return small(df, LARGE)
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:

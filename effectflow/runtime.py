@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from contextvars import ContextVar, copy_context
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -18,6 +19,8 @@ from pyspark.sql.types import _parse_datatype_string
 
 #: Rows of an Arrow batch where texts are parsed.
 TEXT_ROWS = 256
+#: Tables of more rows join by shuffle: the optimizer knows stored bytes alone, and rows may take ten times as many on the driver.
+LARGE = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,33 +64,43 @@ def _place(spark: SparkSession, path: str) -> tuple:
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+def apart(df: DataFrame) -> DataFrame:
+    """``df`` joined by shuffle, whatever the optimizer takes its size for; a broadcast hint of the other side still counts."""
+    return df.hint("merge")
+
+
+def united(parts: Sequence[DataFrame], rows: int) -> DataFrame:
+    """All rows of tables of ``counted``, ``rows`` together: a union loses the hints of its parts."""
+    whole = reduce(DataFrame.unionByName, parts)
+    return apart(whole) if len(parts) > 1 and rows > LARGE else whole
+
+
 def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` computed once, written as Parquet to the shared folder (partitioned ``by`` a column) and read from there.
 
-    The table goes when the session ends, or by ``forget``.
+    The table goes when the session ends, or by ``forget``. One of more than ``LARGE`` rows is kept ``apart``.
     """
+    return counted(df, by)[0]
+
+
+def counted(df: DataFrame, by: str | None = None) -> tuple[DataFrame, int]:
+    """``cut``, and the number of rows, observed while writing."""
     spark = df.sparkSession
     if _in_memory.get():
-        return spark.createDataFrame(df.toArrow(), df.schema)
+        found = df.toArrow()
+        return spark.createDataFrame(found, df.schema), found.num_rows
+    seen = Observation()
     root = f"{shared_dir(spark)}/cut-{spark.sparkContext.applicationId}"
     path = f"{root}/{uuid.uuid4().hex}"
     system, place = _place(spark, root)
     system.deleteOnExit(place)
-    writer = df.write.option("compression", "zstd")
+    writer = df.observe(seen, F.count(F.lit(1)).alias("n")).write.option("compression", "zstd")
     (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    rows = seen.get["n"]
+    out = apart(out) if rows > LARGE else out
     out._cut_path = path
-    return out
-
-
-def counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """``cut``, and the number of rows, observed while writing."""
-    if _in_memory.get():
-        found = df.toArrow()
-        return df.sparkSession.createDataFrame(found, df.schema), found.num_rows
-    seen = Observation()
-    out = cut(df.observe(seen, F.count(F.lit(1)).alias("n")))
-    return out, seen.get["n"]
+    return out, rows
 
 
 def together(*calls: Callable[[], object]) -> list:
