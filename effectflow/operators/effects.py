@@ -16,16 +16,25 @@ def unhandled(pairs: DataFrame, handlers: DataFrame, site: Sequence[str], effect
     A handler catches itself and its descendants: ``ancestors`` has (effect, ancestor) and must be reflexive; without
     it only equal names are caught. A null handler catches everything. Anti-joins throughout.
     """
+    bare, caught = catches(handlers, site, effect, handler, ancestors)
+    return uncaught(pairs, bare, caught, site, effect)
+
+
+def uncaught(pairs: DataFrame, bare: DataFrame, caught: DataFrame, site: Sequence[str], effect: str) -> DataFrame:
+    """``unhandled`` with the tables of ``catches``."""
+    return pairs.join(bare, list(site), "left_anti").join(caught, [*site, effect], "left_anti")
+
+
+def catches(handlers: DataFrame, site: Sequence[str], effect: str, handler: str, ancestors: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(site) of bare handlers and (site, effect) of what typed ones catch: loops write these once."""
     site = list(site)
     bare = handlers.where(F.col(handler).isNull()).select(*site).distinct()
     typed = handlers.where(F.col(handler).isNotNull()).select(*site, F.col(handler).alias("__h"))
-    left = pairs.join(bare, site, "left_anti")
     if ancestors is None:
-        return left.join(typed.withColumnRenamed("__h", effect), [*site, effect], "left_anti")
+        return bare, typed.withColumnRenamed("__h", effect)
     known = ancestors.select(F.col("effect").alias("__e"), F.col("ancestor").alias("__h"))
     caught = typed.join(small(known), "__h").select(*site, F.col("__e").alias(effect))
-    caught = caught.unionByName(typed.select(*site, F.col("__h").alias(effect))).distinct()
-    return left.join(caught, [*site, effect], "left_anti")
+    return bare, caught.unionByName(typed.select(*site, F.col("__h").alias(effect))).distinct()
 
 
 def unmarked_groups(df: DataFrame, by: Sequence[str], mark: Column, *aggregates: Column) -> DataFrame:
