@@ -35,30 +35,31 @@ class Library:
             "module", "fn_id", short.alias("member"), "qualname", "ordinal",
             F.coalesce("docstring", F.lit("")).alias("docstring"),
         )
-        self.signatures = self.functions.join(self.check.signatures, "fn_id").select(
+        # lookups join this some ten times
+        self.signatures = cut(self.functions.join(self.check.signatures, "fn_id").select(
             "module", "member", "ordinal", names.qualify(F.col("effect"), F.col("module")).alias("effect"),
-        ).distinct()
+        ).distinct())
         self.imports = facts.imports(self.check.facts).join(owner, "file_id").select("module", "alias", "target").distinct()
 
     def _direct(self, asked: DataFrame) -> DataFrame:
         """(module, member, effect) found in the module: the exact member, then the first that ends with it."""
-        heads = self.signatures.select("module", F.col("member").alias("full"), "ordinal").distinct()
-        first = resolve.suffix_first(asked.distinct(), "member", heads, "full", "ordinal", by=["module"])
-        exact = asked.distinct().join(heads.select("module", F.col("full").alias("member"), "full"), ["module", "member"])
+        heads, asked = self.signatures.select("module", F.col("member").alias("full"), "ordinal").distinct(), cut(asked.distinct())
+        first = resolve.suffix_first(asked, "member", heads, "full", "ordinal", by=["module"])
+        exact = asked.join(heads.select("module", F.col("full").alias("member"), "full"), ["module", "member"])
         chosen = resolve.cascade(
-            asked.distinct(), ["module", "member"],
+            asked, ["module", "member"],
             [exact.select("module", "member", "full").distinct(), first.select("module", "member", "full")],
         ).where("full IS NOT NULL")
-        return chosen.join(
+        return cut(chosen.join(
             self.signatures.select("module", F.col("member").alias("full"), "effect"), ["module", "full"],
-        ).select("module", "member", "effect")
+        ).select("module", "member", "effect"))
 
     def lookup(self, asked: DataFrame) -> DataFrame:
         """(module, member, effect) of ``asked`` (module, member): the module, then what it imports the name from, then its
         usual inner modules; each later place only for what the earlier ones left."""
         asked = asked.select("module", "member").distinct()
         found = self._direct(asked)
-        left = asked.join(found.select("module", "member"), ["module", "member"], "left_anti")
+        left = cut(asked.join(found.select("module", "member"), ["module", "member"], "left_anti"))
         by_import = left.join(self.imports.withColumnRenamed("alias", "member"), ["module", "member"]).select(
             "module", "member", names.parent(F.col("target")).alias("m"), names.last_part(F.col("target")).alias("f"),
             F.lit(0).alias("place"),
@@ -69,7 +70,7 @@ class Library:
         )
         # relative imports have lost their package: the module's own is tried too
         near = by_import.withColumn("m", F.concat_ws(".", "module", "m"))
-        tried = by_import.unionByName(near).unionByName(inner)
+        tried = cut(by_import.unionByName(near).unionByName(inner))
         hit = tried.join(
             self._direct(
                 tried.select(F.col("m").alias("module"), F.col("f").alias("member"))
