@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from effectflow.operators import closure
-from effectflow.operators.resolve import small
-from effectflow.runtime import _place, counted, cut, forget
+from effectflow.operators.resolve import looped
+from effectflow.runtime import LARGE, _place, apart, counted, cut, forget
 
 #: Of the kept tables: a change rewrites the parts that hold something it touches.
 PARTS = 64
@@ -41,9 +41,9 @@ def maintain(result: DataFrame, old: tuple[DataFrame, DataFrame], new: tuple[Dat
     gone_edges, n_gone = counted(_minus(was_edges, edges))
     come_edges, n_come = counted(_minus(edges, was_edges))
     # what might have lost support, by way of the old edges
-    lost, n_lost = counted(_minus(was_seeds, seeds).unionByName(_handed(small(gone_edges), result)).distinct())
+    lost, n_lost = counted(_minus(was_seeds, seeds).unionByName(_handed(looped(gone_edges), result)).distinct())
     removed = cut(closure.propagate(was_edges, lost)) if n_lost else lost
-    held = _minus(result, small(removed)) if n_lost else result
+    held = cut(_minus(result, looped(removed))) if n_lost else result
     # what has other support, and what is new
     start = _minus(seeds, was_seeds)
     if n_lost:
@@ -52,7 +52,7 @@ def maintain(result: DataFrame, old: tuple[DataFrame, DataFrame], new: tuple[Dat
         asked = removed.join(moves, removed.a == moves["__to"]).select(F.col("__from").alias("a"), "b", F.col("__to"))
         start = start.unionByName(asked.join(held, ["a", "b"], "left_semi").select(F.col("__to").alias("a"), "b"))
     if n_come:
-        start = start.unionByName(_handed(small(come_edges), held))
+        start = start.unionByName(_handed(looped(come_edges), held))
     start, n_start = counted(_minus(start.distinct(), held))
     added = cut(closure.propagate(edges, start, known=held)) if n_start else start
     forget(gone_edges, come_edges)
@@ -71,7 +71,8 @@ class KeptClosure:
 
     def _read(self, name: str) -> DataFrame:
         rows = self.spark.read.schema("a string, b string, part int").parquet(f"{self.root}/{name}")
-        return rows.where("a IS NOT NULL").select("a", "b")  # a part that lost all its rows keeps a null one
+        rows = rows.where("a IS NOT NULL").select("a", "b")  # a part that lost all its rows keeps a null one
+        return rows if rows.limit(LARGE + 1).count() <= LARGE else apart(rows)
 
     def _whole(self) -> bool:
         system, place = _place(self.spark, f"{self.root}/runs")
@@ -118,7 +119,7 @@ class KeptClosure:
         touched = {name: cut(_minus(x, y).unionByName(_minus(y, x)).select(self._part()).distinct()) for name, (x, y) in changes.items()}
         removed, n_removed = counted(removed)
         added, n_added = counted(added)
-        result = cut(_minus(kept["result"], small(removed)).unionByName(added)) if n_removed or n_added else cut(kept["result"])
+        result = cut(_minus(kept["result"], looped(removed)).unionByName(added)) if n_removed or n_added else cut(kept["result"])
         self._note(run, False)
         self._write(edges, "edges", touched["edges"])
         self._write(seeds, "seeds", touched["seeds"])
