@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from effectflow.operators.closure import KEPT_APART, LONG, _shortcut, propagate
-from effectflow.operators.resolve import small
+from effectflow.operators.closure import KEPT_APART, LONG, _shortcut
+from effectflow.operators.resolve import looped, small
 from effectflow.runtime import counted, cut, forget
 
 #: Trimming goes on while a round takes more than this share of the edges.
@@ -29,31 +29,41 @@ def _trim(live: DataFrame, n: int) -> tuple[DataFrame, int]:
     return live, n
 
 
-def _colours(live: DataFrame) -> DataFrame:
-    """(v, c): for each node of ``live`` the node of greatest hash that reaches it, itself included.
+def _colours(live: DataFrame, weighed: bool) -> DataFrame:
+    """(v, f, g): for each node of ``live`` the greatest colour that reaches it, and the greatest that it reaches, its own included.
 
-    Only colours that rose go on; a round joins them with the edges and compares by one aggregate, combined before its shuffle.
+    Each node has one colour, a number: its hash or, if ``weighed``, its place by the product of its degrees. Only colours that
+    rose go on, both ways in one round; a round joins them with the edges and compares by one aggregate, combined before its
+    shuffle.
     """
-    nodes = live.select(F.col("a").alias("v")).union(live.select(F.col("b").alias("v"))).distinct()
-    along = lambda df: small(df.select(F.col("a").alias("v"), F.col("b").alias("w")))
-    moves, rounds = along(live), 0
-    delta, new = counted(nodes.select("v", F.struct(F.xxhash64("v").alias("h"), F.col("v").alias("id")).alias("c")))
-    nothing = F.lit(None).cast(delta.schema["c"].dataType)
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    ends = live.select(F.col("a").alias("v"), one.alias("o"), none.alias("i")).union(live.select(F.col("b").alias("v"), none.alias("o"), one.alias("i")))
+    nodes = ends.groupBy("v").agg((F.sum("o") * F.sum("i")).alias("d"))
+    # numbers of sorted rows rise; the hash of one number is a number that no other has
+    rank = F.monotonically_increasing_id() if weighed else F.xxhash64(F.monotonically_increasing_id())
+    nodes = (nodes.orderBy("d", F.xxhash64("v"), "v") if weighed else nodes).select("v", rank.alias("c"))
+    ways = lambda df: df.select(F.col("a").alias("v"), F.lit(True).alias("on"), F.col("b").alias("w")).unionByName(
+        df.select(F.col("b").alias("v"), F.lit(False).alias("on"), F.col("a").alias("w"))
+    )
+    moves, rounds = looped(ways(live)), 0
+    delta, new = counted(nodes.select("v", F.explode(F.array(F.lit(True), F.lit(False))).alias("on"), "c"))
+    nothing = F.lit(None).cast("long")
     parts = [delta]
     while new:
         if rounds == DEEP:  # long cycles take few rounds more
-            moves = along(_shortcut(live, FEW))
+            moves = looped(ways(_shortcut(live, FEW)))
         rounds += 1
-        came = delta.join(moves, "v").select(F.col("w").alias("v"), F.col("c").alias("new"), nothing.alias("old"))
-        had = reduce(DataFrame.unionByName, parts).select("v", nothing.alias("new"), F.col("c").alias("old"))
-        risen = came.unionByName(had).groupBy("v").agg(F.max("new").alias("c"), F.max("old").alias("old")).where("c > old")
-        delta, new = counted(risen.select("v", "c"))
+        came = delta.join(moves, ["v", "on"]).select(F.col("w").alias("v"), "on", F.col("c").alias("new"), nothing.alias("old"))
+        had = reduce(DataFrame.unionByName, parts).select("v", "on", nothing.alias("new"), F.col("c").alias("old"))
+        risen = came.unionByName(had).groupBy("v", "on").agg(F.max("new").alias("c"), F.max("old").alias("old")).where("c > old")
+        delta, new = counted(risen.select("v", "on", "c"))
         if new and len(parts) == KEPT_APART:
-            whole = cut(reduce(DataFrame.unionByName, parts).groupBy("v").agg(F.max("c").alias("c")))
+            whole = cut(reduce(DataFrame.unionByName, parts).groupBy("v", "on").agg(F.max("c").alias("c")))
             forget(*parts)
             parts = [whole]
         parts.append(delta)
-    out = cut(reduce(DataFrame.unionByName, parts).groupBy("v").agg(F.max("c.id").alias("m"), F.max("c").alias("c")).select("v", F.col("c.id").alias("c")))
+    both = reduce(DataFrame.unionByName, parts).groupBy("v").agg(F.max(F.when(F.col("on"), F.col("c"))).alias("f"), F.max(F.when(~F.col("on"), F.col("c"))).alias("g"))
+    out = cut(both)
     forget(*parts)
     return out
 
@@ -61,10 +71,11 @@ def _colours(live: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): nodes of cycles through more than one node, with the least node of their cycle class.
 
-    Forward-backward colouring: every node takes the greatest node (by hash) that reaches it; what reaches that node back
-    inside the colour is one component; it goes, edges between colours go, and the rest is coloured again. Chains are
-    shortcut before each colouring, as far as that keeps the edges few, so long cycles take few rounds. Hashes make
-    the number of colourings follow the logarithm of a chain of components, whatever their ids. Nodes of no cycle aren't
+    Forward-backward colouring: every node takes the greatest colour that reaches it, and the greatest that it reaches. Where
+    these are the same, they are its component's; such nodes go, edges between other colours go, and the rest is coloured
+    again. Nodes of most edges are the greatest at first, as they lie in large components; after that hashes decide, so that
+    the number of colourings follows the logarithm of a chain of components, whatever their ids. Chains are shortcut in a
+    long colouring, as far as that keeps the edges few, so long cycles take few rounds. Nodes of no cycle aren't
     listed, nor are loops of one node. Null ends are no edge; repeated edges count once; no edges give no rows.
     """
     live, n = counted(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b").distinct())
@@ -74,19 +85,14 @@ def components(edges: DataFrame) -> DataFrame:
         live, n = _trim(live, n)
         if not n:
             break
-        colour = _colours(live)
-        tint = small(colour)
-        same = live.join(tint.select(F.col("v").alias("a"), F.col("c").alias("ca")), "a").join(
-            tint.select(F.col("v").alias("b"), F.col("c").alias("cb")), "b",
+        colour = _colours(live, weighed=not found)
+        found.append(cut(colour.where("f = g").select(F.col("v").alias("node"), F.struct(F.lit(len(found)).alias("turn"), "f").alias("root"))))
+        tint = small(colour.where("f <> g"))
+        same = live.join(tint.select(F.col("v").alias("a"), F.col("f").alias("fa"), F.col("g").alias("ga")), "a").join(
+            tint.select(F.col("v").alias("b"), F.col("f").alias("fb"), F.col("g").alias("gb")), "b",
         )
-        same = cut(same.where("ca = cb").select("a", "b"))
-        back = propagate(same, colour.where("v = c").select(F.col("c").alias("a"), F.col("c").alias("b")))
-        here = cut(back.select(F.col("a").alias("node"), F.col("b").alias("root")))
-        found.append(here)
-        gone = small(here.select("node"))
-        rest = same.join(gone.withColumnRenamed("node", "a"), "a", "left_anti").join(gone.withColumnRenamed("node", "b"), "b", "left_anti")
-        was = (live, same, colour)
-        live, n = counted(rest.select("a", "b"))
+        was = (live, colour)
+        live, n = counted(same.where("fa = fb AND ga = gb").select("a", "b"))
         forget(*was)
     if not found:
         return live.select(F.col("a").cast(kind).alias("node"), F.col("b").cast(kind).alias("component"))

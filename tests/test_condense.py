@@ -46,3 +46,14 @@ def test_empty(spark):
     assert condense.components(none).count() == 0 and condense.components(none).columns == ["node", "component"]
     assert [tuple(r) for r in condense.condensed(none, own).collect()] == [("x", "E")]
     assert condense.condensed(own, none).count() == 0
+
+
+def test_cycle_is_coloured_both_ways_at_once(spark, monkeypatch):
+    """No second pass finds what reaches a colour back: a cycle takes one round a node, and few more."""
+    n, rounds, real = 9, [], condense.counted
+    for module in (condense, closure):
+        monkeypatch.setattr(module, "counted", lambda *a: rounds.append(1) or real(*a))
+    edges = {(k, (k + 1) % n) for k in range(n)}
+    found = {tuple(r) for r in condense.components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
+    assert found == classes(edges)
+    assert len(rounds) <= n + 5, len(rounds)
