@@ -157,8 +157,9 @@ def condensed(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     Edges and seeds move to components, ``by_words`` closes the condensed graph, and components become nodes once, at the
     end. Rows with a null are left out; tables may be empty; repeated rows count once.
     """
-    classes = components(edges)
-    arcs = _at(_at(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b"), "a", classes), "b", classes)
+    once = cut(edges.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct())
+    classes = components(once)
+    arcs = _at(_at(once, "a", classes), "b", classes)
     total = by_words(arcs, _at(seeds.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b"), "a", classes))
     members = small(classes.select("node", F.col("component").alias("a")))
     return total.join(members, "a", "left").select(F.coalesce("node", "a").alias("a"), "b")

@@ -57,3 +57,16 @@ def test_cycle_is_coloured_both_ways_at_once(spark, monkeypatch):
     found = {tuple(r) for r in condense.components(spark.createDataFrame(sorted(edges), "a long, b long")).collect()}
     assert found == classes(edges)
     assert len(rounds) <= n + 5, len(rounds)
+
+
+def test_condensed_computes_its_edges_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(k, (k + 1) % 3) for k in range(3)], "a long, b long").mapInArrow(told, "a long, b long")
+    assert condense.condensed(edges, spark.createDataFrame([(0, "x")], "a long, b string")).count() == 3
+    assert seen.value == 3
