@@ -17,7 +17,7 @@ from effectflow.plans import stubs as writers
 from effectflow.plans.check import Check, Options, report_text
 from effectflow.plans.library import Library, native_stubs, stubs_of
 from effectflow.plans.registry import query
-from effectflow.runtime import constant, cut, shared_dir, table
+from effectflow.runtime import constant, cut, shared_dir, spread, table
 from effectflow.sources import facts, patterns, stubs
 from effectflow.sources import files as file_source
 from effectflow.sources.cache import FactCache
@@ -64,7 +64,8 @@ def sources(spark: SparkSession, sf: str) -> DataFrame:
     """(path, text) of all suppliers' modules."""
     s = table(spark, sf, "supplier")
     n = s.agg(F.count("*").alias("n"))
-    rows = s.join(table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(n))
+    dealt = spread(s, s.count(), "s_suppkey")
+    rows = dealt.join(F.broadcast(table(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).join(F.broadcast(n))
     values = {
         "k": F.col("s_suppkey").cast("string"),
         "t": ((F.col("s_suppkey") * 7 + 3) % F.col("n")).cast("string"),

@@ -21,6 +21,8 @@ from pyspark.sql.types import _parse_datatype_string
 TEXT_ROWS = 256
 #: Tables of more rows join by shuffle: the optimizer knows stored bytes alone, and rows may take ten times as many on the driver.
 LARGE = 20_000
+#: Texts for one task where there are many.
+TASK_TEXTS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,10 +71,22 @@ def apart(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+def held(df: DataFrame, rows: int) -> DataFrame:
+    """``apart``, if what ``df`` is made from has more than ``LARGE`` rows: results of joins and unions carry no hint of their own."""
+    return apart(df) if rows > LARGE else df
+
+
+def spread(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """``df`` of ``rows`` texts (or what these are made from) dealt to as many tasks as they need, four a core at most: short
+    texts are few stored bytes, by which Spark deals them, but each takes its time to parse."""
+    tasks = min(-(-rows // TASK_TEXTS), 4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.repartition(tasks, *by) if tasks > 1 else df
+
+
 def united(parts: Sequence[DataFrame], rows: int) -> DataFrame:
     """All rows of tables of ``counted``, ``rows`` together: a union loses the hints of its parts."""
     whole = reduce(DataFrame.unionByName, parts)
-    return apart(whole) if len(parts) > 1 and rows > LARGE else whole
+    return held(whole, rows) if len(parts) > 1 else whole
 
 
 def cut(df: DataFrame, by: str | None = None) -> DataFrame:
@@ -98,7 +112,7 @@ def counted(df: DataFrame, by: str | None = None) -> tuple[DataFrame, int]:
     (writer.partitionBy(by) if by else writer).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     rows = seen.get["n"]
-    out = apart(out) if rows > LARGE else out
+    out = held(out, rows)
     out._cut_path = path
     return out, rows
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from effectflow.operators import merge
 from effectflow.plans import code_base
 from effectflow.plans.check import Check, Options
-from effectflow.runtime import cut, forget
+from effectflow.runtime import counted, cut, forget, spread
 from effectflow.sources import facts, patterns, stubs
 from jobs.common import configured, log, session
 
@@ -49,12 +49,12 @@ def report(spark: SparkSession, sources: DataFrame, output: str, signatures: Dat
     raises, findings, effects. Of a path that is there twice, the last text in order counts."""
     conf = {**DEFAULTS, **(settings or {})}
     files = patterns.select_paths(sources.select("path", "text"), "path", conf["include"], conf["exclude"])
-    files = cut(files.where("path IS NOT NULL").groupBy("path").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")))
+    files, n = counted(files.where("path IS NOT NULL").groupBy("path").agg(F.max(F.coalesce("text", F.lit(""))).alias("text")))
     options = Options(
         ignored=conf["ignore"], mode=conf["mode"], strict=conf["strict"], warn_native=conf["warn_native"], root=conf["root"] or None,
     )
-    check = Check(files, None if signatures is None else stubs.for_version(signatures, conf["python"]), options=options)
-    log.info("escape_report: read %d files", files.count())
+    check = Check(spread(files, n, "path"), None if signatures is None else stubs.for_version(signatures, conf["python"]), options=options)
+    log.info("escape_report: read %d files", n)
     findings = cut(check.diagnostics.select("file_id", "line", "severity", "message"))
     rows = findings.withColumn("kind", F.lit("finding")).unionByName(_by_file(check, findings).withColumn("kind", F.lit("file")), allowMissingColumns=True)
     rows.repartition("kind", F.pmod(F.hash("file_id"), F.lit(64))).sortWithinPartitions("file_id").write.mode("overwrite").partitionBy("kind").parquet(f"{output}/report")
