@@ -1,6 +1,7 @@
 import pytest
 
 from effectflow.operators import closure, condense
+from effectflow.plans.check import Check, Options
 
 
 def reach(edges):
@@ -70,3 +71,11 @@ def test_condensed_computes_its_edges_once(spark):
     edges = spark.createDataFrame([(k, (k + 1) % 3) for k in range(3)], "a long, b long").mapInArrow(told, "a long, b long")
     assert condense.condensed(edges, spark.createDataFrame([(0, "x")], "a long, b string")).count() == 3
     assert seen.value == 3
+
+
+def test_check_closes_over_the_condensed_graph(spark):
+    """The same signatures with a cycle across files as one node."""
+    rows = [("a.py", "import b\ndef f():\n    b.g()\n    raise KeyError\n"), ("b.py", "import a\ndef g():\n    a.f()\n    raise OSError\n"), ("c.py", "import a\ndef h():\n    a.f()\n")]
+    files = spark.createDataFrame(rows, "path string, text string")
+    plain, one = ({tuple(r) for r in Check(files, options=Options(condense=c)).signatures.collect()} for c in (False, True))
+    assert one == plain == {(f"{m}.py#{m}.{fn}", e) for m, fn in (("a", "f"), ("b", "g"), ("c", "h")) for e in ("KeyError", "OSError")}
